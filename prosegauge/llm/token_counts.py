@@ -9,15 +9,18 @@ node. Documents then only add up the counts of their pre-tokens.
 from __future__ import annotations
 
 import math
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_NODES = 600_000
+MOST_NODES = 1_500_000  # of one worker's trie; when full it starts anew
 UNIT = 1_000_000  # scores are whole millionths of a nat, so sums are exact and ties are ties
 START = "▁"
 
@@ -42,7 +45,12 @@ class Trie(dict):
     def __init__(self, scores: dict[str, int], byte_score: int, most_nodes: int = MOST_NODES):
         super().__init__()
         self.scores, self.byte_score, self.most_nodes = scores, byte_score, most_nodes
-        self.longest = max(map(len, scores), default=1)
+        # lengths of the pieces with given last three characters, so that few suffixes of a prefix are looked up
+        ends: dict[str, set[int]] = {}
+        for p in scores:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.ends = {e: tuple(sorted(k)) for e, k in ends.items()}
         self.reset()
 
     def reset(self) -> None:
@@ -55,26 +63,51 @@ class Trie(dict):
             self.reset()
         word = START + raw.decode("utf-8", "replace")
         node, path = 0, [0]
-        child, best, count, scores = self.child, self.best, self.count, self.scores
+        child, best, count, scores, ends = self.child, self.best, self.count, self.scores, self.ends
         for d in range(1, len(word) + 1):
             key = node * 0x110000 + ord(word[d - 1])
             node = child.get(key, 0)
             if not node:
-                n = len(word[d - 1].encode("utf-8", "replace"))
-                top = (best[path[d - 1]] + n * self.byte_score, -(count[path[d - 1]] + n))
-                for k in range(1, min(self.longest, d) + 1):
-                    s = scores.get(word[d - k : d])
-                    if s is not None:
+                at = path[d - 1]
+                s = scores.get(word[d - 1])
+                n = 1
+                if s is None:
+                    n = len(word[d - 1].encode("utf-8", "replace"))
+                    s = n * self.byte_score
+                top, fewest = best[at] + s, count[at] + n
+                for k in (2, *ends.get(word[d - 3 : d], ())) if d > 2 else (2,) if d == 2 else ():
+                    if k <= d and (s := scores.get(word[d - k : d])) is not None:
                         at = path[d - k]
-                        top = max(top, (best[at] + s, -(count[at] + 1)))
+                        s += best[at]
+                        if s > top or s == top and count[at] + 1 < fewest:
+                            top, fewest = s, count[at] + 1
                 node = child[key] = len(best)
-                best.append(top[0])
-                count.append(-top[1])
+                best.append(top)
+                count.append(fewest)
             path.append(node)
         self[raw] = count[node]
         return count[node]
 
 
+@dataclass
+class Shared:
+    """A broadcast and a name for it that is the same in all processes."""
+
+    broadcast: Broadcast
+    id: str
+
+
+TRIES: dict[str, Trie] = {}  # of this worker, by the broadcast that its vocabulary came in; one at a time
+
+
+def worker_trie(sent) -> Trie:
+    """One trie serves all tasks of a worker."""
+    if sent.id not in TRIES:
+        TRIES.clear()
+        TRIES[sent.id] = Trie(*sent.broadcast.value)
+    return TRIES[sent.id]
+
+
 def token_counts(docs: DataFrame, scores: dict[str, int] | None = None, byte_score: int | None = None) -> DataFrame:
     """doc_id, n_pretokens, n_tokens for each row of ``docs``.
 
@@ -87,10 +120,10 @@ def token_counts(docs: DataFrame, scores: dict[str, int] | None = None, byte_sco
     """
     if scores is None:
         scores, byte_score = vocabulary()
-    sent = docs.sparkSession.sparkContext.broadcast((scores, byte_score))
+    sent = Shared(docs.sparkSession.sparkContext.broadcast((scores, byte_score)), uuid.uuid4().hex)
 
     def run(batches):
-        trie = Trie(*sent.value)
+        trie = worker_trie(sent)
         get = trie.__getitem__
         for b in batches:
             words, pieces = [], []

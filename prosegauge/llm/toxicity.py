@@ -134,36 +134,49 @@ def suspicious(token: str) -> bool:
     return bool(RUN.search(token) or JOINED.match(token) or (SUSPECT.search(token) and not SECRET.search(token) and len(token) <= 40))
 
 
-class Restorer:
-    """Restored tokens, remembered; the memory is emptied when full."""
-
-    def __init__(self, model: CharModel):
-        self.model, self.memo = model, {}
-
-    def token(self, t: str) -> list[str]:
-        got = self.memo.get(t)
-        if got is None:
-            bare = t.strip(EDGE) if not t[:1].isalpha() or not t[-1:].isalpha() else t
-            words = WORDS.findall(t.lower())
-            hard = next((x for x in (bare, t) if x and suspicious(x)), None)
-            if hard and len(hard) <= 64:
-                words = [*WORDS.findall(decode(hard, self.model)), *words]
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            got = self.memo[t] = words
+class Restorer(dict):
+    """Maps a token to its words, restored ones too, of those that ``wanted`` keeps; the memory is emptied when full.
+
+    A token of one letter, which may be part of a spaced-out word, maps to
+    itself behind a blank as well.
+    """
+
+    def __init__(self, model: CharModel, wanted=None):
+        super().__init__()
+        self.model, self.wanted = model, wanted
+
+    def restored(self, token: str) -> list[str]:
+        words = WORDS.findall(token.lower())
+        bare = token.strip(EDGE)
+        hard = next((x for x in (bare, token) if x and suspicious(x)), None)
+        if hard and len(hard) <= 64:
+            words = [*WORDS.findall(decode(hard, self.model)), *words]
+        return words
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        words = self.restored(token)
+        if self.wanted is not None:
+            words = [w for w in words if self.wanted(w)]
+        if len(token) == 1 and token.isalpha():
+            words = [*words, f" {token}"]
+        if len(self) >= MEMO:
+            self.clear()
+        got = self[token] = tuple(words)
         return got
 
     def text(self, text: str | None) -> set[str]:
         """The words of a text with what its suspicious parts may have hidden."""
-        tokens = set((text or "").split())
         out: set[str] = set()
-        for t in tokens:
-            out.update(self.token(t))
-        if sum(len(t) == 1 for t in tokens) >= 2:
+        for got in map(self.__getitem__, set((text or "").split())):
+            if got:
+                out.update(got)
+        single = {w for w in out if w[0] == " "}
+        out -= single
+        if len(single) > 1:
             for m in SPACED.finditer(text):
                 letters = m.group().replace(" ", "")
                 if len(letters) <= 64 and len(set(letters.lower())) > 1:
-                    out.update(WORDS.findall(decode(letters, self.model)))
+                    out.update(w for w in WORDS.findall(decode(letters, self.model)) if self.wanted is None or self.wanted(w))
         return out
 
 
@@ -214,18 +227,8 @@ class Scorer:
 
     def score(self, text: str | None) -> float:
         if self.restorer is None:
-            self.restorer = Restorer(CharModel(self.grams))
-            self.memo: dict[str, tuple[int, ...]] = {}
-        tally: Counter = Counter()
-        memo, known = self.memo, self.known
-        for w in self.restorer.text(text):
-            got = memo.get(w)
-            if got is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                got = memo[w] = tuple(f for f in stems(w) if f in known)
-            if got:
-                tally.update(got)
+            self.restorer = Restorer(CharModel(self.grams), lambda w: not self.known.isdisjoint(stems(w)))
+        tally = Counter(f for w in self.restorer.text(text) for f in stems(w))
         z = self.weights[-1] + sum(self.weights[self.names[f]] for f in sorted(features(tally)) if f in self.names)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 

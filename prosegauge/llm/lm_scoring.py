@@ -15,6 +15,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,23 +25,32 @@ ORDER = 3
 BACKOFF = 0.4
 LEAST = 2
 CHUNK_WORDS = 2_500_000
-MEMO = 1_000_000
+MEMO = 200_000
 
 
-def word_hashes(texts: list[str | None], memo: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def bundle(texts: list[str | None]) -> tuple[list[int], bytes]:
+    """Texts as one compressed block, with the length of each."""
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    return list(map(len, raw)), zstandard.compress(b"".join(raw), 3)
+
+
+def word_hashes(bundles: list[tuple[list[int], bytes]], memo: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, A-Z lower-cased, and the number of words of each text."""
-    words: list[bytes] = []
-    n = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        own = (t or "").encode("utf-8", "replace").lower().split()
-        n[i] = len(own)
-        words += own
-    if len(memo) > MEMO:
-        memo.clear()
-    for w in set(words):
-        if w not in memo:
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), n
+    hashes, n = [np.empty(0, np.uint64)], []
+    for lengths, block in bundles:
+        raw, at, words = zstandard.decompress(block).lower(), 0, []
+        for k in lengths:
+            own = raw[at : at + k].split()
+            at += k
+            n.append(len(own))
+            words += own
+        if len(memo) > MEMO:
+            memo.clear()
+        for w in set(words):
+            if w not in memo:
+                memo[w] = xxhash.xxh3_64_intdigest(w)
+        hashes.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
+    return np.concatenate(hashes), np.array(n, np.int64)
 
 
 def grams(h: np.ndarray, n: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -62,13 +72,13 @@ def grams(h: np.ndarray, n: np.ndarray, order: int) -> list[tuple[np.ndarray, np
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Byte planes of sorted integers: their high bytes change slowly, so shuffle files compress them."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    """Byte planes of integers, compressed: high bytes of sorted hashes change slowly, those of counts are 0."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
 
 
 def unpack(b: bytes, dtype: str) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
 
 
 def slices(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -97,13 +107,26 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
     total = rows.select("text").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
     chunks = max(12, math.ceil(total / chunk_words))
     bits = max(0, math.ceil(math.log2(chunks)))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     send_schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("k", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
     back_schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("k", pa.int32()), ("totals", pa.binary())])
     memo: dict[bytes, int] = {}
 
+    def deal(batches):
+        for b in batches:
+            at: dict[int, list[int]] = {}
+            for i, c in enumerate(b.column("chunk").to_pylist()):
+                at.setdefault(c, []).append(i)
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            made = [(c, [ids[i] for i in own], *bundle([texts[i] for i in own])) for c, own in at.items()]
+            if made:
+                cols = list(zip(*made))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], ["chunk", "ids", "lengths", "block"])
+
+    def blocks(t: pa.Table) -> list[tuple[list[int], bytes]]:
+        return list(zip(t.column("lengths").to_pylist(), t.column("block").to_pylist()))
+
     def ask(t: pa.Table) -> pa.Table:
-        h, n = word_hashes(t.column("text").to_pylist(), memo)
+        h, n = word_hashes(blocks(t), memo)
         out = []
         for k, (g, _) in enumerate(grams(h, n, order), 1):
             own, counts = np.unique(g, return_counts=True)
@@ -125,7 +148,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
         return pa.Table.from_arrays([t.column("bucket"), t.column("chunk"), t.column("k"), pa.array(back, pa.binary())], schema=back_schema)
 
     def score(t: pa.Table, got: pa.Table) -> pa.Table:
-        h, n = word_hashes(t.column("text").to_pylist(), memo)
+        h, n = word_hashes(blocks(t), memo)
         parts: dict[int, list[tuple[int, bytes]]] = {}
         for b, k, x in zip(got.column("bucket").to_pylist(), got.column("k").to_pylist(), got.column("totals").to_pylist()):
             parts.setdefault(k, []).append((b, x))
@@ -151,8 +174,10 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
         backed = np.append(0, np.cumsum(taken < most))
         log = np.array([value[e - k : e].sum() for e, k in zip(ends, n)]) if len(n) else sums[:0]
         mean = [float(x / k) if k else None for x, k in zip(log, n)]
-        return pa.Table.from_arrays([t.column("doc_id"), pa.array(n), pa.array(backed[ends] - backed[ends - n]), pa.array(log), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "n_backed_off", "log_score", "mean_log_score"])
+        ids = [i for own in t.column("ids").to_pylist() for i in own]
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(backed[ends] - backed[ends - n]), pa.array(log), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "n_backed_off", "log_score", "mean_log_score"])
 
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).mapInArrow(deal, "chunk int, ids array<long>, lengths array<long>, block binary")
     asked = dealt.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, k int, hashes binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "bucket int, chunk int, k int, totals binary")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, n_backed_off long, log_score double, mean_log_score double")

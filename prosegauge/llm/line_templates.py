@@ -23,10 +23,11 @@ ALIKE = 0.7  # of the tokens behind the leading ones that must be constant
 VARIABLE = "<*>"
 
 
-def tokens(line):
-    """The tokens of a line; those with a digit are variable."""
-    cut = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: t != "")
-    return F.transform(cut, lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
+def masked(line):
+    """A line as its tokens between single blanks; those with a digit are variable."""
+    blank = F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)
+    tidy = F.trim(blank)
+    return F.when(tidy.rlike("[0-9]"), F.regexp_replace(tidy, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(tidy)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -35,38 +36,43 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(__id, __hash, line_no, toks, leaf, body) of each line with a token."""
-    cut = keyed(docs).select("__id", "__hash", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    cut = cut.select("__id", "__hash", "line_no", tokens(F.col("line")).alias("toks")).where(F.size("toks") > 0)
-    return cut.withColumns({"leaf": F.xxhash64(F.size("toks"), F.slice("toks", 1, LEADING)), "body": F.xxhash64("toks")})
+    """(__id, __hash, line_no, line, n, leaf, body) of each line with a token."""
+    cut = keyed(docs).select("__id", "__hash", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "raw"))
+    cut = cut.select("__id", "__hash", "line_no", masked(F.col("raw")).alias("line")).where("line <> ''")
+    cut = cut.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    return cut.withColumns({"leaf": F.xxhash64("n", F.substring_index("line", " ", LEADING)), "body": F.xxhash64("line")})
 
 
 def templates(docs: DataFrame, places: DataFrame, least_docs: int) -> DataFrame:
     """(body, template) of the lines that a template generalises; only leaves of several documents and lines are looked at."""
     doc = F.struct("__id", "__hash")
     busy = places.groupBy("leaf").agg(F.min(doc).alias("d0"), F.max(doc).alias("d1"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("d0 <> d1 and b0 <> b1").select("leaf")
-    inside = lines_of(docs).where(F.size("toks") > LEADING).select("leaf", "body", "toks").join(busy, "leaf", "left_semi")
-    distinct = materialise(inside.groupBy("leaf", "body", "toks").agg(F.lit(1).alias("one")).drop("one"))
+    inside = lines_of(docs).where(F.col("n") > LEADING).select("leaf", "body", "line").join(busy, "leaf", "left_semi")
+    distinct = materialise(inside.groupBy("leaf", "body", "line").agg(F.lit(1).alias("one")).drop("one"))
     sizes = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("in_leaf"))
-    cells = distinct.select("leaf", "body", F.posexplode("toks").alias("pos", "tok"))
-    held = cells.groupBy("leaf", "pos", "tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
-    held = held.join(sizes, "leaf").where(F.col("n") >= SHARE * F.col("in_leaf")).groupBy("leaf").agg(F.collect_set(F.struct("pos", "tok")).alias("held"))
-    # constants of a leaf: at most 1 / SHARE tokens for each position, so the set is bounded by the line's length
-    by_pos = F.transform("toks", lambda t, i: F.when((i < LEADING) | F.array_contains("held", F.struct(i.alias("pos"), t.alias("tok"))), t).otherwise(F.lit(VARIABLE)))
-    made = distinct.join(held, "leaf").select("leaf", "body", "toks", by_pos.alias("made"))
-    constants = F.size(F.filter("made", lambda t: t != VARIABLE)) - F.size(F.filter(F.slice("made", 1, LEADING), lambda t: t != VARIABLE))
-    return made.where((constants >= ALIKE * (F.size("toks") - LEADING)) & (F.col("made") != F.col("toks"))).select("body", F.xxhash64("leaf", "made").alias("template"))
+    cells = distinct.select("leaf", F.posexplode(F.split("line", " ")).alias("pos", "tok")).where(F.col("pos") >= LEADING)
+    counted = cells.groupBy("leaf", "pos", "tok").agg(F.count(F.lit(1)).alias("n")).join(sizes, "leaf")
+    constant = (F.col("n") >= least_docs) & (F.col("n") >= SHARE * F.col("in_leaf"))
+    # at most 1 / SHARE constants at a position, one entry for each position: bounded by the line's length
+    at_pos = counted.groupBy("leaf", "pos").agg(F.collect_set(F.when(constant, F.col("tok"))).alias("toks"))
+    held = at_pos.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "toks"))), lambda x: x["toks"]).alias("held")).where(F.exists("held", lambda t: F.size(t) > 0))
+    toks = F.split("line", " ")
+    by_pos = F.transform(toks, lambda t, i: F.when((i < LEADING) | F.array_contains(F.get("held", i - LEADING), t), t).otherwise(F.lit(VARIABLE)))
+    made = distinct.join(held, "leaf").select("leaf", "body", "line", by_pos.alias("made"))
+    constants = F.size(F.filter(F.slice("made", LEADING + 1, F.size("made")), lambda t: t != VARIABLE))
+    return made.where((constants >= ALIKE * (F.size("made") - LEADING)) & (F.array_join("made", " ") != F.col("line"))).select("body", F.xxhash64("leaf", "made").alias("template"))
 
 
 def line_marks(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """(__id, __hash, marks): for each document that loses a line, its lines with a token, in order, as (line_no, drop)."""
-    places = materialise(lines_of(docs).where(F.size("toks") >= least_tokens).select("__id", "__hash", "line_no", "leaf", "body").distinct())
+    places = materialise(lines_of(docs).where(F.col("n") >= least_tokens).select("__id", "__hash", "line_no", "leaf", "body").distinct())
     made = templates(docs, places, least_docs).withColumnRenamed("body", "of")
     named = places.join(made, F.col("body") == F.col("of"), "left").select("__id", "__hash", "line_no", F.coalesce("template", "body").alias("template"))
     named = materialise(named)
     by_doc = named.groupBy("template", "__id", "__hash").agg(F.min("line_no").alias("line_no"))
     first = F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__hash", "line_no")).alias("first")
     often = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), first).where(F.col("n_docs") >= least_docs).select(F.col("template").alias("often"), "first")
+    often = materialise(often)  # so that both sides of the join are exchanges, which Spark splits at a hot template
     here = F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__hash", "line_no")
     dropped = named.join(often, F.col("template") == F.col("often")).where(here != F.col("first"))
     return dropped.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))

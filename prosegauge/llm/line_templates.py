@@ -23,11 +23,17 @@ ALIKE = 0.7  # of the tokens behind the leading ones that must be constant
 VARIABLE = "<*>"
 
 
-def masked(line):
-    """A line as its tokens between single blanks; those with a digit are variable."""
-    blank = F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)
-    tidy = F.trim(blank)
-    return F.when(tidy.rlike("[0-9]"), F.regexp_replace(tidy, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(tidy)
+def masked_lines(text):
+    """The lines of a text, tokens between single blanks; tokens with a digit are variable.
+
+    Whether a text has digits or other blanks is looked up once, so most lines
+    need no pattern at all.
+    """
+    raw = F.split(text, "\n")
+    odd = text.rlike(r"[\x09\x0B-\x0D]|  |[0-9]")
+    tidy = lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "))
+    hide = lambda x: F.regexp_replace(tidy(x), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)
+    return F.when(odd, F.transform(raw, hide)).otherwise(F.transform(raw, F.trim))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -37,8 +43,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(__id, __hash, line_no, line, n, leaf, body) of each line with a token."""
-    cut = keyed(docs).select("__id", "__hash", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "raw"))
-    cut = cut.select("__id", "__hash", "line_no", masked(F.col("raw")).alias("line")).where("line <> ''")
+    cut = keyed(docs).select("__id", "__hash", F.posexplode(masked_lines(F.col("text").cast("string"))).alias("line_no", "line")).where("line <> ''")
     cut = cut.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     return cut.withColumns({"leaf": F.xxhash64("n", F.substring_index("line", " ", LEADING)), "body": F.xxhash64("line")})
 
@@ -47,6 +52,7 @@ def templates(docs: DataFrame, places: DataFrame, least_docs: int) -> DataFrame:
     """(body, template) of the lines that a template generalises; only leaves of several documents and lines are looked at."""
     doc = F.struct("__id", "__hash")
     busy = places.groupBy("leaf").agg(F.min(doc).alias("d0"), F.max(doc).alias("d1"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("d0 <> d1 and b0 <> b1").select("leaf")
+    busy = materialise(busy)  # a join of two exchanges is split at a hot leaf
     inside = lines_of(docs).where(F.col("n") > LEADING).select("leaf", "body", "line").join(busy, "leaf", "left_semi")
     distinct = materialise(inside.groupBy("leaf", "body", "line").agg(F.lit(1).alias("one")).drop("one"))
     sizes = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("in_leaf"))
@@ -72,7 +78,7 @@ def line_marks(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int
     by_doc = named.groupBy("template", "__id", "__hash").agg(F.min("line_no").alias("line_no"))
     first = F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__hash", "line_no")).alias("first")
     often = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), first).where(F.col("n_docs") >= least_docs).select(F.col("template").alias("often"), "first")
-    often = materialise(often)  # so that both sides of the join are exchanges, which Spark splits at a hot template
+    often = materialise(often)  # a join of two exchanges is split at a hot template
     here = F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__hash", "line_no")
     dropped = named.join(often, F.col("template") == F.col("often")).where(here != F.col("first"))
     return dropped.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))

@@ -11,6 +11,7 @@ no key is hot; counts cover all documents.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,22 +54,16 @@ def word_hashes(bundles: list[tuple[list[int], bytes]], memo: dict[bytes, int])
     return np.concatenate(hashes), np.array(n, np.int64)
 
 
-def grams(h: np.ndarray, n: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order from 1: (hash, place of its last word) of the runs that stay inside a text."""
-    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-    out, own = [], splitmix(h)
-    out.append((own, np.arange(len(h))))
+def grams(h: np.ndarray, n: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 1, in turn: (hash, place of its last word) of the runs that stay inside a text."""
+    place = (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    own = splitmix(h)
+    yield own, np.arange(len(h), dtype=np.int32)
     for k in range(2, order + 1):
-        if len(own) < 2:
-            out.append((np.empty(0, np.uint64), np.empty(0, np.int64)))
-            own = own[:0]
-            continue
         # the run that ends at i extends the one of k - 1 words that ends at i - 1
-        own = splitmix(own[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[k - 1 :])
-        at = np.arange(k - 1, len(h))
-        inside = place[at] >= k - 1
-        out.append((own[inside], at[inside]))
-    return out
+        own = splitmix(own[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[k - 1 :]) if len(own) > 1 else own[:0]
+        inside = place[k - 1 :][: len(own)] >= k - 1
+        yield own[inside], np.flatnonzero(inside).astype(np.int32) + np.int32(k - 1)
 
 
 def pack(x: np.ndarray) -> bytes:

@@ -9,6 +9,17 @@ from prosegauge.functions.constants import BLOCK, FENCE, ITEM, LINE_BREAK, SEPAR
 from prosegauge.functions.text import hide_block, inline_clean, strip
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """Documents dealt by doc_id: the only exchange of the checking plan, as all its windows and groups are of a document.
+
+    The number is fixed, else the engine would join partitions of few bytes
+    though each takes seconds of work.
+    """
+    spark = docs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return docs.repartition(n, "doc_id")
+
+
 def raw_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no from 1, raw); a break at the end of a text opens no line."""
     parts = F.split(F.col("text"), LINE_BREAK)
@@ -25,7 +36,7 @@ def fenced(lines: DataFrame) -> DataFrame:
 
 def clean_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, text, starts_block): prose, with code, links, marks and table rules taken out."""
-    lines = fenced(raw_lines(docs))
+    lines = fenced(raw_lines(dealt(docs)))
     raw, bare = F.col("raw"), strip(F.col("raw"))
     gone = F.col("fence") | F.col("in_fence")
     rule = bare.contains("|") & bare.contains("-") & bare.rlike(SEPARATOR)

@@ -41,7 +41,7 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     out = lines.withColumn("is_blank", blank(F.col("text")))
     out = out.withColumn("after_blank", F.lag("is_blank", 1, True).over(w))
     step = ~F.col("after_blank") & (F.col("is_blank") | F.col("starts_block"))
-    return out.withColumns({"paragraph": F.sum(step.cast("int")).over(w), "fresh": F.col("after_blank") | F.col("starts_block")})
+    return out.withColumns({"paragraph": F.sum(step.cast("int")).over(w).cast("int"), "fresh": F.col("after_blank") | F.col("starts_block")})
 
 
 def sentences(lines: DataFrame, fix_quirks: bool = False) -> DataFrame:
@@ -50,7 +50,7 @@ def sentences(lines: DataFrame, fix_quirks: bool = False) -> DataFrame:
     parts = own.select("doc_id", "line_no", "paragraph", "fresh", F.posexplode(parts_of(F.col("text"), fix_quirks)).alias("k", "p"))
     w = Window.partitionBy("doc_id").orderBy("line_no", "k")
     new = F.coalesce(F.lag("p.ends").over(w), F.lit(True)) | ((F.col("k") == 0) & F.col("fresh"))
-    parts = parts.withColumn("sent_id", F.sum(new.cast("int")).over(w))
+    parts = parts.withColumn("sent_id", F.sum(new.cast("int")).over(w).cast("int"))
     joined = parts.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "k", "p"))).alias("ps"), F.max("paragraph").alias("paragraph"))
     text = strip(F.array_join(F.transform("ps", lambda x: x["p"]["text"]), " "))
     first = F.element_at("ps", 1)

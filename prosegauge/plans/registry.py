@@ -1,4 +1,445 @@
-"""Registered queries, by name, and their DuckDB SQL."""
+"""Registered queries, by name, and their DuckDB SQL.
+
+Markdown never occurs in the generated documents, so its steps run over
+MARKDOWN, whose rows both engines get as literals.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prosegauge.functions import constants as C
+from prosegauge.functions.text import controlled_words
+from prosegauge.operators import dictionary, lines, report, rules
+from prosegauge.operators.sentences import paragraphs, sentences
+from prosegauge.plans import check, fixtures, oracle
+from prosegauge.sources.lexicon import Lexicon, approved_forms
+
+MARKDOWN = [
+    (1, "One is here. Two is here. Three is here. Four is here.\nFive is here. Six is here. Seven is here."),
+    (2, "- One is here. Two is here.\n- Three is here: four is here.\n1) Five is here.\n"),
+    (3, "Before it.\n```\ncode; more code\n```\nAfter it; now.\n```\nnever; closed"),
+    (4, "| Name of part | Use `x` of it |\n|---|:--:|\n| pump: red | see [the label](http://a.b) |\nText | with | bars."),
+    (5, "See No. 5 here. See Fig. 2 and e.g. this one. It cost 3.5 mm of wire (about one inch) and \"two words\" 50% off."),
+    (6, "\n\n# Head\nText goes on\nto a second line. Then more *words* here\n\n\nA new one: with a colon http://x.y/z. Next www.a.b, too."),
+    (7, "Warning: Do not touch it.\n\n- Caution: The tank is hot.\n- Danger: Stop the pump. It can cause injury.\nNotice\n\nnothing near"),
+    (8, "It isn't open. You should stop. They have opened the lid; the colour is closed by a spring. She may be waiting."),
+    (9, "If it is hot, when the lamp is on, turn the key and close the lid. After the test turn it. Do it and make one and go."),
+    (10, ""),
+]
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def markdown(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MARKDOWN, "doc_id long, text string")
+
+
+def corpus_lexicon(spark: SparkSession) -> Lexicon:
+    return _lexicon(spark, True)
+
+
+def mini_lexicon(spark: SparkSession) -> Lexicon:
+    return _lexicon(spark, False)
+
+
+@lru_cache(maxsize=4)
+def _lexicon(spark: SparkSession, corpus: bool) -> Lexicon:
+    return fixtures.lexicon(spark, fixtures.CORPUS, fixtures.CORPUS_TERMS) if corpus else fixtures.lexicon(spark, fixtures.MINI, ["PASS", "permit"])
+
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+LITERAL = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {oracle.text(t)})" for i, t in MARKDOWN) + ") AS d(doc_id, text)"
+BASE = oracle.base()
+MD = oracle.base(LITERAL)
+WORDS = BASE + oracle.lexicon(fixtures.CORPUS) + oracle.ladder(fixtures.CORPUS_TERMS)
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def sents_of(spark, sf_dir):
+    return sentences(lines.clean_lines(documents(spark, sf_dir)))
+
+
+def shaped(spark, sf_dir, mode="descriptive"):
+    return rules.with_shape(sents_of(spark, sf_dir), corpus_lexicon(spark), mode)
+
+
+def plain_tokens(spark, sf_dir):
+    return rules.tokens(shaped(spark, sf_dir))
+
+
+# --- lines and sentences ---------------------------------------------------------------
+
+
+@query(BASE + "SELECT doc_id, line_no::INT AS line_no, raw FROM raws")
+def lines_split(spark, sf_dir):
+    return lines.raw_lines(documents(spark, sf_dir))
+
+
+@query(BASE + "SELECT doc_id, line_no::INT AS line_no, text, starts_block FROM lines")
+def lines_cleaned(spark, sf_dir):
+    return lines.clean_lines(documents(spark, sf_dir))
+
+
+@query(MD + "SELECT doc_id, line_no::INT AS line_no, text, starts_block FROM lines")
+def line_cleaning_markdown(spark, sf_dir):
+    return lines.clean_lines(markdown(spark))
+
+
+@query(MD + "SELECT doc_id, line_no::INT AS line_no, fence, inside AS in_fence FROM fences")
+def code_fence(spark, sf_dir):
+    return lines.fenced(lines.raw_lines(markdown(spark))).select("doc_id", "line_no", "fence", "in_fence")
+
+
+@query(MD + "SELECT doc_id, line_no::INT AS line_no, text FROM lines WHERE doc_id = 4")
+def table_cells(spark, sf_dir):
+    return lines.clean_lines(markdown(spark).where("doc_id = 4")).select("doc_id", "line_no", "text")
+
+
+@query(MD + "SELECT doc_id, sent_id, line, col, text, paragraph FROM sents")
+def sentences_markdown(spark, sf_dir):
+    return sentences(lines.clean_lines(markdown(spark)))
+
+
+@query(MD + "SELECT doc_id, sent_id, text FROM sents WHERE doc_id = 5")
+def abbreviation_guard(spark, sf_dir):
+    return sentences(lines.clean_lines(markdown(spark).where("doc_id = 5"))).select("doc_id", "sent_id", "text")
+
+
+@query(BASE + "SELECT doc_id, sent_id, line, col, text, paragraph FROM sents")
+def sentence_segmentation(spark, sf_dir):
+    return sents_of(spark, sf_dir)
+
+
+@query(MD + "SELECT doc_id, line_no::INT AS line_no, paragraph::BIGINT AS paragraph, fresh FROM paras")
+def paragraph_ids(spark, sf_dir):
+    return paragraphs(lines.clean_lines(markdown(spark))).select("doc_id", "line_no", F.col("paragraph").cast("long"), "fresh")
+
+
+@query(BASE + "SELECT doc_id, count(*) AS sentences, sum(n_words)::BIGINT AS counted_words, max(n_words)::BIGINT AS max_sentence_words FROM counted GROUP BY doc_id")
+def word_count_stats(spark, sf_dir):
+    n = sents_of(spark, sf_dir).withColumn("n_words", controlled_words(F.col("text")))
+    return n.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum("n_words").cast("long").alias("counted_words"), F.max("n_words").cast("long").alias("max_sentence_words"))
+
+
+# --- tokens ---------------------------------------------------------------------------------
+
+
+@query(BASE + 'SELECT doc_id, sent_id, idx, word, "offset", prev_word FROM toks')
+def token_offsets(spark, sf_dir):
+    return plain_tokens(spark, sf_dir).select("doc_id", "sent_id", "idx", "word", "offset", "prev_word")
+
+
+@query(BASE + "SELECT doc_id, count(*) AS words FROM toks GROUP BY doc_id")
+def token_count(spark, sf_dir):
+    return plain_tokens(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"))
+
+
+@query(BASE + "SELECT lower(word) AS word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM toks GROUP BY 1")
+def distinct_vocabulary(spark, sf_dir):
+    each = plain_tokens(spark, sf_dir).groupBy(F.lower("word").alias("word"), "doc_id").agg(F.count(F.lit(1)).alias("k"))
+    return each.groupBy("word").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs"))
+
+
+# --- rules of one sentence -------------------------------------------------------------------
+
+PLACE = ("doc_id", "line", "col")
+
+
+def found(df, rule=None, *more):
+    return (df if rule is None else df.where(F.col("rule") == rule)).select(*PLACE, *more)
+
+
+@query(BASE + f"SELECT doc_id, line, col, n_words::INT AS n_words FROM counted WHERE n_words > {C.WORDS_DESCRIPTIVE}")
+def rule_length(spark, sf_dir):
+    return shaped(spark, sf_dir).where(F.col("n_words") > C.WORDS_DESCRIPTIVE).select(*PLACE, "n_words")
+
+
+@query(BASE + f"SELECT doc_id, paragraph, count(*) AS n FROM sents GROUP BY ALL HAVING count(*) > {C.SENTENCES_PARAGRAPH}")
+def rule_paragraph(spark, sf_dir):
+    return sents_of(spark, sf_dir).groupBy("doc_id", "paragraph").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > C.SENTENCES_PARAGRAPH)
+
+
+@query(MD + "SELECT doc_id, line, (col + instr(text, ';') - 1)::INT AS col FROM sents WHERE contains(text, ';')")
+def rule_semicolon(spark, sf_dir):
+    return found(md_findings(spark, rules.shape_findings), "8.1")
+
+
+def md_sents(spark):
+    lex = mini_lexicon(spark)
+    return rules.with_phrases(rules.with_shape(sentences(lines.clean_lines(markdown(spark))), lex), lex)
+
+
+def md_findings(spark, f):
+    return f(md_sents(spark), mini_lexicon(spark))
+
+
+def alternatives(words) -> str:
+    return "|".join(words).replace("'", "''")
+
+
+@query(MD + oracle.matches(rf"\b(?:{alternatives(C.CONTRACTIONS)})\b") + "SELECT doc_id, line, min(col) AS col FROM hits GROUP BY doc_id, sent_id, line")
+def rule_contraction(spark, sf_dir):
+    return found(md_findings(spark, rules.shape_findings), "4.2")
+
+
+@query(MD + oracle.matches(r"\b(?:should|would|could|might|may|shall|ought)\b") + "SELECT doc_id, line, col FROM hits")
+def rule_auxiliary(spark, sf_dir):
+    return found(md_findings(spark, rules.verb_findings), "3.4")
+
+
+@query(BASE + oracle.matches(r"\b(?:is|are|was|were|be|been|being)\s+\w+ing\b") + "SELECT doc_id, line, col FROM hits")
+def rule_progressive(spark, sf_dir):
+    f = rules.verb_findings(shaped(spark, sf_dir), corpus_lexicon(spark))
+    return found(f.where("seq = 5"))
+
+
+@query(BASE + oracle.matches(r"\b(?:have|has|had)\s+(?:been\s+)?(?:\w+ed|\w+en)\b") + r"SELECT doc_id, line, col FROM hits WHERE len(regexp_extract(hit, '(\w+)$', 1)) >= 6")
+def rule_perfect(spark, sf_dir):
+    return found(rules.verb_findings(shaped(spark, sf_dir), corpus_lexicon(spark)).where("seq = 4"))
+
+
+NOT_FUNCTION = f"NOT list_contains({oracle.array(C.FUNCTION_WORDS)}, w)"
+
+
+@query(BASE + oracle.matches(r"\b(?:is|are|was|were|be|been)\s+(?:\w+ly\s+)?\w+\b") + rf", ws AS (SELECT *, lower(regexp_extract(hit, '(\w+)$', 1)) AS w FROM hits) SELECT doc_id, line, col, CASE WHEN starts_with(regexp_replace(lower(after), '^\s+', ''), 'by') THEN 'violation' ELSE 'advisory' END AS severity FROM ws WHERE {NOT_FUNCTION} AND ends_with(w, 'ed') AND len(w) > 4")
+def rule_passive(spark, sf_dir):
+    return found(rules.verb_findings(shaped(spark, sf_dir), corpus_lexicon(spark)).where("seq = 7"), None, "severity")
+
+
+# --- vocabulary ----------------------------------------------------------------------------------
+
+
+def word_verdicts(spark, sf_dir):
+    return rules.word_findings(plain_tokens(spark, sf_dir), corpus_lexicon(spark))
+
+
+def rung(name: str) -> str:
+    return WORDS + f"SELECT doc_id, line, col, key AS term FROM rungs WHERE rung = '{name}'"
+
+
+@query(rung("bad"))
+def rule_unapproved(spark, sf_dir):
+    return found(word_verdicts(spark, sf_dir), "1.1", "term")
+
+
+@query(rung("pos"))
+def rule_pos_mismatch(spark, sf_dir):
+    return found(word_verdicts(spark, sf_dir), "1.2", "term")
+
+
+@query(rung("unknown"))
+def rule_unknown_word(spark, sf_dir):
+    return found(word_verdicts(spark, sf_dir).where(report.is_unknown()), None, "term")
+
+
+@query(rung("noun"))
+def rule_noun_usage(spark, sf_dir):
+    return found(word_verdicts(spark, sf_dir).where(F.col("message").contains("may be a noun")), None, "term")
+
+
+@query(rung("term"))
+def rule_term_collision(spark, sf_dir):
+    return found(word_verdicts(spark, sf_dir).where(F.col("message").contains("is a listed term")), None, "term")
+
+
+@query(MD + oracle.lexicon(fixtures.MINI) + oracle.ladder(["permit"]) + "SELECT doc_id, line, col, key AS term FROM rungs WHERE rung = 'british'")
+def rule_british(spark, sf_dir):
+    return found(rules.word_findings(rules.tokens(md_sents(spark)), mini_lexicon(spark)), "1.14", "term")
+
+
+@query(BASE + oracle.matches(r"\bof the\b") + "SELECT doc_id, line, col, '1.1' AS rule FROM hits")
+def rule_phrase(spark, sf_dir):
+    lex = corpus_lexicon(spark)
+    return found(rules.phrase_findings(rules.with_phrases(sents_of(spark, sf_dir), lex), lex), "1.1", "rule")
+
+
+@query(BASE + oracle.matches(r"\bto in\b") + "SELECT doc_id, line, col, '9.3' AS rule FROM hits")
+def rule_phrasal_verb(spark, sf_dir):
+    lex = corpus_lexicon(spark)
+    return found(rules.phrase_findings(rules.with_phrases(sents_of(spark, sf_dir), lex), lex), "9.3", "rule")
+
+
+GERUND = f"""
+, ends AS (SELECT *, lower(word) AS low, substr(lower(word), 1, len(word) - 3) AS s FROM toks WHERE ends_with(lower(word), 'ing') AND len(word) >= 6),
+cands AS (
+  SELECT *, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM (SELECT *, [s, CASE WHEN len(s) > 3 AND s[-1] = s[-2] THEN s[:-2] END, s || 'e',
+    CASE WHEN len(s || 'e') > 3 AND s[-1] = 'e' THEN s END, CASE WHEN ends_with(low, 'ying') AND len(low) > 5 THEN substr(low, 1, len(low) - 4) || 'ie' END] AS cs FROM ends)
+)
+SELECT doc_id, line, col + "offset" AS col, upper(arg_min(c, i)) AS stem FROM cands JOIN lex ON lex.key = c AND lex.verb
+WHERE len(c) >= 3 AND low NOT IN (SELECT key FROM lex WHERE len(good) > 0) AND low NOT IN ({', '.join(map(oracle.text, (*C.SAFETY, *fixtures.CORPUS_TERMS)))})
+GROUP BY doc_id, sent_id, idx, line, col, "offset"
+"""
+
+
+@query(BASE + oracle.lexicon(fixtures.CORPUS) + GERUND)
+def rule_gerund(spark, sf_dir):
+    f = rules.gerund_findings(plain_tokens(spark, sf_dir), corpus_lexicon(spark))
+    return f.select(*PLACE, F.regexp_extract("message", r"of (\S+)$", 1).alias("stem"))
+
+
+@query()
+def rule_noun_cluster(spark, sf_dir):
+    return found(rules.cluster_findings(plain_tokens(spark, sf_dir), corpus_lexicon(spark)), None, "message")
+
+
+@query()
+def rule_safety(spark, sf_dir):
+    return found(rules.safety_findings(lines.clean_lines(markdown(spark))), None, "rule", "message")
+
+
+@query()
+def procedural_flag(spark, sf_dir):
+    return md_sents(spark).select("doc_id", "sent_id", "procedural")
+
+
+@query()
+def rule_two_instructions(spark, sf_dir):
+    return found(md_findings(spark, rules.shape_findings), "5.2")
+
+
+# --- aggregates and reports ----------------------------------------------------------------------
+
+
+def checked(spark, sf_dir):
+    return check.check_text(documents(spark, sf_dir), corpus_lexicon(spark), "descriptive", keep=True)
+
+
+@query()
+def doc_stats(spark, sf_dir):
+    return checked(spark, sf_dir).stats.drop("violations_by_rule", "advisories_by_rule")
+
+
+@query()
+def findings(spark, sf_dir):
+    return checked(spark, sf_dir).findings.drop("seq", "sent_id")
+
+
+@query()
+def findings_json(spark, sf_dir):
+    return check.as_json(checked(spark, sf_dir))
+
+
+@query()
+def report_text(spark, sf_dir):
+    got = checked(spark, sf_dir)
+    return report.report_lines(got.findings, got.stats)
+
+
+@query(WORDS + "SELECT CASE rung WHEN 'british' THEN '1.14' WHEN 'pos' THEN '1.2' WHEN 'bad' THEN '1.1' ELSE '1.6' END AS rule, count(*) AS n FROM rungs WHERE rung IS NOT NULL GROUP BY 1")
+def findings_by_rule(spark, sf_dir):
+    return word_verdicts(spark, sf_dir).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(WORDS + "SELECT doc_id, rung, key AS what, count(*) AS n, min(line) AS first_line FROM rungs WHERE rung IN ('pos', 'term') GROUP BY ALL")
+def advisory_groups(spark, sf_dir):
+    f = word_verdicts(spark, sf_dir).where(F.col("message").contains("is a listed term") | (F.col("rule") == "1.2"))
+    kind = F.when(F.col("rule") == "1.2", "pos").otherwise("term").alias("rung")
+    return report.advisory_groups(f).select("doc_id", kind, "what", "n", "first_line")
+
+
+@query(WORDS + ", u AS (SELECT doc_id, key, count(*) AS n, arg_min(word, row(line, col)) AS word FROM rungs WHERE rung = 'unknown' GROUP BY doc_id, key) SELECT doc_id, n > 1 OR contains(word, '-') OR regexp_matches(substr(word, 2), '[A-Z]') AS likely, count(*) AS n_words FROM u GROUP BY ALL")
+def unknown_word_buckets(spark, sf_dir):
+    return report.unknown_buckets(report.advisory_groups(word_verdicts(spark, sf_dir))).select("doc_id", "likely", "n_words")
+
+
+@query(WORDS + "SELECT key AS word, count(*) AS n FROM rungs WHERE rung = 'unknown' GROUP BY key ORDER BY n DESC, word LIMIT 50")
+def top_unknown_words(spark, sf_dir):
+    f = word_verdicts(spark, sf_dir).where(report.is_unknown())
+    return f.groupBy(F.col("term").alias("word")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(50)
+
+
+@query(WORDS + ", n AS (SELECT doc_id, count(*) AS words FROM toks GROUP BY doc_id) SELECT n.doc_id, n.words, count(r.rung) FILTER (r.rung = 'bad') AS unapproved FROM n LEFT JOIN rungs r USING (doc_id) GROUP BY ALL")
+def violation_rate(spark, sf_dir):
+    toks = plain_tokens(spark, sf_dir)
+    bad = rules.word_findings(toks, corpus_lexicon(spark)).where("rule = '1.1'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("unapproved"))
+    return toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words")).join(bad, "doc_id", "left").fillna(0, ["unapproved"])
+
+
+@query("SELECT 'permit' AS term, true AS hard, 'v' AS disapproved_as, '' AS approved_as, 'LET' AS alternatives")
+def audit_collisions(spark, sf_dir):
+    return report.audit(fixtures.entries(spark), spark.createDataFrame([("permit",), ("PASS",)], "term string"))
+
+
+@query("SELECT CAST(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS INT) AS quality, count(*) AS docs, sum(len(d.text))::BIGINT AS chars FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL GROUP BY 1")
+def chars_by_quality(spark, sf_dir):
+    lab = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null")
+    d = documents(spark, sf_dir).join(lab, "doc_id")
+    return d.groupBy((F.col("quality") == 1).cast("int").alias("quality")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+# --- dictionary building -----------------------------------------------------------------------------
+
+PAGE_WORDS = [(1, 12.0, 22.0, "ACCEPT"), (1, 40.0, 22.0, "(v)"), (1, 112.0, 22.0, "To"), (1, 130.0, 22.0, "take"), (1, 212.0, 22.0, "ACCEPT"), (1, 312.0, 22.0, "None"), (1, 12.0, 42.0, "abut"), (1, 40.0, 42.0, "(v)"), (1, 112.0, 42.0, "TOUCH"), (1, 150.0, 42.0, "(v)"), (1, 212.0, 42.0, "GOOD"), (1, 312.0, 42.0, "Bad"), (1, 212.0, 62.0, "MORE")]
+CELLS = ["ACCEPT (v), ACCEPTS, ACCEPTED", "BE (v), IS, WAS, (also ARE, WERE) No other verb", "such as", "not a headword at all here", "abut (v)"]
+SURFACES = "SELECT * FROM (VALUES " + ", ".join(f"({oracle.text(h)}, {oracle.text(p)}, {oracle.array(f)})" for h, p, ok, f, *_ in fixtures.MINI if ok) + ") AS e(head, pos, forms)"
+
+
+def page_frames(spark):
+    words = spark.createDataFrame([(p, x, y, x + 20.0, y + 8.0, w) for p, x, y, w in PAGE_WORDS], "page int, x0 double, y0 double, x1 double, y1 double, word string")
+    rules_ = [(1, float(a), float(b), float(y), 0.5, float(b - a)) for y in (20, 40, 60, 80, 100) for a, b in ((10, 110), (110, 210), (210, 310), (310, 410))]
+    drawings = spark.createDataFrame(rules_, "page int, x0 double, x1 double, y0 double, height double, width double")
+    heads = spark.createDataFrame([(1, 5.0, 9.0, "Page 1")], "page int, y0 double, y1 double, text string")
+    return words, drawings, heads
+
+
+WORD_ROWS = "SELECT * FROM (VALUES " + ", ".join(f"({p}, {x}, {y}, {oracle.text(w)})" for p, x, y, w in PAGE_WORDS) + ") AS w(page, x, y, word)"
+
+
+@query(f"WITH w AS ({WORD_ROWS}) SELECT page::INT AS page, (floor((y + 4) / 20) - 1)::INT AS band, least(floor((x - 10) / 100), 3)::INT AS cell, string_agg(word, ' ' ORDER BY x) AS text FROM w GROUP BY ALL")
+def page_row_bands(spark, sf_dir):
+    rows = dictionary.bands(*page_frames(spark)).select("page", "band", F.posexplode("cells").alias("cell", "text"))
+    return rows.where("text <> ''")
+
+
+@query("SELECT 1::INT AS parity, unnest([10.0, 110.0, 210.0, 310.0, 410.0])::DOUBLE AS col")
+def column_bucket(spark, sf_dir):
+    return dictionary.column_grid(page_frames(spark)[1]).select(F.col("parity").cast("int"), F.explode("cols").alias("col"))
+
+
+@query("SELECT * FROM (VALUES ('ACCEPT (v), ACCEPTS, ACCEPTED', 'ACCEPT', 'v', 'ACCEPTS ACCEPTED', ''), ('BE (v), IS, WAS, (also ARE, WERE) No other verb', 'BE', 'v', 'IS WAS ARE WERE', 'No other verb'), ('such as', 'such as', NULL, '', ''), ('not a headword at all here', NULL, NULL, NULL, NULL), ('abut (v)', 'abut', 'v', '', '')) AS t(cell, word, pos, forms, note)")
+def headword_parse(spark, sf_dir):
+    rows = spark.createDataFrame([(c,) for c in CELLS], "cell string").withColumn("h", dictionary.split_headword(F.col("cell")))
+    return rows.select("cell", "h.word", "h.pos", F.when(F.col("h").isNotNull(), F.array_join("h.forms", " ")).alias("forms"), "h.note")
+
+
+@query(f"WITH e AS ({SURFACES}), s AS (SELECT pos, unnest(list_concat([head], forms)) AS f FROM e), t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(f, '[A-Za-z][A-Za-z''-]*'))) AS surface, pos FROM s) SELECT surface, string_agg(pos, '/' ORDER BY pos) AS pos FROM t GROUP BY surface")
+def approved_form_index(spark, sf_dir):
+    return approved_forms(fixtures.entries(spark)).select("surface", F.array_join("pos", "/").alias("pos"))
+
+
+@query()
+def dictionary_entries(spark, sf_dir):
+    e = dictionary.merge_entries(dictionary.parse_entries(dictionary.bands(*page_frames(spark))))
+    return e.select("seq", "headword", "pos", "approved", "definition", F.to_json("alternatives").alias("alternatives"), F.to_json("examples").alias("examples"))
+
+
+@query()
+def dictionary_checks(spark, sf_dir):
+    return dictionary.validate(dictionary.merge_entries(dictionary.parse_entries(dictionary.bands(*page_frames(spark)))), [("abut", "v", False, ["TOUCH"]), ("accept", "v", True, None)])
+
+
+@query()
+def dictionary_markdown(spark, sf_dir):
+    return dictionary.as_markdown(fixtures.entries(spark))
+
+
+@query("SELECT 2::INT AS seq, 'beta' AS previous, 'alpha' AS word")
+def alphabetical_regressions(spark, sf_dir):
+    rows = spark.createDataFrame([(0, "aft of", 1), (1, "beta", 1), (2, "alpha", 1), (3, "be", 1)], "seq int, headword string, page int")
+    return dictionary.regressions(rows)

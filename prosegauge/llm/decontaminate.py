@@ -137,21 +137,26 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_
         F.flatten(F.collect_list("word_spans")).alias("w"),
         F.flatten(F.collect_list("char_spans")).alias("c"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-    )
-    return merged.select("doc_id", "text_hash", "n_words", joined("w").alias("word_spans"), joined("c").alias("char_spans"), "item_ids", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    ).select("doc_id", "text_hash", "n_words", "w", "c", "item_ids", F.col("copies").cast("long").alias("copies"))
 
+    def tidy(batches):
+        for b in batches:
+            cols = [pa.array([joined(x) for x in b.column(c).to_pylist()], span) for c in ("w", "c")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("n_words"), *cols, b.column("item_ids"), b.column("copies")], ["doc_id", "text_hash", "n_words", "word_spans", "char_spans", "item_ids", "copies"])
 
-def joined(spans: str):
+    rows_again = merged.mapInArrow(tidy, f"{schema}, copies long")
+    return rows_again.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
+
+
+def joined(spans: list[dict]) -> list[dict]:
     """Ranges of several scans as disjoint ranges in order."""
-    kind = "array<struct<start:long,end:long>>"
-    return F.aggregate(
-        F.array_sort(spans),
-        F.expr(f"cast(array() as {kind})"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]),
-            F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
+    out: list[dict] = []
+    for x in sorted(spans, key=lambda x: (x["start"], x["end"])):
+        if out and out[-1]["end"] >= x["start"]:
+            out[-1]["end"] = max(out[-1]["end"], x["end"])
+        else:
+            out.append(dict(x))
+    return out
 
 
 def digest(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

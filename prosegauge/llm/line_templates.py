@@ -30,9 +30,9 @@ def masked_lines(text):
     need no pattern at all.
     """
     raw = F.split(text, "\n")
-    odd = text.rlike(r"[\x09\x0B-\x0D]|  |[0-9]")
-    tidy = lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "))
-    hide = lambda x: F.regexp_replace(tidy(x), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)
+    odd = text.contains("  ") | text.rlike(r"[0-9\x09\x0B-\x0D]")
+    tidy = lambda x: F.when(x.contains("  ") | x.rlike(r"[\x09\x0B-\x0D]"), F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "))).otherwise(F.trim(x))
+    hide = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(tidy(x), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(tidy(x))
     return F.when(odd, F.transform(raw, hide)).otherwise(F.transform(raw, F.trim))
 
 
@@ -44,26 +44,26 @@ def keyed(docs: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(__id, __hash, line_no, line, n, leaf, body) of each line with a token."""
     cut = keyed(docs).select("__id", "__hash", F.posexplode(masked_lines(F.col("text").cast("string"))).alias("line_no", "line")).where("line <> ''")
-    cut = cut.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    cut = cut.withColumn("n", F.size(F.split("line", " ")))
     return cut.withColumns({"leaf": F.xxhash64("n", F.substring_index("line", " ", LEADING)), "body": F.xxhash64("line")})
 
 
-def templates(docs: DataFrame, places: DataFrame, least_docs: int) -> DataFrame:
+def templates(lines: DataFrame, least_docs: int) -> DataFrame:
     """(body, template) of the lines that a template generalises; only leaves of several documents and lines are looked at."""
     doc = F.struct("__id", "__hash")
-    busy = places.groupBy("leaf").agg(F.min(doc).alias("d0"), F.max(doc).alias("d1"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("d0 <> d1 and b0 <> b1").select("leaf")
+    busy = lines.groupBy("leaf").agg(F.min(doc).alias("d0"), F.max(doc).alias("d1"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("d0 <> d1 and b0 <> b1").select("leaf")
     busy = materialise(busy)  # a join of two exchanges is split at a hot leaf
-    inside = lines_of(docs).where(F.col("n") > LEADING).select("leaf", "body", "line").join(busy, "leaf", "left_semi")
+    inside = lines.where(F.col("n") > LEADING).select("leaf", "body", "line").join(busy.hint("merge"), "leaf", "left_semi")
     distinct = materialise(inside.groupBy("leaf", "body", "line").agg(F.lit(1).alias("one")).drop("one"))
     sizes = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("in_leaf"))
     cells = distinct.select("leaf", F.posexplode(F.split("line", " ")).alias("pos", "tok")).where(F.col("pos") >= LEADING)
-    counted = cells.groupBy("leaf", "pos", "tok").agg(F.count(F.lit(1)).alias("n")).join(sizes, "leaf")
-    constant = (F.col("n") >= least_docs) & (F.col("n") >= SHARE * F.col("in_leaf"))
-    # at most 1 / SHARE constants at a position, one entry for each position: bounded by the line's length
-    at_pos = counted.groupBy("leaf", "pos").agg(F.collect_set(F.when(constant, F.col("tok"))).alias("toks"))
-    held = at_pos.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "toks"))), lambda x: x["toks"]).alias("held")).where(F.exists("held", lambda t: F.size(t) > 0))
+    often = cells.groupBy("leaf", "pos", "tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
+    constant = often.join(sizes, "leaf").where(F.col("n") >= SHARE * F.col("in_leaf"))
+    # at most 1 / SHARE constants at a position: bounded by the line's length
+    at_pos = constant.groupBy("leaf", "pos").agg(F.collect_set("tok").alias("toks"))
+    held = at_pos.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "toks"))).alias("held"))
     toks = F.split("line", " ")
-    by_pos = F.transform(toks, lambda t, i: F.when((i < LEADING) | F.array_contains(F.get("held", i - LEADING), t), t).otherwise(F.lit(VARIABLE)))
+    by_pos = F.transform(toks, lambda t, i: F.when((i < LEADING) | F.array_contains(F.try_element_at("held", i), t), t).otherwise(F.lit(VARIABLE)))
     made = distinct.join(held, "leaf").select("leaf", "body", "line", by_pos.alias("made"))
     constants = F.size(F.filter(F.slice("made", LEADING + 1, F.size("made")), lambda t: t != VARIABLE))
     return made.where((constants >= ALIKE * (F.size("made") - LEADING)) & (F.array_join("made", " ") != F.col("line"))).select("body", F.xxhash64("leaf", "made").alias("template"))
@@ -71,8 +71,9 @@ def templates(docs: DataFrame, places: DataFrame, least_docs: int) -> DataFrame:
 
 def line_marks(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """(__id, __hash, marks): for each document that loses a line, its lines with a token, in order, as (line_no, drop)."""
-    places = materialise(lines_of(docs).where(F.col("n") >= least_tokens).select("__id", "__hash", "line_no", "leaf", "body").distinct())
-    made = templates(docs, places, least_docs).withColumnRenamed("body", "of")
+    lines = materialise(lines_of(docs).where(F.col("n") >= least_tokens), "zstd")  # cut once, read by columns
+    places = lines.select("__id", "__hash", "line_no", "body").distinct()
+    made = templates(lines, least_docs).withColumnRenamed("body", "of")
     named = places.join(made, F.col("body") == F.col("of"), "left").select("__id", "__hash", "line_no", F.coalesce("template", "body").alias("template"))
     named = materialise(named)
     by_doc = named.groupBy("template", "__id", "__hash").agg(F.min("line_no").alias("line_no"))
@@ -80,7 +81,7 @@ def line_marks(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int
     often = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), first).where(F.col("n_docs") >= least_docs).select(F.col("template").alias("often"), "first")
     often = materialise(often)  # a join of two exchanges is split at a hot template
     here = F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__hash", "line_no")
-    dropped = named.join(often, F.col("template") == F.col("often")).where(here != F.col("first"))
+    dropped = named.join(often.hint("merge"), F.col("template") == F.col("often")).where(here != F.col("first"))
     return dropped.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))
 
 

@@ -13,10 +13,12 @@ shard:
   no ball is small against the spread of fingerprints and such a tree prunes
   nothing. There documents meet that share one of ``anchors`` min-wise
   shingles (at similarity 0.8, all but 0.2 ** anchors of the pairs do), and
-  the pivots' triangle bounds prune within each anchor's shard.
+  the pivots' triangle bounds prune within each anchor's shard. Fingerprints
+  well inside the radius link at once; those about the radius, where they
+  can't tell, link if the shingle sets themselves are similar enough.
 
-Shards return links to a local root, never all pairs; components are joined
-up with checkpointed label rounds.
+Shards return links to a local root, and pairs only between what those links
+leave apart; components are joined up with checkpointed label rounds.
 """
 
 from __future__ import annotations
@@ -158,6 +160,26 @@ def ball_links(fp: np.ndarray, among: np.ndarray, radius: int, parent: np.ndarra
     brute(fp, among, among, radius, parent)
 
 
+def open_pairs(fp: np.ndarray, among: np.ndarray, radius: int, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``among`` within ``radius`` that are in different sets of ``parent``.
+
+    The largest set is never compared with itself, so a group of copies costs
+    only its pairs with what stands outside.
+    """
+    root = find(parent, among)
+    kinds, sizes = np.unique(root, return_counts=True)
+    out: list[tuple[np.ndarray, np.ndarray]] = [(among[:0], among[:0])]
+    if len(kinds) > 1:
+        inside = root == kinds[np.argmax(sizes)]
+        q, q_root = among[~inside], root[~inside]
+        step = max(1, 1_000_000 // (len(among) * fp.shape[1]))
+        for at in range(0, len(q), step):
+            a, a_root = q[at : at + step, None], q_root[at : at + step, None]
+            i, j = np.nonzero((distance(fp[a], fp[None, among]) <= radius) & (a_root != root[None]) & (inside[None] | (a < among[None])))
+            out.append((a[i, 0], among[j]))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
 # --- exact links at a small radius -----------------------------------------------
 
 
@@ -251,15 +273,60 @@ def near_radius(similarity: float, bits: int) -> int:
     return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, anchors: int = 8, shard_rows: int = 400_000) -> DataFrame:
+def near_band(similarity: float, bits: int, spread: float = 2.5) -> tuple[int, int]:
+    """(sure, open): at sure bits or fewer a pair is similar, above open it is not, but for ``spread`` deviations of chance."""
+    mean = near_radius(similarity, bits)
+    off = spread * math.sqrt(mean * (1 - mean / bits))
+    return int(mean - off), math.ceil(mean + off)
+
+
+def shingle_sets(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of each row of ``nodes(node, text_hash)``, cut again from ``texts(text_hash, text)``."""
+
+    def cut(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)).view("<i8") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    found = texts.join(materialise(nodes), "text_hash").select("node", "text").dropDuplicates(["node"])
+    return materialise(found.mapInArrow(cut, "node long, shingles array<long>"))
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs(a, b)`` whose shingle sets have at least this Jaccard similarity."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return materialise(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
+
+
+def settle(links: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the components of ``links(a, b)`` and the similar ones of ``pairs(a, b, bits)``.
+
+    Each node's nearest pair is looked at first. That joins up most groups, so
+    that only the pairs between what it leaves apart, all of them, remain.
+    """
+    ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "bits"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "bits"))).alias("w"))
+    nearest = ways.groupBy("w.node").agg(F.min(F.struct("w.bits", "w.other")).alias("to")).select(F.least("node", "to.other").alias("a"), F.greatest("node", "to.other").alias("b"))
+    nearest = materialise(nearest.distinct())
+    comp = connected_components(links.unionByName(similar_pairs(nearest, sets, similarity)))
+    side = lambda c: comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    apart = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    late = similar_pairs(materialise(apart.join(nearest, ["a", "b"], "left_anti")), sets, similarity)
+    if late.isEmpty():
+        return comp
+    return connected_components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 8, anchors: int = 8, shard_rows: int = 400_000) -> DataFrame:
     """One row for each distinct (doc_id, text): doc_id, text_hash, group_id (long), the group's least row first.
 
-    Documents link whose SimHash of ``64 * lanes`` bits puts their similarity
-    on ``shingle``-word shingles at ``similarity`` or more and that share an
-    anchor. Wordless texts are one group. first is true for one (doc_id,
+    Documents link that share an anchor and whose sets of ``shingle``-word
+    shingles have a Jaccard similarity of ``similarity`` or more: a SimHash of
+    ``64 * lanes`` bits over the set tells, and the sets themselves decide
+    where it is within chance of the limit. Wordless texts are one group. first is true for one (doc_id,
     text_hash) of each group: the smallest doc_id, nulls last.
     """
-    radius = near_radius(similarity, 64 * lanes)
+    sure, wide = near_band(similarity, 64 * lanes)
     seeds = [np.uint64(s) for s in (0xA0761D6478BD642F * np.arange(1, anchors + 1, dtype=object)) % (1 << 64)]
     names = [f"f{i}" for i in range(lanes)]
 
@@ -267,7 +334,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lane
         for b in batches:
             fp, anchor = [], []
             for t in b.column("text").to_pylist():
-                h = shingle_hashes(t, shingle)
+                h = np.unique(shingle_hashes(t, shingle))
                 fp.append(majority(h, lanes))
                 anchor.append([int(splitmix(h ^ s).min().view("<i8")) if len(h) else 0 for s in seeds])
             m = np.array(fp, "<u8").reshape(-1, lanes).view("<i8")
@@ -289,15 +356,24 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lane
         parent = np.arange(len(node))
         cuts = np.flatnonzero(np.diff(anchor)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(anchor)]])
+        unsure = []
         for s, e in zip(starts, ends):
             if e - s > 1:
-                ball_links(fp, np.arange(s, e), radius, parent)
+                ball_links(fp, np.arange(s, e), sure, parent)
+                unsure.append(open_pairs(fp, np.arange(s, e), wide, parent))
         root = find(parent, np.arange(len(node)))
         moved = node[root] != node
-        return pa.table({"a": node[moved], "b": node[root[moved]]})
-
-    edges = met.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(shard, "a long, b long")
-    comp = connected_components(edges)
+        a, b = (np.concatenate([x[k] for x in unsure] or [root[:0]]) for k in (0, 1))
+        bits = distance(fp[a], fp[b]).astype(np.int32)
+        near = [np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), bits]
+        return pa.table({c: np.concatenate(x) for c, x in zip(("a", "b", "bits"), zip([node[moved], node[root[moved]], np.full(moved.sum(), -1, np.int32)], near))})
+
+    met = materialise(met.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(shard, "a long, b long, bits int"))
+    pairs = materialise(met.where("bits >= 0").distinct())
+    named = own.groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    open_nodes = named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    sets = shingle_sets(open_nodes, rows.select("text_hash", "text"), shingle)
+    comp = settle(met.where("bits < 0").select("a", "b").distinct(), pairs, sets, similarity)
     least = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least"))
     least = least.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = least.groupBy("root").agg(F.min("least").alias("first_row"))

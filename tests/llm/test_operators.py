@@ -365,6 +365,43 @@ def test_near_copies(spark, docs, none, corpus):
 # 9
 
 
+def test_near_groups_are_those_of_the_shingle_sets(spark):
+    rng, texts = random.Random(17), []
+    for n in (40, 120, 300):
+        for _ in range(3):
+            base = prose(rng, n).split()
+            texts.append(" ".join(base))
+            for k in range(12):  # around the similarity of 0.8: each far change spoils five shingles
+                w = list(base)
+                for at in rng.sample(range(n), max(1, round(n * 0.004 * k))):
+                    w[at] = f"new{rng.randrange(99)}"
+                texts.append(" ".join(w))
+    texts += [texts[0].upper(), prose(rng, 30) * 40, "two words", "two words", ""]
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    close = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    near = sum(0.7 <= len(a & b) / max(1, len(a | b)) < 0.9 for i, a in enumerate(sets) for b in sets[:i])
+    assert near > 50  # the limit is really tested
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if close(sets[i], sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = simhash.near_groups(df).collect()
+    members = {}
+    for r in got:
+        members.setdefault(r.group_id, []).append(r.doc_id)
+    want = {}
+    for i, r in enumerate(root):
+        want.setdefault(r, []).append(i)
+    assert sorted(map(sorted, members.values())) == sorted(want.values())
+    assert sorted(r.doc_id for r in got if r.first) == sorted(want)
+
+
 @pytest.fixture(scope="module")
 def items(spark, corpus):
     long = corpus[3][1].split()

@@ -36,7 +36,7 @@ from prosegauge.llm.common import connected_components, materialise, splitmix
 
 SEED = 42
 SAMPLE = 65_536
-PIECE = 65_536
+PIECE = 32_768  # hashes whose votes are added up in 16 bits
 
 
 # --- fingerprints --------------------------------------------------------------
@@ -62,7 +62,7 @@ def majority(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
         votes = np.zeros(64, np.int64)
         for at in range(0, len(h), PIECE):
             bits = np.unpackbits(h[at : at + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes += bits.sum(0, dtype=np.int64)
+            votes += bits.sum(0, dtype=np.uint16)
         out[lane] = np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0]
     return out
 

@@ -42,7 +42,7 @@ def windows(items: list[tuple[object, str | None]], width: int) -> dict[str, tup
     """Each distinct window: its number of words and the ids of the items that hold it."""
     found: dict[str, tuple[int, set[str]]] = {}
     for item, text in items:
-        words = normal(text)[0].split()
+        words = [w for w in normal(text)[0].split(" ") if w]  # only at the blanks that normal() sets: U+00A0 and the like are parts of words
         n = min(width, len(words))
         for i in range(len(words) - n + 1 if n else 0):
             found.setdefault(f" {' '.join(words[i : i + n])} ", (n, set()))[1].add(str(item))

@@ -435,6 +435,19 @@ def test_decontaminate(spark, docs, none, items, corpus):
     assert kept.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {4, 8}
 
 
+def test_decontaminate_keeps_wide_blanks_in_words(spark):
+    plain = [f"word{i}" for i in range(24)]
+    rows, items = [], []
+    for k, ch in enumerate("\u00a0\u0085\u2003\u2028\u202f\u3000"):
+        w = list(plain)
+        w[12] = f"le{ch}mot{k}"
+        rows += [(2 * k, f"before {' '.join(w[5:20])} after", "fr", "a", 1), (2 * k + 1, f"see: quoi{ch}?{k} yes", "fr", "a", 1)]
+        items += [(2 * k, " ".join(w[5:20])), (2 * k + 1, f"quoi{ch} {k}")]
+    got = {r.doc_id: r for r in decontaminate.digest(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, _ in items:
+        assert (got[i].n_hit, got[i].n_items, got[i].items_sha256) == (15 if i % 2 == 0 else 2, 1, hashlib.sha256(str(i).encode()).hexdigest()), i
+
+
 # 10
 
 

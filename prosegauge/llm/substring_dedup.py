@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans (operator 1).
 
-A text is cut into sentences, each run of ``span`` consecutive sentences is
-hashed, and hashes meet in one global aggregation that keeps their first
+A text is cut into sentences, each run of ``span`` consecutive sentences (of
+more, where those have too few words) is hashed, and hashes meet in one global aggregation that keeps their first
 place. Every other place of a repeated hash marks its sentences for removal.
 """
 
@@ -52,8 +52,15 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def ends_of(words: list[int], span: int, least_words: int) -> np.ndarray:
+    """Where the run from each sentence ends: after ``span`` sentences, or as many more as ``least_words`` words take; past the last if the text is too short."""
+    upto = np.concatenate([[0], np.cumsum(np.array(words, int))])
+    enough = np.searchsorted(upto, upto[:-1] + least_words)
+    return np.maximum(np.arange(len(words)) + span, enough)
+
+
 def spans(text: str | None, span: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first sentence) of each run of ``span`` sentences with ``least_words`` words or more; white space counts as one blank."""
+    """(hash, first sentence) of the run from each sentence: ``span`` sentences or more, with ``least_words`` words or more; white space counts as one blank."""
     kept, words, at = [], [], []
     for i, s in enumerate(sentences(text or "")):
         w = s.encode("utf-8", "replace").split()
@@ -61,20 +68,21 @@ def spans(text: str | None, span: int, least_words: int) -> tuple[np.ndarray, np
             kept.append(b" ".join(w))
             words.append(len(w))
             at.append(i)
-    n = len(kept) - span + 1
-    if n < 1:
+    if len(kept) < span:
         return np.empty(0, "<i8"), np.empty(0, "<i4")
-    big = np.convolve(words, np.ones(span, int), "valid") >= least_words
-    rows = np.flatnonzero(big)
-    hashes = [xxhash.xxh3_64_intdigest(b" ".join(kept[k : k + span])) for k in rows]
+    ends = ends_of(words, span, least_words)
+    rows = np.flatnonzero(ends <= len(kept))
+    hashes = [xxhash.xxh3_64_intdigest(b" ".join(kept[k : ends[k]])) for k in rows]
     return np.array(hashes, "<u8").view("<i8"), np.array([at[k] for k in rows], "<i4")
 
 
-def covered(text: str, starts: set[int], span: int) -> set[int]:
+def covered(text: str, starts: set[int], span: int, least_words: int = LEAST_WORDS) -> set[int]:
     """Sentences with words in the runs that begin at ``starts``."""
-    at = [i for i, s in enumerate(sentences(text)) if s.strip()]
+    sized = [(i, len(s.encode("utf-8", "replace").split())) for i, s in enumerate(sentences(text))]
+    at = [i for i, n in sized if n]
+    ends = ends_of([n for _, n in sized if n], span, least_words)
     rank = {i: k for k, i in enumerate(at)}
-    return {at[k] for s in starts for k in range(rank[s], min(len(at), rank[s] + span))}
+    return {at[k] for s in starts for k in range(rank[s], min(len(at), ends[rank[s]]))}
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -84,7 +92,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_W
     the smallest hash of the text, then the first sentence; it stays. Rows
     that repeat an id with its text share one fate, as they are one document.
     A null text stays null with no sentences; texts of fewer than ``span``
-    sentences, and spans of fewer than ``least_words`` words, never repeat.
+    sentences or ``least_words`` words never repeat.
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -113,7 +121,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_W
             n, gone, texts = [], [], []
             for t, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist()):
                 parts = sentences(t or "")
-                out = covered(t, set(starts), span) if starts else set()
+                out = covered(t, set(starts), span, least_words) if starts else set()
                 n.append(sum(bool(s.strip()) for s in parts))
                 gone.append(sorted(out))
                 texts.append("".join(s for i, s in enumerate(parts) if i not in out) if out else t)

@@ -102,6 +102,21 @@ def test_substring_dedup(spark, docs, none, corpus):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_short_lines(spark):
+    rng = random.Random(8)
+    lines = lambda n, k: "\n".join(" ".join(rng.choice(WORDS) for _ in range(k)) for _ in range(n)) + "\n"
+    menu, list_, verse = lines(20, 3), lines(15, 1), lines(9, 2)
+    rows = [(i, prose(rng, 40) + ".\n" + (menu, list_, verse)[i % 3] + prose(rng, 40), "", "", 0) for i in range(6)]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, part in enumerate((menu, list_, verse)):
+        assert got[i].n_removed == 0 and got[i].text == rows[i][1]
+        assert got[i + 3].n_removed == part.count("\n") and got[i + 3].text == rows[i + 3][1].replace(part, "")
+    # too few words in all, and too few sentences
+    few = [(i, lines(3, 3) if i < 2 else "", "", "", 0) for i in range(2)]
+    few = [(i, few[0][1], "", "", 0) for i in range(2)]
+    assert substring_dedup.remove_repeats(spark.createDataFrame(few, SCHEMA)).where("n_removed > 0").count() == 0
+
+
 def spark_hash(spark, t, memo={}):  # noqa: B006
     if t not in memo:
         memo[t] = spark.range(1).select(F.xxhash64(F.lit(t))).first()[0]

@@ -34,10 +34,9 @@ CLASS = bytes(c - 64 if 65 <= c <= 90 else c - 96 if 97 <= c <= 122 else 27 if c
 EDGE = "\"'.,;:?!()[]{}<>«»„“”‘’…`~^#%&*_=+-/\\|$"
 WORDS = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"([^\W\d_])\1\1", re.I)
-SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*%#]+[^\W\d_]|^[0-9@$!|(€£¡][^\W\d_]{2}|[^\W\d_]{2}[0-9@$€£]$")
+SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*%#]+[^\W\d_]|^[0-9@$!|(€£¡][^\W\d_]{2}|^[0-9@$!|(€£¡]{2,}[^\W\d_]|^[0-9@$!|(€£¡]+[^\W\d_]+[0-9@$€£]+$|[^\W\d_]{2}[0-9@$€£]$|[^\W\d_][0-9@$€£]{2,}$")
 JOINED = re.compile(r"^(?:[^\W_][.\-_*·~]){2,}[^\W_]$")
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ][^\W_]){3,}(?!\S)")
-SECRET = re.compile(r"[0-9]{3}|[0-9A-F]{12}|[0-9a-f]{16}")
+SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€£¡*%#])(?:[ ](?:[^\W_]|[@$!|+(€£¡*%#])){3,}(?!\S)")
 
 
 # --- the character model -------------------------------------------------------------
@@ -96,9 +95,21 @@ def code_of(ch: str) -> int:
     return ord(low) - 96 if "a" <= low <= "z" else 27 if ch.isalpha() else 0
 
 
-def decode(token: str, model: CharModel) -> str:
-    """The likeliest reading of a token: letters for look-alikes, repeats cut down, joiners dropped."""
-    best: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+def spelt(path) -> str:
+    """The text of a chain of (before, letter)."""
+    out = []
+    while path:
+        path, ch = path
+        out.append(ch)
+    return "".join(reversed(out))
+
+
+def decode(token: str, model: CharModel, breaks: bool = False) -> str:
+    """The likeliest reading of a token: letters for look-alikes, repeats cut down, joiners dropped; with ``breaks``, blanks between its words.
+
+    Readings share their beginnings, so time and memory follow the token's length.
+    """
+    best: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
     for ch in token.lower():
         options: list[tuple[str, float]] = []
         if ch.isalpha():
@@ -111,8 +122,13 @@ def decode(token: str, model: CharModel) -> str:
             options.append((ch, COST_KEEP))
             if ch in "*":
                 options.append(("", COST_WILD))
-        after: dict[tuple[int, int, int], tuple[float, str]] = {}
-        for state, (cost, text) in best.items():
+        if breaks:
+            for state, (cost, path) in list(best.items()):
+                nxt, c = (*state[1:], 0), cost + float(model.cost[(*state, 0)])
+                if path and state[2] and (nxt not in best or c < best[nxt][0]):
+                    best[nxt] = (c, (path, " "))
+        after: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
+        for state, (cost, path) in best.items():
             for out, extra in options:
                 if not out:
                     nxt, c = state, cost + extra
@@ -120,24 +136,25 @@ def decode(token: str, model: CharModel) -> str:
                     k = code_of(out)
                     nxt, c = (*state[1:], k), cost + extra + float(model.cost[(*state, k)])
                 if nxt not in after or c < after[nxt][0]:
-                    after[nxt] = (c, text + out)
-                if out and text.endswith(out):  # one letter for a repeated one
+                    after[nxt] = (c, (path, out) if out else path)
+                if out and path and path[1] == out:  # one letter for a repeated one
                     c = cost + extra + COST_REPEAT
                     if state not in after or c < after[state][0]:
-                        after[state] = (c, text)
+                        after[state] = (c, path)
         best = after
-    ends = {s: (c + float(model.cost[(*s, 0)]), t) for s, (c, t) in best.items()}
-    return min(ends.values())[1]
+    ends = [(c + float(model.cost[(*s, 0)]), p) for s, (c, p) in best.items()]
+    least = min(c for c, _ in ends)
+    return min(spelt(p) for c, p in ends if c == least)
 
 
 def suspicious(token: str) -> bool:
-    return bool(RUN.search(token) or JOINED.match(token) or (SUSPECT.search(token) and not SECRET.search(token) and len(token) <= 40))
+    return bool(RUN.search(token) or JOINED.match(token) or SUSPECT.search(token))
 
 
 class Restorer(dict):
     """Maps a token to its words, restored ones too, of those that ``wanted`` keeps; the memory is emptied when full.
 
-    A token of one letter, which may be part of a spaced-out word, maps to
+    A token of one letter or look-alike, which may be part of a spaced-out word, maps to
     itself behind a blank as well.
     """
 
@@ -149,7 +166,7 @@ class Restorer(dict):
         words = WORDS.findall(token.lower())
         bare = token.strip(EDGE)
         hard = next((x for x in (bare, token) if x and suspicious(x)), None)
-        if hard and len(hard) <= 64:
+        if hard:
             words = [*WORDS.findall(decode(hard, self.model)), *words]
         return words
 
@@ -157,7 +174,7 @@ class Restorer(dict):
         words = self.restored(token)
         if self.wanted is not None:
             words = [w for w in words if self.wanted(w)]
-        if len(token) == 1 and token.isalpha():
+        if len(token) == 1 and (token.isalnum() or token in LOOKALIKE):
             words = [*words, f" {token}"]
         if len(self) >= MEMO:
             self.clear()
@@ -175,8 +192,10 @@ class Restorer(dict):
         if len(single) > 1:
             for m in SPACED.finditer(text):
                 letters = m.group().replace(" ", "")
-                if len(letters) <= 64 and len(set(letters.lower())) > 1:
-                    out.update(w for w in WORDS.findall(decode(letters, self.model)) if self.wanted is None or self.wanted(w))
+                if len(set(letters.lower())) > 1 and any(map(str.isalpha, letters)):
+                    # as one word, and as the words that it may be a sentence of
+                    both = f"{decode(letters, self.model)} {decode(letters, self.model, breaks=True)}"
+                    out.update(w for w in WORDS.findall(both) if self.wanted is None or self.wanted(w))
         return out
 
 

@@ -232,6 +232,23 @@ def test_decode():
     assert "moron" in r.text("you m o r o n there") and r.text(None) == set() and r["house"] == ("house",)
 
 
+def test_decode_of_long_and_digit_rich_tokens():
+    rng = random.Random(6)
+    own = ["you", "are", "a", "bastard", "and", "shit", "idiot", "faggot", "pissoff", "asshole", "really", "stupid", "the", "house", "moron"]
+    text = np.frombuffer(" ".join(rng.choice(own) for _ in range(4000)).encode().translate(toxicity.CLASS), np.uint8).astype(int)
+    at = ((text[:-3] * 28 + text[1:-2]) * 28 + text[2:-1]) * 28 + text[3:]
+    r = toxicity.Restorer(toxicity.CharModel(np.bincount(at, minlength=28**4)))
+    for hidden, plain in (("b4574rd", "bastard"), ("f4660t", "faggot"), ("p1550ff", "pissoff"), ("455h0le", "asshole"), ("5h17", "shit"), ("idi07", "idiot")):
+        assert plain in r[hidden], (hidden, r[hidden])
+    assert "shit" in r.text("oh s h ! t now") and "shit" in r.text("oh $ h 1 t now")
+    words = "you are really a stupid moron and the idiot you are and the house and really".split() * 3
+    spaced = " ".join("".join(words))
+    assert len(spaced) > 300 and {"moron", "stupid", "idiot"} <= r.text(f"see {spaced} there")
+    long = "-".join(["house"] * 20 + ["m0r0n"] + ["house"] * 20)
+    assert "moron" in toxicity.decode("m0r0n", r.model) and any("moron" in w for w in r[long])
+    assert r["1984"] == () and r.text("1 2 3 4 5 6") == {*()} and len(toxicity.decode("hous" * 50_000, r.model)) == 200_000
+
+
 def test_toxicity(spark, none, corpus):
     rng = random.Random(4)
     rows = [(i, prose(rng, 40) + (f" {rng.choice(['zorgon', 'blatfink', 'z0rg0n'])} " if i % 3 == 0 else " ") + prose(rng, 20), "en", "s", 1) for i in range(300)]

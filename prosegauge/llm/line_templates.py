@@ -3,9 +3,12 @@
 A line goes down a tree of fixed depth: its number of tokens, then its two
 leading tokens, tokens with digits being variable fields. In a leaf, a token
 is constant at its position if enough of the leaf's different lines have it
-there; the others generalise. A line with enough constants behind the leading
-tokens stands for that template, any other for itself. A template that recurs
-in ``least_docs`` documents keeps its first line; the others are dropped.
+there; the others generalise. So that other text in the leaf cannot push a
+template below that share, the lines of a leaf that agree on a piece of
+neighbouring tokens are a group as well, where counts alone decide. A line
+with enough constants behind the leading tokens stands for each template found
+so, and any line for itself. Of the lines of a template that recurs in
+``least_docs`` documents, all but the first are dropped.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def templates(lines: DataFrame, least_docs: int) -> DataFrame:
-    """(body, template) of the lines that a template generalises; only leaves of several documents and lines are looked at."""
+    """(body, template), several for a body, of the lines that templates generalise; only leaves of several documents and lines are looked at."""
     doc = F.struct("__id", "__hash")
     busy = lines.groupBy("leaf").agg(F.min(doc).alias("d0"), F.max(doc).alias("d1"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("d0 <> d1 and b0 <> b1").select("leaf")
     busy = materialise(busy)  # a join of two exchanges is split at a hot leaf
@@ -66,7 +69,46 @@ def templates(lines: DataFrame, least_docs: int) -> DataFrame:
     by_pos = F.transform(toks, lambda t, i: F.when((i < LEADING) | F.array_contains(F.try_element_at("held", i), t), t).otherwise(F.lit(VARIABLE)))
     made = distinct.join(held, "leaf").select("leaf", "body", "line", by_pos.alias("made"))
     constants = F.size(F.filter(F.slice("made", LEADING + 1, F.size("made")), lambda t: t != VARIABLE))
-    return made.where((constants >= ALIKE * (F.size("made") - LEADING)) & (F.array_join("made", " ") != F.col("line"))).select("body", F.xxhash64("leaf", "made").alias("template"))
+    by_share = made.where((constants >= ALIKE * (F.size("made") - LEADING)) & (F.array_join("made", " ") != F.col("line"))).select("body", F.xxhash64("leaf", "made").alias("template"))
+    return materialise(by_share.unionByName(piece_templates(distinct, least_docs)).distinct())
+
+
+def piece_templates(distinct: DataFrame, least_docs: int) -> DataFrame:
+    """(body, template) of the lines ``distinct(leaf, body, line)`` that a template of a group generalises.
+
+    A group is the lines of a leaf with the same tokens in one piece. A line is
+    cut into one piece more than it may have variables, so one piece at least
+    of each template has none, and all its lines meet there. In a group, a
+    line's constants are its tokens that ``least_docs`` different lines have
+    there, and again only as many of the most frequent as a template needs:
+    what else is in the group changes neither, unless it is more frequent at a
+    variable's place than the template itself.
+    """
+    toks = F.split("line", " ")
+    behind = F.size(toks) - LEADING
+    need = F.ceil(ALIKE * behind - 1e-9).cast("int")
+    spare = behind - need  # how many may be variable
+    edge = lambda k: LEADING + F.floor(k * behind / (spare + 1)).cast("int")
+    piece = lambda k: F.xxhash64("leaf", k, F.array_join(F.slice("toks", edge(k) + 1, edge(k + 1) - edge(k)), " "))
+    # cut once a line, not once a piece
+    cut = distinct.where(spare > 0).select("leaf", "body", toks.alias("toks"), behind.alias("behind"), spare.alias("spare"))
+    behind, spare = F.col("behind"), F.col("spare")
+    keys = cut.select("leaf", "body", F.explode(F.transform(F.sequence(F.lit(0), spare), piece)).alias("group"))
+    groups = keys.groupBy("group").agg(F.min("leaf").alias("leaf"), F.count(F.lit(1)).alias("lines"), F.bit_xor("body").alias("all"), F.min("body").alias("b0"), F.max("body").alias("b1")).where(F.col("lines") >= least_docs)
+    groups = materialise(groups.groupBy("leaf", "lines", "all", "b0", "b1").agg(F.min("group").alias("group")).select("group"))  # groups of the same lines are one
+    mine = materialise(keys.select("body", "group").join(groups.hint("merge"), "group", "left_semi").groupBy("body").agg(F.collect_set("group").alias("groups")))
+    lines = materialise(distinct.join(mine, "body").select("leaf", "body", "line", "groups"), "zstd")
+    cells = lines.select("body", F.posexplode(toks).alias("pos", "tok"), "groups").where(F.col("pos") >= LEADING).select("body", "pos", "tok", F.explode("groups").alias("group"))
+    cells = cells.select("group", "body", "pos", F.xxhash64("group", "pos", "tok").alias("cell"))
+    often = materialise(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs))  # a join of two exchanges is split at a hot cell
+    counted = cells.join(often.hint("merge"), "cell").groupBy("group", "body").agg(F.map_from_entries(F.collect_list(F.struct("pos", "n"))).alias("at"))
+    counted = counted.join(lines.select("leaf", "body", "line"), "body").where(F.size("at") >= need)
+    least = F.element_at(F.array_sort(F.map_values("at")), F.size("at") - need + 1)
+    # exploded, so that the limit is found once a line and not once a token
+    counted = counted.select("leaf", "body", "line", "at", F.explode(F.array_distinct(F.array(F.lit(least_docs).cast("long"), least))).alias("limit"))
+    kept = F.transform(toks, lambda t, i: F.when((i < LEADING) | (F.try_element_at("at", i) >= F.col("limit")), t).otherwise(F.lit(VARIABLE)))
+    made = counted.select("leaf", "body", "line", kept.alias("made"))
+    return made.where(F.array_join("made", " ") != F.col("line")).select("body", F.xxhash64("leaf", "made").alias("template"))
 
 
 def line_marks(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
@@ -74,8 +116,8 @@ def line_marks(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int
     lines = materialise(lines_of(docs).where(F.col("n") >= least_tokens), "zstd")  # cut once, read by columns
     places = lines.select("__id", "__hash", "line_no", "body").distinct()
     made = templates(lines, least_docs).withColumnRenamed("body", "of")
-    named = places.join(made, F.col("body") == F.col("of"), "left").select("__id", "__hash", "line_no", F.coalesce("template", "body").alias("template"))
-    named = materialise(named)
+    named = places.join(made, F.col("body") == F.col("of")).select("__id", "__hash", "line_no", "template")
+    named = materialise(named.unionByName(places.withColumnRenamed("body", "template")))
     by_doc = named.groupBy("template", "__id", "__hash").agg(F.min("line_no").alias("line_no"))
     first = F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__hash", "line_no")).alias("first")
     often = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), first).where(F.col("n_docs") >= least_docs).select(F.col("template").alias("often"), "first")
@@ -89,7 +131,7 @@ def drop_lines(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped from text; other columns as given, plus n_lines and n_dropped.
 
     The first line of a template, by doc_id (nulls last), text hash and line,
-    stays. Lines of fewer than ``least_tokens`` tokens never count. A null
+    stays, unless it repeats a line before it by another template. Lines of fewer than ``least_tokens`` tokens never count. A null
     text stays null with no lines; a text may become empty, its row stays.
     Rows that repeat an id with its text are one document and share one fate.
     """

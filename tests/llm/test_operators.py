@@ -215,6 +215,23 @@ def test_line_templates(spark, docs, none, corpus):
     assert line_templates.drop_lines(two).where("n_dropped > 0").count() == 0
 
 
+def test_templates_of_a_full_leaf(spark):
+    rng = random.Random(21)
+    frames = [[rng.choice(WORDS) for _ in range(8)] for _ in range(9)]
+    rows = []
+    for i in range(6):
+        own = []
+        for k, frame in enumerate(frames):  # nine templates of one leaf, each with one variable word, some of them common
+            w = list(frame)
+            w[k % 8] = rng.choice(WORDS) if k % 3 == 0 else f"name{chr(97 + i)}{chr(97 + k)}"
+            own.append("In the " + " ".join(w))
+        rows.append((i, "\n".join(own), "en", "s", 1))
+    rows += [(100 + i, "\n".join("In the " + " ".join(rng.choice(WORDS) for _ in range(8)) for _ in range(6)), "en", "s", 1) for i in range(60)]
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got.pop(0) == 0 and [got.pop(i) for i in range(1, 6)] == [9] * 5
+    assert not any(got.values())  # other lines of the leaf stay
+
+
 # 5
 
 

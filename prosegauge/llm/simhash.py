@@ -14,8 +14,8 @@ shard:
   nothing. There documents meet that share one of ``anchors`` min-wise
   shingles (at similarity 0.8, all but 0.2 ** anchors of the pairs do), and
   the pivots' triangle bounds prune within each anchor's shard. Fingerprints
-  well inside the radius link at once; those about the radius, where they
-  can't tell, link if the shingle sets themselves are similar enough.
+  well inside the radius link at once; those about the radius and beyond, as
+  far as similar sets of their sizes get by chance, link if the shingle sets themselves are similar enough.
 
 Shards return links to a local root, and pairs only between what those links
 leave apart; components are joined up with checkpointed label rounds.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -160,8 +161,12 @@ def ball_links(fp: np.ndarray, among: np.ndarray, radius: int, parent: np.ndarra
     brute(fp, among, among, radius, parent)
 
 
-def open_pairs(fp: np.ndarray, among: np.ndarray, radius: int, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ``among`` within ``radius`` that are in different sets of ``parent``.
+def open_pairs(fp: np.ndarray, among: np.ndarray, size: np.ndarray, similarity: float, reach: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``among`` that are in different sets of ``parent`` and may be similar.
+
+    ``size`` has the number of shingles of each row of ``fp``. Sizes too far
+    apart rule a pair out, and so do more bits than the ``reach`` of its lesser
+    size (the last holds for all above).
 
     The largest set is never compared with itself, so a group of copies costs
     only its pairs with what stands outside.
@@ -175,7 +180,9 @@ def open_pairs(fp: np.ndarray, among: np.ndarray, radius: int, parent: np.ndarra
         step = max(1, 1_000_000 // (len(among) * fp.shape[1]))
         for at in range(0, len(q), step):
             a, a_root = q[at : at + step, None], q_root[at : at + step, None]
-            i, j = np.nonzero((distance(fp[a], fp[None, among]) <= radius) & (a_root != root[None]) & (inside[None] | (a < among[None])))
+            less, more = np.minimum(size[a], size[None, among]), np.maximum(size[a], size[None, among])
+            within = (distance(fp[a], fp[None, among]) <= reach[np.minimum(less, len(reach) - 1)]) & (less >= similarity * more)
+            i, j = np.nonzero(within & (a_root != root[None]) & (inside[None] | (a < among[None])))
             out.append((a[i, 0], among[j]))
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
@@ -280,6 +287,36 @@ def near_band(similarity: float, bits: int, spread: float = 2.5) -> tuple[int, i
     return int(mean - off), math.ceil(mean + off)
 
 
+@lru_cache(maxsize=8)
+def differ_rate(common: int, a: int, b: int) -> float:
+    """How often the strict majority bits of sets of ``a`` and ``b`` hashes, ``common`` of them shared, differ."""
+    votes = lambda n: np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+    yes = lambda n: np.array([votes(n - common)[max(0, n // 2 + 1 - k) :].sum() for k in range(common + 1)])
+    pa_, pb = yes(a), yes(b)
+    return float((votes(common) * (pa_ * (1 - pb) + pb * (1 - pa_))).sum())
+
+
+@lru_cache(maxsize=8)
+def near_reach(similarity: float, bits: int, largest: int = 64, spread: float = 6.0) -> tuple[int, ...]:
+    """By the lesser set's size, the last for all above: the bits that similar pairs stay within, but for ``spread`` deviations of chance.
+
+    Ties of the majority push small sets further apart than the cosine says,
+    so their bits are counted exactly: for each pair of sizes with the least
+    shingles in common that are similar. The rate of the largest sizes holds
+    for those above, where ties are rarer.
+    """
+    out = [0]
+    for a in range(1, largest + 1):
+        rates = []
+        for b in range(a, int(a / similarity + 1e-9) + 1):
+            common = min(a, math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9))
+            rates.append(differ_rate(common, a, b))
+        p = max(rates)
+        out.append(math.ceil(bits * p + spread * math.sqrt(bits * p * (1 - p))))
+    out[-1] = max(out[largest // 2 :])
+    return tuple(out)
+
+
 def shingle_sets(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(node, shingles) of each row of ``nodes(node, text_hash)``, cut again from ``texts(text_hash, text)``."""
 
@@ -323,28 +360,31 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lane
     Documents link that share an anchor and whose sets of ``shingle``-word
     shingles have a Jaccard similarity of ``similarity`` or more: a SimHash of
     ``64 * lanes`` bits over the set tells, and the sets themselves decide
-    where it is within chance of the limit. Wordless texts are one group. first is true for one (doc_id,
+    where it is within chance of the limit, six deviations of what sets of
+    their sizes give. Wordless texts are one group. first is true for one (doc_id,
     text_hash) of each group: the smallest doc_id, nulls last.
     """
-    sure, wide = near_band(similarity, 64 * lanes)
+    sure, _ = near_band(similarity, 64 * lanes)
+    reach = np.array(near_reach(similarity, 64 * lanes))
     seeds = [np.uint64(s) for s in (0xA0761D6478BD642F * np.arange(1, anchors + 1, dtype=object)) % (1 << 64)]
     names = [f"f{i}" for i in range(lanes)]
 
     def sketch(batches):
         for b in batches:
-            fp, anchor = [], []
+            fp, anchor, size = [], [], []
             for t in b.column("text").to_pylist():
                 h = np.unique(shingle_hashes(t, shingle))
                 fp.append(majority(h, lanes))
+                size.append(len(h))
                 anchor.append([int(splitmix(h ^ s).min().view("<i8")) if len(h) else 0 for s in seeds])
             m = np.array(fp, "<u8").reshape(-1, lanes).view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("text_hash"), *(pa.array(m[:, i].copy()) for i in range(lanes)), pa.array(anchor, pa.list_(pa.int64()))], ["doc_id", "text_hash", *names, "anchors"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("text_hash"), *(pa.array(m[:, i].copy()) for i in range(lanes)), pa.array(anchor, pa.list_(pa.int64())), pa.array(size, pa.int32())], ["doc_id", "text_hash", *names, "anchors", "n_shingles"])
 
     lanes_schema = ", ".join(f"{n} long" for n in names)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    own = materialise(rows.mapInArrow(sketch, f"doc_id long, text_hash long, {lanes_schema}, anchors array<long>").withColumn("node", F.xxhash64(*names)))
-    nodes = own.groupBy("node").agg(*(F.first(n).alias(n) for n in names), F.first("anchors").alias("anchors"))
-    met = nodes.select("node", *names, F.explode(F.array_distinct("anchors")).alias("anchor"))
+    own = materialise(rows.mapInArrow(sketch, f"doc_id long, text_hash long, {lanes_schema}, anchors array<long>, n_shingles int").withColumn("node", F.xxhash64(*names)))
+    nodes = own.groupBy("node").agg(*(F.first(n).alias(n) for n in names), F.first("anchors").alias("anchors"), F.first("n_shingles").alias("n_shingles"))
+    met = nodes.select("node", *names, "n_shingles", F.explode(F.array_distinct("anchors")).alias("anchor"))
     shards = max(12, math.ceil(own.count() * anchors / shard_rows))
 
     def shard(t: pa.Table) -> pa.Table:
@@ -353,6 +393,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lane
         order = np.lexsort((node, anchor))
         node, anchor = node[order], anchor[order]
         fp = np.stack([col(n) for n in names], 1)[order].view("<u8")
+        size = np.array(t.column("n_shingles").to_numpy(), np.int64)[order]
         parent = np.arange(len(node))
         cuts = np.flatnonzero(np.diff(anchor)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(anchor)]])
@@ -360,7 +401,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lane
         for s, e in zip(starts, ends):
             if e - s > 1:
                 ball_links(fp, np.arange(s, e), sure, parent)
-                unsure.append(open_pairs(fp, np.arange(s, e), wide, parent))
+                unsure.append(open_pairs(fp, np.arange(s, e), size, similarity, reach, parent))
         root = find(parent, np.arange(len(node)))
         moved = node[root] != node
         a, b = (np.concatenate([x[k] for x in unsure] or [root[:0]]) for k in (0, 1))

@@ -451,6 +451,18 @@ def test_near_groups_are_those_of_the_shingle_sets(spark):
     assert sorted(r.doc_id for r in got if r.first) == sorted(want)
 
 
+def test_near_copies_of_short_texts(spark):
+    assert abs(512 * simhash.differ_rate(4, 4, 5) - 96) < 0.5  # 8 words and the same with one more
+    rng, rows = random.Random(23), []
+    for k in range(400):
+        words = [f"{rng.choice(WORDS)}{k}" for _ in range(10 if k % 2 else 8)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]
+    rows += [(10_000 + k, " ".join([*rows[4 * k][1].split()[:5], "other", "words", f"now{k}"])) for k in range(20)]
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    group = {r.doc_id: r.group_id for r in got}
+    assert [k for k in range(400) if group[2 * k] != group[2 * k + 1]] == [] and len(set(group.values())) == 420
+
+
 @pytest.fixture(scope="module")
 def items(spark, corpus):
     long = corpus[3][1].split()

@@ -1,32 +1,40 @@
 """Line dedup by a log-template tree (operator 4), in DataFrame operations only.
 
 A line goes down a tree of fixed depth: its number of tokens, then its two
-leading tokens, tokens with digits being variable fields. In a leaf, a token
-is constant at its position if enough of the leaf's different lines have it
-there; the others generalise. So that other text in the leaf cannot push a
-template below that share, the lines of a leaf that agree on a piece of
-neighbouring tokens are a group as well, where counts alone decide. A line
-with enough constants behind the leading tokens stands for each template found
-so, and any line for itself. Of the lines of a template that recurs in
-``least_docs`` documents, all but the first are dropped.
+leading tokens, tokens with digits being variable fields. In a leaf, the
+tokens behind the leading ones are cut into at most eight pieces. A template
+is a leaf with the constant pieces of a line, the others being variable: one of
+four to six pieces, two of seven or eight (fields that lie side by side share
+a piece, and a line of fewer than four tokens behind its leading ones has no
+variable words). A line also stands for itself. Of the lines of a template
+that recurs in ``least_docs`` documents, all but the first are dropped.
+
+What a template's lines are depends on them alone, so other text in a leaf
+never hides one. Two sieves keep the work small: a line can only be generalised
+if one part of it, of which a template leaves at least one whole, recurs in
+another line of the leaf, and only pieces that recur so can be constant.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.llm.common import materialise
 
 LEAST_DOCS = 3
-LEAST_TOKENS = 3
+LEAST_TOKENS = 1
 LEADING = 2
-SHARE = 0.2  # of a leaf's different lines, for a token to be constant
-ALIKE = 0.7  # of the tokens behind the leading ones that must be constant
+PIECES = 8
+WILD_SHARE = 0.3  # of the pieces that a template may leave variable
+LEAST_PIECES = 4  # below, none may be variable
 VARIABLE = "<*>"
+NAMES = [f"__p{k}" for k in range(PIECES)]
 
 
-def masked_lines(text):
+def masked_lines(text: Column) -> Column:
     """The lines of a text, tokens between single blanks; tokens with a digit are variable.
 
     Whether a text has digits or other blanks is looked up once, so most lines
@@ -45,103 +53,107 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(__id, __hash, line_no, line, n, leaf, body) of each line with a token."""
+    """(__id, __hash, line_no, n, leaf, body, __p0 ...) of each line with a token.
+
+    ``body`` is the hash of the masked line, the others those of its pieces,
+    which name leaf and place too; pieces that a line does not have, or too few to generalise, are null.
+    """
     cut = keyed(docs).select("__id", "__hash", F.posexplode(masked_lines(F.col("text").cast("string"))).alias("line_no", "line")).where("line <> ''")
-    cut = cut.withColumn("n", F.size(F.split("line", " ")))
-    return cut.withColumns({"leaf": F.xxhash64("n", F.substring_index("line", " ", LEADING)), "body": F.xxhash64("line")})
+    cut = cut.select("__id", "__hash", "line_no", F.xxhash64("line").alias("body"), F.split("line", " ").alias("toks"))
+    cut = cut.withColumn("n", F.size("toks"))
+    cut = cut.withColumns({"leaf": F.xxhash64("n", F.slice("toks", 1, LEADING)), "of": F.least(F.col("n") - LEADING, F.lit(PIECES))})
+    edge = lambda k: LEADING + F.floor((F.col("n") - LEADING) * k / F.col("of")).cast("int")
+    piece = lambda k: F.when((F.col("of") > k) & (F.col("of") >= LEAST_PIECES), F.xxhash64("leaf", F.lit(k), F.slice("toks", edge(k) + 1, edge(k + 1) - edge(k))))
+    return cut.select("__id", "__hash", "line_no", "n", "leaf", "body", *(piece(k).alias(c) for k, c in enumerate(NAMES)))
+
+
+def recurring(cells: DataFrame, least: int) -> DataFrame:
+    """The ``cell`` values of ``cells(body, places, cell)`` that several lines have, in ``least`` places or more, with a check sum of the lines."""
+    return (
+        cells.groupBy("cell")
+        .agg(F.count(F.lit(1)).alias("lines"), F.sum("places").alias("places"), F.bit_xor("body").alias("all"), F.min("body").alias("b0"), F.max("body").alias("b1"))
+        .where((F.col("lines") > 1) & (F.col("places") >= least))
+    )
+
+
+def by_pieces(make) -> Column:
+    """``make(pieces, variable)`` for a line's own number of pieces and how many of them may be variable; null where none may."""
+    out = F.lit(None)
+    for of in range(1, PIECES + 1):
+        if wild := int(WILD_SHARE * of):
+            out = F.when(F.col("of") == of, make(of, wild)).otherwise(out)
+    return out
 
 
 def templates(lines: DataFrame, least_docs: int) -> DataFrame:
-    """(body, template), several for a body, of the lines that templates generalise; only leaves of several documents and lines are looked at."""
-    doc = F.struct("__id", "__hash")
-    busy = lines.groupBy("leaf").agg(F.min(doc).alias("d0"), F.max(doc).alias("d1"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("d0 <> d1 and b0 <> b1").select("leaf")
-    busy = materialise(busy)  # a join of two exchanges is split at a hot leaf
-    inside = lines.where(F.col("n") > LEADING).select("leaf", "body", "line").join(busy.hint("merge"), "leaf", "left_semi")
-    distinct = materialise(inside.groupBy("leaf", "body", "line").agg(F.lit(1).alias("one")).drop("one"))
-    sizes = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("in_leaf"))
-    cells = distinct.select("leaf", F.posexplode(F.split("line", " ")).alias("pos", "tok")).where(F.col("pos") >= LEADING)
-    often = cells.groupBy("leaf", "pos", "tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
-    constant = often.join(sizes, "leaf").where(F.col("n") >= SHARE * F.col("in_leaf"))
-    # at most 1 / SHARE constants at a position: bounded by the line's length
-    at_pos = constant.groupBy("leaf", "pos").agg(F.collect_set("tok").alias("toks"))
-    held = at_pos.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "toks"))).alias("held"))
-    toks = F.split("line", " ")
-    by_pos = F.transform(toks, lambda t, i: F.when((i < LEADING) | F.array_contains(F.try_element_at("held", i), t), t).otherwise(F.lit(VARIABLE)))
-    made = distinct.join(held, "leaf").select("leaf", "body", "line", by_pos.alias("made"))
-    constants = F.size(F.filter(F.slice("made", LEADING + 1, F.size("made")), lambda t: t != VARIABLE))
-    by_share = made.where((constants >= ALIKE * (F.size("made") - LEADING)) & (F.array_join("made", " ") != F.col("line"))).select("body", F.xxhash64("leaf", "made").alias("template"))
-    return materialise(by_share.unionByName(piece_templates(distinct, least_docs)).distinct())
-
-
-def piece_templates(distinct: DataFrame, least_docs: int) -> DataFrame:
-    """(body, template) of the lines ``distinct(leaf, body, line)`` that a template of a group generalises.
-
-    A group is the lines of a leaf with the same tokens in one piece. A line is
-    cut into one piece more than it may have variables, so one piece at least
-    of each template has none, and all its lines meet there. In a group, a
-    line's constants are its tokens that ``least_docs`` different lines have
-    there, and again only as many of the most frequent as a template needs:
-    what else is in the group changes neither, unless it is more frequent at a
-    variable's place than the template itself.
-    """
-    toks = F.split("line", " ")
-    behind = F.size(toks) - LEADING
-    need = F.ceil(ALIKE * behind - 1e-9).cast("int")
-    spare = behind - need  # how many may be variable
-    edge = lambda k: LEADING + F.floor(k * behind / (spare + 1)).cast("int")
-    piece = lambda k: F.xxhash64("leaf", k, F.array_join(F.slice("toks", edge(k) + 1, edge(k + 1) - edge(k)), " "))
-    # cut once a line, not once a piece
-    cut = distinct.where(spare > 0).select("leaf", "body", toks.alias("toks"), behind.alias("behind"), spare.alias("spare"))
-    behind, spare = F.col("behind"), F.col("spare")
-    keys = cut.select("leaf", "body", F.explode(F.transform(F.sequence(F.lit(0), spare), piece)).alias("group"))
-    groups = keys.groupBy("group").agg(F.min("leaf").alias("leaf"), F.count(F.lit(1)).alias("lines"), F.bit_xor("body").alias("all"), F.min("body").alias("b0"), F.max("body").alias("b1")).where(F.col("lines") >= least_docs)
-    groups = materialise(groups.groupBy("leaf", "lines", "all", "b0", "b1").agg(F.min("group").alias("group")).select("group"))  # groups of the same lines are one
-    mine = materialise(keys.select("body", "group").join(groups.hint("merge"), "group", "left_semi").groupBy("body").agg(F.collect_set("group").alias("groups")))
-    lines = materialise(distinct.join(mine, "body").select("leaf", "body", "line", "groups"), "zstd")
-    cells = lines.select("body", F.posexplode(toks).alias("pos", "tok"), "groups").where(F.col("pos") >= LEADING).select("body", "pos", "tok", F.explode("groups").alias("group"))
-    cells = cells.select("group", "body", "pos", F.xxhash64("group", "pos", "tok").alias("cell"))
-    often = materialise(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs))  # a join of two exchanges is split at a hot cell
-    counted = cells.join(often.hint("merge"), "cell").groupBy("group", "body").agg(F.map_from_entries(F.collect_list(F.struct("pos", "n"))).alias("at"))
-    counted = counted.join(lines.select("leaf", "body", "line"), "body").where(F.size("at") >= need)
-    least = F.element_at(F.array_sort(F.map_values("at")), F.size("at") - need + 1)
-    # exploded, so that the limit is found once a line and not once a token
-    counted = counted.select("leaf", "body", "line", "at", F.explode(F.array_distinct(F.array(F.lit(least_docs).cast("long"), least))).alias("limit"))
-    kept = F.transform(toks, lambda t, i: F.when((i < LEADING) | (F.try_element_at("at", i) >= F.col("limit")), t).otherwise(F.lit(VARIABLE)))
-    made = counted.select("leaf", "body", "line", kept.alias("made"))
-    return made.where(F.array_join("made", " ") != F.col("line")).select("body", F.xxhash64("leaf", "made").alias("template"))
+    """(body, template), several for a body, of the lines that templates generalise; of templates of the same lines there is one."""
+    own = lines.where(F.col(NAMES[0]).isNotNull()).groupBy("body").agg(F.count(F.lit(1)).alias("places"), *(F.max(c).alias(c) for c in NAMES))
+    own = materialise(own.withColumn("of", reduce(lambda a, b: a + b, (F.col(c).isNotNull().cast("int") for c in NAMES))), "zstd")
+    # First sieve: of one part more than pieces may be variable, one at least is whole in all lines of a template.
+    part = lambda of, wild, k: F.xxhash64(*(NAMES[i] for i in range(of) if i * (wild + 1) // of == k))
+    parts = own.select("body", "places", F.explode(by_pieces(lambda of, wild: F.array(*(part(of, wild, k) for k in range(wild + 1))))).alias("cell"))
+    again = materialise(recurring(parts, least_docs).select("cell"))  # a join of two exchanges is split at a hot cell
+    near = parts.join(again.hint("merge"), "cell", "left_semi").select("body").distinct()
+    near = materialise(own.join(near, "body"))
+    # Second sieve: what is constant in a template recurs.
+    pieces = near.select("body", "places", F.posexplode(F.array_compact(F.array(*NAMES))).alias("k", "cell"))
+    again = materialise(recurring(pieces, least_docs).select("cell"))
+    held = pieces.join(again.hint("merge"), "cell", "left_semi").groupBy("body").agg(F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("held"))
+    held = materialise(near.join(held, "body"))
+    # A template for each set of variable pieces that has all that do not recur.
+    key = lambda of, m: F.xxhash64(*(NAMES[i] for i in range(of) if not m >> i & 1))
+    fits = lambda of, m: F.when(F.col("held").bitwiseOR(F.lit(m)) == (1 << of) - 1, key(of, m))
+    keys = by_pieces(lambda of, wild: F.array_compact(F.array(*(fits(of, m) for m in range(1, 1 << of) if m.bit_count() <= wild))))
+    keys = materialise(held.select("body", "places", F.explode(keys).alias("cell")))
+    found = recurring(keys, least_docs).groupBy("lines", "all", "b0", "b1").agg(F.min("cell").alias("cell")).select("cell")
+    return materialise(keys.join(materialise(found).hint("merge"), "cell").select("body", F.col("cell").alias("template")))
 
 
 def line_marks(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """(__id, __hash, marks): for each document that loses a line, its lines with a token, in order, as (line_no, drop)."""
+    """(__id, __hash, drops): for each document that loses lines, their numbers in order.
+
+    Which line of a template is first is found for lines with the same body
+    before it is for a template, so a line's places are joined once, however
+    frequent it is and however many templates it has.
+    """
     lines = materialise(lines_of(docs).where(F.col("n") >= least_tokens), "zstd")  # cut once, read by columns
-    places = lines.select("__id", "__hash", "line_no", "body").distinct()
-    made = templates(lines, least_docs).withColumnRenamed("body", "of")
-    named = places.join(made, F.col("body") == F.col("of")).select("__id", "__hash", "line_no", "template")
-    named = materialise(named.unionByName(places.withColumnRenamed("body", "template")))
-    by_doc = named.groupBy("template", "__id", "__hash").agg(F.min("line_no").alias("line_no"))
-    first = F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__hash", "line_no")).alias("first")
-    often = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), first).where(F.col("n_docs") >= least_docs).select(F.col("template").alias("often"), "first")
-    often = materialise(often)  # a join of two exchanges is split at a hot template
+    by_doc = materialise(lines.groupBy("body", "__id", "__hash").agg(F.min("line_no").alias("line_no")))
+    in_docs = by_doc.groupBy("body").agg(F.count(F.lit(1)).alias("docs"))
+    often = in_docs.where(F.col("docs") >= least_docs).select("body", F.col("body").alias("template"))
+    members = materialise(templates(lines, least_docs).unionByName(often))
     here = F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__hash", "line_no")
-    dropped = named.join(often.hint("merge"), F.col("template") == F.col("often")).where(here != F.col("first"))
-    return dropped.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))
+    concerned = by_doc.join(materialise(members.select("body").distinct()).hint("merge"), "body", "left_semi")
+    bodies = materialise(concerned.groupBy("body").agg(F.count(F.lit(1)).alias("docs"), F.min(here).alias("first")))
+    each = members.join(bodies, "body")
+    all_ = each.groupBy("template").agg(F.max("docs").alias("most"), F.min("first").alias("first"))
+    # Where no line alone is in enough documents, each is in few: those are counted.
+    few = each.where(F.col("docs") < least_docs).select("template", "body").join(by_doc, "body").groupBy("template", "__id", "__hash").agg(F.lit(1)).groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
+    good = all_.join(few, "template", "left").where((F.col("most") >= least_docs) | (F.col("docs") >= least_docs)).select("template", "first")
+    kept = materialise(members.join(good, "template").groupBy("body").agg(F.min("first").alias("first")))
+    gone = lines.select("body", "__id", "__hash", "line_no").join(kept.hint("merge"), "body").where(here != F.col("first"))
+    return gone.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))
 
 
-def drop_lines(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the lines of recurring templates dropped from text; other columns as given, plus n_lines and n_dropped.
+def drop_lines(docs: DataFrame, counts: bool = True, **how) -> DataFrame:
+    """``docs`` with the lines of recurring templates dropped from text; columns as given, with ``counts`` also n_lines and n_dropped.
 
     The first line of a template, by doc_id (nulls last), text hash and line,
-    stays, unless it repeats a line before it by another template. Lines of fewer than ``least_tokens`` tokens never count. A null
-    text stays null with no lines; a text may become empty, its row stays.
-    Rows that repeat an id with its text are one document and share one fate.
+    stays, unless it repeats a line before it by another template. Lines of
+    fewer than ``least_tokens`` tokens never count. A null text stays null with
+    no lines; a text may become empty, its row stays. Rows that repeat an id
+    with its text are one document and share one fate. An empty table gives an
+    empty result. A line of any length has at most eight pieces, so very long
+    texts cost in proportion. Columns of any name are kept; those called
+    n_lines or n_dropped are replaced only where ``counts`` asks for them.
     """
-    marks = line_marks(docs, **how).select(F.col("__id").alias("__i"), F.col("__hash").alias("__h"), "drops")
+    marks = line_marks(docs, **how).select(F.col("__id").alias("__i"), F.col("__hash").alias("__h"), F.col("drops").alias("__drops"))
     out = keyed(docs).join(marks, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left")
-    text = F.col("text").cast("string")
+    text, drops = F.col("text").cast("string"), F.col("__drops")
     lines = F.split(text, "\n")
-    # The dropped numbers are in order: a fold walks both lists once, and the pieces between drops are slices.
-    edges = F.concat(F.array(F.lit(-1)), F.col("drops"), F.array(F.size(lines)))
-    parts = F.transform(F.sequence(F.lit(1), F.size("drops") + 1), lambda k: F.slice(lines, F.element_at(edges, k) + 2, F.element_at(edges, k + 1) - F.element_at(edges, k) - 1))
-    rest = F.when(F.col("drops").isNull(), text).otherwise(F.array_join(F.flatten(parts), "\n"))
-    out = out.withColumns({"__text": rest, "n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_dropped": F.coalesce(F.size("drops"), F.lit(0)).cast("long")})
-    return out.select(*(F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
+    # The dropped numbers are in order: what stands between two of them is a slice.
+    edges = F.concat(F.array(F.lit(-1)), drops, F.array(F.size(lines)))
+    parts = F.transform(F.sequence(F.lit(1), F.size(drops) + 1), lambda k: F.slice(lines, F.element_at(edges, k) + 2, F.element_at(edges, k + 1) - F.element_at(edges, k) - 1))
+    rest = F.when(drops.isNull(), text).otherwise(F.array_join(F.flatten(parts), "\n"))
+    added = {"n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_dropped": F.coalesce(F.size(drops), F.lit(0)).cast("long")} if counts else {}
+    kept = [rest.alias("text") if c == "text" else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in added]
+    return out.select(*kept, *(x.alias(c) for c, x in added.items()))

@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -201,11 +202,11 @@ def test_mix(spark, docs, none, corpus):
 
 def test_line_templates(spark, docs, none, corpus):
     rng = random.Random(3)
-    rows = [(i, f"{prose(rng, 12)}\nPage {i} of {i * 7}\nRead more about alpha{chr(97 + i)}zz in our fine shop today\nok", "en", "s", 1) for i in range(8)]
+    rows = [(i, f"{prose(rng, 12)}\nPage {i} of {i * 7}\nRead more about alpha{chr(97 + i)}zz in our fine shop today\nok{chr(97 + i)}", "en", "s", 1) for i in range(8)]
     got = line_templates.drop_lines(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()
     assert got[0].text == rows[0][1] and got[0].n_dropped == 0
     for r, x in zip(got[1:], rows[1:]):
-        assert r.n_dropped == 2 and r.n_lines == 4 and r.text == x[1].split("\n")[0] + "\nok"
+        assert r.n_dropped == 2 and r.n_lines == 4 and r.text == x[1].split("\n")[0] + "\n" + x[1].split("\n")[3]
     out = line_templates.drop_lines(docs)
     assert out.count() == len(corpus) and {r.text for r in out.where("doc_id in (1, 2, 3)").collect()} == {None, "", " \t\n "}
     assert len({(r.text, r.n_dropped) for r in out.where("doc_id = 7").collect()}) == 1
@@ -215,6 +216,74 @@ def test_line_templates(spark, docs, none, corpus):
     assert line_templates.drop_lines(two).where("n_dropped > 0").count() == 0
 
 
+def tree_drops(rows, least_docs=3):
+    """Lines to drop of (doc_id, hash, text), by a plain walk over every template of every line."""
+    found = {}
+    for i, h, text in {r for r in rows if r[2]}:
+        for no, raw in enumerate(text.split("\n")):
+            toks = ["<*>" if re.search("[0-9]", w) else w for w in words_of(raw)]
+            if not toks:
+                continue
+            body, place = toks[2:], (i is None, i or 0, h, no)
+            of = min(len(body), 8)
+            cuts = [len(body) * k // of for k in range(of + 1)] if of else []
+            pieces = [tuple(body[a:b]) for a, b in zip(cuts, cuts[1:])]
+            names = {tuple(toks)}
+            for gone in itertools.chain.from_iterable(itertools.combinations(range(of), k) for k in range(1, int(0.3 * of + 1e-9) + 1)):
+                names.add((len(toks), tuple(toks[:2]), gone, tuple(p for k, p in enumerate(pieces) if k not in gone)))
+            for name in names:
+                found.setdefault(name, set()).add(place)
+    out = set()
+    for places in found.values():
+        if len({p[:3] for p in places}) >= least_docs:
+            out |= places - {min(places)}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_templates_are_those_of_a_plain_tree(spark, seed):
+    rng = random.Random(seed)
+    few = WORDS[:3]
+    line = lambda: " ".join([*rng.choices(few[:2], k=2), *(rng.choice(few if rng.random() < 0.9 else WORDS) for _ in range(rng.randint(0, 11)))])
+    frames = [(line() + " " + line()).split() for _ in range(6)]
+
+    def varied():
+        w = list(rng.choice(frames))
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(2, len(w))] = rng.choice([*WORDS, "no7", "12"])
+        return " ".join(w)
+
+    rows = [(None if i == 9 else i, "\n".join(rng.choice([line, varied, lambda: "", lambda: rng.choice(WORDS)])() for _ in range(rng.randint(1, 9))), "", "", 0) for i in range(70)]
+    rows += [rows[3], rows[4], (5, rows[6][1], "", "", 0), (200, None, "", "", 0)]
+    got = line_templates.drop_lines(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "text", "n_dropped").collect()
+    drops = tree_drops([(r[0], spark_hash(spark, r[1]), r[1]) for r in rows])
+    assert len(drops) > 30
+
+    def rest(i, text):
+        gone = {p[3] for p in drops if p[:3] == (i is None, i or 0, spark_hash(spark, text))} if text else set()
+        return (i, text and "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone), len(gone))
+
+    assert Counter(map(tuple, got)) == Counter(rest(r[0], r[1]) for r in rows)
+
+
+@pytest.mark.parametrize("others", [0, 40, 200])
+def test_other_lines_of_a_leaf_hide_no_template(spark, others):
+    rng = random.Random(others)
+    rows = [(i, f"Read more about alpha{chr(97 + i)}zz in our fine shop today", "en", "s", 1) for i in range(8)]
+    rows += [(100 + i, "Read more " + " ".join(rng.choice(WORDS) for _ in range(7)), "en", "s", 1) for i in range(others)]
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(8)] == [0] + [1] * 7 and sum(got.values()) == 7
+
+
+def test_line_templates_keep_the_columns_of_the_caller(spark):
+    rows = [(i, "All rights are reserved here\nown" + str(i), i, i, i, i) for i in range(4)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "drops", "a.b", "n_lines", "`q`"])
+    out = line_templates.drop_lines(docs, counts=False)
+    assert out.columns == docs.columns
+    assert sorted((r[0], r[2], r[3], r[4], r[5]) for r in out.collect()) == [(i,) * 5 for i in range(4)]
+    assert {r.doc_id: r.n_dropped for r in line_templates.drop_lines(docs).collect()} == {0: 0, 1: 2, 2: 2, 3: 2}
+
+
 def test_templates_of_a_full_leaf(spark):
     rng = random.Random(21)
     frames = [[rng.choice(WORDS) for _ in range(8)] for _ in range(9)]

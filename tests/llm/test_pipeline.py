@@ -19,7 +19,7 @@ def test_stages(spark):
 def test_run_is_its_operators_in_turn(spark):
     labels, items = table(spark, DATA, "labels"), table(spark, DATA, "benchmark")
     docs = toxicity.drop_toxic(table(spark, DATA, "documents"), labels)
-    docs = line_templates.drop_lines(docs).drop("n_lines", "n_dropped")
+    docs = line_templates.drop_lines(docs, counts=False)
     groups = {(r.doc_id, r.text_hash) for r in simhash.near_groups(docs).where("first").collect()}
     kept = [r for r in docs.withColumn("h", F.xxhash64("text")).collect() if (r.doc_id, r.h) in groups]
     bad = {r.doc_id for r in decontaminate.digest(docs, items).where("contaminated").collect()}

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prosegauge.llm import decontaminate, line_templates, simhash, source_mix, toxicity
 from prosegauge.llm.common import scratch, table
@@ -21,8 +22,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur across documents go, but for the first of each; no document goes. n_chars follows the text."""
-    out = line_templates.drop_lines(docs)
-    return out.select(*docs.columns) if "n_chars" not in docs.columns else out.selectExpr(*(f"CAST(length(text) AS BIGINT) AS `{c}`" if c == "n_chars" else f"`{c}`" for c in docs.columns))
+    out = line_templates.drop_lines(docs, counts=False)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

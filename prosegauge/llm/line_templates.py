@@ -17,8 +17,6 @@ another line of the leaf, and only pieces that recur so can be constant.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +42,7 @@ def masked_lines(text: Column) -> Column:
     odd = text.contains("  ") | text.rlike(r"[0-9\x09\x0B-\x0D]")
     tidy = lambda x: F.when(x.contains("  ") | x.rlike(r"[\x09\x0B-\x0D]"), F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "))).otherwise(F.trim(x))
     hide = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(tidy(x), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(tidy(x))
-    return F.when(odd, F.transform(raw, hide)).otherwise(F.transform(raw, F.trim))
+    return F.when(odd, F.transform(raw, hide)).otherwise(F.transform(raw, lambda x: F.trim(x)))  # noqa: PLW0108  F.trim itself would take the place for the characters to trim
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -53,18 +51,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(__id, __hash, line_no, n, leaf, body, __p0 ...) of each line with a token.
+    """(__id, __hash, line_no, n, body, of, __p0 ...) of each line with a token.
 
-    ``body`` is the hash of the masked line, the others those of its pieces,
-    which name leaf and place too; pieces that a line does not have, or too few to generalise, are null.
+    ``body`` is the hash of the masked line, ``of`` the number of its pieces,
+    and the others are theirs, which name leaf and place too; those from
+    ``of`` on say nothing. No condition stands around them: the engine would
+    work out the edges again for each.
     """
     cut = keyed(docs).select("__id", "__hash", F.posexplode(masked_lines(F.col("text").cast("string"))).alias("line_no", "line")).where("line <> ''")
-    cut = cut.select("__id", "__hash", "line_no", F.xxhash64("line").alias("body"), F.split("line", " ").alias("toks"))
-    cut = cut.withColumn("n", F.size("toks"))
-    cut = cut.withColumns({"leaf": F.xxhash64("n", F.slice("toks", 1, LEADING)), "of": F.least(F.col("n") - LEADING, F.lit(PIECES))})
-    edge = lambda k: LEADING + F.floor((F.col("n") - LEADING) * k / F.col("of")).cast("int")
-    piece = lambda k: F.when((F.col("of") > k) & (F.col("of") >= LEAST_PIECES), F.xxhash64("leaf", F.lit(k), F.slice("toks", edge(k) + 1, edge(k + 1) - edge(k))))
-    return cut.select("__id", "__hash", "line_no", "n", "leaf", "body", *(piece(k).alias(c) for k, c in enumerate(NAMES)))
+    # A generator of one row: the line is split once, not once for each piece.
+    cut = cut.select("__id", "__hash", "line_no", F.xxhash64("line").alias("body"), F.explode(F.array(F.split("line", " "))).alias("toks"))
+    cut = cut.withColumn("n", F.size("toks")).withColumn("behind", F.greatest(F.col("n") - LEADING, F.lit(0)))
+    cut = cut.withColumn("of", F.least("behind", F.lit(PIECES))).select("*", F.xxhash64("n", F.slice("toks", 1, LEADING)).alias("leaf"))
+    edge = lambda k: F.expr(f"{LEADING} + behind * {k} div greatest(of, 1)").cast("int")
+    piece = lambda k: F.xxhash64("leaf", F.lit(k), F.slice("toks", edge(k) + 1, edge(k + 1) - edge(k)))
+    return cut.select("__id", "__hash", "line_no", "n", "body", "of", *(piece(k).alias(c) for k, c in enumerate(NAMES)))
 
 
 def recurring(cells: DataFrame, least: int) -> DataFrame:
@@ -87,8 +88,8 @@ def by_pieces(make) -> Column:
 
 def templates(lines: DataFrame, least_docs: int) -> DataFrame:
     """(body, template), several for a body, of the lines that templates generalise; of templates of the same lines there is one."""
-    own = lines.where(F.col(NAMES[0]).isNotNull()).groupBy("body").agg(F.count(F.lit(1)).alias("places"), *(F.max(c).alias(c) for c in NAMES))
-    own = materialise(own.withColumn("of", reduce(lambda a, b: a + b, (F.col(c).isNotNull().cast("int") for c in NAMES))), "zstd")
+    own = lines.where(F.col("of") >= LEAST_PIECES).groupBy("body").agg(F.count(F.lit(1)).alias("places"), *(F.max(c).alias(c) for c in ("of", *NAMES)))
+    own = materialise(own, "zstd")
     # First sieve: of one part more than pieces may be variable, one at least is whole in all lines of a template.
     part = lambda of, wild, k: F.xxhash64(*(NAMES[i] for i in range(of) if i * (wild + 1) // of == k))
     parts = own.select("body", "places", F.explode(by_pieces(lambda of, wild: F.array(*(part(of, wild, k) for k in range(wild + 1))))).alias("cell"))
@@ -96,7 +97,7 @@ def templates(lines: DataFrame, least_docs: int) -> DataFrame:
     near = parts.join(again.hint("merge"), "cell", "left_semi").select("body").distinct()
     near = materialise(own.join(near, "body"))
     # Second sieve: what is constant in a template recurs.
-    pieces = near.select("body", "places", F.posexplode(F.array_compact(F.array(*NAMES))).alias("k", "cell"))
+    pieces = near.select("body", "places", F.posexplode(F.slice(F.array(*NAMES), F.lit(1), F.col("of"))).alias("k", "cell"))
     again = materialise(recurring(pieces, least_docs).select("cell"))
     held = pieces.join(again.hint("merge"), "cell", "left_semi").groupBy("body").agg(F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("held"))
     held = materialise(near.join(held, "body"))

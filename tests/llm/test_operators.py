@@ -251,7 +251,7 @@ def test_line_templates_are_those_of_a_plain_tree(spark, seed):
         w = list(rng.choice(frames))
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(2, len(w))] = rng.choice([*WORDS, "no7", "12"])
-        return " ".join(w)
+        return rng.choice(["", " ", "\t"]) + rng.choice([" ", " ", "  ", " \t"]).join(w) + rng.choice(["", " ", "\r"])
 
     rows = [(None if i == 9 else i, "\n".join(rng.choice([line, varied, lambda: "", lambda: rng.choice(WORDS)])() for _ in range(rng.randint(1, 9))), "", "", 0) for i in range(70)]
     rows += [rows[3], rows[4], (5, rows[6][1], "", "", 0), (200, None, "", "", 0)]

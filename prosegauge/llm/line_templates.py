@@ -123,7 +123,8 @@ def line_marks(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int
     often = in_docs.where(F.col("docs") >= least_docs).select("body", F.col("body").alias("template"))
     members = materialise(templates(lines, least_docs).unionByName(often))
     here = F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__hash", "line_no")
-    concerned = by_doc.join(materialise(members.select("body").distinct()).hint("merge"), "body", "left_semi")
+    # written before it is grouped: a frequent line's places are added up where they are, not in one task
+    concerned = materialise(by_doc.join(materialise(members.select("body").distinct()).hint("merge"), "body", "left_semi"))
     bodies = materialise(concerned.groupBy("body").agg(F.count(F.lit(1)).alias("docs"), F.min(here).alias("first")))
     each = members.join(bodies, "body")
     all_ = each.groupBy("template").agg(F.max("docs").alias("most"), F.min("first").alias("first"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.functions.constants import BLOCK, CODE, LINK, NUMBER, PARENS, QUOTES, TOKEN, URL
@@ -11,6 +11,34 @@ OPEN, CLOSE = "\x01", "\x02"
 MATCH = "struct<start:int,text:string>"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, however many expressions read them.
+
+    A generator of one row stands between: the optimiser would otherwise put
+    the expression in each reader's place.
+    """
+    made = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return df.select("*", F.explode(F.array(made)).alias("__once")).select(*(c for c in df.columns if c not in columns), "__once.*")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """A double of 0 or more, rounded by its exact binary value; only an exact tie goes to the even digit.
+
+    0.35 lies below its decimal and becomes 0.3, 2.25 is a tie and becomes
+    2.2. The fraction is taken as 63 bits of integer arithmetic.
+    """
+    whole = F.floor(x)
+    high = F.floor((x - whole) * 2.0**31)
+    low = F.floor(((x - whole) * 2.0**31 - high) * 2.0**32)
+    wide = lambda c: c.cast("decimal(20,0)")
+    bits = (wide(high) * F.lit(2**32).cast("decimal(10,0)") + wide(low)).cast("decimal(20,0)")
+    parts = (bits * F.lit(2 * 10**digits).cast("decimal(6,0)")).cast("decimal(28,0)")  # twice the digits, in 2 ** -63
+    last = F.floor(parts / F.lit(str(2**64)).cast("decimal(20,0)")).cast("long")
+    over = parts - (2 * last + 1).cast("decimal(8,0)") * F.lit(str(2**63)).cast("decimal(19,0)")
+    up = (over > 0) | ((over == 0) & (last % 2 == 1))
+    return (whole * 10**digits + last + up.cast("long")).cast("double") / float(10**digits)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -44,10 +72,23 @@ def mask(c: Column, pattern: str) -> Column:
     return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.repeat(F.lit(" "), F.length(F.substring_index(p, CLOSE, 1))), F.substring(p, F.length(F.substring_index(p, CLOSE, 1)) + 2, F.length(p))))), "")
 
 
+def unquoted(c: Column) -> Column:
+    """What stands in parentheses or straight quotes becomes as many blanks."""
+    return F.when(c.contains("(") | c.contains('"'), mask(mask(c, PARENS), QUOTES)).otherwise(c)
+
+
 def tokens_of(c: Column) -> Column:
     """Words as (start, text); what stands in parentheses or straight quotes has none."""
-    plain = F.when(c.contains("(") | c.contains('"'), mask(mask(c, PARENS), QUOTES)).otherwise(c)
-    return match_all(plain, TOKEN)
+    return match_all(unquoted(c), TOKEN)
+
+
+def words_of(c: Column) -> Column:
+    """The words of ``tokens_of`` without their places."""
+    return F.regexp_extract_all(unquoted(c), F.lit(TOKEN), F.lit(0))
+
+
+def word_count(c: Column) -> Column:
+    return F.regexp_count(unquoted(c), F.lit(TOKEN))
 
 
 def controlled_words(c: Column) -> Column:
@@ -71,14 +112,3 @@ def hide_block(c: Column) -> Column:
 
 def trim_edge(c: Column) -> Column:
     return F.regexp_replace(c, "^['’-]+|['’-]+$", "")
-
-
-def stem_candidates(word: Column, suffixes, least_double: int = 3) -> Column:
-    """Stems that a word may inflect, in the order of ``suffixes``, each with its undoubled form after it; three letters at least."""
-    out = []
-    for suffix, ending in suffixes:
-        stem = F.concat(F.left(word, F.length(word) - len(suffix)), F.lit(ending))
-        fits = word.endswith(suffix) & (F.length(word) > len(suffix) + 1)
-        double = (F.length(stem) > least_double) & (F.right(stem, F.lit(1)) == F.left(F.right(stem, F.lit(2)), F.lit(1)))
-        out += [F.when(fits, stem), F.when(fits & double, F.left(stem, F.length(stem) - 1))]
-    return F.array_distinct(F.filter(F.array(*out), lambda s: s.isNotNull() & (F.length(s) >= 3)))

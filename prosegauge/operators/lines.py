@@ -2,45 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegauge.functions.constants import BLOCK, FENCE, ITEM, LINE_BREAK, SEPARATOR, TABLE_ROW
 from prosegauge.functions.text import hide_block, inline_clean, strip
 
+#: What names a document: the number of its row, so that rows with one id, or none, stay apart; and its id.
+DOC = ("doc_row", "doc_id")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with doc_row, the number of each row where it is read; a doc_row of the caller's own is kept.
+
+    Rows that come in another order when they are computed again need one of
+    their own, or should be written first.
+    """
+    return docs if "doc_row" in docs.columns else docs.withColumn("doc_row", F.monotonically_increasing_id())
+
 
 def dealt(docs: DataFrame) -> DataFrame:
-    """Documents dealt by doc_id: the only exchange of the checking plan, as all its windows and groups are of a document.
+    """Documents dealt by row: the only exchange of the checking plan, as all its windows and groups are of a document.
 
     The number is fixed, else the engine would join partitions of few bytes
     though each takes seconds of work.
     """
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return docs.repartition(n, "doc_id")
+    return numbered(docs).repartition(n, "doc_row")
 
 
 def raw_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no from 1, raw); a break at the end of a text opens no line."""
+    """(doc_row, doc_id, line_no from 1, raw); a break at the end of a text opens no line."""
+    docs = numbered(docs)
     parts = F.split(F.col("text"), LINE_BREAK)
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return docs.select("doc_id", F.posexplode(parts).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1)
+    return docs.select(*DOC, F.posexplode(parts).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def fenced(lines: DataFrame) -> DataFrame:
     """Add fence (the line opens or closes a block of code) and in_fence."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
+    w = Window.partitionBy(*DOC).orderBy("line_no")
     lines = lines.withColumn("fence", F.col("raw").rlike(FENCE))
     return lines.withColumn("in_fence", F.sum(F.col("fence").cast("int")).over(w) % 2 == 1)
 
 
+def is_row(raw: Column) -> Column:
+    """Whether a line is a row of a table."""
+    bare = strip(raw)
+    return raw.rlike(TABLE_ROW) & (F.length(bare) - F.length(F.replace(bare, F.lit("|"), F.lit(""))) >= 2)
+
+
 def clean_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, text, starts_block): prose, with code, links, marks and table rules taken out."""
+    """(doc_row, doc_id, line_no, text, starts_block): prose, with code, links, marks and table rules taken out."""
     lines = fenced(raw_lines(dealt(docs)))
     raw, bare = F.col("raw"), strip(F.col("raw"))
     gone = F.col("fence") | F.col("in_fence")
     rule = bare.contains("|") & bare.contains("-") & bare.rlike(SEPARATOR)
-    row = raw.rlike(TABLE_ROW) & (F.length(bare) - F.length(F.replace(bare, F.lit("|"), F.lit(""))) >= 2)
+    row = is_row(raw)
     inner = F.regexp_replace(strip(inline_clean(raw)), r"^\|+|\|+$", "")
     cells = F.filter(F.transform(F.split(inner, r"\|"), lambda c: F.replace(strip(c), F.lit(":"), F.lit(" "))), lambda c: c != "")
     cells = F.when(F.size(cells) > 0, F.concat(F.array_join(cells, ". "), F.lit("."))).otherwise("")
@@ -48,4 +67,4 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     prose = F.when(raw.rlike(ITEM), prose).otherwise(F.replace(prose, F.lit(":"), F.lit(" ")))
     text = F.when(gone | rule, "").when(row, cells).otherwise(prose)
     block = F.when(gone | rule, False).when(row, True).otherwise(raw.rlike(BLOCK))
-    return lines.select("doc_id", "line_no", text.alias("text"), block.alias("starts_block"))
+    return lines.select(*DOC, "line_no", text.alias("text"), block.alias("starts_block"))

@@ -1,19 +1,23 @@
 """Rules over sentences, tokens, paragraphs and lines. Each gives findings.
 
-A finding is doc_id, line, col, rule, message, suggestion, severity, term,
+A finding is doc_row, doc_id, line, col, rule, message, suggestion, severity, term,
 and sent_id with seq, which put findings of one place in order.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegauge.functions import constants as C
-from prosegauge.functions.text import MATCH, controlled_words, match_all, stem_candidates, strip, tokens_of, trim_edge
+from prosegauge.functions.text import controlled_words, match_all, once, strip, tokens_of, trim_edge
+from prosegauge.operators.lines import DOC
 from prosegauge.sources.lexicon import Lexicon
 
-COLUMNS = ["doc_id", "line", "col", "rule", "message", "suggestion", "severity", "term", "sent_id", "seq"]
+# The wording of messages and suggestions below is a fixed value of the output format.
+COLUMNS = [*DOC, "line", "col", "rule", "message", "suggestion", "severity", "term", "sent_id", "seq"]
 UNKNOWN = "not in the dictionary"
 VIOLATION, ADVISORY = "violation", "advisory"
 
@@ -21,7 +25,7 @@ VIOLATION, ADVISORY = "violation", "advisory"
 def finding(df: DataFrame, rule, message: Column, suggestion=None, severity=VIOLATION, term=None, col: Column | None = None, seq: int = 0) -> DataFrame:
     as_col = lambda x, default="": F.lit(default) if x is None else F.lit(x) if isinstance(x, str) else x
     sent = F.col("sent_id") if "sent_id" in df.columns else F.lit(1 << 30)
-    return df.select("doc_id", F.col("line").cast("int"), (F.col("col") if col is None else col).cast("int").alias("col"), as_col(rule).alias("rule"), message.alias("message"), as_col(suggestion).alias("suggestion"), as_col(severity).alias("severity"), as_col(term).alias("term"), sent.cast("int").alias("sent_id"), F.lit(seq).alias("seq"))
+    return df.select(*DOC, F.col("line").cast("int"), (F.col("col") if col is None else col).cast("int").alias("col"), as_col(rule).alias("rule"), message.alias("message"), as_col(suggestion).alias("suggestion"), as_col(severity).alias("severity"), as_col(term).alias("term"), sent.cast("int").alias("sent_id"), F.lit(seq).alias("seq"))
 
 
 def quoted(c: Column) -> Column:
@@ -50,30 +54,47 @@ def procedural(text: Column, lex: Lexicon) -> Column:
 def with_shape(sents: DataFrame, lex: Lexicon, mode: str = "auto") -> DataFrame:
     """Add n_words, toks and procedural."""
     own = F.lit(mode == "procedural") if mode != "auto" else procedural(F.col("text"), lex)
-    return sents.withColumns({"n_words": controlled_words(F.col("text")), "toks": tokens_of(F.col("text")), "procedural": own})
+    return once(sents, n_words=controlled_words(F.col("text")), toks=tokens_of(F.col("text")), procedural=own)
+
+
+def with_tokens(sents: DataFrame) -> DataFrame:
+    """Add toks alone, for what asks for words only."""
+    return once(sents, toks=tokens_of(F.col("text")))
+
+
+SPAN = "struct<start:int,end:int,phrase:string,kind:string>"
 
 
 def with_phrases(sents: DataFrame, lex: Lexicon) -> DataFrame:
-    """Add spans, the phrases found: (start, end, phrase, kind). Terms all count; of disallowed phrases, longer ones take the text first."""
-    low = F.lower("text")
-    kind = "struct<start:int,end:int,phrase:string,kind:string>"
-    none = F.expr(f"cast(array() as array<{kind}>)")
+    """Add spans, the phrases found: (start, end, phrase, kind). Terms all count; of disallowed phrases, longer ones take the text first.
+
+    A phrase is looked for only in sentences that hold its first word, so the
+    plan and the work do not grow with the number of phrases.
+    """
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
     listed = [(p, "term") for p in lex.domain_phrases] + [(p, "bad") for p in lex.bad_phrases]
     if not listed:
         return sents.withColumn("spans", none)
+    by_word: dict[str, list] = {}
+    for rank, (phrase, kind) in enumerate(listed):
+        by_word.setdefault(re.search(r"\w+|$", phrase).group(), []).append(F.struct(F.lit(rank).alias("rank"), F.lit(phrase).alias("phrase"), F.lit(kind).alias("kind")))
+    phrases = F.create_map(*(x for w, own in by_word.items() for x in (F.lit(w), F.array(*own))))
+    low = F.lower("text")
+    words = F.array_distinct(F.filter(F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: w.isin(*by_word)))
+    near = F.array_sort(F.filter(F.flatten(F.transform(words, lambda w: phrases[w])), lambda p: low.contains(p["phrase"])))
 
-    def found(phrase: str, what: str) -> Column:
-        hits = F.transform(match_all(low, r"(?U)\b\Q" + phrase + r"\E\b"), lambda m: F.struct(m["start"].alias("start"), (m["start"] + len(phrase)).alias("end"), F.lit(phrase).alias("phrase"), F.lit(what).alias("kind")))
-        return F.when(low.contains(phrase), hits).otherwise(none)
+    def places(p: Column) -> Column:
+        hits = match_all(low, F.concat(F.lit(r"(?U)\b\Q"), p["phrase"], F.lit(r"\E\b")))
+        return F.transform(hits, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(p["phrase"])).alias("end"), p["phrase"].alias("phrase"), p["kind"].alias("kind")))
 
-    every = F.flatten(F.array(*(found(*x) for x in listed)))
     clear = lambda acc, x: ~F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    return sents.withColumn("spans", F.aggregate(every, none, lambda acc, x: F.when((x["kind"] == "term") | clear(acc, x), F.concat(acc, F.array(x))).otherwise(acc)))
+    every = F.flatten(F.transform(near, places))
+    return once(sents, spans=F.when(F.size(near) > 0, F.aggregate(every, none, lambda acc, x: F.when((x["kind"] == "term") | clear(acc, x), F.concat(acc, F.array(x))).otherwise(acc))).otherwise(none))
 
 
 def tokens(sents: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, line, col, idx, word, offset, prev_word, gap, last): one row for each token."""
-    at = sents.select("doc_id", "sent_id", "line", "col", *(c for c in ("spans",) if c in sents.columns), F.col("text").alias("sentence"), "toks", F.posexplode("toks").alias("idx", "t"))
+    """(doc_row, doc_id, sent_id, line, col, idx, word, offset, prev_word, gap, last): one row for each token."""
+    at = sents.select(*DOC, "sent_id", "line", "col", *(c for c in ("spans",) if c in sents.columns), F.col("text").alias("sentence"), "toks", F.posexplode("toks").alias("idx", "t"))
     prev = F.when(F.col("idx") > 0, F.get("toks", F.col("idx") - 1))
     end = F.coalesce(prev["start"] + F.length(prev["text"]), F.lit(0))
     at = at.withColumns({"word": F.col("t.text"), "offset": F.col("t.start"), "prev_word": prev["text"], "gap": F.when(F.col("t.start") > 0, F.substring("sentence", end + 1, F.col("t.start") - end)).otherwise(""), "last": F.col("idx") + 1 == F.size("toks")})
@@ -85,7 +106,7 @@ def tokens(sents: DataFrame) -> DataFrame:
 
 def phrase_findings(sents: DataFrame, lex: Lexicon) -> DataFrame:
     """Rules 1.6, 1.1 and 9.3 of phrases."""
-    rows = sents.where(F.size("spans") > 0).select("doc_id", "sent_id", "line", "col", F.explode("spans").alias("s")).select("*", F.col("s.phrase").alias("key"))
+    rows = sents.where(F.size("spans") > 0).select(*DOC, "sent_id", "line", "col", F.explode("spans").alias("s")).select("*", F.col("s.phrase").alias("key"))
     rows = rows.join(F.broadcast(lex.rows), "key")
     at = F.col("col") + F.col("s.start")
     term = finding(rows.where("s.kind = 'term' and collision"), "1.6", F.concat(quoted(F.col("key")), F.lit(" is a listed term, but a disallowed word")), F.concat(F.lit("confirm the term; otherwise use "), first_of("alt_words", 3)), ADVISORY, F.col("key"), at, 1)
@@ -100,7 +121,8 @@ def word_findings(toks: DataFrame, lex: Lexicon) -> DataFrame:
     word, offset = F.col("word"), F.col("offset")
     toks = toks.withColumn("key", trim_edge(F.lower(word)))
     free = ~F.exists("spans", lambda s: (offset >= s["start"]) & (offset < s["end"])) if "spans" in toks.columns else F.lit(True)
-    rows = toks.where(free & (F.length("key") > 1) & ~F.col("key").rlike("['’]") & ~F.col("key").isin(*C.SAFETY)).join(F.broadcast(lex.rows), "key", "left")
+    rows = toks.where(free & (F.length("key") > 1) & ~F.col("key").rlike("['’]") & ~F.col("key").isin(*C.SAFETY))
+    rows = lex.look_up(rows, trim_edge(word), "good_pos", "bad_pos", "labels", "alt_words", "unapproved", "self_alternative", "approved", "collision")
     known = lambda c: F.coalesce(F.col(c), F.lit(False))
     british = F.create_map(*(F.lit(x) for kv in C.BRITISH.items() for x in kv))
     wrong = F.filter("bad_pos", lambda p: ~F.array_contains("good_pos", p))
@@ -110,7 +132,7 @@ def word_findings(toks: DataFrame, lex: Lexicon) -> DataFrame:
     noun = (F.size("bad_pos") > 0) & (F.size(F.array_except("bad_pos", roles)) == 0) & (F.col("self_alternative") | F.coalesce(F.lower("prev_word").isin(*C.DETERMINERS), F.lit(False)))
     rung = (
         F.when(F.col("key").isin(*C.BRITISH), "british")
-        .when(lex.is_domain(trim_edge(word)), F.when(known("collision"), "term"))
+        .when(F.col("listed"), F.when(known("collision"), "term"))
         .when(known("approved"), F.when(known("unapproved") & (F.size(wrong) > 0), "pos"))
         .when(proper, None)
         .when(none, "unknown")
@@ -147,12 +169,13 @@ def word_findings(toks: DataFrame, lex: Lexicon) -> DataFrame:
 
 
 def each_match(sents: DataFrame, pattern: str, *groups: int) -> DataFrame:
-    """(doc_id, sent_id, line, col, text, start, hit, g1, g2): one row for each match in a sentence."""
-    hits = sents.where(F.col("text").rlike(pattern)).select("doc_id", "sent_id", "line", "col", "text", F.explode(match_all(F.col("text"), pattern.replace("(?iU)", "(?iU)"))).alias("m"))
-    out = hits.select("doc_id", "sent_id", "line", "col", "text", F.col("m.start").alias("start"), F.col("m.text").alias("hit"))
+    """(doc_row, doc_id, sent_id, line, col, text, start, hit, g1, g2): one row for each match in a sentence."""
+    hits = sents.where(F.col("text").rlike(pattern)).select(*DOC, "sent_id", "line", "col", "text", F.explode(match_all(F.col("text"), pattern.replace("(?iU)", "(?iU)"))).alias("m"))
+    out = hits.select(*DOC, "sent_id", "line", "col", "text", F.col("m.start").alias("start"), F.col("m.text").alias("hit"))
     return out.withColumns({f"g{g}": F.lower(F.regexp_extract("hit", pattern, g)) for g in groups})
 
 
+# --- fixed values: patterns of the verb rules ---
 PERFECT = r"(?iU)\b(?:have|has|had)\s+(?:been\s+)?(\w+ed|\w+en)\b"
 PROGRESSIVE = r"(?iU)\b(?:is|are|was|were|be|been|being)\s+(\w+ing)\b"
 AUXILIARY = r"(?iU)\b(?:should|would|could|might|may|shall|ought)\b"
@@ -162,61 +185,54 @@ PASSIVE = r"(?iU)\b(?:is|are|was|were|be|been)\s+(?:\w+ly\s+)?(\w+)\b"
 def verb_findings(sents: DataFrame, lex: Lexicon) -> DataFrame:
     """Rules 3.2, 3.4 and 3.6."""
     at, q = F.col("col") + F.col("start"), quoted(F.col("hit"))
-    participle = F.col("g1").isin(*lex.those(lambda w: w["participle"]), "\x00")
-    perfect = each_match(sents, PERFECT, 1).where(participle | (F.length("g1") >= 6))
+    asked = lambda pattern: lex.look_up(each_match(sents, pattern, 1), F.col("g1"), "participle", "good_pos")
+    participle = F.coalesce(F.col("participle"), F.lit(False))
+    perfect = asked(PERFECT).where(participle | (F.length("g1") >= 6))
     out = finding(perfect, "3.2", F.concat(q, F.lit(" is a perfect tense")), "a simple past or present tense", col=at, seq=4)
-    adjective = F.col("g1").isin(*lex.those(lambda w: "adj" in w["good_pos"]), "\x00") | lex.is_domain(F.col("g1"))
-    progressive = each_match(sents, PROGRESSIVE, 1).where(~adjective)
+    adjective = F.coalesce(F.array_contains("good_pos", "adj"), F.lit(False)) | F.col("listed")
+    progressive = asked(PROGRESSIVE).where(~adjective)
     out = out.unionByName(finding(progressive, "3.2", F.concat(q, F.lit(" is a progressive tense")), "a simple present or past tense", col=at, seq=5))
     out = out.unionByName(finding(each_match(sents, AUXILIARY), "3.4", F.concat(q, F.lit(" is not an approved auxiliary")), "CAN, MUST, or WILL", col=at, seq=6))
-    passive = each_match(sents, PASSIVE, 1).where(~F.col("g1").isin(*C.FUNCTION_WORDS) & (participle | (F.col("g1").endswith("ed") & (F.length("g1") > 4))))
+    passive = asked(PASSIVE).where(~F.col("g1").isin(*C.FUNCTION_WORDS) & (participle | (F.col("g1").endswith("ed") & (F.length("g1") > 4))))
     after = F.regexp_replace(F.lower(F.expr("substring(text, start + length(hit) + 1, 6)")), r"(?U)^\s+", "")
     agent = after.startswith("by")
     said = F.concat(q, F.lit(" is passive"), F.when(agent, " with a named agent").otherwise("; confirm that it describes a condition"))
     return out.unionByName(finding(passive, "3.6", said, "the active voice, with a named doer", F.when(agent, VIOLATION).otherwise(ADVISORY), col=at, seq=7))
 
 
-def verb_of(word: Column, lex: Lexicon, suffixes, also: Column | None = None, noun_like: bool = True) -> Column:
-    """The verb that a word inflects, or null; ``noun_like`` false leaves out verbs that are nouns or adjectives too."""
-    verbs = lex.those(lambda w: w["verb"] and (noun_like or not w["noun_like"]))
-    stem = F.try_element_at(F.filter(stem_candidates(word, suffixes, 3 if noun_like else 2), lambda s: s.isin(*verbs, "\x00")), F.lit(1))
-    return F.coalesce(also, stem) if also is not None else stem
-
-
 def gerund_findings(toks: DataFrame, lex: Lexicon) -> DataFrame:
     """Rule 3.5."""
-    low = F.lower("word")
-    rows = toks.where(low.endswith("ing") & (F.length(low) >= 6))
-    skip = lex.is_domain(low) | low.isin(*lex.those(lambda w: w["approved"]), *C.SAFETY)
-    rows = rows.where(~skip).withColumn("stem", verb_of(low, lex, C.GERUND_SUFFIXES)).where("stem is not null")
-    return finding(rows, "3.5", F.concat(quoted(F.col("word")), F.lit(' is the "-ing" form of '), F.upper("stem")), "only as a technical noun or a part of one", ADVISORY, low, F.col("col") + F.col("offset"), 8)
+    rows = toks.withColumn("low", F.lower("word")).where(F.col("low").endswith("ing") & (F.length("low") >= 6) & ~F.col("low").isin(*C.SAFETY))
+    rows = lex.look_up(rows, F.col("low"), "approved").where(~F.col("listed") & ~F.coalesce(F.col("approved"), F.lit(False)))
+    rows = rows.join(F.broadcast(lex.inflected(C.GERUND_SUFFIXES)), F.col("low") == F.col("form"))
+    return finding(rows, "3.5", F.concat(quoted(F.col("word")), F.lit(' is the "-ing" form of '), F.upper("stem")), "only as a technical noun or a part of one", ADVISORY, F.col("low"), F.col("col") + F.col("offset"), 8)
 
 
 # --- shape ---------------------------------------------------------------------------------
 
 
-def breaks_cluster(word: Column, lex: Lexicon) -> Column:
-    low = F.lower(word)
-    among = lambda test: low.isin(*lex.those(test), "\x00")
-    noun = lambda w: any(p in C.NOUN_LIKE for p in w["good_pos"])
-    stem = verb_of(low, lex, C.VERB_SUFFIXES, F.when(among(lambda w: w["verb"]), low), noun_like=False)
-    return (
-        F.when(lex.is_domain(word), False)
-        .when(low.isin(*C.FUNCTION_WORDS) | among(lambda w: w["closed"]), True)
-        .when(among(lambda w: w["approved"] and noun(w)), False)
-        .when(among(lambda w: w["approved"]), among(lambda w: "v" in w["good_pos"]))
-        .when(among(lambda w: w["noun_like"]), False)
-        .otherwise(stem.isNotNull())
-    )
-
-
 def cluster_findings(toks: DataFrame, lex: Lexicon) -> DataFrame:
-    """Rule 2.1: runs of more than three content words. The word after a punctuation mark is in no run."""
-    w = Window.partitionBy("doc_id", "sent_id").orderBy("idx")
+    """Rule 2.1: runs of more than three content words. The word after a punctuation mark is in no run.
+
+    What a word is comes from one join with the lexicon and one with the forms
+    of its verbs; a run is what stands between two words that break it.
+    """
+    known = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rows = lex.look_up(toks, F.col("word"), "good_pos", "approved", "closed", "noun_like", "verb")
+    forms = lex.inflected(C.VERB_SUFFIXES, least_double=2, noun_like=False)
+    rows = rows.join(F.broadcast(forms), F.lower("word") == F.col("form"), "left")
+    breaks = (
+        F.when(F.col("listed"), False)
+        .when(F.lower("word").isin(*C.FUNCTION_WORDS) | known("closed"), True)
+        .when(known("approved"), ~F.arrays_overlap("good_pos", F.array(*map(F.lit, C.NOUN_LIKE))) & F.array_contains("good_pos", "v"))
+        .when(known("noun_like"), False)
+        .otherwise(known("verb") | F.col("stem").isNotNull())
+    )
     broken = (F.col("offset") > 0) & F.col("gap").rlike(r'[,;:.()"]')
-    rows = toks.withColumn("content", ~broken & ~breaks_cluster(F.col("word"), lex))
+    w = Window.partitionBy(*DOC, "sent_id").orderBy("idx")
+    rows = rows.withColumn("content", ~broken & ~breaks)
     rows = rows.withColumn("run", F.sum((~F.col("content")).cast("int")).over(w)).where("content")
-    runs = rows.groupBy("doc_id", "sent_id", "run").agg(F.count(F.lit(1)).alias("n"), F.min("offset").alias("start"), F.first("line").alias("line"), F.first("col").alias("col"), F.array_sort(F.collect_list(F.struct("idx", "word"))).alias("ws"))
+    runs = rows.groupBy(*DOC, "sent_id", "run").agg(F.count(F.lit(1)).alias("n"), F.min("offset").alias("start"), F.first("line").alias("line"), F.first("col").alias("col"), F.array_sort(F.collect_list(F.struct("idx", "word"))).alias("ws"))
     runs = runs.where(F.col("n") > C.WORDS_CLUSTER)
     said = F.concat(quoted(F.array_join(F.transform("ws", lambda x: x["word"]), " ")), F.lit(" may be a noun of "), F.col("n").cast("string"), F.lit(f" words; the limit is {C.WORDS_CLUSTER}"))
     return finding(runs, "2.1", said, "break it up with prepositions", ADVISORY, col=F.col("col") + F.col("start"), seq=13)
@@ -241,14 +257,14 @@ def shape_findings(sents: DataFrame, lex: Lexicon) -> DataFrame:
 
 def paragraph_findings(sents: DataFrame) -> DataFrame:
     """Rule 6.6."""
-    many = sents.groupBy("doc_id", "paragraph").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sent_id", "line", "col")).alias("f")).where(F.col("n") > C.SENTENCES_PARAGRAPH)
-    rows = many.select("doc_id", F.col("f.line").alias("line"), F.col("f.col").alias("col"), "n")
+    many = sents.groupBy(*DOC, "paragraph").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sent_id", "line", "col")).alias("f")).where(F.col("n") > C.SENTENCES_PARAGRAPH)
+    rows = many.select(*DOC, F.col("f.line").alias("line"), F.col("f.col").alias("col"), "n")
     return finding(rows, "6.6", F.concat(F.lit("paragraph of "), F.col("n").cast("string"), F.lit(f" sentences; the limit is {C.SENTENCES_PARAGRAPH}")), "split it in two", seq=14)
 
 
 def safety_findings(lines: DataFrame, fix_quirks: bool = False) -> DataFrame:
     """Rules 7.2 and 7.3. fix_quirks looks for whole label words and lets a label without a colon keep its line's rest."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
+    w = Window.partitionBy(*DOC).orderBy("line_no")
     bare = strip(F.col("text"))
     near = [F.nullif(strip(F.lead("text", k).over(w)), F.lit("")) for k in (1, 2)]
     label = r"(?i)^(?:" + "|".join(C.SAFETY) + ")" + (r"\b" if fix_quirks else "")
@@ -264,5 +280,3 @@ def safety_findings(lines: DataFrame, fix_quirks: bool = False) -> DataFrame:
     bald = rows.where(F.col("body").isNotNull() & (F.regexp_count("body", F.lit("[.!?]")) < 2) & ~why)
     return out.unionByName(finding(bald, "7.3", F.lit("a safety instruction gives no risk or result"), "add what can happen", seq=17))
 
-
-__all__ = ["MATCH", *(n for n in dir() if n.endswith("_findings"))]

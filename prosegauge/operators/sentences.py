@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions.constants import ABBREVIATIONS
 from prosegauge.functions.text import blank, strip
+from prosegauge.operators.lines import DOC
 
 CUT = "\x03"
 PART = "struct<col:int,text:string,ends:boolean>"
@@ -37,7 +38,7 @@ def parts_of(line: Column, fix_quirks: bool = False) -> Column:
 
 def paragraphs(lines: DataFrame) -> DataFrame:
     """Add is_blank, fresh (nothing runs on into the line) and paragraph (from 0)."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
+    w = Window.partitionBy(*DOC).orderBy("line_no")
     out = lines.withColumn("is_blank", blank(F.col("text")))
     out = out.withColumn("after_blank", F.lag("is_blank", 1, True).over(w))
     step = ~F.col("after_blank") & (F.col("is_blank") | F.col("starts_block"))
@@ -45,14 +46,14 @@ def paragraphs(lines: DataFrame) -> DataFrame:
 
 
 def sentences(lines: DataFrame, fix_quirks: bool = False) -> DataFrame:
-    """(doc_id, sent_id, line, col, text, paragraph). All windows are by document: one exchange."""
+    """(doc_row, doc_id, sent_id, line, col, text, paragraph). All windows are by document: one exchange."""
     own = paragraphs(lines).where(~F.col("is_blank"))
-    parts = own.select("doc_id", "line_no", "paragraph", "fresh", F.posexplode(parts_of(F.col("text"), fix_quirks)).alias("k", "p"))
-    w = Window.partitionBy("doc_id").orderBy("line_no", "k")
+    parts = own.select(*DOC, "line_no", "paragraph", "fresh", F.posexplode(parts_of(F.col("text"), fix_quirks)).alias("k", "p"))
+    w = Window.partitionBy(*DOC).orderBy("line_no", "k")
     new = F.coalesce(F.lag("p.ends").over(w), F.lit(True)) | ((F.col("k") == 0) & F.col("fresh"))
     parts = parts.withColumn("sent_id", F.sum(new.cast("int")).over(w).cast("int"))
-    joined = parts.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "k", "p"))).alias("ps"), F.max("paragraph").alias("paragraph"))
+    joined = parts.groupBy(*DOC, "sent_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "k", "p"))).alias("ps"), F.max("paragraph").alias("paragraph"))
     text = strip(F.array_join(F.transform("ps", lambda x: x["p"]["text"]), " "))
     first = F.element_at("ps", 1)
-    out = joined.select("doc_id", "sent_id", first["line_no"].alias("line"), (first["p"]["col"] + 1).alias("col"), text.alias("text"), "paragraph")
+    out = joined.select(*DOC, "sent_id", first["line_no"].alias("line"), (first["p"]["col"] + 1).alias("col"), text.alias("text"), "paragraph")
     return out.where("text <> ''")

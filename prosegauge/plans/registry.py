@@ -1,64 +1,42 @@
 """Registered queries, by name, and their DuckDB SQL.
 
-Markdown never occurs in the generated documents, so its steps run over
-MARKDOWN, whose rows both engines get as literals.
+Every query over text runs on all documents and, for what those never hold,
+on the few texts of ``fixtures.TEXTS``, which both engines get as literals
+with ids of their own.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosegauge.functions import constants as C
-from prosegauge.functions.text import controlled_words
+from prosegauge.functions.text import controlled_words, rounded, word_count, words_of
 from prosegauge.operators import dictionary, lines, report, rules
 from prosegauge.operators.sentences import paragraphs, sentences
-from prosegauge.plans import check, fixtures, oracle
-from prosegauge.sources.lexicon import Lexicon, approved_forms
-
-MARKDOWN = [
-    (1, "One is here. Two is here. Three is here. Four is here.\nFive is here. Six is here. Seven is here."),
-    (2, "- One is here. Two is here.\n- Three is here: four is here.\n1) Five is here.\n"),
-    (3, "Before it.\n```\ncode; more code\n```\nAfter it; now.\n```\nnever; closed"),
-    (4, "| Name of part | Use `x` of it |\n|---|:--:|\n| pump: red | see [the label](http://a.b) |\nText | with | bars."),
-    (5, "See No. 5 here. See Fig. 2 and e.g. this one. It cost 3.5 mm of wire (about one inch) and \"two words\" 50% off."),
-    (6, "\n\n# Head\nText goes on\nto a second line. Then more *words* here\n\n\nA new one: with a colon http://x.y/z. Next www.a.b, too."),
-    (7, "Warning: Do not touch it.\n\n- Caution: The tank is hot.\n- Danger: Stop the pump. It can cause injury.\nNotice\n\nnothing near"),
-    (8, "It isn't open. You should stop. They have opened the lid; the colour is closed by a spring. She may be waiting."),
-    (9, "If it is hot, when the lamp is on, turn the key and close the lid. After the test turn it. Do it and make one and go."),
-    (10, ""),
-]
+from prosegauge.plans import check, fixtures, oracle, selftest
+from prosegauge.sources.lexicon import DEFAULT_TERMS, Lexicon, approved_forms, parse_terms, with_default_terms
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(fixtures.texts(spark))
 
 
-def markdown(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MARKDOWN, "doc_id long, text string")
-
-
-def corpus_lexicon(spark: SparkSession) -> Lexicon:
-    return _lexicon(spark, True)
-
-
-def mini_lexicon(spark: SparkSession) -> Lexicon:
-    return _lexicon(spark, False)
-
-
-@lru_cache(maxsize=4)
-def _lexicon(spark: SparkSession, corpus: bool) -> Lexicon:
-    return fixtures.lexicon(spark, fixtures.CORPUS, fixtures.CORPUS_TERMS) if corpus else fixtures.lexicon(spark, fixtures.MINI, ["PASS", "permit"])
+@lru_cache(maxsize=2)
+def lexicon(spark: SparkSession) -> Lexicon:
+    return fixtures.lexicon(spark, fixtures.FULL, fixtures.TERMS)
 
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-LITERAL = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {oracle.text(t)})" for i, t in MARKDOWN) + ") AS d(doc_id, text)"
-BASE = oracle.base()
-MD = oracle.base(LITERAL)
-WORDS = BASE + oracle.lexicon(fixtures.CORPUS) + oracle.ladder(fixtures.CORPUS_TERMS)
+LITERAL = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {oracle.text(t)})" for i, t in fixtures.TEXTS) + ") AS d(doc_id, text)"
+BASE = oracle.base(f"SELECT doc_id, text FROM documents UNION ALL ({LITERAL})")
+LEX = BASE + oracle.lexicon(fixtures.FULL, fixtures.TERMS)
+WORDS = LEX + oracle.ladder(fixtures.TERMS)
+FOUND = LEX + oracle.findings(fixtures.FULL, fixtures.TERMS)
+STATS = FOUND + oracle.statistics()
 
 
 def query(sql: str | None = None):
@@ -76,11 +54,11 @@ def sents_of(spark, sf_dir):
 
 
 def shaped(spark, sf_dir, mode="descriptive"):
-    return rules.with_shape(sents_of(spark, sf_dir), corpus_lexicon(spark), mode)
+    return rules.with_shape(sents_of(spark, sf_dir), lexicon(spark), mode)
 
 
 def plain_tokens(spark, sf_dir):
-    return rules.tokens(shaped(spark, sf_dir))
+    return rules.tokens(rules.with_tokens(sents_of(spark, sf_dir)))
 
 
 # --- lines and sentences ---------------------------------------------------------------
@@ -88,53 +66,45 @@ def plain_tokens(spark, sf_dir):
 
 @query(BASE + "SELECT doc_id, line_no::INT AS line_no, raw FROM raws")
 def lines_split(spark, sf_dir):
-    return lines.raw_lines(documents(spark, sf_dir))
+    return lines.raw_lines(documents(spark, sf_dir)).drop("doc_row")
 
 
 @query(BASE + "SELECT doc_id, line_no::INT AS line_no, text, starts_block FROM lines")
 def lines_cleaned(spark, sf_dir):
-    return lines.clean_lines(documents(spark, sf_dir))
-
+    return lines.clean_lines(documents(spark, sf_dir)).drop("doc_row")
 
-@query(MD + "SELECT doc_id, line_no::INT AS line_no, text, starts_block FROM lines")
-def line_cleaning_markdown(spark, sf_dir):
-    return lines.clean_lines(markdown(spark))
 
-
-@query(MD + "SELECT doc_id, line_no::INT AS line_no, fence, inside AS in_fence FROM fences")
+@query(BASE + "SELECT doc_id, line_no::INT AS line_no, fence, inside AS in_fence FROM fences")
 def code_fence(spark, sf_dir):
-    return lines.fenced(lines.raw_lines(markdown(spark))).select("doc_id", "line_no", "fence", "in_fence")
+    return lines.fenced(lines.raw_lines(lines.dealt(documents(spark, sf_dir)))).select("doc_id", "line_no", "fence", "in_fence")
 
 
-@query(MD + "SELECT doc_id, line_no::INT AS line_no, text FROM lines WHERE doc_id = 4")
+@query(BASE + "SELECT doc_id, line_no::INT AS line_no, text FROM lines WHERE (doc_id, line_no) IN (SELECT (doc_id, line_no) FROM cleaned WHERE is_row)")
 def table_cells(spark, sf_dir):
-    return lines.clean_lines(markdown(spark).where("doc_id = 4")).select("doc_id", "line_no", "text")
-
+    raw = lines.raw_lines(documents(spark, sf_dir)).where(lines.is_row(F.col("raw"))).select("doc_id", "line_no")
+    return lines.clean_lines(documents(spark, sf_dir)).join(raw, ["doc_id", "line_no"]).select("doc_id", "line_no", "text")
 
-@query(MD + "SELECT doc_id, sent_id, line, col, text, paragraph FROM sents")
-def sentences_markdown(spark, sf_dir):
-    return sentences(lines.clean_lines(markdown(spark)))
 
-
-@query(MD + "SELECT doc_id, sent_id, text FROM sents WHERE doc_id = 5")
+@query(BASE + f"SELECT doc_id, sent_id, text FROM sents WHERE regexp_matches(text, '\\b{C.ABBREVIATIONS}\\.')")
 def abbreviation_guard(spark, sf_dir):
-    return sentences(lines.clean_lines(markdown(spark).where("doc_id = 5"))).select("doc_id", "sent_id", "text")
+    return sents_of(spark, sf_dir).where(F.col("text").rlike(rf"\b{C.ABBREVIATIONS}\.")).select("doc_id", "sent_id", "text")
 
 
 @query(BASE + "SELECT doc_id, sent_id, line, col, text, paragraph FROM sents")
 def sentence_segmentation(spark, sf_dir):
-    return sents_of(spark, sf_dir)
+    return sents_of(spark, sf_dir).drop("doc_row")
 
 
-@query(MD + "SELECT doc_id, line_no::INT AS line_no, paragraph::BIGINT AS paragraph, fresh FROM paras")
+@query(BASE + "SELECT doc_id, line_no::INT AS line_no, paragraph::BIGINT AS paragraph, fresh FROM paras")
 def paragraph_ids(spark, sf_dir):
-    return paragraphs(lines.clean_lines(markdown(spark))).select("doc_id", "line_no", F.col("paragraph").cast("long"), "fresh")
+    return paragraphs(lines.clean_lines(documents(spark, sf_dir))).select("doc_id", "line_no", F.col("paragraph").cast("long"), "fresh")
 
 
-@query(BASE + "SELECT doc_id, count(*) AS sentences, sum(n_words)::BIGINT AS counted_words, max(n_words)::BIGINT AS max_sentence_words FROM counted GROUP BY doc_id")
+@query(BASE + f"SELECT doc_id, count(*) AS sentences, sum(n_words)::BIGINT AS counted_words, max(n_words)::BIGINT AS max_sentence_words, {oracle.exact_round('sum(n_words) / count(*)', 1)} AS mean_sentence_words FROM counted GROUP BY doc_id")
 def word_count_stats(spark, sf_dir):
     n = sents_of(spark, sf_dir).withColumn("n_words", controlled_words(F.col("text")))
-    return n.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum("n_words").cast("long").alias("counted_words"), F.max("n_words").cast("long").alias("max_sentence_words"))
+    out = n.groupBy(*lines.DOC).agg(F.count(F.lit(1)).alias("sentences"), F.sum("n_words").cast("long").alias("counted_words"), F.max("n_words").cast("long").alias("max_sentence_words"))
+    return out.withColumn("mean_sentence_words", rounded(F.col("counted_words") / F.col("sentences"), 1)).drop("doc_row")
 
 
 # --- tokens ---------------------------------------------------------------------------------
@@ -147,12 +117,14 @@ def token_offsets(spark, sf_dir):
 
 @query(BASE + "SELECT doc_id, count(*) AS words FROM toks GROUP BY doc_id")
 def token_count(spark, sf_dir):
-    return plain_tokens(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"))
+    n = sents_of(spark, sf_dir).withColumn("k", word_count(F.col("text")))
+    return n.groupBy(*lines.DOC).agg(F.sum("k").alias("words")).where("words > 0").drop("doc_row")
 
 
 @query(BASE + "SELECT lower(word) AS word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM toks GROUP BY 1")
 def distinct_vocabulary(spark, sf_dir):
-    each = plain_tokens(spark, sf_dir).groupBy(F.lower("word").alias("word"), "doc_id").agg(F.count(F.lit(1)).alias("k"))
+    each = sents_of(spark, sf_dir).select(*lines.DOC, F.explode(words_of(F.col("text"))).alias("word"))
+    each = each.groupBy(F.lower("word").alias("word"), *lines.DOC).agg(F.count(F.lit(1)).alias("k"))
     return each.groupBy("word").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
@@ -165,68 +137,89 @@ def found(df, rule=None, *more):
     return (df if rule is None else df.where(F.col("rule") == rule)).select(*PLACE, *more)
 
 
+def of_rule(condition: str, *more: str) -> str:
+    return FOUND + f"SELECT {', '.join((*PLACE, *more))} FROM found WHERE {condition}"
+
+
 @query(BASE + f"SELECT doc_id, line, col, n_words::INT AS n_words FROM counted WHERE n_words > {C.WORDS_DESCRIPTIVE}")
 def rule_length(spark, sf_dir):
-    return shaped(spark, sf_dir).where(F.col("n_words") > C.WORDS_DESCRIPTIVE).select(*PLACE, "n_words")
+    return sents_of(spark, sf_dir).withColumn("n_words", controlled_words(F.col("text"))).where(F.col("n_words") > C.WORDS_DESCRIPTIVE).select(*PLACE, "n_words")
 
 
 @query(BASE + f"SELECT doc_id, paragraph, count(*) AS n FROM sents GROUP BY ALL HAVING count(*) > {C.SENTENCES_PARAGRAPH}")
 def rule_paragraph(spark, sf_dir):
-    return sents_of(spark, sf_dir).groupBy("doc_id", "paragraph").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > C.SENTENCES_PARAGRAPH)
+    return sents_of(spark, sf_dir).groupBy(*lines.DOC, "paragraph").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > C.SENTENCES_PARAGRAPH).drop("doc_row")
 
 
-@query(MD + "SELECT doc_id, line, (col + instr(text, ';') - 1)::INT AS col FROM sents WHERE contains(text, ';')")
+@query(BASE + "SELECT doc_id, line, (col + instr(text, ';') - 1)::INT AS col FROM sents WHERE contains(text, ';')")
 def rule_semicolon(spark, sf_dir):
-    return found(md_findings(spark, rules.shape_findings), "8.1")
+    return found(rules.shape_findings(shaped(spark, sf_dir), lexicon(spark)), "8.1")
 
 
-def md_sents(spark):
-    lex = mini_lexicon(spark)
-    return rules.with_phrases(rules.with_shape(sentences(lines.clean_lines(markdown(spark))), lex), lex)
+@query(of_rule("seq = 12", "message"))
+def rule_contraction(spark, sf_dir):
+    return found(rules.shape_findings(shaped(spark, sf_dir), lexicon(spark)), "4.2", "message")
 
 
-def md_findings(spark, f):
-    return f(md_sents(spark), mini_lexicon(spark))
+def verbs(spark, sf_dir):
+    return rules.verb_findings(sents_of(spark, sf_dir), lexicon(spark))
 
 
-def alternatives(words) -> str:
-    return "|".join(words).replace("'", "''")
+@query(of_rule("seq = 6", "message"))
+def rule_auxiliary(spark, sf_dir):
+    return found(verbs(spark, sf_dir), "3.4", "message")
 
 
-@query(MD + oracle.matches(rf"\b(?:{alternatives(C.CONTRACTIONS)})\b") + "SELECT doc_id, line, min(col) AS col FROM hits GROUP BY doc_id, sent_id, line")
-def rule_contraction(spark, sf_dir):
-    return found(md_findings(spark, rules.shape_findings), "4.2")
+@query(of_rule("seq = 5", "message"))
+def rule_progressive(spark, sf_dir):
+    return found(verbs(spark, sf_dir).where("seq = 5"), None, "message")
 
 
-@query(MD + oracle.matches(r"\b(?:should|would|could|might|may|shall|ought)\b") + "SELECT doc_id, line, col FROM hits")
-def rule_auxiliary(spark, sf_dir):
-    return found(md_findings(spark, rules.verb_findings), "3.4")
+@query(of_rule("seq = 4", "message"))
+def rule_perfect(spark, sf_dir):
+    return found(verbs(spark, sf_dir).where("seq = 4"), None, "message")
 
 
-@query(BASE + oracle.matches(r"\b(?:is|are|was|were|be|been|being)\s+\w+ing\b") + "SELECT doc_id, line, col FROM hits")
-def rule_progressive(spark, sf_dir):
-    f = rules.verb_findings(shaped(spark, sf_dir), corpus_lexicon(spark))
-    return found(f.where("seq = 5"))
+@query(of_rule("seq = 7", "severity", "message"))
+def rule_passive(spark, sf_dir):
+    return found(verbs(spark, sf_dir).where("seq = 7"), None, "severity", "message")
 
 
-@query(BASE + oracle.matches(r"\b(?:have|has|had)\s+(?:been\s+)?(?:\w+ed|\w+en)\b") + r"SELECT doc_id, line, col FROM hits WHERE len(regexp_extract(hit, '(\w+)$', 1)) >= 6")
-def rule_perfect(spark, sf_dir):
-    return found(rules.verb_findings(shaped(spark, sf_dir), corpus_lexicon(spark)).where("seq = 4"))
+@query(FOUND + "SELECT doc_id, sent_id, procedural FROM proc")
+def procedural_flag(spark, sf_dir):
+    return shaped(spark, sf_dir, "auto").select("doc_id", "sent_id", "procedural")
+
 
+@query(of_rule("seq = 10"))
+def rule_two_instructions(spark, sf_dir):
+    return found(rules.shape_findings(shaped(spark, sf_dir, "auto"), lexicon(spark)), "5.2")
 
-NOT_FUNCTION = f"NOT list_contains({oracle.array(C.FUNCTION_WORDS)}, w)"
 
+@query(of_rule("seq = 9", "rule", "message"))
+def rule_length_by_kind(spark, sf_dir):
+    return found(rules.shape_findings(shaped(spark, sf_dir, "auto"), lexicon(spark)).where("seq = 9"), None, "rule", "message")
 
-@query(BASE + oracle.matches(r"\b(?:is|are|was|were|be|been)\s+(?:\w+ly\s+)?\w+\b") + rf", ws AS (SELECT *, lower(regexp_extract(hit, '(\w+)$', 1)) AS w FROM hits) SELECT doc_id, line, col, CASE WHEN starts_with(regexp_replace(lower(after), '^\s+', ''), 'by') THEN 'violation' ELSE 'advisory' END AS severity FROM ws WHERE {NOT_FUNCTION} AND ends_with(w, 'ed') AND len(w) > 4")
-def rule_passive(spark, sf_dir):
-    return found(rules.verb_findings(shaped(spark, sf_dir), corpus_lexicon(spark)).where("seq = 7"), None, "severity")
+
+@query(of_rule("seq IN (15, 16, 17)", "rule", "message", "suggestion"))
+def rule_safety(spark, sf_dir):
+    return found(rules.safety_findings(lines.clean_lines(documents(spark, sf_dir))), None, "rule", "message", "suggestion")
+
+
+@query(of_rule("seq = 13", "message"))
+def rule_noun_cluster(spark, sf_dir):
+    return found(rules.cluster_findings(plain_tokens(spark, sf_dir), lexicon(spark)), None, "message")
+
+
+@query(of_rule("seq = 8", "message", "term"))
+def rule_gerund(spark, sf_dir):
+    return found(rules.gerund_findings(plain_tokens(spark, sf_dir), lexicon(spark)), None, "message", "term")
 
 
 # --- vocabulary ----------------------------------------------------------------------------------
 
 
 def word_verdicts(spark, sf_dir):
-    return rules.word_findings(plain_tokens(spark, sf_dir), corpus_lexicon(spark))
+    return rules.word_findings(plain_tokens(spark, sf_dir), lexicon(spark))
 
 
 def rung(name: str) -> str:
@@ -258,87 +251,98 @@ def rule_term_collision(spark, sf_dir):
     return found(word_verdicts(spark, sf_dir).where(F.col("message").contains("is a listed term")), None, "term")
 
 
-@query(MD + oracle.lexicon(fixtures.MINI) + oracle.ladder(["permit"]) + "SELECT doc_id, line, col, key AS term FROM rungs WHERE rung = 'british'")
+@query(rung("british"))
 def rule_british(spark, sf_dir):
-    return found(rules.word_findings(rules.tokens(md_sents(spark)), mini_lexicon(spark)), "1.14", "term")
+    return found(word_verdicts(spark, sf_dir), "1.14", "term")
 
 
-@query(BASE + oracle.matches(r"\bof the\b") + "SELECT doc_id, line, col, '1.1' AS rule FROM hits")
-def rule_phrase(spark, sf_dir):
-    lex = corpus_lexicon(spark)
-    return found(rules.phrase_findings(rules.with_phrases(sents_of(spark, sf_dir), lex), lex), "1.1", "rule")
+def phrases(spark, sf_dir):
+    return rules.phrase_findings(rules.with_phrases(sents_of(spark, sf_dir), lexicon(spark)), lexicon(spark))
 
 
-@query(BASE + oracle.matches(r"\bto in\b") + "SELECT doc_id, line, col, '9.3' AS rule FROM hits")
-def rule_phrasal_verb(spark, sf_dir):
-    lex = corpus_lexicon(spark)
-    return found(rules.phrase_findings(rules.with_phrases(sents_of(spark, sf_dir), lex), lex), "9.3", "rule")
-
-
-GERUND = f"""
-, ends AS (SELECT *, lower(word) AS low, substr(lower(word), 1, len(word) - 3) AS s FROM toks WHERE ends_with(lower(word), 'ing') AND len(word) >= 6),
-cands AS (
-  SELECT *, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM (SELECT *, [s, CASE WHEN len(s) > 3 AND s[-1] = s[-2] THEN s[:-2] END, s || 'e',
-    CASE WHEN len(s || 'e') > 3 AND s[-1] = 'e' THEN s END, CASE WHEN ends_with(low, 'ying') AND len(low) > 5 THEN substr(low, 1, len(low) - 4) || 'ie' END] AS cs FROM ends)
-)
-SELECT doc_id, line, col + "offset" AS col, upper(arg_min(c, i)) AS stem FROM cands JOIN lex ON lex.key = c AND lex.verb
-WHERE len(c) >= 3 AND low NOT IN (SELECT key FROM lex WHERE len(good) > 0) AND low NOT IN ({', '.join(map(oracle.text, (*C.SAFETY, *fixtures.CORPUS_TERMS)))})
-GROUP BY doc_id, sent_id, idx, line, col, "offset"
-"""
+@query(of_rule("seq = 2 AND rule = '1.1'", "message", "suggestion"))
+def rule_phrase(spark, sf_dir):
+    return found(phrases(spark, sf_dir), "1.1", "message", "suggestion")
 
 
-@query(BASE + oracle.lexicon(fixtures.CORPUS) + GERUND)
-def rule_gerund(spark, sf_dir):
-    f = rules.gerund_findings(plain_tokens(spark, sf_dir), corpus_lexicon(spark))
-    return f.select(*PLACE, F.regexp_extract("message", r"of (\S+)$", 1).alias("stem"))
+@query(of_rule("seq = 2 AND rule = '9.3'", "message", "suggestion"))
+def rule_phrasal_verb(spark, sf_dir):
+    return found(phrases(spark, sf_dir), "9.3", "message", "suggestion")
 
 
-@query()
-def rule_noun_cluster(spark, sf_dir):
-    return found(rules.cluster_findings(plain_tokens(spark, sf_dir), corpus_lexicon(spark)), None, "message")
+@query(of_rule("seq = 1", "message", "suggestion", "term"))
+def rule_phrase_collision(spark, sf_dir):
+    return found(phrases(spark, sf_dir), "1.6", "message", "suggestion", "term")
 
 
-@query()
-def rule_safety(spark, sf_dir):
-    return found(rules.safety_findings(lines.clean_lines(markdown(spark))), None, "rule", "message")
+# --- findings, statistics and reports ---------------------------------------------------------------
 
 
-@query()
-def procedural_flag(spark, sf_dir):
-    return md_sents(spark).select("doc_id", "sent_id", "procedural")
+def checked(spark, sf_dir):
+    return check.check_text(documents(spark, sf_dir), lexicon(spark), keep=True)
 
 
-@query()
-def rule_two_instructions(spark, sf_dir):
-    return found(md_findings(spark, rules.shape_findings), "5.2")
+def said_by_rule(name: str):
+    return F.array_join(F.transform(F.map_entries(name), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ").alias(name)
 
 
-# --- aggregates and reports ----------------------------------------------------------------------
+@query(STATS + "SELECT doc_id, sentences, counted_words, max_sentence_words, words, mean_sentence_words, violations, advisories, unapproved_words, unapproved_rate, violations_by_rule, advisories_by_rule FROM stats")
+def doc_stats(spark, sf_dir):
+    got = checked(spark, sf_dir).stats
+    return got.select(*(said_by_rule(c) if c.endswith("_by_rule") else F.col(c) for c in got.columns if c != "doc_row"))
 
 
-def checked(spark, sf_dir):
-    return check.check_text(documents(spark, sf_dir), corpus_lexicon(spark), "descriptive", keep=True)
+@query(FOUND + "SELECT doc_id, line, col, rule, message, suggestion, severity, term FROM found")
+def findings(spark, sf_dir):
+    return checked(spark, sf_dir).findings.drop("seq", "sent_id", "doc_row")
 
 
-@query()
-def doc_stats(spark, sf_dir):
-    return checked(spark, sf_dir).stats.drop("violations_by_rule", "advisories_by_rule")
+@query(FOUND + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, col, rule, sent_id, seq)::INT AS place, line, col, rule, severity FROM found")
+def findings_in_order(spark, sf_dir):
+    w = Window.partitionBy(*lines.DOC).orderBy("line", "col", "rule", "sent_id", "seq")
+    return checked(spark, sf_dir).findings.select("doc_id", F.row_number().over(w).alias("place"), "line", "col", "rule", "severity")
 
 
-@query()
-def findings(spark, sf_dir):
-    return checked(spark, sf_dir).findings.drop("seq", "sent_id")
+JSON = """
+, listed AS (SELECT doc_id, list({'line': line, 'col': col, 'rule': rule, 'message': message, 'suggestion': suggestion, 'severity': severity, 'term': term} ORDER BY line, col, rule, sent_id, seq) AS f FROM found GROUP BY doc_id),
+maps AS (SELECT doc_id, map_from_entries(list((rule, n) ORDER BY rule) FILTER (severity = 'violation')) AS hard, map_from_entries(list((rule, n) ORDER BY rule) FILTER (severity = 'advisory')) AS soft FROM by_rule GROUP BY doc_id)
+SELECT s.doc_id, to_json({'findings': coalesce(f, []), 'stats': {'sentences': sentences, 'counted_words': counted_words, 'max_sentence_words': max_sentence_words, 'words': words, 'mean_sentence_words': mean_sentence_words, 'violations': violations, 'advisories': advisories, 'unapproved_words': unapproved_words, 'unapproved_rate': unapproved_rate,
+  'violations_by_rule': coalesce(hard, MAP {}), 'advisories_by_rule': coalesce(soft, MAP {})}})::VARCHAR AS json
+FROM stats s LEFT JOIN listed USING (doc_id) LEFT JOIN maps USING (doc_id)
+"""
 
 
-@query()
+@query(STATS + JSON)
 def findings_json(spark, sf_dir):
-    return check.as_json(checked(spark, sf_dir))
+    return check.as_json(checked(spark, sf_dir)).drop("doc_row")
 
 
-@query()
+@query(STATS + oracle.report() + "SELECT doc_id, part::INT AS part, ord::INT AS ord, said FROM said")
 def report_text(spark, sf_dir):
     got = checked(spark, sf_dir)
-    return report.report_lines(got.findings, got.stats)
+    return report.report_lines(got.findings, got.stats).drop("doc_row")
+
+
+@query(STATS + f"SELECT count(*) AS documents, sum(sentences)::BIGINT AS sentences, sum(words)::BIGINT AS words, sum(violations)::BIGINT AS violations, {oracle.exact_round('sum(counted_words) / sum(sentences)', 1)} AS mean_sentence_words, max(max_sentence_words) AS max_sentence_words, sum(violations) / sum(words) AS violation_rate FROM stats")
+def corpus_rate(spark, sf_dir):
+    return check.corpus_rate(checked(spark, sf_dir).stats)
+
+
+@query(FOUND + "SELECT max((severity = 'violation')::INT) = 1 AS failed FROM found")
+def any_violation(spark, sf_dir):
+    got = checked(spark, sf_dir).findings
+    return got.agg((F.max((F.col("severity") == rules.VIOLATION).cast("int")) == 1).alias("failed"))
+
+
+CASES = [(-1, ["6.6"], ["6.3"]), (-2, [], ["6.6", "8.1"]), (-7, ["7.2", "7.3", "9.9"], []), (-8, ["4.2", "3.4", "3.6"], ["1.14", "5.2"]), (-10, ["1.1"], ["1.1"])]
+CASE_ROWS = ", ".join(f"({i}::BIGINT, {oracle.array(m)}, {oracle.array(n)})" for i, m, n in CASES)
+
+
+@query(FOUND + f", cases(doc_id, must, must_not) AS (VALUES {CASE_ROWS}), seen AS (SELECT doc_id, list(DISTINCT rule) AS seen FROM found GROUP BY doc_id) SELECT doc_id, array_to_string(list_sort(list_filter(must, lambda r: NOT coalesce(list_contains(seen, r), false))), ' ') AS missing, array_to_string(list_sort(list_filter(must_not, lambda r: coalesce(list_contains(seen, r), false))), ' ') AS forbidden FROM cases LEFT JOIN seen USING (doc_id)")
+def rule_cases(spark, sf_dir):
+    cases = spark.createDataFrame(CASES, "doc_id long, must array<string>, must_not array<string>")
+    got = check.rule_cases(checked(spark, sf_dir).findings, cases)
+    return got.select("doc_id", F.array_join("missing", " ").alias("missing"), F.array_join("forbidden", " ").alias("forbidden"))
 
 
 @query(WORDS + "SELECT CASE rung WHEN 'british' THEN '1.14' WHEN 'pos' THEN '1.2' WHEN 'bad' THEN '1.1' ELSE '1.6' END AS rule, count(*) AS n FROM rungs WHERE rung IS NOT NULL GROUP BY 1")
@@ -353,9 +357,9 @@ def advisory_groups(spark, sf_dir):
     return report.advisory_groups(f).select("doc_id", kind, "what", "n", "first_line")
 
 
-@query(WORDS + ", u AS (SELECT doc_id, key, count(*) AS n, arg_min(word, row(line, col)) AS word FROM rungs WHERE rung = 'unknown' GROUP BY doc_id, key) SELECT doc_id, n > 1 OR contains(word, '-') OR regexp_matches(substr(word, 2), '[A-Z]') AS likely, count(*) AS n_words FROM u GROUP BY ALL")
+@query(WORDS + ", u AS (SELECT doc_id, key, count(*) AS n, arg_min(word, row(line, col)) AS word FROM rungs WHERE rung = 'unknown' GROUP BY doc_id, key), m AS (SELECT doc_id, n > 1 OR contains(word, '-') OR regexp_matches(substr(word, 2), '[A-Z]') AS likely, CASE WHEN n > 1 THEN word || ' (' || n || 'x)' ELSE word END AS label FROM u) SELECT doc_id, likely, count(*) AS n_words, string_agg(label, ', ' ORDER BY lower(label), label) AS words FROM m GROUP BY ALL")
 def unknown_word_buckets(spark, sf_dir):
-    return report.unknown_buckets(report.advisory_groups(word_verdicts(spark, sf_dir))).select("doc_id", "likely", "n_words")
+    return report.unknown_buckets(report.advisory_groups(word_verdicts(spark, sf_dir))).drop("doc_row")
 
 
 @query(WORDS + "SELECT key AS word, count(*) AS n FROM rungs WHERE rung = 'unknown' GROUP BY key ORDER BY n DESC, word LIMIT 50")
@@ -367,79 +371,252 @@ def top_unknown_words(spark, sf_dir):
 @query(WORDS + ", n AS (SELECT doc_id, count(*) AS words FROM toks GROUP BY doc_id) SELECT n.doc_id, n.words, count(r.rung) FILTER (r.rung = 'bad') AS unapproved FROM n LEFT JOIN rungs r USING (doc_id) GROUP BY ALL")
 def violation_rate(spark, sf_dir):
     toks = plain_tokens(spark, sf_dir)
-    bad = rules.word_findings(toks, corpus_lexicon(spark)).where("rule = '1.1'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("unapproved"))
-    return toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words")).join(bad, "doc_id", "left").fillna(0, ["unapproved"])
-
-
-@query("SELECT 'permit' AS term, true AS hard, 'v' AS disapproved_as, '' AS approved_as, 'LET' AS alternatives")
-def audit_collisions(spark, sf_dir):
-    return report.audit(fixtures.entries(spark), spark.createDataFrame([("permit",), ("PASS",)], "term string"))
+    bad = check.apart(rules.word_findings(toks, lexicon(spark)).where("rule = '1.1'").select(*lines.DOC, F.lit(0).alias("words"), F.lit(1).alias("unapproved")))
+    both = check.apart(toks.select(*lines.DOC, F.lit(1).alias("words"), F.lit(0).alias("unapproved"))).unionByName(bad)
+    return both.groupBy(*lines.DOC).agg(F.sum("words").alias("words"), F.sum("unapproved").alias("unapproved")).drop("doc_row")
 
 
 @query("SELECT CAST(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS INT) AS quality, count(*) AS docs, sum(len(d.text))::BIGINT AS chars FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL GROUP BY 1")
 def chars_by_quality(spark, sf_dir):
     lab = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null")
-    d = documents(spark, sf_dir).join(lab, "doc_id")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").join(lab, "doc_id")
     return d.groupBy((F.col("quality") == 1).cast("int").alias("quality")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"))
 
 
-# --- dictionary building -----------------------------------------------------------------------------
+# --- terms and dictionaries --------------------------------------------------------------------------
+
+TERM_LINES = ["wire harness # a part", "# a line of notes", "", "PASS", "permit", "PASS  # again", "  Prior to "]
+TERM_VALUES = "SELECT * FROM (VALUES " + ", ".join(f"({oracle.text(x)})" for x in TERM_LINES) + ") AS l(value)"
+
+
+def listed_terms(spark):
+    return spark.createDataFrame([(t,) for t in fixtures.TERMS], "term string")
+
 
-PAGE_WORDS = [(1, 12.0, 22.0, "ACCEPT"), (1, 40.0, 22.0, "(v)"), (1, 112.0, 22.0, "To"), (1, 130.0, 22.0, "take"), (1, 212.0, 22.0, "ACCEPT"), (1, 312.0, 22.0, "None"), (1, 12.0, 42.0, "abut"), (1, 40.0, 42.0, "(v)"), (1, 112.0, 42.0, "TOUCH"), (1, 150.0, 42.0, "(v)"), (1, 212.0, 42.0, "GOOD"), (1, 312.0, 42.0, "Bad"), (1, 212.0, 62.0, "MORE")]
-CELLS = ["ACCEPT (v), ACCEPTS, ACCEPTED", "BE (v), IS, WAS, (also ARE, WERE) No other verb", "such as", "not a headword at all here", "abut (v)"]
-SURFACES = "SELECT * FROM (VALUES " + ", ".join(f"({oracle.text(h)}, {oracle.text(p)}, {oracle.array(f)})" for h, p, ok, f, *_ in fixtures.MINI if ok) + ") AS e(head, pos, forms)"
+@query(f"SELECT DISTINCT trim(string_split(value, '#')[1]) AS term FROM ({TERM_VALUES}) WHERE trim(string_split(value, '#')[1]) <> ''")
+def term_list(spark, sf_dir):
+    return parse_terms(spark.createDataFrame([(x,) for x in TERM_LINES], "value string"))
+
+
+@query(f"SELECT unnest({oracle.array(dict.fromkeys([*DEFAULT_TERMS, 'permit', 'Spark', 'lid']))}) AS term")
+def default_terms(spark, sf_dir):
+    return with_default_terms(spark.createDataFrame([("permit",), ("Spark",), ("lid",)], "term string"), spark)
+
+
+AUDIT = LEX.replace(BASE, "WITH zero AS (SELECT 0)", 1) + ", roles AS (SELECT key AS term, len(good) = 0 AS hard, array_to_string(list_sort(list_distinct(bad)), '/') AS disapproved_as, array_to_string(good, '/') AS approved_as, array_to_string(alts, ', ') AS alternatives FROM lex WHERE domain AND unapproved) "
+
+
+@query(AUDIT + "SELECT * FROM roles")
+def audit_collisions(spark, sf_dir):
+    return report.audit(fixtures.entries(spark, fixtures.FULL), listed_terms(spark))
+
+
+@query(AUDIT + f", n AS (SELECT count(*) AS c FROM roles) SELECT part, ord, said FROM (SELECT 0 AS part, 0 AS ord, '{len({t.lower() for t in fixtures.TERMS})} terms (1 matched as written); ' || c || ' of them are disallowed words' AS said FROM n UNION ALL SELECT CASE WHEN hard THEN 1 ELSE 2 END, (row_number() OVER (PARTITION BY hard ORDER BY term) - 1)::INT, term || ': ' || CASE WHEN hard THEN 'not approved as ' || disapproved_as || ' -> ' || alternatives ELSE 'approved as ' || approved_as || ', not as ' || disapproved_as END FROM roles)")
+def audit_text(spark, sf_dir):
+    return report.audit_lines(fixtures.entries(spark, fixtures.FULL), listed_terms(spark))
+
+
+@query(AUDIT + f", both_ AS (SELECT list({{'term': term, 'disapproved_as': disapproved_as, 'approved_as': approved_as, 'alternatives': alternatives}} ORDER BY term) FILTER (hard) AS h, list({{'term': term, 'disapproved_as': disapproved_as, 'approved_as': approved_as, 'alternatives': alternatives}} ORDER BY term) FILTER (NOT hard) AS s FROM roles) SELECT to_json({{'hard': coalesce(h, []), 'soft': coalesce(s, []), 'terms': {len({t.lower() for t in fixtures.TERMS})}}})::VARCHAR AS json FROM both_")
+def audit_json(spark, sf_dir):
+    return report.audit_json(fixtures.entries(spark, fixtures.FULL), listed_terms(spark))
+
+
+@query(AUDIT + f"SELECT {len({t.lower() for t in fixtures.TERMS})}::BIGINT AS all_terms, {sum(t != t.lower() for t in fixtures.TERMS)}::BIGINT AS cased_terms, count(*)::INT AS collisions FROM roles")
+def term_counts(spark, sf_dir):
+    return report.term_counts(fixtures.entries(spark, fixtures.FULL), listed_terms(spark)).withColumn("collisions", F.col("collisions").cast("int"))
+
+
+SURFACES = "SELECT * FROM (VALUES " + ", ".join(f"({oracle.text(h)}, {oracle.text(p)}, {oracle.array(f)})" for h, p, ok, f, *_ in fixtures.FULL if ok) + ") AS e(head, pos, forms)"
+ALL_ENTRIES = "SELECT * FROM (VALUES " + ", ".join(f"({k}, {oracle.text(h)}, {oracle.text(p)}, {str(ok).lower()}, {oracle.array(f)}, {oracle.text(note)}, {oracle.array(w for w, *_ in alts)}, {oracle.array(q for _, q, *_ in alts)})" for k, (h, p, ok, f, note, _, alts, _, _) in enumerate(fixtures.FULL)) + ") AS e(seq, head, pos, approved, forms, note, words, parts)"
+
+
+@query(f"WITH e AS ({SURFACES}), s AS (SELECT pos, unnest(list_concat([head], forms)) AS f FROM e), t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(f, '[A-Za-z][A-Za-z''-]*'))) AS surface, pos FROM s) SELECT surface, string_agg(pos, '/' ORDER BY pos) AS pos FROM t GROUP BY surface")
+def approved_form_index(spark, sf_dir):
+    return approved_forms(fixtures.entries(spark, fixtures.FULL)).select("surface", F.array_join("pos", "/").alias("pos"))
+
+
+@query(f"SELECT seq::INT AS seq, '## ' || head || ' (' || pos || ') - ' || CASE WHEN approved THEN 'APPROVED' ELSE 'NOT APPROVED' END || CASE WHEN len(forms) > 0 THEN chr(10) || 'Forms: ' || array_to_string(forms, ', ') ELSE '' END || array_to_string(list_transform(range(1, len(words) + 1), lambda i: chr(10) || 'Use instead: ' || words[i] || ' (' || parts[i] || ')'), '') || chr(10) AS block FROM ({ALL_ENTRIES})")
+def dictionary_markdown(spark, sf_dir):
+    return dictionary.as_markdown(fixtures.entries(spark, fixtures.FULL))
+
+
+@query(f"SELECT upper(head[1]) AS letter, count(*) AS n FROM ({ALL_ENTRIES}) GROUP BY 1")
+def dictionary_letters(spark, sf_dir):
+    return dictionary.letters(fixtures.entries(spark, fixtures.FULL))
+
+
+@query(f"WITH e AS ({ALL_ENTRIES}), f AS (SELECT pos, unnest(list_concat([head], forms)) AS f FROM e WHERE approved), s AS (SELECT DISTINCT lower(unnest(regexp_extract_all(f, '[A-Za-z][A-Za-z''-]*'))) AS surface, pos FROM f), g AS (SELECT surface, list(pos ORDER BY pos) AS p FROM s GROUP BY surface) SELECT 'mine' AS source, (SELECT count(*) FROM e)::INT AS entry_count, (SELECT string_agg(surface || '=' || array_to_string(p, '/'), ' ' ORDER BY surface) FROM g) AS forms, (SELECT string_agg(head, ' | ' ORDER BY seq) FROM e) AS headwords")
+def dictionary_file(spark, sf_dir):
+    out = dictionary.as_dictionary(fixtures.entries(spark, fixtures.FULL), "mine")
+    forms = F.transform(F.map_entries("approved_forms"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "/")))
+    return out.select("source", "entry_count", F.array_join(forms, " ").alias("forms"), F.array_join(F.transform("entries", lambda e: e["headword"]), " | ").alias("headwords"))
+
+
+@query(f"""WITH e AS ({ALL_ENTRIES}),
+keys AS (SELECT seq, regexp_replace(lower(head), '[^a-z0-9]', '', 'g') AS word, regexp_replace(lower(head), '[^a-z0-9 ]', '', 'g') AS spaced FROM e)
+SELECT seq::INT AS seq, previous, word FROM (SELECT *, coalesce(lag(word) OVER (ORDER BY seq), '') AS previous, coalesce(lag(spaced) OVER (ORDER BY seq), '') AS before FROM keys) WHERE word < previous AND spaced < before""")
+def alphabetical_regressions(spark, sf_dir):
+    return dictionary.regressions(fixtures.entries(spark, fixtures.FULL))
+
+
+# --- dictionary building from pages -------------------------------------------------------------------
+
+CELLS = ["ACCEPT (v), ACCEPTS, ACCEPTED", "BE (v), IS, WAS, (also ARE, WERE) No other verb", "such as", "not a headword at all here", "abut (v)", "", "x (q)", "wash away (v)"]
+HEAD = rf"^(.+?)\s*\(({dictionary.POS})\)\s*(.*)$"
+REST = f"regexp_extract({{0}}, '{HEAD}', 3)"
+NOTE = rf"trim(regexp_replace(regexp_replace(regexp_replace({REST}, '\b[A-Z][A-Z''-]+\b', ' ', 'g'), '[(),]', ' ', 'g'), '\s+', ' ', 'g'))"
+NOTE = f"CASE WHEN starts_with(lower({NOTE}), 'also') THEN trim(substr({NOTE}, 5)) ELSE {NOTE} END"
+HEAD_WORD = f"regexp_replace(trim(regexp_extract({{0}}, '{HEAD}', 1)), '^,+|,+$', '', 'g')"
+TAGGED, PLAIN = f"regexp_matches({{0}}, '{HEAD}')", "regexp_matches({0}, '^[A-Za-z][A-Za-z''-]*(?: [A-Za-z''-]+){{0,3}}$')"
+FORMS = rf"array_to_string(regexp_extract_all({REST}, '\b[A-Z][A-Z''-]+\b'), ' ')"
+
+
+def head_sql(x: str) -> str:
+    """Columns word, pos, forms, note of a headword cell, nulls where it is none."""
+    each = {"word": (HEAD_WORD, "{0}"), "pos": (f"regexp_extract({{0}}, '{HEAD}', 2)", "NULL"), "forms": (FORMS, "''"), "note": (NOTE, "''")}
+    return ", ".join(f"CASE WHEN {TAGGED.format(x)} THEN {a.format(x)} WHEN {PLAIN.format(x)} THEN {b.format(x)} END AS {n}" for n, (a, b) in each.items())
+
+
+@query(f"SELECT cell, {head_sql('cell')} FROM (SELECT unnest({oracle.array(CELLS)}) AS cell)")
+def headword_parse(spark, sf_dir):
+    rows = spark.createDataFrame([(c,) for c in CELLS], "cell string").withColumn("h", dictionary.split_headword(F.col("cell")))
+    return rows.select("cell", "h.word", "h.pos", F.when(F.col("h").isNotNull(), F.array_join("h.forms", " ")).alias("forms"), "h.note")
 
 
 def page_frames(spark):
-    words = spark.createDataFrame([(p, x, y, x + 20.0, y + 8.0, w) for p, x, y, w in PAGE_WORDS], "page int, x0 double, y0 double, x1 double, y1 double, word string")
-    rules_ = [(1, float(a), float(b), float(y), 0.5, float(b - a)) for y in (20, 40, 60, 80, 100) for a, b in ((10, 110), (110, 210), (210, 310), (310, 410))]
+    words = spark.createDataFrame([(p, x, y, x + 20.0, y + 8.0, w) for p, x, y, w in fixtures.PAGE_WORDS], "page int, x0 double, y0 double, x1 double, y1 double, word string")
+    rules_ = [(p, float(a), float(b), float(y), 0.5, float(b - a)) for p in (1, 2, 3) for y in range(20, 160, 20) for a, b in ((10, 110), (110, 210), (210, 310), (310, 410))]
     drawings = spark.createDataFrame(rules_, "page int, x0 double, x1 double, y0 double, height double, width double")
-    heads = spark.createDataFrame([(1, 5.0, 9.0, "Page 1")], "page int, y0 double, y1 double, text string")
+    heads = spark.createDataFrame([(p, 5.0, 11.0, f"Page {p}") for p in (1, 2)], "page int, y0 double, y1 double, text string")
     return words, drawings, heads
 
 
-WORD_ROWS = "SELECT * FROM (VALUES " + ", ".join(f"({p}, {x}, {y}, {oracle.text(w)})" for p, x, y, w in PAGE_WORDS) + ") AS w(page, x, y, word)"
+def bands(spark):
+    return dictionary.bands(*page_frames(spark))
+
+
+WORD_ROWS = "SELECT * FROM (VALUES " + ", ".join(f"({p}, {x}, {y}, {oracle.text(w)})" for p, x, y, w in fixtures.PAGE_WORDS) + ") AS w(page, x, y, word)"
+GRID = "SELECT * FROM (VALUES " + ", ".join(f"({p}, {y}.0, {a}.0, {a + 100}.0)" for p in (1, 2, 3) for y in range(20, 160, 20) for a in (10, 110, 210, 310)) + ") AS g(page, y, x0, x1)"
+BANDS = f"""WITH w AS ({WORD_ROWS}), g AS ({GRID}),
+ys AS (SELECT DISTINCT page, y FROM g), ends AS (SELECT page, max(y) + 9 AS bottom FROM w GROUP BY page), edges AS (SELECT page, y AS top, coalesce(lead(y) OVER (PARTITION BY page ORDER BY y), CASE WHEN bottom > y + 1 THEN bottom END) AS low, (row_number() OVER (PARTITION BY page ORDER BY y) - 1)::INT AS band FROM ys LEFT JOIN ends USING (page)),
+xs AS (SELECT DISTINCT page, unnest([x0, x1]) AS x FROM g), cols AS (SELECT page, x, (row_number() OVER (PARTITION BY page ORDER BY x) - 1)::INT AS cell FROM xs),
+placed AS (SELECT w.*, e.band, (SELECT least(max(c.cell), 3) FROM cols c WHERE c.page = w.page AND w.x > c.x - 2) AS cell FROM w JOIN edges e ON e.page = w.page AND w.y + 4 >= e.top AND w.y + 4 < e.low),
+cells AS (SELECT page::INT AS page, band, cell, string_agg(word, ' ' ORDER BY x) AS text FROM placed GROUP BY ALL)
+"""
 
 
-@query(f"WITH w AS ({WORD_ROWS}) SELECT page::INT AS page, (floor((y + 4) / 20) - 1)::INT AS band, least(floor((x - 10) / 100), 3)::INT AS cell, string_agg(word, ' ' ORDER BY x) AS text FROM w GROUP BY ALL")
+@query(BANDS + "SELECT page, band, cell, text FROM cells")
 def page_row_bands(spark, sf_dir):
-    rows = dictionary.bands(*page_frames(spark)).select("page", "band", F.posexplode("cells").alias("cell", "text"))
+    rows = bands(spark).select("page", "band", F.posexplode("cells").alias("cell", "text"))
     return rows.where("text <> ''")
 
 
-@query("SELECT 1::INT AS parity, unnest([10.0, 110.0, 210.0, 310.0, 410.0])::DOUBLE AS col")
+@query(f"WITH g AS ({GRID}), n AS (SELECT page, x, count(*) AS n FROM (SELECT page, unnest([x0, x1]) AS x FROM g) GROUP BY ALL HAVING count(*) >= 5) SELECT DISTINCT (page % 2)::INT AS parity, x::DOUBLE AS col FROM n")
 def column_bucket(spark, sf_dir):
     return dictionary.column_grid(page_frames(spark)[1]).select(F.col("parity").cast("int"), F.explode("cols").alias("col"))
 
 
-@query("SELECT * FROM (VALUES ('ACCEPT (v), ACCEPTS, ACCEPTED', 'ACCEPT', 'v', 'ACCEPTS ACCEPTED', ''), ('BE (v), IS, WAS, (also ARE, WERE) No other verb', 'BE', 'v', 'IS WAS ARE WERE', 'No other verb'), ('such as', 'such as', NULL, '', ''), ('not a headword at all here', NULL, NULL, NULL, NULL), ('abut (v)', 'abut', 'v', '', '')) AS t(cell, word, pos, forms, note)")
-def headword_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(c,) for c in CELLS], "cell string").withColumn("h", dictionary.split_headword(F.col("cell")))
-    return rows.select("cell", "h.word", "h.pos", F.when(F.col("h").isNotNull(), F.array_join("h.forms", " ")).alias("forms"), "h.note")
+ENTRIES = BANDS + f"""
+, r AS (SELECT page, band, coalesce(max(text) FILTER (cell = 0), '') AS head, coalesce(max(text) FILTER (cell = 1), '') AS second, coalesce(max(text) FILTER (cell = 2), '') AS good, coalesce(max(text) FILTER (cell = 3), '') AS bad FROM cells GROUP BY page, band),
+p AS (SELECT *, {head_sql('head')} FROM r WHERE NOT starts_with(head, 'Word') AND NOT starts_with(second, 'Approved meaning')),
+a AS (SELECT *, CASE WHEN {TAGGED.format('second')} THEN {HEAD_WORD.format('second')} END AS a_word, CASE WHEN {TAGGED.format('second')} THEN regexp_extract(second, '{HEAD}', 2) END AS a_pos,
+  head <> '' AND word IS NOT NULL AS named, second = '' AND good = '' AND bad = '' AS alone FROM p),
+o AS (SELECT *, named AND (NOT alone OR sum(named::INT) OVER (ORDER BY page, band) = 1) AS opens FROM a),
+e AS (SELECT *, sum(opens::INT) OVER (ORDER BY page, band) AS entry FROM o),
+f AS (SELECT *, first_value(upper(word) = word AND lower(word) <> word) OVER (PARTITION BY entry ORDER BY page, band) AS approved FROM e WHERE entry > 0),
+k AS (SELECT *, CASE WHEN NOT (opens OR head = '' OR NOT alone) THEN 'none' WHEN approved THEN 'meaning' WHEN second = '' THEN 'more' WHEN a_pos IS NOT NULL THEN 'tagged' WHEN upper(second) = second AND lower(second) <> second THEN 'plain' ELSE 'note' END AS kind,
+  coalesce(nullif(trim(regexp_extract(a_word, '[A-Z][A-Z'' -]*$')), ''), a_word) AS tail FROM f),
+n AS (SELECT *, sum((kind IN ('tagged', 'plain'))::INT) OVER (PARTITION BY entry ORDER BY page, band) AS option FROM k),
+alt AS (SELECT entry, option, min(CASE kind WHEN 'tagged' THEN tail WHEN 'plain' THEN second END) AS w, min(CASE kind WHEN 'tagged' THEN a_pos END) AS p, trim(string_agg(good, ' ' ORDER BY page, band) FILTER (good <> '')) AS g, trim(string_agg(bad, ' ' ORDER BY page, band) FILTER (bad <> '')) AS b FROM n WHERE option > 0 AND kind IN ('tagged', 'plain', 'more') GROUP BY ALL),
+alts AS (SELECT entry, list(w || '|' || coalesce(p, '') || '|' || coalesce(g, '') || '|' || coalesce(b, '') ORDER BY option) AS alts FROM alt GROUP BY entry),
+one AS (SELECT entry, arg_min(CASE WHEN approved THEN word ELSE lower(word) END, row(page, band)) AS headword, arg_min(coalesce(pos, ''), row(page, band)) AS pos, any_value(approved) AS approved, arg_min(forms, row(page, band)) AS forms,
+  trim(arg_min(note, row(page, band)) || ' ' || coalesce(string_agg(trim(CASE WHEN NOT opens THEN head ELSE '' END || ' ' || CASE kind WHEN 'note' THEN second WHEN 'tagged' THEN trim(substr(a_word, 1, len(a_word) - len(tail))) ELSE '' END), ' ' ORDER BY page, band) FILTER ((NOT opens AND head <> '') OR kind = 'note' OR (kind = 'tagged' AND tail <> a_word)), '')) AS note,
+  coalesce(string_agg(second, ' ' ORDER BY page, band) FILTER (kind = 'meaning' AND second <> ''), '') AS definition,
+  coalesce(string_agg(CASE WHEN good <> '' THEN good || CASE WHEN bad <> '' THEN ' / (not STE) ' || bad ELSE '' END ELSE '(not STE) ' || bad END, ' / ' ORDER BY page, band) FILTER (kind = 'meaning' AND (good <> '' OR bad <> '')), '') AS examples FROM n GROUP BY entry),
+m AS (SELECT min(entry) - 1 AS seq, arg_min(headword, entry) AS headword, nullif(pos, '') AS pos, approved, trim(string_agg(forms, ' ' ORDER BY entry)) AS forms, trim(string_agg(note, ' ' ORDER BY entry) FILTER (note <> '')) AS note, nullif(trim(string_agg(definition, ' ' ORDER BY entry)), '') AS definition,
+  array_to_string(flatten(list(coalesce(alts, []) ORDER BY entry)), '; ') AS alternatives, trim(string_agg(examples, ' ' ORDER BY entry)) AS examples FROM one LEFT JOIN alts USING (entry) GROUP BY lower(headword), pos, approved)
+"""
 
 
-@query(f"WITH e AS ({SURFACES}), s AS (SELECT pos, unnest(list_concat([head], forms)) AS f FROM e), t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(f, '[A-Za-z][A-Za-z''-]*'))) AS surface, pos FROM s) SELECT surface, string_agg(pos, '/' ORDER BY pos) AS pos FROM t GROUP BY surface")
-def approved_form_index(spark, sf_dir):
-    return approved_forms(fixtures.entries(spark)).select("surface", F.array_join("pos", "/").alias("pos"))
+def built(spark):
+    return dictionary.merge_entries(dictionary.parse_entries(bands(spark)))
 
 
-@query()
+@query(ENTRIES + "SELECT seq::INT AS seq, headword, pos, approved, forms, coalesce(note, '') AS note, definition, alternatives, examples FROM m")
 def dictionary_entries(spark, sf_dir):
-    e = dictionary.merge_entries(dictionary.parse_entries(dictionary.bands(*page_frames(spark))))
-    return e.select("seq", "headword", "pos", "approved", "definition", F.to_json("alternatives").alias("alternatives"), F.to_json("examples").alias("examples"))
+    alt = F.array_join(F.transform("alternatives", lambda a: F.concat_ws("|", a["word"], F.coalesce(a["pos"], F.lit("")), a["ste_example"], a["non_ste_example"])), "; ")
+    return built(spark).select("seq", "headword", "pos", "approved", F.array_join("forms", " ").alias("forms"), "note", "definition", alt.alias("alternatives"), F.array_join("examples", " / ").alias("examples"))
+
+
+EXPECTED = [("abut", "v", False, ["TOUCH", "MEASURE", "FOR EXAMPLE"]), ("accept", "v", True, None), ("clean", "adj", False, None), ("gone", "n", True, None)]
+SECTION_PAGES = [(1, "Page 1\nRule 1. Use short words.\n\n\n\nPage 1 of 9 is kept"), (2, "Rule 2.\nPage 2\nKeep “it” – so…"), (3, "Page 3\nGuide  text\n\n\nends")]
+SECTIONS = [("one", "Rules", 1, 2), ("two", "Guide", 3, 3)]
+
+
+@query(ENTRIES + f"""
+, kk AS (SELECT seq, regexp_replace(lower(headword), '[^a-z0-9]', '', 'g') AS w, regexp_replace(lower(headword), '[^a-z0-9 ]', '', 'g') AS s FROM m),
+reg AS (SELECT count(*) AS n FROM (SELECT *, lag(w) OVER (ORDER BY seq) AS pw, lag(s) OVER (ORDER BY seq) AS ps FROM kk) WHERE w < pw AND s < ps),
+checks(name, n, bad) AS (
+  SELECT 'alphabetical order', n, 'warn' FROM reg
+  UNION ALL SELECT 'an alternative for each disallowed entry', count(*) FILTER (NOT approved AND alternatives = ''), 'warn' FROM m
+  UNION ALL SELECT 'a meaning for each approved entry', count(*) FILTER (approved AND definition IS NULL), 'warn' FROM m
+  UNION ALL SELECT 'a table on each page', 1, 'fail'
+  UNION ALL SELECT 'a headword in each first cell', (SELECT count(*) FROM (SELECT *, sum(named::INT) OVER (ORDER BY page, band) AS before FROM a) WHERE head <> '' AND word IS NULL AND before = 0), 'fail'
+),
+spots(word, part, want, alts) AS (VALUES {', '.join(f"({oracle.text(w)}, {oracle.text(p)}, {str(ok).lower()}, {oracle.array(alts) if alts else 'NULL'})" for w, p, ok, alts in EXPECTED)}),
+texts(page, t) AS (VALUES {', '.join(f'({p}, {oracle.text(x)})' for p, x in SECTION_PAGES)})
+SELECT name, CASE WHEN n = 0 THEN 'ok' ELSE bad END AS status, n::VARCHAR AS detail FROM checks
+UNION ALL SELECT 'spot check: ' || word, CASE WHEN coalesce(approved = want AND (alts IS NULL OR list_transform(string_split(alternatives, '; '), lambda x: string_split(x, '|')[1]) = alts), false) THEN 'ok' ELSE 'fail' END, part FROM spots LEFT JOIN m ON lower(headword) = word AND pos = part
+UNION ALL SELECT 'words of section ' || slug, CASE WHEN n >= 9 THEN 'ok' ELSE 'fail' END, n::VARCHAR FROM (VALUES ('one', 1, 2), ('two', 3, 3)) AS s(slug, lo, hi),
+  LATERAL (SELECT sum(len(regexp_extract_all(array_to_string(list_filter(string_split(t, chr(10)), lambda l: NOT regexp_full_match(trim(l), 'Page [0-9]+')), ' '), '\\S+')))::BIGINT AS n FROM texts WHERE page BETWEEN lo AND hi)
+""")
+def dictionary_checks(spark, sf_dir):
+    pages = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "Blank Page")], "page int, text string")
+    return dictionary.validate(built(spark), EXPECTED, dictionary.skipped_pages(pages, bands(spark)), dictionary.unparsed_headwords(bands(spark)), section_frame(spark), least_words=9)
 
 
-@query()
-def dictionary_checks(spark, sf_dir):
-    return dictionary.validate(dictionary.merge_entries(dictionary.parse_entries(dictionary.bands(*page_frames(spark)))), [("abut", "v", False, ["TOUCH"]), ("accept", "v", True, None)])
+def section_frame(spark):
+    pages = spark.createDataFrame(SECTION_PAGES, "page int, text string")
+    return dictionary.section_texts(pages, spark.createDataFrame(SECTIONS, "slug string, title string, first int, last int"), r"^Page \d+$")
 
 
-@query()
-def dictionary_markdown(spark, sf_dir):
-    return dictionary.as_markdown(fixtures.entries(spark))
+SECTION_SQL = f"""WITH texts(page, t) AS (VALUES {', '.join(f'({p}, {oracle.text(x)})' for p, x in SECTION_PAGES)}), s(slug, title, lo, hi) AS (VALUES {', '.join(f'({oracle.text(a)}, {oracle.text(b)}, {c}, {d})' for a, b, c, d in SECTIONS)}),
+kept AS (SELECT page, array_to_string(list_filter(string_split(replace(translate(t, {oracle.text(dictionary.FROM)}, {oracle.text(dictionary.TO)}), '…', '...'), chr(10)), lambda l: NOT regexp_full_match(trim(l), 'Page [0-9]+')), chr(10)) AS t FROM texts),
+whole AS (SELECT slug, title, {oracle.strip("regexp_replace(string_agg(t, chr(10) ORDER BY page), '\n{3,}', chr(10) || chr(10), 'g')")} AS body FROM s JOIN kept ON page BETWEEN lo AND hi GROUP BY slug, title)
+SELECT slug, '# ' || title || chr(10) || chr(10) || body || chr(10) AS text, len(regexp_extract_all(body, '\\S+'))::INT AS n_words FROM whole"""
 
 
-@query("SELECT 2::INT AS seq, 'beta' AS previous, 'alpha' AS word")
-def alphabetical_regressions(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "aft of", 1), (1, "beta", 1), (2, "alpha", 1), (3, "be", 1)], "seq int, headword string, page int")
-    return dictionary.regressions(rows)
+@query(SECTION_SQL)
+def rule_sections(spark, sf_dir):
+    return section_frame(spark)
+
+
+@query(SECTION_SQL.replace("FROM whole", "FROM whole WHERE slug = 'two'").replace("SELECT slug, '# '", "SELECT 'dictionary-guide' AS slug, '# '").replace("|| chr(10) || chr(10) || body", "|| chr(10) || chr(10) || 'Pages 3 to 3.' || chr(10) || chr(10) || body"))
+def dictionary_guide(spark, sf_dir):
+    pages = spark.createDataFrame(SECTION_PAGES, "page int, text string")
+    return dictionary.guide_text(pages, "Guide", 3, 3, r"^Page \d+$", lead="Pages 3 to 3.")
+
+
+# --- separation gates ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT good, text FROM (VALUES {', '.join(f'({str(g).lower()}, {oracle.text(x)})' for g, x in fixtures.EXAMPLE_TEXTS)}) AS t(good, text)")
+def example_sentences(spark, sf_dir):
+    return selftest.sample(selftest.examples(fixtures.example_entries(spark)))
+
+
+def gates_sql() -> str:
+    one = lambda side: FOUND.replace(BASE, oracle.base("SELECT row_number() OVER ()::BIGINT AS doc_id, text FROM (VALUES " + ", ".join(f"({oracle.text(x)})" for g, x in fixtures.EXAMPLE_TEXTS if g == side) + ") AS v(text)"), 1)
+    row = lambda side: f"SELECT {str(side).lower()} AS good, * FROM ({one(side)} SELECT (SELECT count(*) FROM found WHERE severity = 'violation')::BIGINT AS violations, (SELECT count(*) FROM toks)::BIGINT AS words, (SELECT max(n_words) FROM counted)::BIGINT AS max_sentence_words)"
+    return f"{row(True)} UNION ALL {row(False)}"
+
+
+@query(gates_sql())
+def separation_rates(spark, sf_dir):
+    lex = lexicon(spark)
+    return selftest.rates(selftest.sample(selftest.examples(fixtures.example_entries(spark))), lex).select("good", "violations", "words", "max_sentence_words")
+
+
+@query(f"WITH r AS ({gates_sql()}), x AS (SELECT max(violations / words) FILTER (good) AS g, max(violations / words) FILTER (NOT good) AS b, max(max_sentence_words) FILTER (good) AS m FROM r) SELECT unnest(['at most 1.5% of words in good text', 'at least 3% of words in bad text', 'bad text over 2 times good text', 'good sentences of at most 25 words']) AS name, unnest([CASE WHEN g <= 0.015 THEN 'ok' ELSE 'fail' END, CASE WHEN b >= 0.03 THEN 'ok' ELSE 'fail' END, CASE WHEN b > 2 * g THEN 'ok' ELSE 'fail' END, CASE WHEN m <= 25 THEN 'ok' ELSE 'fail' END]) AS status FROM x")
+def separation_gates(spark, sf_dir):
+    return selftest.gates(selftest.rates(selftest.sample(selftest.examples(fixtures.example_entries(spark))), lexicon(spark)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +22,11 @@ DICTIONARY = f"source string, entry_count int, approved_forms map<string,array<s
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of a dictionary file, one row each, in the file's order (seq)."""
-    rows = spark.read.schema(DICTIONARY).json(path, multiLine=True)
+    """The entries of a dictionary file, one row each, in the file's order (seq). A missing file says what is needed."""
+    try:
+        rows = spark.read.schema(DICTIONARY).json(path, multiLine=True)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no dictionary at {path}: build one, or name a file in its JSON form") from e
     return rows.select(F.posexplode("entries").alias("seq", "e")).select("seq", "e.*")
 
 
@@ -33,7 +37,21 @@ def parse_terms(lines: DataFrame) -> DataFrame:
 
 
 def read_terms(spark: SparkSession, *paths: str) -> DataFrame:
-    return parse_terms(spark.read.text(list(paths)))
+    """Terms of any number of files; a missing one is named."""
+    try:
+        return parse_terms(spark.read.text(list(paths)))
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no list of terms at one of {', '.join(paths)}") from e
+
+
+#: Terms of this engine's own field, which every check admits unless it is told not to.
+DEFAULT_TERMS = ("batch", "broadcast", "bucket", "cluster", "column", "corpus", "dataset", "driver", "executor", "join", "lexicon", "partition", "query", "schema", "shuffle", "stream", "token", "DataFrame", "Parquet", "Spark", "SQL")
+
+
+def with_default_terms(terms: DataFrame | None, spark: SparkSession, default: bool = True) -> DataFrame:
+    """Distinct terms: the default ones, unless ``default`` is false, and those given."""
+    own = spark.createDataFrame([(t,) for t in DEFAULT_TERMS if default], "term string")
+    return own if terms is None else own.unionByName(terms.select("term")).distinct()
 
 
 def approved_forms(entries: DataFrame) -> DataFrame:
@@ -110,8 +128,36 @@ class Lexicon:
         return cls(spark.createDataFrame(rows, schema), words, tuple(t for t in listed if not folded(t)), tuple(sorted({t.lower() for t in listed if " " in t}, key=by_words)), tuple(bad))
 
     def those(self, test) -> list[str]:
-        """Words with a property, for isin(), which looks them up in a hash set."""
+        """Words with a property, for isin() inside array functions, which cannot join; it looks them up in a hash set."""
         return [k for k, w in self.words.items() if test(w)]
 
-    def is_domain(self, word: Column) -> Column:
-        return word.isin(*self.cased, "\x00") | F.lower(word).isin(*self.those(lambda w: w["domain"]), "\x00")
+    def look_up(self, df: DataFrame, word: Column, *columns: str, prefix: str = "") -> DataFrame:
+        """df with ``columns`` of the lexicon for each row's lower-case word, by one join with the broadcast table.
+
+        Words that are not listed have nulls. The column listed says whether
+        the word is a term: one in lower case in any case, others as written.
+        """
+        own = self.rows.select(F.col("key").alias("__key"), F.col("domain").alias("__domain"), *(F.col(c).alias(prefix + c) for c in columns))
+        out = df.join(F.broadcast(own), F.lower(word) == F.col("__key"), "left")
+        cased = word.isin(*self.cased) if self.cased else F.lit(False)
+        return out.withColumn(f"{prefix}listed", F.coalesce(F.col("__domain"), F.lit(False)) | F.coalesce(cased, F.lit(False))).drop("__key", "__domain")
+
+    def inflected(self, suffixes, least_double: int = 3, noun_like: bool = True) -> DataFrame:
+        """(form, stem): the surface forms that the verbs take by ``suffixes``, each with the stem that comes first in their order.
+
+        A form loses its suffix, gains the ending, and may lose one of two like
+        letters at its end; forms are made from the verbs by the way back.
+        ``noun_like`` false leaves out verbs that are nouns or adjectives too.
+        """
+        verbs = self.rows.where("verb" if noun_like else "verb and not noun_like").select("key")
+        key, options = F.col("key"), []
+        for i, (suffix, ending) in enumerate(suffixes):
+            for double in (0, 1):
+                full = F.concat(key, F.right(key, F.lit(1))) if double else key
+                form = F.concat(F.left(full, F.length(full) - len(ending)), F.lit(suffix))
+                fits = full.endswith(ending) & (F.length(form) > len(suffix) + 1) & (F.length(key) >= 3)
+                if double:
+                    fits = fits & (F.length(full) > least_double)
+                options.append(F.when(fits, F.struct(form.alias("form"), F.lit(2 * i + double).alias("rank"))))
+        forms = verbs.select("key", F.explode(F.array_compact(F.array(*options))).alias("o"))
+        return forms.groupBy("o.form").agg(F.min_by("key", "o.rank").alias("stem"))

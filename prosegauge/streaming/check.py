@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from prosegauge.plans.check import check_text
+from prosegauge.plans.check import check_text, release
 from prosegauge.sources.lexicon import Lexicon
 
 
@@ -17,8 +17,11 @@ def check_stream(docs: DataFrame, lex: Lexicon, out: str, checkpoint: str, mode:
     """Write findings and stats of ``docs(doc_id, text)`` as Parquet under ``out``; a batch that runs again overwrites its own folder."""
 
     def batch(df: DataFrame, number: int) -> None:
-        got = check_text(df, lex, mode)
-        for name, part in (("findings", got.findings), ("stats", got.stats)):
-            part.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        got = check_text(df, lex, mode, keep=True)  # two outputs of one computation
+        try:
+            for name, part in (("findings", got.findings), ("stats", got.stats)):
+                part.drop("doc_row").write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        finally:
+            release(got)
 
     return docs.select("doc_id", "text").writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -565,6 +565,44 @@ def test_decontaminate(spark, docs, none, items, corpus):
     assert kept.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {4, 8}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_anchors_find_what_all_windows_would(seed):
+    rng = random.Random(seed)
+    vocab = [b"a", b"b", "\u00e9".encode(), b"dd"][: 2 + seed % 3]
+    line = lambda n: [rng.choice(vocab) for _ in range(n)]
+    whole = line(60)
+    items = [(str(k), line(rng.choice([1, 4, 5, 6, 9, 10, 11, 15, 23]))) for k in range(6)] + [(None, whole[7:30]), ("same", whole[7:30]), ("five", whole[10:15]), ("x", [])]
+    items = [(i, b" ".join(w).decode()) for i, w in items]
+    for width in (10, 5, 3, 2, 1):
+        p = decontaminate.Patterns.of(items, width)
+        a = p.automaton()
+        for text in [line(rng.randint(0, 50)) for _ in range(20)] + [whole, whole[9:40], whole[7:16], []]:
+            hit, ids = set(), set()
+            for i, x in items:
+                v = x.encode().split()
+                n = min(width, len(v))
+                for s in range(len(v) - n + 1 if n else 0):
+                    for b in range(len(text) - n + 1):
+                        if text[b : b + n] == v[s : s + n]:
+                            hit.update(range(b, b + n))
+                            ids.add(i or "")
+            spans, got = decontaminate.hits(f" {b' '.join(text).decode()} ", text, p, a) if text else ([], set())
+            assert got == ids and {k for s, e in spans for k in range(s, e)} == hit and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_decontaminate_digest_is_that_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "one two three four five six seven eight nine ten eleven"), (1, None), (None, "two three"), (2, "..."), (3, "x " * 9000 + "two three")]
+    items = [(None, "two three"), ("b", "Two, three!"), ("c", None), ("a", "three four five six seven eight nine ten eleven twelve"), ("a", "two three")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "i"))
+    got = decontaminate.digest(spark.read.parquet(str(tmp_path / "d")), spark.read.parquet(str(tmp_path / "i")))
+    want = duckdb.sql(decontaminate.digest_sql(f"'{tmp_path}/d/*.parquet'", f"'{tmp_path}/i/*.parquet'")).fetchall()
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, rows_of(got))) == sorted(map(key, want)) and {r[3] for r in want} == {0, 3}
+
+
 def test_decontaminate_keeps_wide_blanks_in_words(spark):
     plain = [f"word{i}" for i in range(24)]
     rows, items = [], []

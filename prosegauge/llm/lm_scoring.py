@@ -5,7 +5,13 @@ n-grams. Both sides travel as packed arrays: documents are dealt to chunks by
 a hash, a chunk sends each of its distinct n-grams once with its count, a
 hash bucket adds the chunks' counts up and answers each chunk, and the chunk
 sums its documents' scores. A frequent n-gram is one entry for each chunk, so
-no key is hot; counts cover all documents.
+no key is hot; counts cover all documents. As rows, the n-grams of 0.5 GB of
+documents would be 385 million, which no exchange within four times the input
+holds; a packed n-gram takes about seven bytes.
+
+A document is scored by what the rest of the corpus holds: its own n-grams are
+taken off the counts. With them, every n-gram of a scored document would have
+been seen and nothing would ever back off.
 """
 
 from __future__ import annotations
@@ -24,8 +30,7 @@ from prosegauge.llm.common import splitmix
 
 ORDER = 3
 BACKOFF = 0.4
-LEAST = 2
-CHUNK_WORDS = 2_500_000
+CHUNK_WORDS = 1_500_000
 MEMO = 200_000
 
 
@@ -82,16 +87,33 @@ def slices(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_hashes, edges, "left"), len(sorted_hashes))
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def own_counts(inverse: np.ndarray, doc: np.ndarray, kinds: int) -> np.ndarray:
+    """For each n-gram, how often its own document has it; ``inverse`` numbers the ``kinds`` of n-grams."""
+    pair = doc.astype(np.int64) * kinds + inverse
+    order = np.argsort(pair, kind="stable")
+    own = pair[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    out = np.empty(len(pair), np.int64)
+    out[order] = np.repeat(np.diff(np.append(first, len(pair))), np.diff(np.append(first, len(pair))))
+    return out
+
+
+def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, leave_out: bool = True, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """doc_id, n_words, n_backed_off, log_score, mean_log_score for each row of ``docs``.
 
     The score of a word is the count of the longest run of up to ``order``
-    words that ends there, has ``least`` occurrences in the corpus or more,
-    over the count of the run before it, times ``backoff`` for each word that
-    the run is shorter than it could be; a single word's count is over all
-    words. log_score sums the logarithms, n_backed_off counts words scored
-    by a shorter run than their place allows. Null and wordless texts score 0
-    with a null mean. Repeated rows each count and keep their row.
+    words that ends there and occurs in the rest of the corpus, over the count
+    of the run before it, times ``backoff`` for each word that the run is
+    shorter than it could be; a single word's count, its own included, is over
+    all words. Without ``leave_out`` counts include the document itself.
+    log_score sums the logarithms, n_backed_off counts words scored by a
+    shorter run than their place allows; scores are rounded to four digits.
+
+    Null and wordless texts score 0 with a null mean. Repeated rows are
+    documents of their own: each counts, and is seen by the others. An empty
+    table gives an empty result. A very long text is part of one chunk, whose
+    memory follows its words. Only doc_id and text are read, so columns of
+    other names cannot clash.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -149,26 +171,31 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
             parts.setdefault(k, []).append((b, x))
         value = np.zeros(len(h))
         taken = np.zeros(len(h), np.int64)
+        doc = np.repeat(np.arange(len(n)), n)
         before = None
         for k, (g, at) in enumerate(grams(h, n, order), 1):
             if not len(g):
                 break
-            _, where = np.unique(g, return_inverse=True)
-            totals = np.concatenate([unpack(x, "<u8") for _, x in sorted(parts.get(k, []))])[where].astype(float)
-            now = np.zeros(len(h))
-            now[at] = totals
-            under = float(total) if k == 1 else before[at - 1]
-            seen = totals >= (1 if k == 1 else least)
-            value[at[seen]] = np.log(totals[seen] / (under if k == 1 else under[seen]))
-            taken[at[seen]] = k
-            before = now
+            kinds, where = np.unique(g, return_inverse=True)
+            totals = np.concatenate([unpack(x, "<u8") for _, x in sorted(parts.get(k, []))])[where].astype(np.int64)
+            others = totals - own_counts(where, doc[at], len(kinds)) if leave_out else totals
+            if k == 1:
+                value[at] = np.log(totals / float(total))
+                taken[at] = 1
+            else:
+                seen = others > 0
+                value[at[seen]] = np.log(others[seen] / before[at[seen] - 1])
+                taken[at[seen]] = k
+            before = np.zeros(len(h))
+            before[at] = others
         most = np.minimum(np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + 1, order)
         value += (most - taken) * math.log(backoff)
         ends = np.cumsum(n)
         sums = np.append(0.0, np.cumsum(value))
         backed = np.append(0, np.cumsum(taken < most))
         log = np.array([value[e - k : e].sum() for e, k in zip(ends, n)]) if len(n) else sums[:0]
-        mean = [float(x / k) if k else None for x, k in zip(log, n)]
+        mean = [round(float(x / k), 4) if k else None for x, k in zip(log, n)]
+        log = np.round(log, 4)
         ids = [i for own in t.column("ids").to_pylist() for i in own]
         return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(backed[ends] - backed[ends - n]), pa.array(log), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "n_backed_off", "log_score", "mean_log_score"])
 
@@ -176,3 +203,24 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
     asked = dealt.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, k int, hashes binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "bucket int, chunk int, k int, totals binary")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, n_backed_off long, log_score double, mean_log_score double")
+
+
+def lm_sql(table: str = "documents", backoff: float = BACKOFF) -> str:
+    """DuckDB SQL for :func:`lm_scores` with runs of up to three words."""
+    gram = lambda k: "w" if k == 1 else "concat_ws(' ', " + ", ".join(f"lag(w, {j}) OVER o" if j else "w" for j in range(k - 1, -1, -1)) + f") AS g{k}"
+    runs = ", ".join(f"CASE WHEN i >= {k} THEN {gram(k).removesuffix(f' AS g{k}')} END AS g{k}" for k in (1, 2, 3))
+    counts = ", ".join(f"c{k} AS (SELECT g{k}, count(*) AS n{k} FROM g WHERE g{k} IS NOT NULL GROUP BY g{k}), o{k} AS (SELECT rid, g{k}, count(*) AS own{k} FROM g WHERE g{k} IS NOT NULL GROUP BY rid, g{k})" for k in (1, 2, 3))
+    joins = " ".join(f"LEFT JOIN c{k} USING (g{k}) LEFT JOIN o{k} USING (rid, g{k})" for k in (1, 2, 3))
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), []) AS ws FROM {table}),
+w AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT rid, i, {runs} FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+{counts},
+f AS (SELECT rid, i, n1, n1 - own1 AS f1, coalesce(n2 - own2, 0) AS f2, coalesce(n3 - own3, 0) AS f3 FROM g {joins}),
+b AS (SELECT *, lag(f1) OVER o AS b1, lag(f2) OVER o AS b2, least(i, 3) AS most FROM f WINDOW o AS (PARTITION BY rid ORDER BY i)),
+s AS (SELECT *, CASE WHEN f3 > 0 THEN 3 WHEN f2 > 0 THEN 2 ELSE 1 END AS taken FROM b),
+v AS (SELECT rid, taken < most AS backed, (most - taken) * ln({backoff}) + CASE taken WHEN 3 THEN ln(f3 / b2) WHEN 2 THEN ln(f2 / b1) ELSE ln(n1 / (SELECT count(*) FROM w)) END AS x FROM s),
+t AS (SELECT rid, sum(backed::INT)::BIGINT AS backed, sum(x) AS x FROM v GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(backed, 0)::BIGINT AS n_backed_off, round(coalesce(x, 0.0), 4) AS log_score, CASE WHEN len(ws) > 0 THEN round(x / len(ws), 4) END AS mean_log_score
+FROM d LEFT JOIN t USING (rid)
+"""

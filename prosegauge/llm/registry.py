@@ -53,4 +53,4 @@ QUERIES = {
     for f in (op1_substring_dedup, op2_quality_rules, op3_source_mix, op4_line_templates, op5_toxicity, op6_lm_scoring, op7_token_counts, op8_simhash_dedup, op9_decontaminate, op10_url_reputation)
 }
 
-ORACLE_SQL = {"op3_source_mix": source_mix.mix_sql(), "op9_decontaminate": decontaminate.digest_sql()}
+ORACLE_SQL = {"op3_source_mix": source_mix.mix_sql(), "op6_lm_scoring": lm_scoring.lm_sql(), "op9_decontaminate": decontaminate.digest_sql()}

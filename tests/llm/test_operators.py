@@ -363,19 +363,24 @@ def test_lm_scores(spark, docs, none, corpus):
             n[k].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
     total = sum(n[1].values())
 
-    def slow(t):
-        w, log = lower(t), 0.0
+    def slow(t, leave_out):
+        w, log, backed = lower(t), 0.0, 0
+        own = Counter(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+        rest = lambda g: n[len(g)][g] - (own[g] if leave_out else 0)
         for i in range(len(w)):
-            for short, k in enumerate(range(min(3, i + 1), 0, -1)):
-                g = tuple(w[i - k + 1 : i + 1])
-                if n[k][g] >= (1 if k == 1 else lm_scoring.LEAST):
-                    log += math.log(n[k][g] / (n[k - 1][g[:-1]] if k > 1 else total)) + short * math.log(lm_scoring.BACKOFF)
-                    break
-        return log
-
-    for size in (2_500_000, 900):
-        got = Counter((r.doc_id, r.n_words, round(r.log_score, 4)) for r in lm_scoring.lm_scores(docs, chunk_words=size).collect())
-        assert got == Counter((i, len(words_of(t)), round(slow(t), 4)) for i, t, *_ in corpus)
+            most = min(3, i + 1)
+            k = next((k for k in range(most, 1, -1) if rest(tuple(w[i - k + 1 : i + 1])) > 0), 1)
+            g = tuple(w[i - k + 1 : i + 1])
+            log += math.log(rest(g) / rest(g[:-1]) if k > 1 else n[1][g] / total) + (most - k) * math.log(lm_scoring.BACKOFF)
+            backed += k < most
+        return backed, round(log, 3)
+
+    for size, leave_out in ((1_500_000, True), (900, True), (900, False)):
+        out = lm_scoring.lm_scores(docs, chunk_words=size, leave_out=leave_out).collect()
+        got = Counter((r.doc_id, r.n_words, r.n_backed_off, round(r.log_score, 3)) for r in out)
+        assert got == Counter((i, len(words_of(t)), *slow(t, leave_out)) for i, t, *_ in corpus)
+        assert all(r.mean_log_score is None if not r.n_words else abs(r.mean_log_score - r.log_score / r.n_words) < 2e-4 for r in out)
+        assert leave_out or not any(r.n_backed_off for r in out)
     assert lm_scoring.lm_scores(none).count() == 0
 
 

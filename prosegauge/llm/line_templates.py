@@ -159,3 +159,22 @@ def drop_lines(docs: DataFrame, counts: bool = True, **how) -> DataFrame:
     added = {"n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_dropped": F.coalesce(F.size(drops), F.lit(0)).cast("long")} if counts else {}
     kept = [rest.alias("text") if c == "text" else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in added]
     return out.select(*kept, *(x.alias(c) for c, x in added.items()))
+
+
+def drop_sql(table: str = "documents", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> str:
+    """DuckDB SQL for :func:`drop_lines` over rows of different ids: every template of every line, with no sieve."""
+    return rf"""
+WITH l AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {table} WHERE text IS NOT NULL)),
+t AS (SELECT doc_id, no, list_transform(list_filter(string_split_regex(raw, '[\x20\x09-\x0D]+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{VARIABLE}' ELSE w END) AS w FROM l),
+n AS (SELECT *, w[{LEADING + 1}:] AS body, least(greatest(len(w) - {LEADING}, 0), {PIECES}) AS k FROM t WHERE len(w) >= {least_tokens}),
+p AS (SELECT *, list_transform(range(k), lambda i: array_to_string(body[i * len(body) // k + 1 : (i + 1) * len(body) // k], ' ')) AS ps FROM n),
+m AS (SELECT * FROM (SELECT *, unnest(range(1, (1 << k)::BIGINT)) AS mask FROM p WHERE k >= {LEAST_PIECES}) WHERE bit_count(mask) <= floor({WILD_SHARE} * k + 1e-9)),
+named AS (
+  SELECT doc_id, no, array_to_string(w, ' ') AS name FROM n
+  UNION ALL SELECT doc_id, no, len(w) || chr(2) || array_to_string(w[:{LEADING}], ' ') || chr(2) || mask || chr(2) || array_to_string(list_transform(list_filter(range(k), lambda i: (mask >> i) & 1 = 0), lambda i: ps[i + 1]), chr(2)) FROM m
+),
+often AS (SELECT name, min(row(doc_id IS NULL, doc_id, no)) AS first FROM named GROUP BY name HAVING count(DISTINCT coalesce(doc_id::VARCHAR, '')) >= {least_docs}),
+gone AS (SELECT DISTINCT doc_id, no FROM named JOIN often USING (name) WHERE row(doc_id IS NULL, doc_id, no) <> first),
+kept AS (SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.no) FILTER (g.no IS NULL) AS text, count(*) AS n_lines, count(g.no) AS n_dropped FROM l LEFT JOIN gone g ON g.no = l.no AND g.doc_id IS NOT DISTINCT FROM l.doc_id GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_dropped, 0)::BIGINT AS n_dropped, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text FROM {table} d LEFT JOIN kept k ON k.doc_id IS NOT DISTINCT FROM d.doc_id
+"""

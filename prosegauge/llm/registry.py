@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from prosegauge.llm import decontaminate, line_templates, lm_scoring, quality_rules, simhash, source_mix, substring_dedup, token_counts, toxicity, url_reputation
@@ -53,4 +55,12 @@ QUERIES = {
     for f in (op1_substring_dedup, op2_quality_rules, op3_source_mix, op4_line_templates, op5_toxicity, op6_lm_scoring, op7_token_counts, op8_simhash_dedup, op9_decontaminate, op10_url_reputation)
 }
 
-ORACLE_SQL = {"op3_source_mix": source_mix.mix_sql(), "op6_lm_scoring": lm_scoring.lm_sql(), "op9_decontaminate": decontaminate.digest_sql()}
+ORACLE_SQL = {
+    "op3_source_mix": source_mix.mix_sql(),
+    "op4_line_templates": line_templates.drop_sql(),
+    "op6_lm_scoring": lm_scoring.lm_sql(),
+    "op9_decontaminate": decontaminate.digest_sql(),
+    "op10_url_reputation": url_reputation.judge_sql(),
+}
+if os.path.exists(token_counts.MODEL):  # the vocabulary's pieces stand in the SQL
+    ORACLE_SQL["op7_token_counts"] = token_counts.counts_sql(*token_counts.vocabulary())

@@ -134,3 +134,33 @@ def token_counts(docs: DataFrame, scores: dict[str, int] | None = None, byte_sco
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(words, np.int64)), pa.array(np.array(pieces, np.int64))], ["doc_id", "n_pretokens", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+
+
+def counts_sql(scores: dict[str, int], byte_score: int, table: str = "documents") -> str:
+    """DuckDB SQL for :func:`token_counts`: the best segmentation of each distinct pre-token, one character further in each round.
+
+    A state is its score and the number of its pieces in one number, the lower
+    number of pieces above. The vocabulary stands in the text as literals.
+    """
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    one = 1 << 20  # more than the pieces of any pre-token
+    return rf"""
+WITH RECURSIVE pieces AS (SELECT unnest([{", ".join(map(quote, scores))}]) AS piece, unnest([{", ".join(map(str, scores.values()))}]::BIGINT[]) AS score),
+d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM {table}),
+u AS (SELECT rid, unnest(ws) AS w FROM d),
+words AS (SELECT w, row_number() OVER () AS word, '{START}' || w AS t, len(w) + 1 AS n FROM (SELECT DISTINCT w FROM u)),
+longest AS (SELECT max(len(piece)) AS most FROM pieces),
+ends AS (SELECT word, t, unnest(range(1, n + 1)) AS d FROM words),
+cuts AS (SELECT word, t, d, unnest(range(greatest(0, d - (SELECT most FROM longest)), d)) AS k FROM ends),
+steps AS MATERIALIZED (
+  SELECT word, d, k, score * {one} - 1 AS gain FROM cuts JOIN pieces ON piece = substr(t, k + 1, d - k)
+  UNION ALL SELECT word, d, d - 1, octet_length(encode(substr(t, d, 1))) * ({byte_score} * {one} - 1) FROM ends WHERE substr(t, d, 1) NOT IN (SELECT piece FROM pieces)
+),
+walk(word, d, n, best) AS (
+  SELECT word, 0::BIGINT, n, [0::BIGINT] FROM words
+  UNION ALL SELECT w.word, w.d + 1, any_value(w.n), list_append(any_value(w.best), max(w.best[s.k + 1] + s.gain)) FROM walk w JOIN steps s ON s.word = w.word AND s.d = w.d + 1 WHERE w.d < w.n GROUP BY w.word, w.d
+),
+counted AS (SELECT w.w, ((-x.best[-1]) % {one} + {one}) % {one} AS k FROM walk x JOIN words w USING (word) WHERE x.d = x.n),
+total AS (SELECT rid, sum(k)::BIGINT AS n_tokens FROM u JOIN counted USING (w) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_pretokens, coalesce(n_tokens, 0)::BIGINT AS n_tokens FROM d LEFT JOIN total USING (rid)
+"""

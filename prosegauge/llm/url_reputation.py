@@ -33,12 +33,21 @@ def split_url(url: str = "url"):
     return F.translate(host, UPPER, LOWER), path
 
 
-def levels(host):
-    """(suffix, registered domain) of a host column; a host of one label is both."""
-    parts = F.split(F.regexp_replace(host, r":\d*$", ""), r"\.")
+def levels(host, suffixes=TWO_LABEL_SUFFIXES):
+    """(suffix, registered domain) of a host column.
+
+    A user name before @, a port and a dot at the end do not count. The suffix
+    is the longest of ``suffixes`` (of two or three labels) that the host ends
+    with, else its last label; the domain has one label more. An address of
+    digits or in brackets, and a host of one label, is both.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":\d*$", ""), r"\.$", "")
+    parts = F.split(bare, r"\.")
     tail = lambda k: F.array_join(F.slice(parts, F.greatest(F.size(parts) - k + 1, F.lit(1)), F.lit(k)), ".")
-    two = tail(2).isin(*TWO_LABEL_SUFFIXES)
-    return F.when(two, tail(2)).otherwise(tail(1)), F.when(two, tail(3)).otherwise(tail(2))
+    listed = lambda k: tail(k).isin(*[x for x in suffixes if x.count(".") == k - 1], "\x00")
+    address = bare.rlike(r"^(?:\d+\.){3}\d+$") | bare.startswith("[")
+    by = lambda one: F.when(address, bare).when(listed(3), tail(3 + one)).when(listed(2), tail(2 + one)).otherwise(tail(1 + one))
+    return by(0), by(1)
 
 
 def rule_columns(rules=RULES):
@@ -65,7 +74,7 @@ def prior_weight(counts: DataFrame, centre: str) -> float:
     return min(MOST_WEIGHT, max(LEAST_WEIGHT, v / x - 1)) if x and x > 0 else MOST_WEIGHT
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
     """(host, suffix, domain, n, bad, posterior_mean, lower_bound) of every host in ``pages``.
 
     ``outcomes`` is (page_id, bad 0/1), at most one row for each page. Counts
@@ -73,7 +82,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     pages is as cheap as any.
     """
     lab = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    suffix, domain = levels(F.col("host"))
+    suffix, domain = levels(F.col("host"), suffixes)
     hosts = materialise(lab.withColumns({"suffix": suffix, "domain": domain}))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -85,7 +94,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     s, _ = shrink(suffixes.withColumn("m0", F.lit(((bad or 0) + 0.5) / ((n or 0) + 1.0))), "m0", "m1")
     d, _ = shrink(domains.join(s.select("suffix", "m1"), "suffix"), "m1", "m2")
-    h, k = shrink(hosts.join(d.select("domain", "m2"), "domain"), "m2", "m3")
+    h, k = shrink(hosts.join(d.select("suffix", "domain", "m2"), ["suffix", "domain"]), "m2", "m3")
     spread = F.sqrt(F.col("m3") * (1 - F.col("m3")) / (F.col("n") + k + 1))
     return h.select("host", "suffix", "domain", "n", "bad", F.col("m3").alias("posterior_mean"), (F.col("m3") - Z * spread).alias("lower_bound"))
 
@@ -95,17 +104,51 @@ def outcomes_of(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, posterior_mean, lower_bound for each row of ``pages``.
 
     A null url, or one without ://, has an empty host and path, and the host
     "" gets a reputation like any other. Repeated pages keep their rows; a page
     that several rows repeat counts once for each. No labels at all leave the
-    prior of one half, whose bound blocks nothing.
+    prior of one half, whose bound blocks nothing. An empty table gives an
+    empty result; a url of any length is a row. ``suffixes`` are the public
+    suffixes of two or three labels (a list of the caller's, of a few thousand
+    entries; the short one here serves tests). Only page_id and url are read,
+    so columns of other names cannot clash.
     """
     host, path = split_url()
     rows = pages.select("page_id", "url").withColumns({"host": host, "path": path}).drop("url")
     rule, verdict = rule_columns(rules)
-    out = rows.join(reputation(rows, outcomes), "host", "left").withColumns({"rule": rule, "by_rule": verdict})
+    out = rows.join(reputation(rows, outcomes, suffixes), "host", "left").withColumns({"rule": rule, "by_rule": verdict})
     own = F.when(F.col("lower_bound") > threshold, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), F.round("posterior_mean", 6).alias("posterior_mean"), F.round("lower_bound", 6).alias("lower_bound"))
+
+
+def judge_sql(pages: str = "pages", labels: str = "labels", rules=RULES, threshold: float = THRESHOLD, suffixes=TWO_LABEL_SUFFIXES) -> str:
+    """DuckDB SQL for :func:`judge` with the outcomes of ``labels``."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    bare = r"regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', ''), '\.$', '')"
+    tail = lambda k: f"array_to_string(ps[greatest(len(ps) - {k} + 1, 1):], '.')"
+    listed = lambda k: f"{tail(k)} IN ({', '.join(map(quote, [*(x for x in suffixes if x.count('.') == k - 1), chr(1)]))})"
+    by = lambda one: rf"CASE WHEN regexp_matches(bare, '^(?:\d+\.){{3}}\d+$') OR starts_with(bare, '[') THEN bare WHEN {listed(3)} THEN {tail(3 + one)} WHEN {listed(2)} THEN {tail(2 + one)} ELSE {tail(1 + one)} END"
+    fits = [f"WHEN (host = {quote(h)} OR ends_with(host, {quote('.' + h)})) AND starts_with(path, {quote(p)}) THEN " for _, h, p in sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r[1], r[2]))]
+    ordered = sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r[1], r[2]))
+    rule, verdict = ("CASE " + " ".join(f + quote(h + p if what == "rule" else kind) for f, (kind, h, p) in zip(fits, ordered)) + " END" for what in ("rule", "verdict"))
+    weight = lambda table, m: f"(SELECT CASE WHEN x > 0 THEN least({MOST_WEIGHT}, greatest({LEAST_WEIGHT}, v / x - 1)) ELSE {MOST_WEIGHT} END FROM (SELECT avg(round({m} * (1 - {m}), 9)::DECIMAL(20, 9))::DOUBLE AS v, avg(round((bad / n - {m}) * (bad / n - {m}) - {m} * (1 - {m}) / n, 9)::DECIMAL(20, 9))::DOUBLE AS x FROM {table} WHERE n >= 2))"
+    return rf"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {pages}),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+o AS (SELECT doc_id AS page_id, max((quality = 0)::INT) AS bad FROM {labels} WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+c AS (SELECT host, count(o.bad)::DOUBLE AS n, coalesce(sum(o.bad), 0)::DOUBLE AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+b AS (SELECT *, {bare} AS bare, string_split({bare}, '.') AS ps FROM c),
+hosts AS (SELECT host, n, bad, {by(0)} AS suffix, {by(1)} AS domain FROM b),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM hosts) AS m0 FROM domains GROUP BY suffix),
+s AS (SELECT suffix, (bad + k * m0) / (n + k) AS m1 FROM suffixes, (SELECT {weight('suffixes', 'm0')} AS k)),
+d0 AS (SELECT * FROM domains JOIN s USING (suffix)),
+d AS (SELECT suffix, domain, (bad + k * m1) / (n + k) AS m2 FROM d0, (SELECT {weight('d0', 'm1')} AS k)),
+h0 AS (SELECT * FROM hosts JOIN d USING (suffix, domain)),
+h AS (SELECT host, n, k, (bad + k * m2) / (n + k) AS m3 FROM h0, (SELECT {weight('h0', 'm2')} AS k)),
+r AS (SELECT host, m3, m3 - {Z} * sqrt(m3 * (1 - m3) / (n + k + 1)) AS low FROM h)
+SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN low > {threshold} THEN 'block' ELSE 'allow' END) AS verdict, round(m3, 6) AS posterior_mean, round(low, 6) AS lower_bound FROM p LEFT JOIN r USING (host)
+"""

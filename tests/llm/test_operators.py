@@ -373,11 +373,11 @@ def test_lm_scores(spark, docs, none, corpus):
             g = tuple(w[i - k + 1 : i + 1])
             log += math.log(rest(g) / rest(g[:-1]) if k > 1 else n[1][g] / total) + (most - k) * math.log(lm_scoring.BACKOFF)
             backed += k < most
-        return backed, round(log, 3)
+        return backed, round(log, 4)
 
     for size, leave_out in ((1_500_000, True), (900, True), (900, False)):
         out = lm_scoring.lm_scores(docs, chunk_words=size, leave_out=leave_out).collect()
-        got = Counter((r.doc_id, r.n_words, r.n_backed_off, round(r.log_score, 3)) for r in out)
+        got = Counter((r.doc_id, r.n_words, r.n_backed_off, r.log_score) for r in out)
         assert got == Counter((i, len(words_of(t)), *slow(t, leave_out)) for i, t, *_ in corpus)
         assert all(r.mean_log_score is None if not r.n_words else abs(r.mean_log_score - r.log_score / r.n_words) < 2e-4 for r in out)
         assert leave_out or not any(r.n_backed_off for r in out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -34,20 +35,44 @@ def scratch(spark: SparkSession) -> str:
         return own
     if sc.master.startswith("local"):
         own = tempfile.mkdtemp(prefix="prosegauge-")
+        delete_at_end(spark, own)
     else:
         own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_prosegauge"
     sc.setCheckpointDir(own)
     return own
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver delete a folder of the shared store when it ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def delete_now(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that nothing reads any more."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Folders of the tables written so far, for a caller that knows which are done with (``delete_now``); the rest go when the driver ends.
+TABLES: list[str] = []
+LONG_STEP = 1.0  # seconds
+
+
 def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    began = time.monotonic()
     df.write.option("compression", compression).parquet(path)
-    # The driver deletes a finished step's shuffle files when it collects its garbage; nothing below reads them.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    delete_at_end(spark, path)
+    TABLES.append(path)
+    if time.monotonic() - began > LONG_STEP:
+        # Spark deletes the shuffle files of a finished step when its driver collects garbage, and has no other
+        # call for it; after a long step, whose files may be large, that is worth a collection of the driver's heap.
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,6 +112,16 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def one_text_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text, and the columns of ``wanted``): the documents that ``wanted`` names by doc_id; of several rows of an id, the text with the least hash.
+
+    So a bounded number of ids gives a bounded number of rows.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
+    more = [c for c in wanted.columns if c != "doc_id"]
+    return rows.groupBy("doc_id", *more).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def labelled_sample(labels: DataFrame, outcome: str, rows: int) -> DataFrame:
     """(doc_id, outcome) of at most ``rows`` labelled documents, the same in each run.
 

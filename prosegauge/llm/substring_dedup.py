@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans (operator 1).
 
 A text is cut into sentences, each run of ``span`` consecutive sentences (of
-more, where those have too few words) is hashed, and hashes meet in one global aggregation that keeps their first
-place. Every other place of a repeated hash marks its sentences for removal.
+more, where those have too few words) is hashed, and hashes meet in one global
+aggregation. Of the places of each repeated hash the first stays; every other
+marks its sentences for removal.
 """
 
 from __future__ import annotations
@@ -92,7 +93,10 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_W
     the smallest hash of the text, then the first sentence; it stays. Rows
     that repeat an id with its text share one fate, as they are one document.
     A null text stays null with no sentences; texts of fewer than ``span``
-    sentences or ``least_words`` words never repeat.
+    sentences or ``least_words`` words never repeat. An empty table gives an
+    empty result; a text of any length costs in proportion, in memory of its
+    own size. Only doc_id and text are read, so columns of other names cannot
+    clash.
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -110,9 +114,12 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_W
 
     found = materialise(rows.mapInArrow(cut, "hash long, doc_id long, text_hash long, start int"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start")
-    places = found.select("hash", place.alias("place"))
-    repeated = places.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select(F.col("hash").alias("again"), "first")
-    later = places.join(repeated, F.col("hash") == F.col("again")).where("place <> first")
+    # Counted first, by the hash alone; then only places of repeated hashes are looked at. Both tables are written, so
+    # that a join of two exchanges meets a frequent hash, and is split there, and no group is made in the task of a join.
+    again = materialise(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
+    places = materialise(found.join(again.hint("merge"), "hash", "left_semi"))
+    firsts = materialise(places.groupBy("hash").agg(F.min(place).alias("first")))
+    later = places.join(firsts.hint("merge"), "hash").withColumn("place", place).where("place <> first")
     marked = later.groupBy("place.doc_id", "place.text_hash").agg(F.collect_set("place.start").alias("starts")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "starts")
     joined = rows.join(marked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left").select("doc_id", "text", "starts")
 

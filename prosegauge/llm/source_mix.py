@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import WORD
+from prosegauge.llm.common import WORD, materialise
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -62,10 +62,13 @@ def mix(docs: DataFrame, size=None, range_rows: int = RANGE_ROWS, **how) -> Data
     source like any other; a null text has size 0. Equal keys go by doc_id
     and size, so rows that tie fully give the same rows in either order. An
     empty table gives an empty result; where all sizes are 0 nothing is taken.
+    A text of any length counts whole. Only doc_id, text and source are read,
+    so columns of other names cannot clash.
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long") if size is None else size
-    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), hash_key("doc_id").alias("key"))
-    n = docs.select(F.lit(1)).count()
+    # Texts are read once; what follows needs no text.
+    rows = materialise(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), hash_key("doc_id").alias("key")))
+    n = rows.count()
     digits = 0
     while n > range_rows * 16**digits:
         digits += 1

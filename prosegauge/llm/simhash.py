@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from prosegauge.llm.common import connected_components, materialise, splitmix
 
 SEED = 42
-SAMPLE = 65_536
+SAMPLE = 1 << 20
+SHARD_ROWS = 200_000
 PIECE = 32_768  # hashes whose votes are added up in 16 bits
 
 
@@ -222,13 +223,20 @@ def route(fp: np.ndarray, pivots: np.ndarray, mids: np.ndarray, radius: int) ->
     return row[keep], node[keep], home[keep]
 
 
-def link_components(fps: DataFrame, max_bits: int = 2, shard_rows: int = 40_000, sample_rows: int = SAMPLE) -> DataFrame:
-    """(fp, root) of each fingerprint linked to another; root is the smallest in its component."""
+def link_components(fps: DataFrame, max_bits: int = 2, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE) -> DataFrame:
+    """(fp, root) of each fingerprint linked to another; root is the smallest in its component.
+
+    The tree is as deep as shards of about ``shard_rows`` home rows ask for,
+    with no limit. A level sends a fingerprint down both sides where its
+    distance to the pivot is within ``max_bits`` of the median, so a row goes
+    to more shards the deeper the tree: that, and not memory, is what grows.
+    """
     distinct = fps.select("fp").where("fp is not null").distinct()
     n = distinct.count()
-    depth = max(0, min(12, math.ceil(math.log2(max(1, n / shard_rows)))))
+    depth = max(0, math.ceil(math.log2(max(1, n / shard_rows))))
     if n > 20_000:
         depth = max(depth, 4)
+    sample_rows = min(sample_rows, 4096 << depth)  # a leaf's pivot needs no more
     sample = distinct.sample(min(1.0, 1.2 * sample_rows / n), seed=7).limit(sample_rows).toArrow().column("fp") if depth and n else pa.array([], pa.int64())
     pivots, mids = vp_tree(np.array(sample.to_numpy(), "<i8").view("<u8"), depth)
 

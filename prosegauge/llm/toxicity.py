@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import labelled_sample, materialise
+from prosegauge.llm.common import labelled_sample, materialise, one_text_each
 
 SAMPLE = 20_000
 FOLDS = 5
@@ -36,7 +36,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"([^\W\d_])\1\1", re.I)
 SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*%#]+[^\W\d_]|^[0-9@$!|(€£¡][^\W\d_]{2}|^[0-9@$!|(€£¡]{2,}[^\W\d_]|^[0-9@$!|(€£¡]+[^\W\d_]+[0-9@$€£]+$|[^\W\d_]{2}[0-9@$€£]$|[^\W\d_][0-9@$€£]{2,}$")
 JOINED = re.compile(r"^(?:[^\W_][.\-_*·~]){2,}[^\W_]$")
-SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€£¡*%#])(?:[ ](?:[^\W_]|[@$!|+(€£¡*%#])){3,}(?!\S)")
+# up to three blanks or a line's end between letters
+SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€£¡*%#])(?:(?:[^\S\r\n]{1,3}|[^\S\r\n]?\r?\n[^\S\r\n]?)(?:[^\W_]|[@$!|+(€£¡*%#])){3,}(?!\S)")
 
 
 # --- the character model -------------------------------------------------------------
@@ -191,7 +192,7 @@ class Restorer(dict):
         out -= single
         if len(single) > 1:
             for m in SPACED.finditer(text):
-                letters = m.group().replace(" ", "")
+                letters = "".join(m.group().split())
                 if len(set(letters.lower())) > 1 and any(map(str.isalpha, letters)):
                     # as one word, and as the words that it may be a sentence of
                     both = f"{decode(letters, self.model)} {decode(letters, self.model, breaks=True)}"
@@ -256,8 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, n_featu
     """Fit on at most ``sample_rows`` labelled rows whose crc32(doc_id) mod 5 is not 0; character counts cover all documents."""
     grams = count_grams(docs)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) != 0
-    want = F.broadcast(labelled_sample(labels.where(fold), "toxic", sample_rows))  # at most sample_rows rows of two numbers
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(want, "doc_id")
+    want = materialise(labelled_sample(labels.where(fold), "toxic", sample_rows))  # at most sample_rows rows of two numbers
+    picked = one_text_each(docs, want)
     sent = docs.sparkSession.sparkContext.broadcast(grams.astype(np.float32))
 
     def words(batches):
@@ -269,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, n_featu
     sample = materialise(picked.mapInArrow(words, "doc_id long, outcome int, features array<string>"))
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("outcome") == 1).cast("long")), F.lit(0))).first()
     if not toxic or toxic == n:
-        return Scorer([], np.array([math.log((toxic + 0.5) / (n - toxic + 0.5))]), grams)
+        return Scorer([], np.array([math.log((toxic + 0.5) / (n - toxic + 1.0))]), grams)  # below one half where nothing is labelled
 
     def counts(batches):
         every, bad = Counter(), Counter()
@@ -318,8 +319,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
     Null and empty texts score by the bias alone. A null doc_id is held out as
     the hash of a null is unknown. Without labels of both classes every score
-    is the base rate. Repeated rows each keep their row; of repeated labels
-    the smallest counts.
+    is the base rate, and with none at all a third, so that nothing is marked. Repeated rows each keep their row; of repeated labels
+    the smallest counts, and one text of an id is learned from. An empty table
+    gives an empty result. Decoding takes time and memory in proportion to a
+    text. Only doc_id and text are read, so columns of other names cannot
+    clash.
     """
     out = scored(docs, train(docs, labels, **how))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == 0, F.lit(True))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import BLANKS, labelled_sample
+from prosegauge.llm.common import BLANKS, labelled_sample, materialise, one_text_each
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -200,9 +200,9 @@ def learn(x: dict[str, np.ndarray], y: np.ndarray, most_rules: int = 12, precisi
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> list[Rule]:
     """Rules that find low quality, from the statistics of at most ``sample_rows`` labelled documents."""
-    want = F.broadcast(labelled_sample(labels, "quality", sample_rows))  # at most sample_rows rows of two numbers
-    stats = with_statistics(docs.select("doc_id", "text").join(want.select("doc_id"), "doc_id", "left_semi"))
-    got = stats.join(want, "doc_id").select("doc_id", "outcome", *(c.alias(f"x_{n}") for n, c in feature_columns().items())).toArrow().to_pandas()
+    want = materialise(labelled_sample(labels, "quality", sample_rows))  # at most sample_rows rows of two numbers
+    stats = with_statistics(one_text_each(docs, want.select("doc_id")))
+    got = stats.join(F.broadcast(want), "doc_id").select("doc_id", "outcome", *(c.alias(f"x_{n}") for n, c in feature_columns().items())).toArrow().to_pandas()
     got = got.sort_values(list(got.columns)).sample(frac=1.0, random_state=11).reset_index(drop=True)
     if not len(got):
         return []
@@ -224,7 +224,10 @@ def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Da
     Null texts count as empty and fail the base rules, as do texts of fewer
     than ten words. No labels, or labels of one class, leave an empty list,
     which keeps all that the base rules pass. Null labels are left out, an id
-    labelled twice takes its lower quality, repeated rows each keep their row.
+    labelled twice takes its lower quality, repeated rows each keep their row
+    (one text of an id is learned from). An empty table gives an empty result;
+    a text of any length is judged whole. Only doc_id and text are read, so
+    columns of other names cannot clash.
     """
     rules = learn_rules(docs, labels, sample_rows)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

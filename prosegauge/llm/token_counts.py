@@ -115,8 +115,11 @@ def token_counts(docs: DataFrame, scores: dict[str, int] | None = None, byte_sco
     with one leading blank. A pre-token's pieces are those of the likeliest
     segmentation, of equals the one with the fewest; characters outside the
     vocabulary are one piece for each byte. Null and empty texts have none;
-    repeated rows each keep their row. The vocabulary, of fixed size, travels
-    from the driver, so executors need no file.
+    repeated rows each keep their row; an empty table gives an empty result. A
+    pre-token of any length is walked once; the trie starts anew when it is
+    full. Only doc_id and text are read, so columns of other names cannot
+    clash. The vocabulary, of fixed size, travels from the driver, so executors
+    need no file.
     """
     if scores is None:
         scores, byte_score = vocabulary()

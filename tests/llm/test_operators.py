@@ -92,14 +92,23 @@ def test_substring_dedup(spark, docs, none, corpus):
     assert 80 <= left <= 80 + 25 and got[11].text.startswith(own[11][:200])
     out = substring_dedup.remove_repeats(docs)
     assert out.count() == len(corpus) and {r.text for r in out.where("doc_id in (1, 2)").collect()} == {None, ""}
-    # brute force over all documents
-    seen, want = {}, Counter()
-    order = sorted({(r[0] is None, r[0] or 0, spark_hash(spark, r[1]), r[1]) for r in corpus if r[1] is not None})
-    for no_id, i, _, t in order:
-        h, at = substring_dedup.spans(t, substring_dedup.SPAN, substring_dedup.LEAST_WORDS)
-        starts = {int(s) for x, s in zip(h, at) if seen.setdefault(int(x), (no_id, i, t, int(s))) != (no_id, i, t, int(s))}
-        want[None if no_id else i] = len(substring_dedup.covered(t, starts, substring_dedup.SPAN)) if starts else 0
-    assert {r.doc_id: r.n_removed for r in out.where("text is not null").collect()} == dict(want)
+    # brute force over all documents: every run of three sentences, or of as many more as have twelve words
+    runs, want = {}, {}
+    for r in {(r[0], r[1]) for r in corpus if r[1] is not None}:
+        kept = [(i, words_of(s)) for i, s in enumerate(substring_dedup.sentences(r[1])) if words_of(s)]
+        want[r] = set()
+        for k in range(len(kept)):
+            size = next((n for n in range(3, len(kept) - k + 1) if sum(len(w) for _, w in kept[k : k + n]) >= 12), None)
+            if size:
+                part = kept[k : k + size]
+                runs.setdefault(" ".join(w for _, ws in part for w in ws), []).append(((r[0] is None, r[0] or 0, spark_hash(spark, r[1]), part[0][0]), r, {i for i, _ in part}))
+    for places in runs.values():
+        first = min(places)[0]
+        for place, r, covered in places:
+            if place != first:
+                want[r] |= covered
+    assert any(want.values())
+    assert Counter((r.doc_id, tuple(r.removed)) for r in out.where("text is not null").collect()) == Counter((r[0], tuple(sorted(want[r[:2]]))) for r in corpus if r[1] is not None)
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
@@ -335,6 +344,62 @@ def test_decode_of_long_and_digit_rich_tokens():
     assert r["1984"] == () and r.text("1 2 3 4 5 6") == {*()} and len(toxicity.decode("hous" * 50_000, r.model)) == 200_000
 
 
+def readings(token, model, breaks):
+    """The cost of every reading of a token: each look-alike as each letter or itself, joiners dropped, repeats kept or cut, blanks or none."""
+    best = {}
+
+    def walk(rest, state, path, cost):
+        if not rest:
+            total = cost + float(model.cost[(*state, 0)])
+            best[path] = min(total, best.get(path, math.inf))
+            return
+        ch = rest[0]
+        if ch.isalpha():
+            options = [(ch, 0.0)]
+        elif ch in " .-_·~":
+            options = [("", 0.0)]
+        else:
+            wild = toxicity.LOOKALIKE.get(ch, "")
+            options = [(o, toxicity.COST_WILD if len(wild) > 2 else toxicity.COST_LOOKALIKE) for o in wild] + [(ch, toxicity.COST_KEEP)] + ([("", toxicity.COST_WILD)] if ch == "*" else [])
+        for gap in (False, True) if breaks and path and state[2] else (False,):
+            c, s, p = (cost + float(model.cost[(*state, 0)]), (*state[1:], 0), path + " ") if gap else (cost, state, path)
+            for out, extra in options:
+                if not out:
+                    walk(rest[1:], s, p, c + extra)
+                    continue
+                k = toxicity.code_of(out)
+                walk(rest[1:], (*s[1:], k), p + out, c + extra + float(model.cost[(*s, k)]))
+                if p and p[-1] == out:
+                    walk(rest[1:], s, p, c + extra + toxicity.COST_REPEAT)
+
+    walk(token.lower(), (0, 0, 0), "", 0.0)
+    return best
+
+
+def test_viterbi_finds_the_cheapest_of_all_readings():
+    rng = random.Random(14)
+    own = ["stupid", "idiot", "loser", "house", "moron", "the", "sees", "you"]
+    text = np.frombuffer(" ".join(rng.choice(own) for _ in range(3000)).encode().translate(toxicity.CLASS), np.uint8).astype(int)
+    model = toxicity.CharModel(np.bincount(((text[:-3] * 28 + text[1:-2]) * 28 + text[2:-1]) * 28 + text[3:], minlength=28**4))
+    marks = "13450@$!|*-.s"
+    tokens = ["1d10t", "m0r0n", "st*p1d", "s-t.u_p", "l00ser", "$ee$", "h**se", "!!!!", "y0u5ee", "-", "*"]
+    tokens += ["".join(rng.choice(rng.choice(own)) if rng.random() < 0.5 else rng.choice(marks) for _ in range(rng.randint(1, 7))) for _ in range(150)]
+    for token in tokens:
+        for breaks in (False, True):
+            every, got = readings(token, model, breaks), toxicity.decode(token, model, breaks)
+            assert every[got] <= min(every.values()) + 1e-4, (token, got, min(every, key=every.get))
+
+
+def test_letters_apart_by_any_blanks(spark):
+    rng = random.Random(6)
+    own = ["you", "are", "a", "moron", "and", "the", "house"]
+    text = np.frombuffer(" ".join(rng.choice(own) for _ in range(4000)).encode().translate(toxicity.CLASS), np.uint8).astype(int)
+    r = toxicity.Restorer(toxicity.CharModel(np.bincount(((text[:-3] * 28 + text[1:-2]) * 28 + text[2:-1]) * 28 + text[3:], minlength=28**4)))
+    for hidden in ("m o r o n", "m  o  r  o  n", "m\to\tr\to\tn", "m\no\nr\no\nn", "m \n o\r\nr 0 n", "m\u00a0o\u00a0r\u00a0o\u00a0n"):
+        assert "moron" in r.text(f"see {hidden} there"), hidden
+    assert "moron" not in r.text("see m    o    r    o    n there") and "moron" not in r.text("m o\n\nr o n")
+
+
 def test_toxicity(spark, none, corpus):
     rng = random.Random(4)
     rows = [(i, prose(rng, 40) + (f" {rng.choice(['zorgon', 'blatfink', 'z0rg0n'])} " if i % 3 == 0 else " ") + prose(rng, 20), "en", "s", 1) for i in range(300)]
@@ -347,7 +412,11 @@ def test_toxicity(spark, none, corpus):
     assert np.mean([r.predicted == int(r.doc_id % 3 == 0) for r in held]) > 0.95
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
-    assert toxicity.toxicity(none, labels).count() == 0 and toxicity.toxicity(docs, labels.limit(0)).count() == 308
+    assert toxicity.toxicity(none, labels).count() == 0 and toxicity.toxicity(docs, labels.limit(0)).where("predicted = 0").count() == 308
+    # many rows of one labelled id are one row to learn from
+    many = docs.unionByName(docs.where("doc_id = 1").withColumn("text", F.explode(F.array_repeat("text", 500))))
+    scorer = toxicity.train(many, labels)
+    assert np.allclose(scorer.weights, toxicity.train(docs, labels).weights, atol=0.3) and toxicity.toxicity(many, labels).count() == 308 + 500 * docs.where("doc_id = 1").count()
 
 
 # 6
@@ -638,3 +707,84 @@ def test_reputation(spark):
     got = url_reputation.judge(spark.createDataFrame(pages, "page_id long, url string"), url_reputation.outcomes_of(labels)).collect()
     assert len(got) == 82 and {r.verdict for r in got if r.page_id < 40} == {"block"} and {r.verdict for r in got if r.page_id >= 40} == {"allow"}
     assert url_reputation.judge(spark.createDataFrame([], "page_id long, url string"), url_reputation.outcomes_of(labels)).count() == 0
+
+
+def test_levels_of_hosts(spark):
+    hosts = {"a.b.example.co.uk": ("co.uk", "example.co.uk"), "example.com": ("com", "example.com"), "x.example.com:8080": ("com", "example.com"), "me:pw@example.com.": ("com", "example.com"), "10.1.2.3": ("10.1.2.3",) * 2, "10.1.2.3:80": ("10.1.2.3",) * 2, "[::1]": ("[::1]",) * 2, "localhost": ("localhost",) * 2, "": ("", ""), "co.uk": ("co.uk", "co.uk"), "w.a.b.city.kawasaki.jp": ("b.city.kawasaki.jp"[2:], "b.city.kawasaki.jp")}
+    suffix, domain = url_reputation.levels(F.col("host"), [*url_reputation.TWO_LABEL_SUFFIXES, "city.kawasaki.jp"])
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", suffix.alias("s"), domain.alias("d"))
+    assert {r.host: (r.s, r.d) for r in got.collect()} == hosts
+
+
+def test_posterior_level_by_level(spark):
+    rng = random.Random(9)
+    rate = {f"h{k}.d{k % 7}.{('com', 'net', 'co.uk')[k % 3]}": rng.random() ** 2 for k in range(30)}
+    pages, bad = [], {}
+    for i in range(900):
+        host = rng.choice(list(rate))
+        pages.append((i, f"http://{host}/p{i}"))
+        if i % 3:
+            bad[i] = int(rng.random() < rate[host])
+    pages += [(2000 + i, f"http://new{i}.d0.com/x") for i in range(3)] + [(3000, None)]
+    out = spark.createDataFrame([*bad.items()], "page_id long, bad int")
+    got = {r.host: r for r in url_reputation.judge(spark.createDataFrame(pages, "page_id long, url string"), out, rules=()).collect()}
+    split = lambda h: (("co.uk", ".".join(h.split(".")[-3:])) if h.endswith("co.uk") else (h.split(".")[-1], ".".join(h.split(".")[-2:]))) if h else ("", "")
+    count = {}
+    for i, u in pages:
+        h = u.split("/")[2] if u else ""
+        c = count.setdefault(h, [0, 0])
+        if i in bad:
+            c[0] += 1
+            c[1] += bad[i]
+
+    def total(key):
+        sums = {}
+        for h, (n, b) in count.items():
+            s = sums.setdefault(key(h), [0, 0])
+            s[0], s[1] = s[0] + n, s[1] + b
+        return sums
+
+    def shrunk(sums, centre):
+        many = [(n, b, centre(g)) for g, (n, b) in sums.items() if n >= 2]
+        v = np.mean([m * (1 - m) for _, _, m in many])
+        x = np.mean([(b / n - m) ** 2 - m * (1 - m) / n for n, b, m in many])
+        k = min(200.0, max(2.0, v / x - 1)) if x > 0 else 200.0
+        return {g: (b + k * centre(g)) / (n + k) for g, (n, b) in sums.items()}, k
+
+    n, b = (sum(c[j] for c in count.values()) for j in (0, 1))
+    m1, _ = shrunk(total(lambda h: split(h)[0]), lambda g: (b + 0.5) / (n + 1))
+    m2, _ = shrunk(total(split), lambda g: m1[g[0]])
+    m3, k = shrunk(total(lambda h: h), lambda h: m2[split(h)])
+    blocked = 0
+    for h, r in got.items():
+        low = m3[h] - url_reputation.Z * math.sqrt(m3[h] * (1 - m3[h]) / (count[h][0] + k + 1))
+        assert abs(r.posterior_mean - m3[h]) < 2e-6 and abs(r.lower_bound - low) < 2e-6 and r.verdict == ("block" if low > 0.5 else "allow")
+        blocked += low > 0.5
+    assert 0 < blocked < len(got)
+
+
+# all
+
+
+def test_columns_of_any_name_and_rows_of_any_kind(spark, labels, items):
+    """Filters return the caller's columns, whatever their names; digests read only their own."""
+    rng = random.Random(31)
+    rows = [(i, prose(rng, 30), "a", i, i) for i in range(12)] + [(None, prose(rng, 25), None, 1, 1), (5, None, "a", 5, 5), (5, "", "a", 5, 5)]
+    names = ["drops", "a.b", "bits", "first", "hash", "place", "n", "cell", "body", "template", "label", "rule", "text_hash", "of", "__mine"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score long, size long").select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    for keep in (lambda d: toxicity.drop_toxic(d, labels.limit(0)), lambda d: line_templates.drop_lines(d, counts=False), simhash.drop_near_copies, lambda d: decontaminate.drop_contaminated(d, items)):
+        out = keep(docs)
+        assert out.columns == docs.columns and out.where("doc_id < 5").count() == 5 and out.where("doc_id is null").count() == 1
+    for digest in (substring_dedup.remove_repeats, lambda d: quality_rules.quality(d, labels), source_mix.mix, lambda d: toxicity.toxicity(d, labels), lm_scoring.lm_scores, token_counts.token_counts, simhash.simhash_components, lambda d: decontaminate.digest(d, items)):
+        assert digest(docs).count() == len(rows)
+
+
+def test_tables_can_be_deleted(spark):
+    from prosegauge.llm import common
+
+    mark = len(common.TABLES)
+    df = common.materialise(spark.range(5))
+    assert df.count() == 5 and len(common.TABLES) == mark + 1
+    common.delete_now(spark, common.TABLES[mark:])
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        spark.read.parquet(common.TABLES.pop())

@@ -2,6 +2,13 @@
 
 Each stage works on all that the one before kept, written as Parquet and read
 again. All but the last return the columns of ``documents``.
+
+Null and empty texts pass every stage but near copies, of which they are one
+group: one of them stays. Rows that repeat an id with its text share one fate
+up to near copies, after which one is left. Rows without an id are documents
+like any other. An empty table gives an empty result. Texts of any length are
+worked on whole. Columns beyond those of ``documents`` are kept, whatever
+their names, up to the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegauge.llm import decontaminate, line_templates, simhash, source_mix, toxicity
-from prosegauge.llm.common import scratch, table
+from prosegauge.llm.common import TABLES, delete_at_end, delete_now, scratch, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +55,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    return run_on(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def run_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stages on any ``docs`` with the columns of documents. What a stage has written goes as soon as the next one is on disk."""
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        path = f"{scratch(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}/{name}"
+        mark, path = len(TABLES), f"{scratch(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        delete_at_end(spark, path)
         docs = spark.read.parquet(path)
+        delete_now(spark, [*TABLES[mark:], *before])
+        del TABLES[mark:]
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegauge.functions import constants as C
-from prosegauge.functions.text import controlled_words, match_all, once, strip, tokens_of, trim_edge
+from prosegauge.functions.text import controlled_words, match_all, once, strip, tokens_of, trim_edge, unquoted
 from prosegauge.operators.lines import DOC
 from prosegauge.sources.lexicon import Lexicon
 
@@ -43,10 +43,11 @@ def procedural(text: Column, lex: Lexicon) -> Column:
     """Whether a text starts with a command, after the commas of the conditions that come first."""
     tails = F.split(text, ",")
     n = F.size(tails)
-    firsts = F.transform(F.sequence(F.lit(1), n), lambda i: F.lower(F.get(tokens_of(F.array_join(F.slice(tails, i, n), ",")), F.lit(0))["text"]))
+    first = lambda c: F.lower(F.regexp_extract(unquoted(c), f"({C.TOKEN})", 1))
+    firsts = F.transform(F.sequence(F.lit(1), n), lambda i: first(F.array_join(F.slice(tails, i, n), ",")))
     # the first tail whose first word is no condition decides; most texts decide at once
-    start = F.lower(F.get(tokens_of(text), F.lit(0))["text"])
-    word = F.when(start.isin(*C.CONDITIONS), F.try_element_at(F.filter(firsts, lambda w: w.isNull() | ~w.isin(*C.CONDITIONS)), F.lit(1))).otherwise(start)
+    start = first(text)
+    word = F.when(start.isin(*C.CONDITIONS), F.try_element_at(F.filter(firsts, lambda w: ~w.isin(*C.CONDITIONS)), F.lit(1))).otherwise(start)
     verbs = [w for w in lex.those(lambda r: "v" in r["good_pos"]) if w not in C.FUNCTION_WORDS]
     return F.coalesce(word.isin(*C.COMMANDS, *verbs), F.lit(False))
 

@@ -278,8 +278,8 @@ def rule_phrase_collision(spark, sf_dir):
 # --- findings, statistics and reports ---------------------------------------------------------------
 
 
-def checked(spark, sf_dir):
-    return check.check_text(documents(spark, sf_dir), lexicon(spark), keep=True)
+def checked(spark, sf_dir, both: bool = False):
+    return check.check_text(documents(spark, sf_dir), lexicon(spark), keep=True, keep_findings=both)
 
 
 def said_by_rule(name: str):
@@ -314,12 +314,12 @@ FROM stats s LEFT JOIN listed USING (doc_id) LEFT JOIN maps USING (doc_id)
 
 @query(STATS + JSON)
 def findings_json(spark, sf_dir):
-    return check.as_json(checked(spark, sf_dir)).drop("doc_row")
+    return check.as_json(checked(spark, sf_dir, both=True)).drop("doc_row")
 
 
 @query(STATS + oracle.report() + "SELECT doc_id, part::INT AS part, ord::INT AS ord, said FROM said")
 def report_text(spark, sf_dir):
-    got = checked(spark, sf_dir)
+    got = checked(spark, sf_dir, both=True)
     return report.report_lines(got.findings, got.stats).drop("doc_row")
 
 

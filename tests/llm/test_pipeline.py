@@ -1,14 +1,17 @@
 import os
 import random
+import re
 
 import corpus_pipeline
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from prosegauge.llm import decontaminate, line_templates, simhash, source_mix, toxicity
+from prosegauge.llm import source_mix, toxicity
 from prosegauge.llm.common import table
+from test_operators import tree_drops
 
 DATA = "/root/testdata/sf0.001"
 
@@ -21,18 +24,36 @@ def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "source_mix"]
 
 
-def test_run_is_its_operators_in_turn(spark):
-    labels, items = table(spark, DATA, "labels"), table(spark, DATA, "benchmark")
-    docs = toxicity.drop_toxic(table(spark, DATA, "documents"), labels)
-    docs = line_templates.drop_lines(docs, counts=False)
-    groups = {(r.doc_id, r.text_hash) for r in simhash.near_groups(docs).where("first").collect()}
-    kept = [r for r in docs.withColumn("h", F.xxhash64("text")).collect() if (r.doc_id, r.h) in groups]
-    bad = {r.doc_id for r in decontaminate.digest(docs, items).where("contaminated").collect()}
-    want = sorted(r.doc_id for r in kept if r.doc_id not in bad)
-    got = corpus_pipeline.run(spark, DATA).collect()
-    assert sorted(r.doc_id for r in got) == want
-    rows = spark.createDataFrame([(r.doc_id, r.text, r.source) for r in kept if r.doc_id in set(want)], "doc_id long, text string, source string")
-    assert sorted(map(str, source_mix.mix(rows).collect())) == sorted(map(str, got))
+def test_run_is_that_of_plain_python(spark):
+    """Every stage but the learned one done again by walking over all lines, pairs and windows; the mix by its SQL."""
+    scores = {r.doc_id: r.predicted for r in toxicity.toxicity(table(spark, DATA, "documents"), table(spark, DATA, "labels")).collect()}
+    rows = {r.doc_id: r for r in table(spark, DATA, "documents").collect()}
+    assert len(rows) == len(scores)
+    hashes = {r.doc_id: r.h for r in table(spark, DATA, "documents").select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    texts = {i: r.text for i, r in rows.items() if not scores[i]}
+    drops = tree_drops([(i, hashes[i], t) for i, t in texts.items()])
+    gone = {(p[1], p[3]) for p in drops}
+    texts = {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in texts.items()}
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x20\x09-\x0D]+", lower(t))) else set() for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if j < i and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    texts = {i: t for i, t in texts.items() if root[i] == i}
+    plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows = {tuple(w[k : k + 10]) for r in table(spark, DATA, "benchmark").collect() for w in [plain(r.text)] if w for k in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+    bad = {i for i, t in texts.items() for w in [plain(t)] if any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))}
+    stages = [len(rows), len(scores) - sum(scores.values()), len(texts), len(texts) - len(bad)]
+    assert stages == sorted(stages, reverse=True) and len(set(stages)) == 4 and gone  # each stage has something to do
+    left_over = pd.DataFrame([(i, t, rows[i].source) for i, t in texts.items() if i not in bad], columns=["doc_id", "text", "source"])
+    want = duckdb.sql(source_mix.mix_sql("left_over"))
+    key = lambda names, rs: sorted(tuple(str(r[names.index(c)]) for c in ("doc_id", "size", "source_size", "target", "taken", "source")) for r in rs)
+    got = corpus_pipeline.run(spark, DATA)
+    assert key(got.columns, map(tuple, got.collect())) == key(want.columns, want.fetchall()) and len(left_over)
 
 
 def test_rows_of_any_kind(spark):

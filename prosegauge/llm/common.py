@@ -42,6 +42,13 @@ def scratch(spark: SparkSession) -> str:
     return own
 
 
+def small(batches, rows: int = 1000):
+    """The batches cut into pieces, so that a Python worker holds the objects of few texts at a time, and sends small batches back."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def delete_at_end(spark: SparkSession, path: str) -> None:
     """Have the driver delete a folder of the shared store when it ends."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

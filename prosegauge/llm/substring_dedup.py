@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import materialise
+from prosegauge.llm.common import materialise, small
 
 SPAN = 3
 LEAST_WORDS = 12
@@ -102,7 +102,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_W
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def cut(batches):
-        for b in batches:
+        for b in small(batches):
             ids, marks = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
             got = [spans(t, span, least_words) for t in b.column("text").to_pylist()]
             n = [len(h) for h, _ in got]
@@ -124,7 +124,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_W
     joined = rows.join(marked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left").select("doc_id", "text", "starts")
 
     def clean(batches):
-        for b in batches:
+        for b in small(batches):
             n, gone, texts = [], [], []
             for t, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist()):
                 parts = sentences(t or "")

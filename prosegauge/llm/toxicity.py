@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import labelled_sample, materialise, one_text_each
+from prosegauge.llm.common import labelled_sample, materialise, one_text_each, small
 
 SAMPLE = 20_000
 FOLDS = 5
@@ -306,7 +306,7 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(batches):
         s = sent.value
-        for b in batches:
+        for b in small(batches):
             got = [s.score(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(got, pa.float64())], ["doc_id", "text_hash", "score"])
 

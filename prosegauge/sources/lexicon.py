@@ -85,10 +85,11 @@ def lexicon_rows(entries: DataFrame, terms: DataFrame) -> DataFrame:
     every = surfaces.groupBy("key").agg(F.collect_set(F.coalesce("pos", F.lit(""))).alias("all_pos"))
     parts = own.where((F.size("forms") > 0) & F.col("approved") & (F.col("pos") == "v")).select(F.lower(F.element_at("forms", -1)).alias("key")).distinct().withColumn("participle", F.lit(True))
     folded = terms.where(is_folded(F.col("term"))).select(F.lower("term").alias("key")).distinct().withColumn("domain", F.lit(True))
+    written = terms.where(~is_folded(F.col("term"))).groupBy(F.lower("term").alias("key")).agg(F.array_sort(F.collect_set("term")).alias("as_written"))
     good = approved_forms(entries).withColumnRenamed("surface", "key").withColumnRenamed("pos", "good_pos")
-    out = every.join(good, "key", "full").join(bad, "key", "full").join(parts, "key", "full").join(folded, "key", "full")
+    out = every.join(good, "key", "full").join(bad, "key", "full").join(parts, "key", "full").join(folded, "key", "full").join(written, "key", "full")
     strings = F.expr("cast(array() as array<string>)")
-    out = out.select("key", *(F.coalesce(c, strings).alias(c) for c in ("all_pos", "good_pos", "labels", "alt_words")), F.coalesce("bad_pos", strings).alias("bad_pos"), F.col("bad_pos").isNotNull().alias("unapproved"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("self_alternative", "participle", "domain")))
+    out = out.select("key", *(F.coalesce(c, strings).alias(c) for c in ("all_pos", "good_pos", "labels", "alt_words", "as_written")), F.coalesce("bad_pos", strings).alias("bad_pos"), F.col("bad_pos").isNotNull().alias("unapproved"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("self_alternative", "participle", "domain")))
     has = lambda *p: F.arrays_overlap("all_pos", F.array(*map(F.lit, p)))
     return out.withColumns(
         {
@@ -137,10 +138,10 @@ class Lexicon:
         Words that are not listed have nulls. The column listed says whether
         the word is a term: one in lower case in any case, others as written.
         """
-        own = self.rows.select(F.col("key").alias("__key"), F.col("domain").alias("__domain"), *(F.col(c).alias(prefix + c) for c in columns))
+        own = self.rows.select(F.col("key").alias("__key"), F.col("domain").alias("__domain"), F.col("as_written").alias("__written"), *(F.col(c).alias(prefix + c) for c in columns))
         out = df.join(F.broadcast(own), F.lower(word) == F.col("__key"), "left")
-        cased = word.isin(*self.cased) if self.cased else F.lit(False)
-        return out.withColumn(f"{prefix}listed", F.coalesce(F.col("__domain"), F.lit(False)) | F.coalesce(cased, F.lit(False))).drop("__key", "__domain")
+        listed = F.col("__domain") | F.array_contains("__written", word)
+        return out.withColumn(f"{prefix}listed", F.coalesce(listed, F.lit(False))).drop("__key", "__domain", "__written")
 
     def inflected(self, suffixes, least_double: int = 3, noun_like: bool = True) -> DataFrame:
         """(form, stem): the surface forms that the verbs take by ``suffixes``, each with the stem that comes first in their order.

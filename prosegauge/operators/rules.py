@@ -263,6 +263,14 @@ def paragraph_findings(sents: DataFrame) -> DataFrame:
     return finding(rows, "6.6", F.concat(F.lit("paragraph of "), F.col("n").cast("string"), F.lit(f" sentences; the limit is {C.SENTENCES_PARAGRAPH}")), "split it in two", seq=14)
 
 
+def may_have_labels(text: Column) -> Column:
+    """Whether a text can have a line with a safety label: it holds one of the words, or a link, whose removal could make one.
+
+    Lines need cleaning, which is most of the work of the safety rules, only where this is true.
+    """
+    return text.rlike("(?i)" + "|".join(C.SAFETY)) | text.contains("](")
+
+
 def safety_findings(lines: DataFrame, fix_quirks: bool = False) -> DataFrame:
     """Rules 7.2 and 7.3. fix_quirks looks for whole label words and lets a label without a colon keep its line's rest."""
     w = Window.partitionBy(*DOC).orderBy("line_no")

@@ -70,6 +70,7 @@ TEXTS = [
     (-11, "We carry out the test prior to it. Carry out, to in, of the to in. Prior to that the wire harness is vague. A blank of the carry out of the blank."),
     (-12, "The taxi ramp lamp cover plate is here. Turning is slow; increasing and closing stop, testing too. The crossing of it, big old red tin box lid, is permitted. A vague clamp, oil and pass PASS test permit. The grey centre. Clamps oiled pumps passed tests."),
     (-13, "It’s L’été — naïve. Zoë’s wörk was seen by Åsa. The cliché is being turned. Nothing is (as it was (then) \"so\") here."),
+    (-15, "- [War](http://w.x)ning: Go now."),
     (-14, "Turn " + "a nut " * 10 + "\n\nThe box " + "and lid " * 13 + "stay.\n\nPut it " + "in a bin " * 5 + "and close it."),
 ]
 

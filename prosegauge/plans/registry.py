@@ -202,7 +202,8 @@ def rule_length_by_kind(spark, sf_dir):
 
 @query(of_rule("seq IN (15, 16, 17)", "rule", "message", "suggestion"))
 def rule_safety(spark, sf_dir):
-    return found(rules.safety_findings(lines.clean_lines(documents(spark, sf_dir))), None, "rule", "message", "suggestion")
+    docs = documents(spark, sf_dir).where(rules.may_have_labels(F.col("text")))
+    return found(rules.safety_findings(lines.clean_lines(docs)), None, "rule", "message", "suggestion")
 
 
 @query(of_rule("seq = 13", "message"))

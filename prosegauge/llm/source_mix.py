@@ -17,7 +17,7 @@ from prosegauge.llm.common import WORD, materialise
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_EPOCHS = 2
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_EPOCHS) -> DataFrame:

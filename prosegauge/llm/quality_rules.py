@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import BLANKS, labelled_sample, materialise, one_text_each
+from prosegauge.llm.common import BLANKS, labelled_sample, materialise, one_text_each, small
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -84,7 +84,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, BASE and MORE of each row."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             got = [statistics(t) for t in b.column("text").to_pylist()]
             m = np.array(got, np.int64).reshape(-1, len(BASE) + len(MORE))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(m[:, i].copy()) for i in range(m.shape[1]))], ["doc_id", *BASE, *MORE])

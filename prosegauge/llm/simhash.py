@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import connected_components, materialise, splitmix
+from prosegauge.llm.common import connected_components, materialise, small, splitmix
 
 SEED = 42
 SAMPLE = 1 << 20
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): one 64-bit fingerprint for each row."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             got = [majority(shingle_hashes(t, shingle))[0] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(np.array(got, "<u8").view("<i8"))], ["doc_id", "fp"])
 
@@ -329,7 +329,7 @@ def shingle_sets(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(node, shingles) of each row of ``nodes(node, text_hash)``, cut again from ``texts(text_hash, text)``."""
 
     def cut(batches):
-        for b in batches:
+        for b in small(batches):
             sets = [np.unique(shingle_hashes(t, shingle)).view("<i8") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
@@ -378,7 +378,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lane
     names = [f"f{i}" for i in range(lanes)]
 
     def sketch(batches):
-        for b in batches:
+        for b in small(batches):
             fp, anchor, size = [], [], []
             for t in b.column("text").to_pylist():
                 h = np.unique(shingle_hashes(t, shingle))

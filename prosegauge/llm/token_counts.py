@@ -19,6 +19,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.llm.common import small
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_NODES = 1_500_000  # of one worker's trie; when full it starts anew
 UNIT = 1_000_000  # scores are whole millionths of a nat, so sums are exact and ties are ties
@@ -128,7 +130,7 @@ def token_counts(docs: DataFrame, scores: dict[str, int] | None = None, byte_sco
     def run(batches):
         trie = worker_trie(sent)
         get = trie.__getitem__
-        for b in batches:
+        for b in small(batches):
             words, pieces = [], []
             for t in b.column("text").to_pylist():
                 own = (t or "").encode("utf-8", "replace").split()

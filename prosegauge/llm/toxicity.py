@@ -25,7 +25,7 @@ SAMPLE = 20_000
 FOLDS = 5
 SYMBOLS = 28  # 0 a break, 1-26 the letters, 27 any byte of another letter
 ORDER = 4
-MEMO = 400_000
+MEMO = 150_000
 # What a character may stand for, besides itself (fixed values of the channel).
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "%": "x", "#": "h"}
 COST_LOOKALIKE, COST_WILD, COST_REPEAT, COST_KEEP = 1.0, 2.5, 0.7, 6.0
@@ -53,10 +53,10 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(size, np.int64)
-        for b in batches:
+        for b in small(batches, 500):
             texts = [t for t in b.column("text").to_pylist() if t]
-            for at in range(0, len(texts), 500):
-                c = np.frombuffer(" ".join(["", *texts[at : at + 500], ""]).encode("utf-8", "replace").translate(CLASS), np.uint8)
+            if texts:
+                c = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-8", "replace").translate(CLASS), np.uint8)
                 for lo in range(0, max(0, len(c) - order + 1), 4_000_000):
                     x = c[lo : lo + 4_000_000 + order - 1]
                     n = len(x) - order + 1
@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, n_featu
 
     def words(batches):
         r = Restorer(CharModel(sent.value))
-        for b in batches:
+        for b in small(batches):
             got = [sorted(features(Counter(f for w in r.text(t) for f in stems(w)))) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("outcome"), pa.array(got, pa.list_(pa.string()))], ["doc_id", "outcome", "features"])
 

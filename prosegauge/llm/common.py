@@ -42,6 +42,18 @@ def scratch(spark: SparkSession) -> str:
     return own
 
 
+#: What a Python worker keeps from task to task: one object, by the name of what it serves.
+HELD: dict[str, object] = {}
+
+
+def held(name: str, make=lambda: None):
+    """The object of that name, made once in a worker; one of another name goes, so that operators do not add up."""
+    if name not in HELD:
+        HELD.clear()
+        HELD[name] = make()
+    return HELD[name]
+
+
 def small(batches, rows: int = 1000):
     """The batches cut into pieces, so that a Python worker holds the objects of few texts at a time, and sends small batches back."""
     for b in batches:

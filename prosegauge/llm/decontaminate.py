@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import materialise, small
+from prosegauge.llm.common import held, materialise, small
 
 WINDOW = 10
 ANCHOR = WINDOW // 2
@@ -90,18 +90,6 @@ class Patterns:
         return a
 
 
-#: The automaton of the block that this worker scans for.
-BUILT: dict[str, object] = {}
-
-
-def automaton_of(patterns: Patterns):
-    """Built once in each Python worker; that of an earlier block goes."""
-    if patterns.key not in BUILT:
-        BUILT.clear()
-        BUILT[patterns.key] = patterns.automaton()
-    return BUILT[patterns.key]
-
-
 def found(text: str, words: list[bytes], patterns: Patterns, a) -> Iterator[tuple[int, int, tuple[str, ...]]]:
     """(first word, number of words, items) of each window in a text."""
     width, step = patterns.width, max(1, patterns.width // 2)
@@ -161,7 +149,7 @@ def scan(rows: DataFrame, patterns: Patterns, all_rows: bool) -> DataFrame:
 
     def run(batches):
         p = sent.value
-        a = automaton_of(p)
+        a = held(p.key, p.automaton)  # built once in each worker; that of an earlier block goes
         for b in small(batches):
             out = []
             for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), b.column("text").to_pylist()):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import connected_components, materialise, small, splitmix
+from prosegauge.llm.common import connected_components, held, materialise, small, splitmix
 
 SEED = 42
 SAMPLE = 1 << 20
@@ -378,6 +378,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lane
     names = [f"f{i}" for i in range(lanes)]
 
     def sketch(batches):
+        held("sketch")  # what an operator before this left in the worker goes
         for b in small(batches):
             fp, anchor, size = [], [], []
             for t in b.column("text").to_pylist():

@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import small
+from prosegauge.llm.common import held, small
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_NODES = 1_500_000  # of one worker's trie; when full it starts anew
@@ -99,15 +99,9 @@ class Shared:
     id: str
 
 
-TRIES: dict[str, Trie] = {}  # of this worker, by the broadcast that its vocabulary came in; one at a time
-
-
 def worker_trie(sent) -> Trie:
     """One trie serves all tasks of a worker."""
-    if sent.id not in TRIES:
-        TRIES.clear()
-        TRIES[sent.id] = Trie(*sent.broadcast.value)
-    return TRIES[sent.id]
+    return held(sent.id, lambda: Trie(*sent.broadcast.value))
 
 
 def token_counts(docs: DataFrame, scores: dict[str, int] | None = None, byte_score: int | None = None) -> DataFrame:

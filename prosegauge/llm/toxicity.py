@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import labelled_sample, materialise, one_text_each, small
+from prosegauge.llm.common import held, labelled_sample, materialise, one_text_each, small
 
 SAMPLE = 20_000
 FOLDS = 5
 SYMBOLS = 28  # 0 a break, 1-26 the letters, 27 any byte of another letter
 ORDER = 4
-MEMO = 150_000
+MEMO = 400_000
 # What a character may stand for, besides itself (fixed values of the channel).
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "%": "x", "#": "h"}
 COST_LOOKALIKE, COST_WILD, COST_REPEAT, COST_KEEP = 1.0, 2.5, 0.7, 6.0
@@ -240,15 +241,11 @@ class Scorer:
     def __init__(self, names: list[str], weights: np.ndarray, grams: np.ndarray):
         self.names, self.weights, self.grams = {n: i for i, n in enumerate(names)}, weights, grams
         self.known = {n if k == 1 else n[:-1] for n in names for k in (1, 2) if k == 1 or n[-1:] in "23"}
-        self.restorer: Restorer | None = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "restorer": None}
+        self.key = uuid.uuid4().hex
 
     def score(self, text: str | None) -> float:
-        if self.restorer is None:
-            self.restorer = Restorer(CharModel(self.grams), lambda w: not self.known.isdisjoint(stems(w)))
-        tally = Counter(f for w in self.restorer.text(text) for f in stems(w))
+        restorer = held(self.key, lambda: Restorer(CharModel(self.grams), lambda w: not self.known.isdisjoint(stems(w))))
+        tally = Counter(f for w in restorer.text(text) for f in stems(w))
         z = self.weights[-1] + sum(self.weights[self.names[f]] for f in sorted(features(tally)) if f in self.names)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 

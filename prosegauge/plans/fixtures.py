@@ -80,14 +80,14 @@ PAGE_WORDS = [
     (p, float(x + 30 * i), float(y), w)
     for p, x, y, words in (
         (1, 12, 22, "(front) matter"), (1, 112, 22, "of it"),
-        (1, 12, 42, "ACCEPT (v), ACCEPTED"), (1, 112, 42, "To take"), (1, 212, 42, "ACCEPT IT."), (1, 312, 42, "None"),
+        (1, 12, 42, "LIFT (v), LIFTED"), (1, 112, 42, "To take"), (1, 212, 42, "LIFT IT."), (1, 312, 42, "None"),
         (1, 112, 62, "or hold"), (1, 212, 62, "MORE"),
-        (1, 12, 82, "abut (v)"), (1, 112, 82, "TOUCH (v)"), (1, 212, 82, "GOOD"), (1, 312, 82, "Bad"),
+        (1, 12, 82, "lug (v)"), (1, 112, 82, "PULL (v)"), (1, 212, 82, "GOOD"), (1, 312, 82, "Bad"),
         (1, 212, 102, "MORE"), (1, 312, 102, "worse"),
         (1, 12, 122, "(see it)"),
         (2, 12, 3, "Page"),
         (2, 112, 22, "exact: MEASURE"), (2, 172, 22, "(v)"), (2, 212, 22, "USE"),
-        (2, 12, 42, "abut (v)"), (2, 112, 42, "FOR EXAMPLE"),
+        (2, 12, 42, "lug (v)"), (2, 112, 42, "FOR EXAMPLE"),
         (2, 12, 62, "away"), (2, 112, 62, "Use another word"), (2, 212, 62, "x"),
         (2, 12, 82, "CLEAN (adj)"), (2, 112, 82, "Not dirty"), (2, 312, 82, "Dirty it"),
         (2, 12, 102, "alone"), (2, 112, 122, "now"), (2, 12, 142, "Word"), (2, 112, 142, "of it"),

@@ -462,7 +462,7 @@ def alphabetical_regressions(spark, sf_dir):
 
 # --- dictionary building from pages -------------------------------------------------------------------
 
-CELLS = ["ACCEPT (v), ACCEPTS, ACCEPTED", "BE (v), IS, WAS, (also ARE, WERE) No other verb", "such as", "not a headword at all here", "abut (v)", "", "x (q)", "wash away (v)"]
+CELLS = ["LIFT (v), LIFTS, LIFTED", "BE (v), IS, WAS, (also ARE, WERE) No other verb", "such as", "not a headword at all here", "lug (v)", "", "x (q)", "wash away (v)"]
 HEAD = rf"^(.+?)\s*\(({dictionary.POS})\)\s*(.*)$"
 REST = f"regexp_extract({{0}}, '{HEAD}', 3)"
 NOTE = rf"trim(regexp_replace(regexp_replace(regexp_replace({REST}, '\b[A-Z][A-Z''-]+\b', ' ', 'g'), '[(),]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -549,7 +549,7 @@ def dictionary_entries(spark, sf_dir):
     return built(spark).select("seq", "headword", "pos", "approved", F.array_join("forms", " ").alias("forms"), "note", "definition", alt.alias("alternatives"), F.array_join("examples", " / ").alias("examples"))
 
 
-EXPECTED = [("abut", "v", False, ["TOUCH", "MEASURE", "FOR EXAMPLE"]), ("accept", "v", True, None), ("clean", "adj", False, None), ("gone", "n", True, None)]
+EXPECTED = [("lug", "v", False, ["PULL", "MEASURE", "FOR EXAMPLE"]), ("lift", "v", True, None), ("clean", "adj", False, None), ("gone", "n", True, None)]
 SECTION_PAGES = [(1, "Page 1\nRule 1. Use short words.\n\n\n\nPage 1 of 9 is kept"), (2, "Rule 2.\nPage 2\nKeep “it” – so…"), (3, "Page 3\nGuide  text\n\n\nends")]
 SECTIONS = [("one", "Rules", 1, 2), ("two", "Guide", 3, 3)]
 

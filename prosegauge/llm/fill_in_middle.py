@@ -23,7 +23,7 @@ from prosegauge.llm.common import materialise
 MARKS = ("<P>", "<S>", "<M>")  # prefix, suffix, middle
 CHUNK = 1 << 16  # bytes
 PIECE = 64  # bytes scanned side by side
-BATCH = 1 << 22  # bytes whose objects a worker holds at a time
+BATCH = 1 << 20  # bytes whose objects a worker holds at a time
 FIM_PERCENT, SPM_PERCENT, SEED = 100, 50, 7
 
 SEEN = 3  # of the mark's part of a state: 0 nothing, 1 "<", 2 "<" and a letter, 3 a whole mark was read
@@ -51,6 +51,8 @@ def automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 CLASSES, AFTER, EMIT = automaton()
+ROW = AFTER.shape[1]
+NEXT, STARTS = AFTER.ravel().astype(np.intp) * ROW, EMIT.ravel()  # by ROW * state + class
 
 
 class Scan:
@@ -64,15 +66,16 @@ class Scan:
         self.of = np.repeat(np.arange(len(begin)), count)
         self.at = begin[self.of] + (np.arange(len(self.of)) - self.first[self.of]) * PIECE
         stop = np.minimum(self.at + PIECE, end[self.of])
-        place = self.at[:, None] + np.arange(PIECE)
-        padded = CLASSES[data] if len(data) else np.zeros(1, dtype=np.uint8)
-        self.classes = np.where(place < stop[:, None], padded[np.minimum(place, len(padded) - 1)], PAD).astype(np.uint8)
-        state = np.tile(np.arange(8, dtype=np.uint8), (len(self.of), 1))
+        padded = np.concatenate([CLASSES[data], np.full(PIECE, PAD, dtype=np.uint8)])
+        self.classes = np.lib.stride_tricks.sliding_window_view(padded, PIECE)[self.at]
+        self.classes[np.arange(PIECE) >= (stop - self.at)[:, None]] = PAD
+        state = np.tile(np.arange(8) * ROW, (len(self.of), 1))
         starts = np.zeros(state.shape, dtype=np.int64)
         for j in range(PIECE):
-            c = self.classes[:, j, None]
-            starts += EMIT[state, c]
-            state = AFTER[state, c]
+            at = state + self.classes[:, j, None]
+            starts += STARTS[at]
+            state = NEXT[at]
+        state = (state // ROW).astype(np.uint8)
         step, inside = 1, np.arange(len(self.of)) - self.first[self.of]
         while step <= inside.max(initial=0):
             here = np.flatnonzero(inside >= step)

@@ -41,7 +41,7 @@ def rounded(x: Column, digits: int) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_extract(c, r"(?Us)^\s*+(.*\S)", 1)
 
 
 def blank(c: Column) -> Column:
@@ -94,14 +94,16 @@ def word_count(c: Column) -> Column:
 def controlled_words(c: Column) -> Column:
     """The number of words where a parenthesis, a quotation, and a number with what follows it count as one each."""
     one = F.lit(" ONEWORD ")
-    t = F.regexp_replace(F.regexp_replace(c, F.lit(PARENS), one), F.lit(QUOTES), one)
+    marks = c.contains("(") | c.contains('"')
+    t = F.when(marks, F.regexp_replace(F.regexp_replace(c, F.lit(PARENS), one), F.lit(QUOTES), one)).otherwise(c)
     t = F.when(t.rlike(r"(?U)\d"), F.regexp_replace(t, F.lit(NUMBER), one)).otherwise(t)
     return F.regexp_count(t, F.lit(TOKEN))
 
 
 def inline_clean(c: Column) -> Column:
-    """Without inline code and addresses; links leave their labels."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, CODE, " "), LINK, "$1"), URL, " ")
+    """Without inline code and addresses; links leave their labels. Lines without a sign of any are left as they are."""
+    some = c.contains("`") | c.contains("](") | c.contains("http") | c.contains("www.")
+    return F.when(some, F.regexp_replace(F.regexp_replace(F.regexp_replace(c, CODE, " "), LINK, "$1"), URL, " ")).otherwise(c)
 
 
 def hide_block(c: Column) -> Column:

@@ -6,8 +6,6 @@ and sent_id with seq, which put findings of one place in order.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,23 +37,28 @@ def first_of(labels: str, n: int) -> Column:
 # --- columns of sentences and tokens ----------------------------------------------
 
 
-def procedural(text: Column, lex: Lexicon) -> Column:
-    """Whether a text starts with a command, after the commas of the conditions that come first."""
+def deciding_word(text: Column) -> Column:
+    """The word that says whether a text is a command: its first one, after the commas of the conditions that come first."""
     tails = F.split(text, ",")
     n = F.size(tails)
     first = lambda c: F.lower(F.regexp_extract(unquoted(c), f"({C.TOKEN})", 1))
     firsts = F.transform(F.sequence(F.lit(1), n), lambda i: first(F.array_join(F.slice(tails, i, n), ",")))
     # the first tail whose first word is no condition decides; most texts decide at once
     start = first(text)
-    word = F.when(start.isin(*C.CONDITIONS), F.try_element_at(F.filter(firsts, lambda w: ~w.isin(*C.CONDITIONS)), F.lit(1))).otherwise(start)
-    verbs = [w for w in lex.those(lambda r: "v" in r["good_pos"]) if w not in C.FUNCTION_WORDS]
-    return F.coalesce(word.isin(*C.COMMANDS, *verbs), F.lit(False))
+    return F.when(start.isin(*C.CONDITIONS), F.try_element_at(F.filter(firsts, lambda w: ~w.isin(*C.CONDITIONS)), F.lit(1))).otherwise(start)
+
+
+def with_command(df: DataFrame, text: Column, lex: Lexicon, name: str) -> DataFrame:
+    """df with a column that says whether a text starts with a command: its deciding word is looked up in the broadcast lexicon."""
+    own = lex.look_up(once(df, __word=deciding_word(text)), F.col("__word"), "good_pos", prefix="__")
+    verb = F.array_contains("__good_pos", "v") & ~F.col("__word").isin(*C.FUNCTION_WORDS)
+    return own.withColumn(name, F.coalesce(F.col("__word").isin(*C.COMMANDS) | F.coalesce(verb, F.lit(False)), F.lit(False))).drop("__word", "__good_pos", "__listed")
 
 
 def with_shape(sents: DataFrame, lex: Lexicon, mode: str = "auto") -> DataFrame:
     """Add n_words, toks and procedural."""
-    own = F.lit(mode == "procedural") if mode != "auto" else procedural(F.col("text"), lex)
-    return once(sents, n_words=controlled_words(F.col("text")), toks=tokens_of(F.col("text")), procedural=own)
+    own = once(sents, n_words=controlled_words(F.col("text")), toks=tokens_of(F.col("text")))
+    return own.withColumn("procedural", F.lit(mode == "procedural")) if mode != "auto" else with_command(own, F.col("text"), lex, "procedural")
 
 
 def with_tokens(sents: DataFrame) -> DataFrame:
@@ -66,63 +69,78 @@ def with_tokens(sents: DataFrame) -> DataFrame:
 SPAN = "struct<start:int,end:int,phrase:string,kind:string>"
 
 
-def with_phrases(sents: DataFrame, lex: Lexicon) -> DataFrame:
-    """Add spans, the phrases found: (start, end, phrase, kind). Terms all count; of disallowed phrases, longer ones take the text first.
+def phrase_spans(sents: DataFrame, lex: Lexicon) -> DataFrame:
+    """(doc_row, doc_id, sent_id, line, col, start, end, phrase, kind): the phrases found. Terms all count; of disallowed phrases, longer ones take the text first.
 
-    A phrase is looked for only in sentences that hold its first word, so the
-    plan and the work do not grow with the number of phrases.
+    Each word of a sentence meets the phrases that start with it, by a join
+    with the broadcast table; what follows the word, as long as the longest
+    phrase, is compared in the row. Only phrases that are found are grouped,
+    by sentence, to settle overlaps. So neither plan nor work grows with the
+    number of phrases, but for those that begin alike.
     """
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    listed = [(p, "term") for p in lex.domain_phrases] + [(p, "bad") for p in lex.bad_phrases]
-    if not listed:
-        return sents.withColumn("spans", none)
-    by_word: dict[str, list] = {}
-    for rank, (phrase, kind) in enumerate(listed):
-        by_word.setdefault(re.search(r"\w+|$", phrase).group(), []).append(F.struct(F.lit(rank).alias("rank"), F.lit(phrase).alias("phrase"), F.lit(kind).alias("kind")))
-    phrases = F.create_map(*(x for w, own in by_word.items() for x in (F.lit(w), F.array(*own))))
     low = F.lower("text")
-    words = F.array_distinct(F.filter(F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: w.isin(*by_word)))
-    near = F.array_sort(F.filter(F.flatten(F.transform(words, lambda w: phrases[w])), lambda p: low.contains(p["phrase"])))
-
-    def places(p: Column) -> Column:
-        hits = match_all(low, F.concat(F.lit(r"(?U)\b\Q"), p["phrase"], F.lit(r"\E\b")))
-        return F.transform(hits, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(p["phrase"])).alias("end"), p["phrase"].alias("phrase"), p["kind"].alias("kind")))
-
-    clear = lambda acc, x: ~F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    every = F.flatten(F.transform(near, places))
-    return once(sents, spans=F.when(F.size(near) > 0, F.aggregate(every, none, lambda acc, x: F.when((x["kind"] == "term") | clear(acc, x), F.concat(acc, F.array(x))).otherwise(acc))).otherwise(none))
+    longest = lex.longest_phrase
+    at = lambda w: F.greatest(w["start"] - longest, F.lit(0))
+    near = F.transform(match_all(low, r"(?U)\w+"), lambda w: F.struct(w["text"].alias("word"), w["start"].alias("at"), (w["start"] - at(w)).alias("back"), F.substring(low, at(w) + 1, 2 * longest + 1).alias("around")))
+    words = once(sents, __near=near).select(*DOC, "sent_id", "line", "col", F.explode("__near").alias("w")).select(*DOC, "sent_id", "line", "col", "w.*")
+    rows = words.join(F.broadcast(lex.phrases), F.col("word") == F.col("first_word"))
+    # the phrase as a whole, between two word boundaries
+    size, begin = F.length("phrase"), F.col("back") - F.col("lead")
+    piece = F.substring("around", begin + 1, size)
+    before = F.substring("around", F.greatest(begin, F.lit(1)), F.when(begin > 0, 2).otherwise(1))
+    after = F.substring("around", begin + size, F.lit(2))
+    opens = F.when(begin > 0, before.rlike(r"(?Us)^.\b")).otherwise(before.rlike(r"(?U)^\b"))
+    rows = rows.where((begin >= 0) & (piece == F.col("phrase")) & opens & after.rlike(r"(?Us)^.\b"))
+    start = F.col("at") - F.col("lead")
+    hits = rows.groupBy(*DOC, "sent_id", "line", "col").agg(F.array_sort(F.collect_list(F.struct("rank", start.alias("start"), (start + size).alias("end"), "phrase", "kind"))).alias("hits"))
+    # by rank, then from left to right; a phrase never overlaps itself
+    meets = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & ((x["kind"] == "bad") | (x["phrase"] == y["phrase"]))
+    span = lambda x: F.struct(*(x[c].alias(c) for c in ("start", "end", "phrase", "kind")))
+    kept = F.aggregate(F.transform("hits", span), F.expr(f"cast(array() as array<{SPAN}>)"), lambda acc, x: F.when(F.exists(acc, lambda y: meets(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    return hits.select(*DOC, "sent_id", "line", "col", F.explode(kept).alias("s")).select(*DOC, "sent_id", "line", "col", "s.*")
 
 
 def tokens(sents: DataFrame) -> DataFrame:
-    """(doc_row, doc_id, sent_id, line, col, idx, word, offset, prev_word, gap, last): one row for each token."""
-    at = sents.select(*DOC, "sent_id", "line", "col", *(c for c in ("spans",) if c in sents.columns), F.col("text").alias("sentence"), "toks", F.posexplode("toks").alias("idx", "t"))
-    prev = F.when(F.col("idx") > 0, F.get("toks", F.col("idx") - 1))
-    end = F.coalesce(prev["start"] + F.length(prev["text"]), F.lit(0))
-    at = at.withColumns({"word": F.col("t.text"), "offset": F.col("t.start"), "prev_word": prev["text"], "gap": F.when(F.col("t.start") > 0, F.substring("sentence", end + 1, F.col("t.start") - end)).otherwise(""), "last": F.col("idx") + 1 == F.size("toks")})
-    return at.drop("t", "toks", "sentence")
+    """(doc_row, doc_id, sent_id, line, col, idx, word, offset, prev_word, broken): one row for each token.
+
+    broken: a punctuation mark stands before it. All is made inside the
+    sentence, so that a token's row holds nothing else.
+    """
+    prev = lambda i: F.get("toks", i - 1)
+    end = lambda i: F.coalesce(prev(i)["start"] + F.length(prev(i)["text"]), F.lit(0))
+    marks = F.col("text").rlike(r'[,;:.()"]')
+    broken = lambda t, i: (t["start"] > 0) & F.col("__marks") & F.substring("text", end(i) + 1, t["start"] - end(i)).rlike(r'[,;:.()"]')
+    each = F.transform("toks", lambda t, i: F.struct(i.alias("idx"), t["text"].alias("word"), t["start"].alias("offset"), prev(i)["text"].alias("prev_word"), broken(t, i).alias("broken")))
+    rows = once(sents, __marks=marks)
+    return once(rows, each=each).select(*DOC, "sent_id", "line", "col", F.explode("each").alias("t")).select(*DOC, "sent_id", "line", "col", "t.*")
 
 
 # --- vocabulary ----------------------------------------------------------------------
 
 
-def phrase_findings(sents: DataFrame, lex: Lexicon) -> DataFrame:
-    """Rules 1.6, 1.1 and 9.3 of phrases."""
-    rows = sents.where(F.size("spans") > 0).select(*DOC, "sent_id", "line", "col", F.explode("spans").alias("s")).select("*", F.col("s.phrase").alias("key"))
-    rows = rows.join(F.broadcast(lex.rows), "key")
-    at = F.col("col") + F.col("s.start")
-    term = finding(rows.where("s.kind = 'term' and collision"), "1.6", F.concat(quoted(F.col("key")), F.lit(" is a listed term, but a disallowed word")), F.concat(F.lit("confirm the term; otherwise use "), first_of("alt_words", 3)), ADVISORY, F.col("key"), at, 1)
+def phrase_findings(spans: DataFrame, lex: Lexicon) -> DataFrame:
+    """Rules 1.6, 1.1 and 9.3 of the phrases found."""
+    rows = spans.withColumn("key", F.col("phrase")).join(F.broadcast(lex.rows), "key")
+    at = F.col("col") + F.col("start")
+    term = finding(rows.where("kind = 'term' and collision"), "1.6", F.concat(quoted(F.col("key")), F.lit(" is a listed term, but a disallowed word")), F.concat(F.lit("confirm the term; otherwise use "), first_of("alt_words", 3)), ADVISORY, F.col("key"), at, 1)
     two = F.split("key", " ")
     phrasal = (F.size(two) == 2) & F.element_at(two, 2).isin(*C.PARTICLES)
-    bad = finding(rows.where("s.kind = 'bad'"), F.when(phrasal, "9.3").otherwise("1.1"), F.concat(quoted(F.col("key")), F.lit(" is not approved")), first_of("labels", 4), VIOLATION, None, at, 2)
+    bad = finding(rows.where("kind = 'bad'"), F.when(phrasal, "9.3").otherwise("1.1"), F.concat(quoted(F.col("key")), F.lit(" is not approved")), first_of("labels", 4), VIOLATION, None, at, 2)
     return term.unionByName(bad)
 
 
+def outside_phrases(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """Findings of single words but for those inside a phrase: an anti join of what was found, not of the text."""
+    own = spans.select(*(F.col(c).alias(f"__{c}") for c in ("doc_row", "sent_id", "col", "start", "end")))
+    place = F.col("col") - F.col("__col")
+    return found.join(own, (F.col("doc_row") == F.col("__doc_row")) & (F.col("sent_id") == F.col("__sent_id")) & (place >= F.col("__start")) & (place < F.col("__end")), "left_anti")
+
+
 def word_findings(toks: DataFrame, lex: Lexicon) -> DataFrame:
     """Rules 1.14, 1.6, 1.2 and 1.1 of single words: the first rung of the ladder that a token meets decides."""
     word, offset = F.col("word"), F.col("offset")
     toks = toks.withColumn("key", trim_edge(F.lower(word)))
-    free = ~F.exists("spans", lambda s: (offset >= s["start"]) & (offset < s["end"])) if "spans" in toks.columns else F.lit(True)
-    rows = toks.where(free & (F.length("key") > 1) & ~F.col("key").rlike("['’]") & ~F.col("key").isin(*C.SAFETY))
+    rows = toks.where((F.length("key") > 1) & ~F.col("key").rlike("['’]") & ~F.col("key").isin(*C.SAFETY))
     rows = lex.look_up(rows, trim_edge(word), "good_pos", "bad_pos", "labels", "alt_words", "unapproved", "self_alternative", "approved", "collision")
     known = lambda c: F.coalesce(F.col(c), F.lit(False))
     british = F.create_map(*(F.lit(x) for kv in C.BRITISH.items() for x in kv))
@@ -229,9 +247,8 @@ def cluster_findings(toks: DataFrame, lex: Lexicon) -> DataFrame:
         .when(known("noun_like"), False)
         .otherwise(known("verb") | F.col("stem").isNotNull())
     )
-    broken = (F.col("offset") > 0) & F.col("gap").rlike(r'[,;:.()"]')
     w = Window.partitionBy(*DOC, "sent_id").orderBy("idx")
-    rows = rows.withColumn("content", ~broken & ~breaks)
+    rows = rows.withColumn("content", ~F.col("broken") & ~breaks)
     rows = rows.withColumn("run", F.sum((~F.col("content")).cast("int")).over(w)).where("content")
     runs = rows.groupBy(*DOC, "sent_id", "run").agg(F.count(F.lit(1)).alias("n"), F.min("offset").alias("start"), F.first("line").alias("line"), F.first("col").alias("col"), F.array_sort(F.collect_list(F.struct("idx", "word"))).alias("ws"))
     runs = runs.where(F.col("n") > C.WORDS_CLUSTER)
@@ -245,9 +262,9 @@ def shape_findings(sents: DataFrame, lex: Lexicon) -> DataFrame:
     long = sents.where(F.col("n_words") > limit)
     kind = F.when(F.col("procedural"), "procedural").otherwise("descriptive")
     out = finding(long, F.when(F.col("procedural"), "5.1").otherwise("6.3"), F.concat(F.lit("sentence of "), F.col("n_words").cast("string"), F.lit(" words; the limit is "), limit.cast("string"), F.lit(" for "), kind, F.lit(" text")), "split it in two", seq=9)
-    parts = F.split("text", r"(?iU)\band\b")
-    commands = F.size(F.filter(F.transform(parts, lambda p: procedural(strip(p), lex)), lambda x: x))
-    two = sents.where(F.col("procedural") & F.col("text").rlike(r"(?iU)\band\b")).where((F.size(parts) > 1) & (commands > 1))
+    joint = sents.where(F.col("procedural") & F.col("text").rlike(r"(?iU)\band\b"))
+    parts = joint.select(*DOC, "sent_id", "line", "col", F.explode(F.transform(F.split("text", r"(?iU)\band\b"), strip)).alias("part"))
+    two = with_command(parts, F.col("part"), lex, "command").where("command").groupBy(*DOC, "sent_id", "line", "col").agg(F.count(F.lit(1)).alias("commands")).where("commands > 1")
     out = out.unionByName(finding(two, "5.2", F.lit("more than one instruction in a sentence"), "one instruction for each sentence", ADVISORY, seq=10))
     semi = sents.where(F.col("text").contains(";"))
     out = out.unionByName(finding(semi, "8.1", F.lit("a semicolon is not permitted"), "a period, or a vertical list", col=F.col("col") + F.instr("text", ";") - 1, seq=11))
@@ -271,13 +288,14 @@ def may_have_labels(text: Column) -> Column:
     return text.rlike("(?i)" + "|".join(C.SAFETY)) | text.contains("](")
 
 
-def safety_findings(lines: DataFrame, fix_quirks: bool = False) -> DataFrame:
-    """Rules 7.2 and 7.3. fix_quirks looks for whole label words and lets a label without a colon keep its line's rest."""
-    w = Window.partitionBy(*DOC).orderBy("line_no")
-    bare = strip(F.col("text"))
-    near = [F.nullif(strip(F.lead("text", k).over(w)), F.lit("")) for k in (1, 2)]
+def safety_findings(docs: DataFrame, fix_quirks: bool = False) -> DataFrame:
+    """Rules 7.2 and 7.3, of documents with their lines. fix_quirks looks for whole label words and lets a label without a colon keep its line's rest."""
+    bare = F.transform("lines", lambda x: strip(x["text"]))
+    near = lambda i: F.coalesce(*(F.nullif(F.get("bares", i + k), F.lit("")) for k in (1, 2)))
+    rows = once(docs, bares=bare).select(*DOC, F.posexplode(F.transform("bares", lambda x, i: F.struct(x.alias("bare"), near(i).alias("next")))).alias("i", "b"))
+    lines = rows.select(*DOC, (F.col("i") + 1).alias("line_no"), "b.*")
     label = r"(?i)^(?:" + "|".join(C.SAFETY) + ")" + (r"\b" if fix_quirks else "")
-    rows = lines.withColumns({"bare": bare, "next": F.coalesce(*near)}).where(F.col("bare").rlike(label))
+    rows = lines.where(F.col("bare").rlike(label))
     own = F.when(F.col("bare").contains(":"), strip(F.regexp_replace("bare", r"^[^:]*:", ""))).otherwise(strip(F.regexp_replace("bare", label, "")) if fix_quirks else F.lit(""))
     rows = rows.withColumn("body", F.coalesce(F.nullif(own, F.lit("")), "next")).withColumn("line", F.col("line_no")).withColumn("col", F.lit(1))
     out = finding(rows.where("body is null"), "7.2", F.lit("a safety label with no command or condition"), seq=15)

@@ -1,59 +1,84 @@
-"""Lines to sentences and paragraphs."""
+"""Lines to sentences and paragraphs, inside a document's row.
+
+A running count of paragraphs, of sentences, or of parts between two ends is
+the number of a run between marked places of an array, so no window and no
+fold that copies its result is needed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.functions.arrays import BLOCK, places, runs, sum_before, sums_before, total
 from prosegauge.functions.constants import ABBREVIATIONS
-from prosegauge.functions.text import blank, strip
-from prosegauge.operators.lines import DOC
+from prosegauge.functions.text import blank, once, strip
+from prosegauge.operators.lines import DOC, with_lines
 
 CUT = "\x03"
-PART = "struct<col:int,text:string,ends:boolean>"
+TAIL = 10
+PIECE = "struct<line:int,paragraph:int,fresh:boolean,k:int,text:string>"
+
+
+def with_paragraphs(docs: DataFrame) -> DataFrame:
+    """lines gain is_blank, fresh (nothing runs on into the line) and paragraph (from 0)."""
+    docs = once(docs, empty=F.transform("lines", lambda x: blank(x["text"])))
+    after = lambda i: (i == 0) | F.coalesce(F.get("empty", i - 1), F.lit(True))
+    steps = places("lines", lambda x, i: ~after(i) & (F.get("empty", i) | x["starts_block"]))
+    docs = once(docs, steps=F.concat(F.array(F.lit(1)), steps))
+    own = lambda r, j: F.transform(r, lambda x, i: F.struct(x["text"].alias("text"), x["starts_block"].alias("starts_block"), j.alias("paragraph"), (F.get("steps", j) + i).alias("line_no")))
+    docs = once(docs, own=F.flatten(F.transform(runs("lines", "steps"), own)))
+    fresh = lambda x, i: after(i) | x["starts_block"]
+    lines = F.transform("own", lambda x, i: F.struct(x["line_no"].alias("line_no"), x["text"].alias("text"), F.get("empty", i).alias("is_blank"), fresh(x, i).alias("fresh"), x["paragraph"].alias("paragraph")))
+    return once(docs, lines=lines).drop("empty", "steps", "own")
 
 
-def parts_of(line: Column, fix_quirks: bool = False) -> Column:
-    """What a line adds to the running sentence, in order: (col, text, ends).
+def pieces_of(line: Column) -> Column:
+    """A line cut after . ! ? : before white space or its end."""
+    cut = F.split(F.regexp_replace(line["text"], r"(?U)([.!?:])(?=\s|$)", f"$1{CUT}"), CUT)
+    return F.transform(cut, lambda p, k: F.struct(line["line_no"].alias("line"), line["paragraph"].alias("paragraph"), line["fresh"].alias("fresh"), k.alias("k"), p.alias("text")))
 
-    A line is cut after . ! ? : before white space or its end. After an
-    abbreviation no sentence ends, and the next part starts again where this
-    one did, so its words are given twice; fix_quirks gives them once.
+
+def with_parts(docs: DataFrame, fix_quirks: bool = False) -> DataFrame:
+    """Add parts: what each line adds to the running sentence, in order: (line, col, paragraph, fresh, text, ends).
+
+    After an abbreviation no sentence ends, and the next part starts again
+    where this one did, so its words are given twice; fix_quirks gives them
+    once.
     """
-    pieces = F.split(F.regexp_replace(line, r"(?U)([.!?:])(?=\s|$)", f"$1{CUT}"), CUT)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("held"), F.expr(f"cast(array() as array<{PART}>)").alias("out"), F.lit(0).alias("i"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        text = F.concat(acc["held"], piece)
-        last = acc["i"] + 1 == F.size(pieces)
-        guarded = strip(piece).rlike(rf"(?U)\b{ABBREVIATIONS}\.$")
-        ends = ~last & ~guarded
-        give = ~blank(text) & (~guarded | last if fix_quirks else F.lit(True))
-        col = acc["at"] + F.length(text) - F.length(F.regexp_replace(text, r"(?U)^\s+", ""))
-        out = F.when(give, F.concat(acc["out"], F.array(F.struct(col.alias("col"), text.alias("text"), ends.alias("ends"))))).otherwise(acc["out"])
-        return F.struct(F.when(ends, acc["at"] + F.length(text)).otherwise(acc["at"]).alias("at"), F.when(ends, "").otherwise(text).alias("held"), out.alias("out"), (acc["i"] + 1).alias("i"))
-
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
-
-
-def paragraphs(lines: DataFrame) -> DataFrame:
-    """Add is_blank, fresh (nothing runs on into the line) and paragraph (from 0)."""
-    w = Window.partitionBy(*DOC).orderBy("line_no")
-    out = lines.withColumn("is_blank", blank(F.col("text")))
-    out = out.withColumn("after_blank", F.lag("is_blank", 1, True).over(w))
-    step = ~F.col("after_blank") & (F.col("is_blank") | F.col("starts_block"))
-    return out.withColumns({"paragraph": F.sum(step.cast("int")).over(w).cast("int"), "fresh": F.col("after_blank") | F.col("starts_block")})
-
-
-def sentences(lines: DataFrame, fix_quirks: bool = False) -> DataFrame:
-    """(doc_row, doc_id, sent_id, line, col, text, paragraph). All windows are by document: one exchange."""
-    own = paragraphs(lines).where(~F.col("is_blank"))
-    parts = own.select(*DOC, "line_no", "paragraph", "fresh", F.posexplode(parts_of(F.col("text"), fix_quirks)).alias("k", "p"))
-    w = Window.partitionBy(*DOC).orderBy("line_no", "k")
-    new = F.coalesce(F.lag("p.ends").over(w), F.lit(True)) | ((F.col("k") == 0) & F.col("fresh"))
-    parts = parts.withColumn("sent_id", F.sum(new.cast("int")).over(w).cast("int"))
-    joined = parts.groupBy(*DOC, "sent_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "k", "p"))).alias("ps"), F.max("paragraph").alias("paragraph"))
-    text = strip(F.array_join(F.transform("ps", lambda x: x["p"]["text"]), " "))
-    first = F.element_at("ps", 1)
-    out = joined.select(*DOC, "sent_id", first["line_no"].alias("line"), (first["p"]["col"] + 1).alias("col"), text.alias("text"), "paragraph")
-    return out.where("text <> ''")
+    none = F.expr(f"cast(array() as array<{PIECE}>)")
+    docs = once(docs, pieces=F.flatten(F.transform("lines", lambda x: F.when(x["is_blank"], none).otherwise(pieces_of(x)))))
+    last = lambda i: F.coalesce(F.get("pieces", i + 1)["k"] == 0, F.lit(True))
+    # an abbreviation, its period and what stands before it are within the last characters of a piece
+    guarded = lambda p: p["text"].endswith(".") & F.right(p["text"], F.lit(TAIL)).rlike(rf"(?U)\b{ABBREVIATIONS}\.$")
+    docs = once(docs, ends=F.transform("pieces", lambda p, i: ~last(i) & ~guarded(p)), sizes=F.transform("pieces", lambda p: F.length(p["text"])))
+    docs = once(docs, sums=sums_before("sizes"), starts=places("pieces", lambda p, i: (p["k"] == 0) | F.get("ends", i - 1)))
+    where = lambda i: sum_before("sizes", "sums", i)
+
+    def part(group: Column, first: Column, p: Column, i: Column) -> Column:
+        # a group has more than one piece only where an abbreviation stands
+        text = F.when(i == 0, p["text"]).otherwise(F.array_join(F.transform(F.slice(group, 1, i + 1), lambda x: x["text"]), ""))
+        k = F.get(group, F.lit(0))["k"]
+        at = F.when(k < BLOCK, total(F.slice("sizes", first - k + 1, k))).otherwise(where(first) - where(first - k))
+        return F.struct(p["line"].alias("line"), at.alias("at"), F.length(F.regexp_extract(text, r"(?U)^\s*", 0)).alias("lead"), F.length(text).alias("size"), p["paragraph"].alias("paragraph"), p["fresh"].alias("fresh"), text.alias("text"), F.get("ends", first + i).alias("ends"), (last(first + i) | ~guarded(p) if fix_quirks else F.lit(True)).alias("whole"))
+
+    grouped = F.transform(runs("pieces", "starts"), lambda g, j: F.transform(g, lambda p, i: part(g, F.get("starts", j) - 1, p, i)))
+    given = lambda p: (p["lead"] < p["size"]) & p["whole"]
+    parts = F.transform(F.filter(F.flatten(grouped), given), lambda p: F.struct(p["line"].alias("line"), (p["at"] + p["lead"] + 1).cast("int").alias("col"), p["paragraph"].alias("paragraph"), p["fresh"].alias("fresh"), p["text"].alias("text"), p["ends"].alias("ends")))
+    return once(docs, parts=parts).drop("pieces", "ends", "sizes", "sums", "starts")
+
+
+def with_sentences(docs: DataFrame, fix_quirks: bool = False) -> DataFrame:
+    """(doc_row, doc_id, text, sents): the sentences of each document as (sent_id, line, col, text, paragraph)."""
+    docs = with_parts(with_paragraphs(with_lines(docs)), fix_quirks)
+    new = lambda p, i: (i == 0) | F.get("parts", i - 1)["ends"] | (p["fresh"] & (F.get("parts", i - 1)["line"] != p["line"]))
+    docs = once(docs, starts=places("parts", new))
+    joined = lambda r: F.when(F.size(r) == 1, F.get(r, F.lit(0))["text"]).otherwise(F.array_join(F.transform(r, lambda p: p["text"]), " "))
+    head = lambda r, c: F.get(r, F.lit(0))[c].alias(c)
+    sents = F.transform(runs("parts", "starts"), lambda r, j: F.struct((j + 1).alias("sent_id"), head(r, "line"), head(r, "col"), strip(joined(r)).alias("text"), head(r, "paragraph")))
+    return once(docs, sents=sents).select(*DOC, "text", "sents")
+
+
+def sentences(docs: DataFrame, fix_quirks: bool = False) -> DataFrame:
+    """(doc_row, doc_id, sent_id, line, col, text, paragraph): one row for each sentence, without an exchange."""
+    return with_sentences(docs, fix_quirks).select(*DOC, F.explode("sents").alias("s")).select(*DOC, "s.*")

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosegauge.functions import constants as C
-from prosegauge.functions.text import controlled_words, rounded, word_count, words_of
+from prosegauge.functions.arrays import total
+from prosegauge.functions.text import controlled_words, once, rounded, word_count, words_of
 from prosegauge.operators import dictionary, lines, report, rules
-from prosegauge.operators.sentences import paragraphs, sentences
+from prosegauge.operators.sentences import sentences, with_paragraphs, with_sentences
 from prosegauge.plans import check, fixtures, oracle, selftest
+from prosegauge.sources.texts import spread
 from prosegauge.sources.lexicon import DEFAULT_TERMS, Lexicon, approved_forms, parse_terms, with_default_terms
 
 
@@ -50,7 +52,12 @@ def query(sql: str | None = None):
 
 
 def sents_of(spark, sf_dir):
-    return sentences(lines.clean_lines(documents(spark, sf_dir)))
+    return sentences(documents(spark, sf_dir))
+
+
+def dealt_sents(spark, sf_dir):
+    """For what does more work on a sentence than finding it: these tables are files of one row group, so one task would have all."""
+    return sentences(spread(lines.numbered(documents(spark, sf_dir))))
 
 
 def shaped(spark, sf_dir, mode="descriptive"):
@@ -58,7 +65,7 @@ def shaped(spark, sf_dir, mode="descriptive"):
 
 
 def plain_tokens(spark, sf_dir):
-    return rules.tokens(rules.with_tokens(sents_of(spark, sf_dir)))
+    return rules.tokens(rules.with_tokens(dealt_sents(spark, sf_dir)))
 
 
 # --- lines and sentences ---------------------------------------------------------------
@@ -76,7 +83,7 @@ def lines_cleaned(spark, sf_dir):
 
 @query(BASE + "SELECT doc_id, line_no::INT AS line_no, fence, inside AS in_fence FROM fences")
 def code_fence(spark, sf_dir):
-    return lines.fenced(lines.raw_lines(lines.dealt(documents(spark, sf_dir)))).select("doc_id", "line_no", "fence", "in_fence")
+    return lines.fenced(documents(spark, sf_dir)).select("doc_id", "line_no", "fence", "in_fence")
 
 
 @query(BASE + "SELECT doc_id, line_no::INT AS line_no, text FROM lines WHERE (doc_id, line_no) IN (SELECT (doc_id, line_no) FROM cleaned WHERE is_row)")
@@ -97,14 +104,15 @@ def sentence_segmentation(spark, sf_dir):
 
 @query(BASE + "SELECT doc_id, line_no::INT AS line_no, paragraph::BIGINT AS paragraph, fresh FROM paras")
 def paragraph_ids(spark, sf_dir):
-    return paragraphs(lines.clean_lines(documents(spark, sf_dir))).select("doc_id", "line_no", F.col("paragraph").cast("long"), "fresh")
+    own = with_paragraphs(lines.with_lines(documents(spark, sf_dir))).select("doc_id", F.explode("lines").alias("l"))
+    return own.select("doc_id", "l.line_no", F.col("l.paragraph").cast("long").alias("paragraph"), "l.fresh")
 
 
 @query(BASE + f"SELECT doc_id, count(*) AS sentences, sum(n_words)::BIGINT AS counted_words, max(n_words)::BIGINT AS max_sentence_words, {oracle.exact_round('sum(n_words) / count(*)', 1)} AS mean_sentence_words FROM counted GROUP BY doc_id")
 def word_count_stats(spark, sf_dir):
-    n = sents_of(spark, sf_dir).withColumn("n_words", controlled_words(F.col("text")))
-    out = n.groupBy(*lines.DOC).agg(F.count(F.lit(1)).alias("sentences"), F.sum("n_words").cast("long").alias("counted_words"), F.max("n_words").cast("long").alias("max_sentence_words"))
-    return out.withColumn("mean_sentence_words", rounded(F.col("counted_words") / F.col("sentences"), 1)).drop("doc_row")
+    n = once(with_sentences(documents(spark, sf_dir)), n=F.transform("sents", lambda x: controlled_words(x["text"]).cast("long")))
+    out = n.select("doc_id", F.size("n").cast("long").alias("sentences"), total("n").alias("counted_words"), F.array_max("n").alias("max_sentence_words"))
+    return out.where("sentences > 0").withColumn("mean_sentence_words", rounded(F.col("counted_words") / F.col("sentences"), 1))
 
 
 # --- tokens ---------------------------------------------------------------------------------
@@ -117,8 +125,8 @@ def token_offsets(spark, sf_dir):
 
 @query(BASE + "SELECT doc_id, count(*) AS words FROM toks GROUP BY doc_id")
 def token_count(spark, sf_dir):
-    n = sents_of(spark, sf_dir).withColumn("k", word_count(F.col("text")))
-    return n.groupBy(*lines.DOC).agg(F.sum("k").alias("words")).where("words > 0").drop("doc_row")
+    n = with_sentences(documents(spark, sf_dir)).select("doc_id", F.transform("sents", lambda x: word_count(x["text"]).cast("long")).alias("n"))
+    return n.select("doc_id", total("n").alias("words")).where("words > 0")
 
 
 @query(BASE + "SELECT lower(word) AS word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM toks GROUP BY 1")
@@ -162,7 +170,7 @@ def rule_contraction(spark, sf_dir):
 
 
 def verbs(spark, sf_dir):
-    return rules.verb_findings(sents_of(spark, sf_dir), lexicon(spark))
+    return rules.verb_findings(dealt_sents(spark, sf_dir), lexicon(spark))
 
 
 @query(of_rule("seq = 6", "message"))
@@ -203,7 +211,7 @@ def rule_length_by_kind(spark, sf_dir):
 @query(of_rule("seq IN (15, 16, 17)", "rule", "message", "suggestion"))
 def rule_safety(spark, sf_dir):
     docs = documents(spark, sf_dir).where(rules.may_have_labels(F.col("text")))
-    return found(rules.safety_findings(lines.clean_lines(docs)), None, "rule", "message", "suggestion")
+    return found(rules.safety_findings(lines.with_lines(docs)), None, "rule", "message", "suggestion")
 
 
 @query(of_rule("seq = 13", "message"))
@@ -258,7 +266,7 @@ def rule_british(spark, sf_dir):
 
 
 def phrases(spark, sf_dir):
-    return rules.phrase_findings(rules.with_phrases(sents_of(spark, sf_dir), lexicon(spark)), lexicon(spark))
+    return rules.phrase_findings(rules.phrase_spans(dealt_sents(spark, sf_dir), lexicon(spark)), lexicon(spark))
 
 
 @query(of_rule("seq = 2 AND rule = '1.1'", "message", "suggestion"))
@@ -280,7 +288,7 @@ def rule_phrase_collision(spark, sf_dir):
 
 
 def checked(spark, sf_dir, both: bool = False):
-    return check.check_text(documents(spark, sf_dir), lexicon(spark), keep=True, keep_findings=both)
+    return check.check_text(lines.numbered(documents(spark, sf_dir)), lexicon(spark), keep=True, keep_findings=both)
 
 
 def said_by_rule(name: str):

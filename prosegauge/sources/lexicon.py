@@ -8,6 +8,7 @@ constants of the column expressions and its table is broadcast.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,9 +129,17 @@ class Lexicon:
         folded = lambda t: any(ch.islower() for ch in t) and not any(ch.isupper() or ch.istitle() for ch in t)
         return cls(spark.createDataFrame(rows, schema), words, tuple(t for t in listed if not folded(t)), tuple(sorted({t.lower() for t in listed if " " in t}, key=by_words)), tuple(bad))
 
-    def those(self, test) -> list[str]:
-        """Words with a property, for isin() inside array functions, which cannot join; it looks them up in a hash set."""
-        return [k for k, w in self.words.items() if test(w)]
+    @cached_property
+    def phrases(self) -> DataFrame:
+        """Terms and disallowed words of several words: (first_word, rank, phrase, kind, lead), lead being what stands before that word."""
+        listed = [(i, p, k) for i, (p, k) in enumerate([*((p, "term") for p in self.domain_phrases), *((p, "bad") for p in self.bad_phrases)])]
+        rows = self.rows.sparkSession.createDataFrame(listed, "rank int, phrase string, kind string")
+        word = F.regexp_extract("phrase", r"(?U)\w+", 0)
+        return rows.select(word.alias("first_word"), "rank", "phrase", "kind", (F.instr("phrase", word) - 1).alias("lead")).where("first_word <> ''")
+
+    @property
+    def longest_phrase(self) -> int:
+        return max(map(len, (*self.domain_phrases, *self.bad_phrases)), default=0)
 
     def look_up(self, df: DataFrame, word: Column, *columns: str, prefix: str = "") -> DataFrame:
         """df with ``columns`` of the lexicon for each row's lower-case word, by one join with the broadcast table.

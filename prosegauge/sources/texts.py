@@ -30,3 +30,24 @@ def read_texts(spark: SparkSession, *paths: str, stdin=None) -> DataFrame:
 def one_slash(path: Column) -> Column:
     """A path whose scheme is followed by one slash, however it was written."""
     return F.regexp_replace(path, "^([a-z0-9]+):/+(?=/)", "$1:")
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """docs with doc_row, the number of each row, written to the folder that the cluster shares and read back.
+
+    So every reader of a row finds the same number, whatever the rows came
+    from and however often they are computed. The folder is
+    ``spark.checkpoint.dir``, or where that is unset one of the warehouse; the
+    checkpoint goes when the session has no use for it and
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    sc = docs.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or docs.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return docs.withColumn("doc_row", F.monotonically_increasing_id()).checkpoint()
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs dealt over all cores where the input has fewer partitions than these, as a file of one row group has; else as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_row") if docs.rdd.getNumPartitions() < cores else docs

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prosegauge import __main__ as cli
 from prosegauge.functions.text import controlled_words, match_all, rounded, tokens_of
-from prosegauge.operators import dictionary, report
+from prosegauge.operators import dictionary, report, rules
 from prosegauge.plans import check, fixtures
 from prosegauge.sources.texts import read_texts
 
@@ -155,7 +155,7 @@ def test_phrases_take_the_text_by_length_and_terms_all_count(spark):
     lex = fixtures.lexicon(spark, rows, ["the lid", "off the"])
     docs = spark.createDataFrame([(1, "Take off the lid, take off. Takeoff the lid."), (2, "off the off the")], "doc_id int, text string")
     got = check.check_text(docs, lex)
-    spans = sorted((r.doc_id, r.sent_id, s.start, s.phrase, s.kind) for r in got.sentences.collect() for s in r.spans)
+    spans = sorted((r.doc_id, r.sent_id, r.start, r.phrase, r.kind) for r in rules.phrase_spans(got.sentences, lex).collect())
     assert spans == [(1, 1, 5, "off the", "term"), (1, 1, 9, "the lid", "term"), (1, 1, 18, "take off", "bad"), (1, 2, 8, "the lid", "term"), (2, 1, 0, "off the", "term"), (2, 1, 8, "off the", "term")]
 
 

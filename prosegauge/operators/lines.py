@@ -16,6 +16,9 @@ from prosegauge.functions.text import hide_block, inline_clean, once, strip
 #: What names a document: the number of its row, so that rows with one id, or none, stay apart; and its id.
 DOC = ("doc_row", "doc_id")
 
+#: What a part of a document, as ``operators.blocks`` makes them, brings: its number and whether code is open where it begins.
+STATE = ("block", "in_code")
+
 
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with doc_row, the number of each row where it is read; a doc_row of the caller's own is kept.
@@ -29,7 +32,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def with_raw(docs: DataFrame) -> DataFrame:
     """(doc_row, doc_id, text, raw): the lines of each text; a break at the end of a text opens no line."""
-    parts = once(numbered(docs).select(*DOC, "text"), parts=F.split("text", LINE_BREAK))
+    parts = once(numbered(docs).select(*DOC, *(c for c in STATE if c in docs.columns), "text"), parts=F.split("text", LINE_BREAK))
     raw = F.when(F.element_at("parts", -1) == "", F.slice("parts", 1, F.size("parts") - 1)).otherwise(F.col("parts"))
     return once(parts, raw=raw).drop("parts")
 
@@ -40,10 +43,11 @@ def with_fences(docs: DataFrame) -> DataFrame:
     Null for texts without a fence, which are most. Lines between two fences
     are a run, and every other run is code.
     """
-    marks = F.when(F.col("text").contains("```"), places("raw", lambda x, i: x.rlike(FENCE)))
+    entered = F.col("in_code") if "in_code" in docs.columns else F.lit(0)
+    marks = F.when(F.col("text").contains("```") | (entered > 0), places("raw", lambda x, i: x.rlike(FENCE)))
     docs = once(docs, marks=F.concat(F.array(F.lit(1)), marks))
-    inside = lambda r, j: F.transform(r, lambda x, i: F.struct(((j > 0) & (i == 0)).alias("fence"), (j % 2 == 1).alias("inside")))
-    return once(docs, fences=F.when(F.size("marks") > 1, F.flatten(F.transform(runs("raw", "marks"), inside)))).drop("marks")
+    inside = lambda r, j: F.transform(r, lambda x, i: F.struct(((j > 0) & (i == 0)).alias("fence"), ((j + entered) % 2 == 1).alias("inside")))
+    return once(docs, fences=F.when(F.size("marks") > F.when(entered > 0, 0).otherwise(1), F.flatten(F.transform(runs("raw", "marks"), inside)))).drop("marks")
 
 
 def is_row(raw: Column) -> Column:

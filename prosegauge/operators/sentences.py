@@ -68,15 +68,21 @@ def with_parts(docs: DataFrame, fix_quirks: bool = False) -> DataFrame:
     return once(docs, parts=parts).drop("pieces", "ends", "sizes", "sums", "starts")
 
 
-def with_sentences(docs: DataFrame, fix_quirks: bool = False) -> DataFrame:
-    """(doc_row, doc_id, text, sents): the sentences of each document as (sent_id, line, col, text, paragraph)."""
-    docs = with_parts(with_paragraphs(with_lines(docs)), fix_quirks)
+def with_sents(docs: DataFrame) -> DataFrame:
+    """Add sents, made of parts: (sent_id, line, col, text, paragraph), the text with the blanks at its ends."""
     new = lambda p, i: (i == 0) | F.get("parts", i - 1)["ends"] | (p["fresh"] & (F.get("parts", i - 1)["line"] != p["line"]))
     docs = once(docs, starts=places("parts", new))
     joined = lambda r: F.when(F.size(r) == 1, F.get(r, F.lit(0))["text"]).otherwise(F.array_join(F.transform(r, lambda p: p["text"]), " "))
     head = lambda r, c: F.get(r, F.lit(0))[c].alias(c)
-    sents = F.transform(runs("parts", "starts"), lambda r, j: F.struct((j + 1).alias("sent_id"), head(r, "line"), head(r, "col"), strip(joined(r)).alias("text"), head(r, "paragraph")))
-    return once(docs, sents=sents).select(*DOC, "text", "sents")
+    sents = F.transform(runs("parts", "starts"), lambda r, j: F.struct((j + 1).alias("sent_id"), head(r, "line"), head(r, "col"), joined(r).alias("text"), head(r, "paragraph")))
+    return once(docs, sents=sents).drop("parts", "starts")
+
+
+def with_sentences(docs: DataFrame, fix_quirks: bool = False) -> DataFrame:
+    """(doc_row, doc_id, text, sents): the sentences of each document as (sent_id, line, col, text, paragraph)."""
+    docs = with_sents(with_parts(with_paragraphs(with_lines(docs)), fix_quirks))
+    own = F.transform("sents", lambda x: F.struct(*(strip(x[c]).alias(c) if c == "text" else x[c].alias(c) for c in ("sent_id", "line", "col", "text", "paragraph"))))
+    return docs.select(*DOC, "text", own.alias("sents"))
 
 
 def sentences(docs: DataFrame, fix_quirks: bool = False) -> DataFrame:

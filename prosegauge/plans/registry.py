@@ -16,6 +16,7 @@ from prosegauge.functions import constants as C
 from prosegauge.functions.arrays import total
 from prosegauge.functions.text import controlled_words, once, rounded, word_count, words_of
 from prosegauge.operators import dictionary, lines, report, rules
+from prosegauge.operators.blocks import split_sentences
 from prosegauge.operators.sentences import sentences, with_paragraphs, with_sentences
 from prosegauge.plans import check, fixtures, oracle, selftest
 from prosegauge.sources.texts import spread
@@ -102,6 +103,12 @@ def sentence_segmentation(spark, sf_dir):
     return sents_of(spark, sf_dir).drop("doc_row")
 
 
+@query(BASE + "SELECT doc_id, sent_id, line, col, text, paragraph FROM sents")
+def sentences_by_blocks(spark, sf_dir):
+    """Blocks of 4 kB here, so that these documents have several."""
+    return split_sentences(documents(spark, sf_dir), size=1 << 12).drop("doc_row")
+
+
 @query(BASE + "SELECT doc_id, line_no::INT AS line_no, paragraph::BIGINT AS paragraph, fresh FROM paras")
 def paragraph_ids(spark, sf_dir):
     own = with_paragraphs(lines.with_lines(documents(spark, sf_dir))).select("doc_id", F.explode("lines").alias("l"))

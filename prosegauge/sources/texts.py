@@ -32,19 +32,22 @@ def one_slash(path: Column) -> Column:
     return F.regexp_replace(path, "^([a-z0-9]+):/+(?=/)", "$1:")
 
 
-def settled(docs: DataFrame) -> DataFrame:
-    """docs with doc_row, the number of each row, written to the folder that the cluster shares and read back.
+def written(df: DataFrame) -> DataFrame:
+    """df written to the folder that the cluster shares and read back, so that all its readers see the same rows and a lost executor loses none.
 
-    So every reader of a row finds the same number, whatever the rows came
-    from and however often they are computed. The folder is
-    ``spark.checkpoint.dir``, or where that is unset one of the warehouse; the
-    checkpoint goes when the session has no use for it and
+    The folder is ``spark.checkpoint.dir``, or where that is unset one of the
+    warehouse; a checkpoint goes when the session has no use for it and
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    sc = docs.sparkSession.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or docs.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return docs.withColumn("doc_row", F.monotonically_increasing_id()).checkpoint()
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """docs with doc_row, the number of each row, written: whatever the rows came from and however often they are computed, a row keeps its number."""
+    return written(docs.withColumn("doc_row", F.monotonically_increasing_id()))
 
 
 def spread(docs: DataFrame) -> DataFrame:

@@ -7,19 +7,24 @@ with ids of their own.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import uuid
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosegauge.functions import constants as C
 from prosegauge.functions.arrays import total
-from prosegauge.functions.text import controlled_words, once, rounded, word_count, words_of
-from prosegauge.operators import dictionary, lines, report, rules
+from prosegauge.functions.text import controlled_words, once, rounded, strip, word_count, words_of
+from prosegauge.operators import dictionary, lines, report, rules, sketches
+from prosegauge.operators.asof import as_of
 from prosegauge.operators.blocks import split_sentences
+from prosegauge.operators.ranks import ranked
 from prosegauge.operators.sentences import sentences, with_paragraphs, with_sentences
-from prosegauge.plans import check, fixtures, oracle, selftest
-from prosegauge.sources.texts import spread
+from prosegauge.plans import check, fixtures, oracle, recheck, selftest
+from prosegauge.sources import html
+from prosegauge.sources.texts import shared_folder, spread, written
+from prosegauge.streaming.sessions import write_sessions
 from prosegauge.sources.lexicon import DEFAULT_TERMS, Lexicon, approved_forms, parse_terms, with_default_terms
 
 
@@ -295,7 +300,7 @@ def rule_phrase_collision(spark, sf_dir):
 
 
 def checked(spark, sf_dir, both: bool = False):
-    return check.check_text(lines.numbered(documents(spark, sf_dir)), lexicon(spark), keep=True, keep_findings=both)
+    return check.check_text(lines.numbered(documents(spark, sf_dir)), lexicon(spark), keep_findings=both)
 
 
 def said_by_rule(name: str):
@@ -399,6 +404,176 @@ def chars_by_quality(spark, sf_dir):
     return d.groupBy((F.col("quality") == 1).cast("int").alias("quality")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"))
 
 
+# --- sections, groups, ranks and sketches ------------------------------------------------------------
+
+
+def headings(docs):
+    """(doc_row, line, section): the lines that a heading mark begins, outside code."""
+    lined = lines.fenced(docs).where(~F.col("fence") & ~F.col("in_fence") & F.col("raw").rlike(r"(?U)^\s*#{1,6}\s+"))
+    return lined.select("doc_row", F.col("line_no").alias("line"), strip(F.regexp_replace("raw", r"(?U)^\s*#{1,6}\s+", "")).alias("section"), F.col("line_no").alias("section_line"))
+
+
+HEADINGS = r", heads AS (SELECT doc_id, line_no AS line, regexp_replace(regexp_replace(raw, '^\s*#{1,6}\s+', ''), '^\s+|\s+$', '', 'g') AS section FROM fences WHERE NOT fence AND NOT inside AND regexp_matches(raw, '^\s*#{1,6}\s+'))"
+LONG = f"SELECT doc_id, line, col, n_words FROM counted WHERE n_words > {C.WORDS_DESCRIPTIVE}"
+
+
+def long_in_sections(docs):
+    """Sentences beyond the limit, each with the last heading at or before its line; a document is cut at every 256 lines."""
+    long = sentences(docs).withColumn("n_words", controlled_words(F.col("text"))).where(F.col("n_words") > C.WORDS_DESCRIPTIVE).select(*lines.DOC, "line", "col", "n_words")
+    return as_of(long, headings(docs), ["doc_row"], "line", ["section", "section_line"], F.floor(F.col("line") / 256)).select("doc_id", "line", "col", "n_words", "section", "section_line")
+
+
+SECTIONS = HEADINGS + f" SELECT f.doc_id, f.line, f.col, f.n_words::INT AS n_words, h.section, h.line::INT AS section_line FROM ({LONG}) f ASOF LEFT JOIN heads h ON f.doc_id = h.doc_id AND f.line >= h.line"
+
+
+@query(BASE + SECTIONS)
+def findings_by_section(spark, sf_dir):
+    return long_in_sections(lines.numbered(documents(spark, sf_dir)))
+
+
+PAGE = "html"
+for pattern, new in html.STEPS:
+    PAGE = f"regexp_replace({PAGE}, {oracle.text(pattern)}, {oracle.text(new)}, 'g')"
+PAGE = f"array_to_string(list_transform(string_split(regexp_replace({PAGE}, '&#(\\d{{1,7}});', chr(1) || '\\1' || chr(2), 'g'), chr(1)), lambda p, i: CASE WHEN i = 1 THEN p WHEN split_part(p, chr(2), 1)::INT BETWEEN 32 AND 55295 OR split_part(p, chr(2), 1)::INT BETWEEN 57344 AND 1114111 THEN chr(split_part(p, chr(2), 1)::INT) || substr(p, instr(p, chr(2)) + 1) ELSE ' ' || substr(p, instr(p, chr(2)) + 1) END), '')"
+for name, char in html.ENTITIES:
+    PAGE = f"replace({PAGE}, '&{name};', {oracle.text(char)})"
+PAGES = oracle.base(f"SELECT page_id AS doc_id, {PAGE} AS text FROM pages")
+
+
+def pages(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return lines.numbered(rows.select(F.col("page_id").alias("doc_id"), html.prose(F.col("html")).alias("text")))
+
+
+@query(PAGES + "SELECT doc_id AS page_id, sent_id, line, col, text, paragraph FROM sents")
+def page_sentences(spark, sf_dir):
+    return sentences(pages(spark, sf_dir)).withColumnRenamed("doc_id", "page_id").drop("doc_row")
+
+
+@query(PAGES + SECTIONS)
+def page_findings_by_section(spark, sf_dir):
+    return long_in_sections(pages(spark, sf_dir))
+
+
+EVENT_BY = "SELECT e.event_id, e.user_id, e.value, p.event_id AS purchase_id, p.value AS purchase_value FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts"
+
+
+@query(EVENT_BY)
+def last_purchase(spark, sf_dir):
+    """Each event with its user's last purchase; a user is cut at every day."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bought = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id"), F.col("value").alias("purchase_value"))
+    return as_of(e.select("event_id", "user_id", "ts", "value"), bought, ["user_id"], "ts", ["purchase_id", "purchase_value"], F.to_date("ts")).drop("ts")
+
+
+def corpus(spark, sf_dir):
+    """(doc_row, doc_id, text, lang, source): the documents, with the columns that groups are made of."""
+    return lines.numbered(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
+
+
+def grouped_sentences(spark, sf_dir):
+    """Sentences with lang and source, which go along as part of the name of a document, so that nothing is joined."""
+    d = corpus(spark, sf_dir).withColumn("doc_id", F.struct("doc_id", "lang", "source"))
+    return sentences(d).select("doc_id.*", "sent_id", "text")
+
+
+BROKEN = "CASE WHEN n_words > {limit} THEN '6.3' WHEN regexp_matches(text, '[!?]$') THEN 'mark' ELSE 'none' END"
+
+
+@query(oracle.base() + f", s AS (SELECT lang, source, {BROKEN.format(limit=C.WORDS_DESCRIPTIVE)} AS kind, n_words FROM counted JOIN (SELECT doc_id, lang, source FROM documents) d USING (doc_id)) SELECT lang, source, kind, grouping(lang, source, kind)::BIGINT AS level, count(*) AS sentences, quantile_cont(n_words, 0.5) AS p50, quantile_cont(n_words, 0.9) AS p90, quantile_cont(n_words, 0.99) AS p99, max(n_words)::INT AS longest FROM s GROUP BY CUBE (lang, source, kind)")
+def length_percentiles(spark, sf_dir):
+    """Sentence lengths in every combination of language, source and kind; counts of equal lengths are added up before rows are made for each combination."""
+    s = grouped_sentences(spark, sf_dir).withColumn("n_words", controlled_words(F.col("text")))
+    kind = F.when(F.col("n_words") > C.WORDS_DESCRIPTIVE, "6.3").when(F.col("text").rlike("[!?]$"), "mark").otherwise("none")
+    counted = s.groupBy("lang", "source", kind.alias("kind"), "n_words").agg(F.count(F.lit(1)).alias("n"))
+    out = counted.cube("lang", "source", "kind").agg(F.grouping_id().alias("level"), F.sum("n").alias("sentences"), *(F.expr(f"percentile(n_words, {p}, n)").alias(f"p{round(100 * p)}") for p in (0.5, 0.9, 0.99)), F.max("n_words").alias("longest"))
+    return out.select("lang", "source", "kind", "level", "sentences", "p50", "p90", "p99", "longest")
+
+
+@query(WORDS + ", n AS (SELECT doc_id, count(*) AS words FROM toks GROUP BY doc_id), r AS (SELECT n.doc_id, count(r.rung) FILTER (r.rung = 'bad') / n.words AS rate FROM n LEFT JOIN rungs r USING (doc_id) GROUP BY n.doc_id, n.words) SELECT doc_id, rate, rank() OVER (ORDER BY rate) AS rank, percent_rank() OVER (ORDER BY rate) AS percent_rank, ntile(100) OVER (ORDER BY rate, doc_id)::INT AS tile FROM r")
+def violation_ranks(spark, sf_dir):
+    rates = QUERIES["violation_rate"](spark, sf_dir).select("doc_id", (F.col("unapproved") / F.col("words")).alias("rate"))
+    return ranked(rates, "rate", ["doc_id"])
+
+
+WORD_GROUPS = oracle.base() + ", w AS (SELECT d.lang, d.source, lower(word) AS word FROM toks JOIN (SELECT doc_id, lang, source FROM documents) d USING (doc_id))"
+
+
+@query(WORD_GROUPS + " SELECT lang, source, grouping(lang, source)::BIGINT AS level, count(*) AS n_words, count(DISTINCT word) AS exact, true AS within FROM w GROUP BY GROUPING SETS ((lang, source), (lang), ())")
+def distinct_word_sketches(spark, sf_dir):
+    """Distinct words by sketches made once for each source and merged for languages and the whole, beside exact counts; within: whether the estimate keeps its bound."""
+    each = sketches.words(grouped_sentences(spark, sf_dir), "lang", "source")
+    small = sketches.word_sketches(each, "lang", "source")
+    levels = [(0, small), (1, sketches.merged(small, "lang").withColumn("source", F.lit(None).cast("string"))), (3, sketches.merged(small).withColumns({c: F.lit(None).cast("string") for c in ("lang", "source")}))]
+    made = reduce(DataFrame.unionByName, (sketches.estimates(df).select("lang", "source", F.lit(k).cast("long").alias("level"), "n_words", "distinct") for k, df in levels))
+    kinds = each.groupBy("lang", "source", "word").agg(F.lit(1).alias("one"))
+    exact = kinds.cube("lang", "source").agg(F.grouping_id().alias("level"), F.countDistinct("word").alias("exact")).where("level <> 2")
+    e = exact.select(*(F.col(c).alias(f"__{c}") for c in ("lang", "source", "level")), "exact")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("lang", "source", "level")))
+    return made.join(e, same).select("lang", "source", "level", "n_words", "exact", (F.abs(F.col("distinct") - F.col("exact")) <= sketches.BOUND * F.col("exact") + 1).alias("within"))
+
+
+@query(WORD_GROUPS + ", n AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM n) SELECT lang, word, n AS exact, true AS within FROM r WHERE place <= 5")
+def frequent_word_sketches(spark, sf_dir):
+    """The five most frequent words of each language, with whether the merged sketch has each of them and a count within its bound."""
+    each = sketches.words(grouped_sentences(spark, sf_dir), "lang", "source")
+    made = sketches.estimates(sketches.merged(sketches.word_sketches(each, "lang", "source"), "lang"), 50).select(F.col("lang").alias("__lang"), "top_bound", F.explode("top").alias("t"))
+    made = made.select("__lang", "top_bound", F.col("t.item").alias("__word"), F.col("t.count").alias("estimate"))
+    counts = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("exact"))
+    first = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("exact"), "word"))).where("place <= 5")
+    got = first.join(made, (F.col("lang") == F.col("__lang")) & (F.col("word") == F.col("__word")), "left")
+    return got.select("lang", "word", "exact", F.coalesce((F.col("estimate") >= F.col("exact") - F.col("top_bound")) & (F.col("estimate") <= F.col("exact") + F.col("top_bound")), F.lit(False)).alias("within"))
+
+
+# --- streams and changes ------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE AS cut FROM events WHERE ts IS NOT NULL),
+s AS (SELECT *, sum(coalesce(cut, true)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS last_until, count(*) AS n, sum(value) AS total FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""")
+def streamed_sessions(spark, sf_dir):
+    """The events as a stream in four parts of time, each in a run of its own that goes on with the state of the one before."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    at = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    ends = e.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b")).first()
+    part = F.least(F.floor((F.col("ts").cast("double") - ends.a) * 4 / max(ends.b - ends.a, 1.0)), F.lit(3))
+    for k in range(4):
+        e.where(F.coalesce(part, F.lit(0)) == k).write.mode("append").parquet(f"{at}/in")
+        write_sessions(spark.readStream.schema(e.schema).parquet(f"{at}/in"), f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "last_until")})
+
+
+#: The dictionary before a change: without two entries.
+BEFORE = [e for e in fixtures.FULL if e[0].lower() not in ("thatin", "clamp")]
+OLD_FOUND = BASE + oracle.lexicon(BEFORE, fixtures.TERMS) + oracle.findings(BEFORE, fixtures.TERMS)
+SAME = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ("doc_id", "line", "col", "rule", "message", "suggestion", "severity", "term"))
+COUNTED = "SELECT doc_id, line, col, rule, message, suggestion, severity, term, count(*) AS k FROM found GROUP BY ALL"
+
+
+@lru_cache(maxsize=2)
+def lexicon_before(spark: SparkSession) -> Lexicon:
+    return fixtures.lexicon(spark, BEFORE, fixtures.TERMS)
+
+
+def rechecked(spark, sf_dir):
+    docs = lines.numbered(documents(spark, sf_dir))
+    old = written(check.check_text(docs, lexicon_before(spark)).findings)
+    return old, recheck.recheck(docs, recheck.word_index(docs), old, lexicon_before(spark), lexicon(spark))
+
+
+@query(FOUND + "SELECT doc_id, line, col, rule, message, suggestion, severity, term FROM found")
+def recheck_findings(spark, sf_dir):
+    """Findings after a change of the dictionary, of which those of documents without a changed word are the old ones."""
+    return rechecked(spark, sf_dir)[1].drop("seq", "sent_id", "doc_row")
+
+
+@query(f"SELECT coalesce(a.rule, b.rule) AS rule, sum(greatest(coalesce(a.k, 0) - coalesce(b.k, 0), 0))::BIGINT AS removed, sum(greatest(coalesce(b.k, 0) - coalesce(a.k, 0), 0))::BIGINT AS added, sum(least(coalesce(a.k, 0), coalesce(b.k, 0)))::BIGINT AS kept FROM ({OLD_FOUND + COUNTED}) a FULL JOIN ({FOUND + COUNTED}) b ON {SAME} GROUP BY 1")
+def recheck_changes(spark, sf_dir):
+    got = recheck.changes(*rechecked(spark, sf_dir))
+    return got.groupBy("rule").agg(*(F.sum(F.when(F.col("change") == c, F.col("n")).otherwise(0)).alias(c) for c in ("removed", "added", "kept")))
+
+
 # --- terms and dictionaries --------------------------------------------------------------------------
 
 TERM_LINES = ["wire harness # a part", "# a line of notes", "", "PASS", "permit", "PASS  # again", "  Prior to "]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,16 +34,44 @@ def one_slash(path: Column) -> Column:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster shares and read back, so that all its readers see the same rows and a lost executor loses none.
+    """df written as Parquet to the folder that the cluster shares, and read back.
 
-    The folder is ``spark.checkpoint.dir``, or where that is unset one of the
-    warehouse; a checkpoint goes when the session has no use for it and
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    All its readers see the same rows, read only the columns they ask for, and
+    lose nothing with an executor; what was written goes when the driver ends,
+    or by ``discard``.
     """
-    sc = df.sparkSession.sparkContext
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/written/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    Folder(df.sparkSession, path).delete_at_end()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Folder:
+    """A folder in whatever store its path names."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.store = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def delete_at_end(self) -> None:
+        self.store.deleteOnExit(self.path)
+
+    def delete(self) -> None:
+        self.store.delete(self.path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` wrote for ``df``, which must be what it returned."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        Folder(df.sparkSession, file).delete()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; one is set where there is none."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return sc.getCheckpointDir()
 
 
 def settled(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def check_stream(docs: DataFrame, lex: Lexicon, out: str, checkpoint: str, mode:
     """Write findings and stats of ``docs(doc_id, text)`` as Parquet under ``out``; a batch that runs again overwrites its own folder."""
 
     def batch(df: DataFrame, number: int) -> None:
-        got = check_text(df, lex, mode, keep=True)  # two outputs of one computation
+        got = check_text(df, lex, mode, keep_findings=True)  # two outputs of one computation
         try:
             for name, part in (("findings", got.findings), ("stats", got.stats)):
                 part.drop("doc_row").write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")

@@ -3,11 +3,12 @@
 A line goes down a tree of fixed depth: its number of tokens, then its two
 leading tokens, tokens with digits being variable fields. In a leaf, the
 tokens behind the leading ones are cut into at most eight pieces. A template
-is a leaf with the constant pieces of a line, the others being variable: one of
-four to six pieces, two of seven or eight (fields that lie side by side share
-a piece, and a line of fewer than four tokens behind its leading ones has no
-variable words). A line also stands for itself. Of the lines of a template
-that recurs in ``least_docs`` documents, all but the first are dropped.
+is a leaf with the constant pieces of a line, the others being variable: a
+line is like a template if at least five in eight of its pieces are the same,
+so three of eight, two of six or one of three may vary. That is the one
+threshold, a similarity; fields that lie side by side share a piece. A line
+also stands for itself. Of the lines of a template that recurs in
+``least_docs`` documents, all but the first are dropped.
 
 What a template's lines are depends on them alone, so other text in a leaf
 never hides one. Two sieves keep the work small: a line can only be generalised
@@ -26,8 +27,7 @@ LEAST_DOCS = 3
 LEAST_TOKENS = 1
 LEADING = 2
 PIECES = 8
-WILD_SHARE = 0.3  # of the pieces that a template may leave variable
-LEAST_PIECES = 4  # below, none may be variable
+VARY = (3, 8)  # the share of a line's pieces in which it may differ from its template
 VARIABLE = "<*>"
 NAMES = [f"__p{k}" for k in range(PIECES)]
 
@@ -77,18 +77,22 @@ def recurring(cells: DataFrame, least: int) -> DataFrame:
     )
 
 
+def may_vary(of: int) -> int:
+    return of * VARY[0] // VARY[1]
+
+
 def by_pieces(make) -> Column:
     """``make(pieces, variable)`` for a line's own number of pieces and how many of them may be variable; null where none may."""
     out = F.lit(None)
     for of in range(1, PIECES + 1):
-        if wild := int(WILD_SHARE * of):
+        if wild := may_vary(of):
             out = F.when(F.col("of") == of, make(of, wild)).otherwise(out)
     return out
 
 
 def templates(lines: DataFrame, least_docs: int) -> DataFrame:
     """(body, template), several for a body, of the lines that templates generalise; of templates of the same lines there is one."""
-    own = lines.where(F.col("of") >= LEAST_PIECES).groupBy("body").agg(F.count(F.lit(1)).alias("places"), *(F.max(c).alias(c) for c in ("of", *NAMES)))
+    own = lines.where(F.col("of") * VARY[0] >= VARY[1]).groupBy("body").agg(F.count(F.lit(1)).alias("places"), *(F.max(c).alias(c) for c in ("of", *NAMES)))
     own = materialise(own, "zstd")
     # First sieve: of one part more than pieces may be variable, one at least is whole in all lines of a template.
     part = lambda of, wild, k: F.xxhash64(*(NAMES[i] for i in range(of) if i * (wild + 1) // of == k))
@@ -101,11 +105,12 @@ def templates(lines: DataFrame, least_docs: int) -> DataFrame:
     again = materialise(recurring(pieces, least_docs).select("cell"))
     held = pieces.join(again.hint("merge"), "cell", "left_semi").groupBy("body").agg(F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("held"))
     held = materialise(near.join(held, "body"))
-    # A template for each set of variable pieces that has all that do not recur.
-    key = lambda of, m: F.xxhash64(*(NAMES[i] for i in range(of) if not m >> i & 1))
-    fits = lambda of, m: F.when(F.col("held").bitwiseOR(F.lit(m)) == (1 << of) - 1, key(of, m))
-    keys = by_pieces(lambda of, wild: F.array_compact(F.array(*(fits(of, m) for m in range(1, 1 << of) if m.bit_count() <= wild))))
-    keys = materialise(held.select("body", "places", F.explode(keys).alias("cell")))
+    # A template for each set of variable pieces that has all that do not recur; a set is the number whose bits are its pieces.
+    sets = lambda of, wild: F.array(*(F.lit(m) for m in range(1, 1 << of) if m.bit_count() <= wild))
+    fits = F.filter(by_pieces(sets), lambda m: F.col("held").bitwiseOR(m) == F.expr("shiftleft(1, of) - 1"))
+    held = held.select("body", "places", F.slice(F.array(*NAMES), F.lit(1), F.col("of")).alias("cells"), F.explode(fits).alias("vary"))
+    kept = F.filter("cells", lambda c, i: F.col("vary").bitwiseAND(F.pow(F.lit(2), i).cast("int")) == 0)
+    keys = materialise(held.select("body", "places", F.xxhash64("vary", kept).alias("cell")))
     found = recurring(keys, least_docs).groupBy("lines", "all", "b0", "b1").agg(F.min("cell").alias("cell")).select("cell")
     return materialise(keys.join(materialise(found).hint("merge"), "cell").select("body", F.col("cell").alias("template")))
 
@@ -168,7 +173,7 @@ WITH l AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS no FR
 t AS (SELECT doc_id, no, list_transform(list_filter(string_split_regex(raw, '[\x20\x09-\x0D]+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{VARIABLE}' ELSE w END) AS w FROM l),
 n AS (SELECT *, w[{LEADING + 1}:] AS body, least(greatest(len(w) - {LEADING}, 0), {PIECES}) AS k FROM t WHERE len(w) >= {least_tokens}),
 p AS (SELECT *, list_transform(range(k), lambda i: array_to_string(body[i * len(body) // k + 1 : (i + 1) * len(body) // k], ' ')) AS ps FROM n),
-m AS (SELECT * FROM (SELECT *, unnest(range(1, (1 << k)::BIGINT)) AS mask FROM p WHERE k >= {LEAST_PIECES}) WHERE bit_count(mask) <= floor({WILD_SHARE} * k + 1e-9)),
+m AS (SELECT * FROM (SELECT *, unnest(range(1, (1 << k)::BIGINT)) AS mask FROM p WHERE k * {VARY[0]} >= {VARY[1]}) WHERE bit_count(mask) * {VARY[1]} <= k * {VARY[0]}),
 named AS (
   SELECT doc_id, no, array_to_string(w, ' ') AS name FROM n
   UNION ALL SELECT doc_id, no, len(w) || chr(2) || array_to_string(w[:{LEADING}], ' ') || chr(2) || mask || chr(2) || array_to_string(list_transform(list_filter(range(k), lambda i: (mask >> i) & 1 = 0), lambda i: ps[i + 1]), chr(2)) FROM m

@@ -238,7 +238,7 @@ def tree_drops(rows, least_docs=3):
             cuts = [len(body) * k // of for k in range(of + 1)] if of else []
             pieces = [tuple(body[a:b]) for a, b in zip(cuts, cuts[1:])]
             names = {tuple(toks)}
-            for gone in itertools.chain.from_iterable(itertools.combinations(range(of), k) for k in range(1, int(0.3 * of + 1e-9) + 1)):
+            for gone in itertools.chain.from_iterable(itertools.combinations(range(of), k) for k in range(1, of * 3 // 8 + 1)):
                 names.add((len(toks), tuple(toks[:2]), gone, tuple(p for k, p in enumerate(pieces) if k not in gone)))
             for name in names:
                 found.setdefault(name, set()).add(place)
@@ -284,6 +284,18 @@ def test_other_lines_of_a_leaf_hide_no_template(spark, others):
     assert [got[i] for i in range(8)] == [0] + [1] * 7 and sum(got.values()) == 7
 
 
+@pytest.mark.parametrize("others", [0, 40, 200])
+@pytest.mark.parametrize("line", ["Posted by user {0} today", "Sent from {0} phone using {1} app here", "User admin said {0} to Bob about {1} and then left {2} for good reasons"])
+def test_short_lines_and_several_fields_are_templates(spark, line, others):
+    rng = random.Random(others)
+    name = lambda i, k: f"name{chr(97 + i)}{chr(97 + k)}q"
+    rows = [(i, line.format(*(name(i, k) for k in range(3))), "en", "s", 1) for i in range(10)]
+    n = len(line.split())
+    rows += [(100 + i, " ".join([*line.split()[:2], *(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n - 2))]).replace("{0}", "x"), "en", "s", 1) for i in range(others)]
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got.pop(i) for i in range(10)] == [0] + [1] * 9 and not any(got.values())
+
+
 def test_line_templates_keep_the_columns_of_the_caller(spark):
     rows = [(i, "All rights are reserved here\nown" + str(i), i, i, i, i) for i in range(4)]
     docs = spark.createDataFrame(rows, ["doc_id", "text", "drops", "a.b", "n_lines", "`q`"])

@@ -6,6 +6,8 @@ import gc
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -74,8 +76,21 @@ def delete_now(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Folders of the tables written so far, for a caller that knows which are done with (``delete_now``); the rest go when the driver ends.
-TABLES: list[str] = []
+#: Where the caller of this thread collects the folders of what is written, to delete them when it is done with them; the rest go when the driver ends.
+COLLECTED: ContextVar[list[str] | None] = ContextVar("collected", default=None)
+
+
+@contextmanager
+def collecting():
+    """The folders of the tables that are written inside, by this thread and no other."""
+    folders: list[str] = []
+    token = COLLECTED.set(folders)
+    try:
+        yield folders
+    finally:
+        COLLECTED.reset(token)
+
+
 LONG_STEP = 1.0  # seconds
 
 
@@ -86,7 +101,8 @@ def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     began = time.monotonic()
     df.write.option("compression", compression).parquet(path)
     delete_at_end(spark, path)
-    TABLES.append(path)
+    if (folders := COLLECTED.get()) is not None:
+        folders.append(path)
     if time.monotonic() - began > LONG_STEP:
         # Spark deletes the shuffle files of a finished step when its driver collects garbage, and has no other
         # call for it; after a long step, whose files may be large, that is worth a collection of the driver's heap.

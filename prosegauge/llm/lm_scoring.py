@@ -212,7 +212,7 @@ def lm_sql(table: str = "documents", backoff: float = BACKOFF) -> str:
     counts = ", ".join(f"c{k} AS (SELECT g{k}, count(*) AS n{k} FROM g WHERE g{k} IS NOT NULL GROUP BY g{k}), o{k} AS (SELECT rid, g{k}, count(*) AS own{k} FROM g WHERE g{k} IS NOT NULL GROUP BY rid, g{k})" for k in (1, 2, 3))
     joins = " ".join(f"LEFT JOIN c{k} USING (g{k}) LEFT JOIN o{k} USING (rid, g{k})" for k in (1, 2, 3))
     return rf"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), []) AS ws FROM {table}),
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM {table}),
 w AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
 g AS (SELECT rid, i, {runs} FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
 {counts},

@@ -29,6 +29,9 @@ ORDER = 4
 MEMO = 400_000
 # What a character may stand for, besides itself (fixed values of the channel).
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "%": "x", "#": "h"}
+# Letters of other alphabets that look like Latin ones, and characters without width (fixed values of the channel).
+HOMOGLYPH = dict(zip("аеорсухіѕјԁһкмтвнгпԛԝυοαινρτκεβη", "aeopcyxisjdhkmtbhrnqwuoaivptkebn", strict=True))
+NO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 COST_LOOKALIKE, COST_WILD, COST_REPEAT, COST_KEEP = 1.0, 2.5, 0.7, 6.0
 
 CLASS = bytes(c - 64 if 65 <= c <= 90 else c - 96 if 97 <= c <= 122 else 27 if c >= 128 else 0 for c in range(256))
@@ -36,9 +39,11 @@ EDGE = "\"'.,;:?!()[]{}<>«»„“”‘’…`~^#%&*_=+-/\\|$"
 WORDS = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"([^\W\d_])\1\1", re.I)
 SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*%#]+[^\W\d_]|^[0-9@$!|(€£¡][^\W\d_]{2}|^[0-9@$!|(€£¡]{2,}[^\W\d_]|^[0-9@$!|(€£¡]+[^\W\d_]+[0-9@$€£]+$|[^\W\d_]{2}[0-9@$€£]$|[^\W\d_][0-9@$€£]{2,}$")
-JOINED = re.compile(r"^(?:[^\W_][.\-_*·~]){2,}[^\W_]$")
-# up to three blanks or a line's end between letters
-SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€£¡*%#])(?:(?:[^\S\r\n]{1,3}|[^\S\r\n]?\r?\n[^\S\r\n]?)(?:[^\W_]|[@$!|+(€£¡*%#])){3,}(?!\S)")
+# a letter, and anything between or beside it that is none; letters of two alphabets
+MIXED = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]", re.S)
+SCRIPTS = re.compile(r"[A-Za-z].*[\u0370-\u052f]|[\u0370-\u052f].*[A-Za-z]", re.S)
+# blanks or a line's end between letters
+SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€£¡*%#])(?:(?:[^\S\r\n]+|[^\S\r\n]?\r?\n[^\S\r\n]?)(?:[^\W_]|[@$!|+(€£¡*%#])){3,}(?!\S)")
 
 
 # --- the character model -------------------------------------------------------------
@@ -116,6 +121,10 @@ def decode(token: str, model: CharModel, breaks: bool = False) -> str:
         options: list[tuple[str, float]] = []
         if ch.isalpha():
             options.append((ch, 0.0))
+            if ch in HOMOGLYPH:
+                options.append((HOMOGLYPH[ch], 0.0))
+        elif ch in NO_WIDTH:
+            options.append(("", 0.0))
         elif ch in " .-_·~*" and ch != "*":
             options.append(("", 0.0))
         else:
@@ -150,7 +159,13 @@ def decode(token: str, model: CharModel, breaks: bool = False) -> str:
 
 
 def suspicious(token: str) -> bool:
-    return bool(RUN.search(token) or JOINED.match(token) or SUSPECT.search(token))
+    """Whether a token without its edges may be no plain word: it has a letter and something else, letters of two alphabets, or one three times over."""
+    return bool(RUN.search(token) or MIXED.search(token) or SCRIPTS.search(token))
+
+
+def dressed(token: str) -> bool:
+    """Whether a token with its edges looks like a word whose ends are look-alikes."""
+    return bool(SUSPECT.search(token))
 
 
 class Restorer(dict):
@@ -167,7 +182,7 @@ class Restorer(dict):
     def restored(self, token: str) -> list[str]:
         words = WORDS.findall(token.lower())
         bare = token.strip(EDGE)
-        hard = next((x for x in (bare, token) if x and suspicious(x)), None)
+        hard = bare if bare and suspicious(bare) else token if dressed(token) else None
         if hard:
             words = [*WORDS.findall(decode(hard, self.model)), *words]
         return words

@@ -170,6 +170,33 @@ def test_quality(spark, docs, none, labels, corpus):
     assert quality_rules.quality(none, labels).count() == 0
 
 
+def test_quality_is_what_the_learned_list_says(spark):
+    rng = random.Random(17)
+    good = [(i, prose(rng, rng.randint(12, 60))) for i in range(250)]
+    bad = [(1000 + i, " ".join(w.upper() if rng.random() < 0.6 else w for w in prose(rng, rng.randint(12, 60)).split())) for i in range(150)]
+    bad += [(2000 + i, " ".join(f"{w}{rng.randint(10, 99)}" for w in prose(rng, rng.randint(12, 60)).split())) for i in range(100)]
+    rows = good + bad + [(5000, None), (5001, "few words"), (5002, "same five words come again " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in rows if i < 5000], "doc_id long, quality int")
+    rules = quality_rules.learn_rules(docs, labels)
+    assert len(rules) >= 2
+    columns = quality_rules.feature_columns()
+    table = quality_rules.with_statistics(docs).select("doc_id", "n_words", "n_repeat_words", *(c.alias(f"x_{n}") for n, c in columns.items()))
+    want = {}
+    for r in table.collect():
+        number = 0
+        for k, rule in enumerate(rules, 1):  # the first rule whose conditions all hold
+            if all((r[f"x_{name}"] >= t) == above for name, above, t in rule.conditions):
+                number = k
+                break
+        failed = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+        want[r.doc_id] = (failed, not failed and number == 0, number)
+    got = {r.doc_id: (r.base_failed, r.kept, r.rule) for r in quality_rules.quality(docs, labels).collect()}
+    assert got == want
+    assert {k for _, _, k in want.values()} >= {0, 1, 2}
+    assert sum(want[i][1] for i, _ in good) > 240 and sum(want[i][1] for i, _ in bad) < 15
+
+
 # 3
 
 
@@ -409,7 +436,41 @@ def test_letters_apart_by_any_blanks(spark):
     r = toxicity.Restorer(toxicity.CharModel(np.bincount(((text[:-3] * 28 + text[1:-2]) * 28 + text[2:-1]) * 28 + text[3:], minlength=28**4)))
     for hidden in ("m o r o n", "m  o  r  o  n", "m\to\tr\to\tn", "m\no\nr\no\nn", "m \n o\r\nr 0 n", "m\u00a0o\u00a0r\u00a0o\u00a0n"):
         assert "moron" in r.text(f"see {hidden} there"), hidden
-    assert "moron" not in r.text("see m    o    r    o    n there") and "moron" not in r.text("m o\n\nr o n")
+    assert "moron" in r.text("see m    o         r    o \t n there") and "moron" not in r.text("m o\n\nr o n")
+
+
+def test_every_mixed_token_is_decoded():
+    rng = random.Random(6)
+    own = ["you", "are", "a", "moron", "and", "stupid", "idiot", "the", "house"]
+    text = np.frombuffer(" ".join(rng.choice(own) for _ in range(4000)).encode().translate(toxicity.CLASS), np.uint8).astype(int)
+    r = toxicity.Restorer(toxicity.CharModel(np.bincount(((text[:-3] * 28 + text[1:-2]) * 28 + text[2:-1]) * 28 + text[3:], minlength=28**4)))
+    hidden = {
+        "st.up.id": "stupid", "s-tu-p-id": "stupid", "(st_up_id)": "stupid", "st~u~pid,": "stupid", "m*ron": "moron",
+        "id\u200biot": "idiot", "i\u00addi\u2060ot": "idiot", "mo\ufeffron": "moron",
+        "idi\u043et": "idiot", "\u0456d\u0456ot": "idiot", "m\u03bfr\u03bfn": "moron", "\u0455tu\u0440id": "stupid",
+    }
+    for token, plain in hidden.items():
+        assert plain in r[token], (token, r[token])
+    assert r["house"] == ("house",) and r["3.5"] == () and r["\u0434\u043e\u043c"] == ("\u0434\u043e\u043c",)
+
+
+def test_score_is_that_of_a_plain_logistic_model(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 30) + (" zorgon blatfink " if i % 3 == 0 else " ") + prose(rng, 9)) for i in range(200)] + [(500, None), (501, ""), (502, "z0rg0n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scorer = toxicity.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    model = toxicity.CharModel(scorer.grams)
+    for r in toxicity.scored(docs, scorer).collect():
+        text = dict(rows)[r.doc_id] or ""
+        words = set()
+        for token in text.split():
+            words |= set(re.findall(r"[a-z]+", token))
+            if re.search("[^a-z.]", token):
+                words |= set(re.findall(r"[a-z]+", toxicity.decode(token, model)))
+        tally = Counter(x for w in words for x in [w, *(w[:k] + "*" for k in (4, 5) if len(w) > k)])
+        on = {f"{x}{k}" if k > 1 else x for x, n in tally.items() for k in range(1, min(n, 3) + 1)}
+        z = scorer.weights[-1] + sum(w for name, w in zip(scorer.names, scorer.weights) if name in on)
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
 
 
 def test_toxicity(spark, none, corpus):

@@ -92,3 +92,19 @@ def test_same_as_sql(spark, name):
     near = lambda v: "none" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
     key = lambda df: sorted(tuple(map(near, r)) for r in df[cols].itertuples(index=False))
     assert key(got) == key(want)
+
+
+def test_runs_at_once_leave_each_other_alone(spark):
+    """Two runs, and a table that another thread writes meanwhile: a run deletes what it wrote, and nothing else."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from prosegauge.llm.common import collecting, materialise
+
+    with ThreadPoolExecutor(3) as pool:
+        runs = [pool.submit(lambda: corpus_pipeline.run(spark, DATA).count()) for _ in range(2)]
+        other = pool.submit(lambda: materialise(spark.range(100)))
+        counts = {r.result() for r in runs}
+    assert len(counts) == 1 and other.result().count() == 100
+    with collecting() as own:
+        kept = materialise(spark.range(5))
+    assert len(own) == 1 and kept.count() == 5

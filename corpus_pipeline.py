@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegauge.llm import decontaminate, line_templates, simhash, source_mix, toxicity
-from prosegauge.llm.common import TABLES, delete_at_end, delete_now, scratch, table
+from prosegauge.llm.common import collecting, delete_at_end, delete_now, scratch, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,11 +62,11 @@ def run_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The stages on any ``docs`` with the columns of documents. What a stage has written goes as soon as the next one is on disk."""
     before: list[str] = []
     for name, stage in STAGES[:-1]:
-        mark, path = len(TABLES), f"{scratch(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path = f"{scratch(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}/{name}"
+        with collecting() as own:
+            stage(spark, docs, sf_dir).write.parquet(path)
         delete_at_end(spark, path)
         docs = spark.read.parquet(path)
-        delete_now(spark, [*TABLES[mark:], *before])
-        del TABLES[mark:]
+        delete_now(spark, [*own, *before])
         before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)

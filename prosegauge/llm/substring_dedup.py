@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans (operator 1).
 
 A text is cut into sentences, each run of ``span`` consecutive sentences (of
-more, where those have too few words) is hashed, and hashes meet in one global
+more, where those have too few words; of fewer, where the text ends) is hashed, and hashes meet in one global
 aggregation. Of the places of each repeated hash the first stays; every other
 marks its sentences for removal.
 """
@@ -54,10 +54,11 @@ def sentences(text: str) -> list[str]:
 
 
 def ends_of(words: list[int], span: int, least_words: int) -> np.ndarray:
-    """Where the run from each sentence ends: after ``span`` sentences, or as many more as ``least_words`` words take; past the last if the text is too short."""
+    """Where the run from each sentence ends: after ``span`` sentences, or as many more as ``least_words`` words take, or with the text if that is sooner; past the last if too few words are left."""
     upto = np.concatenate([[0], np.cumsum(np.array(words, int))])
     enough = np.searchsorted(upto, upto[:-1] + least_words)
-    return np.maximum(np.arange(len(words)) + span, enough)
+    ends = np.maximum(np.arange(len(words)) + span, enough)
+    return np.where((ends > len(words)) & (enough <= len(words)), len(words), ends)
 
 
 def spans(text: str | None, span: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +70,7 @@ def spans(text: str | None, span: int, least_words: int) -> tuple[np.ndarray, np
             kept.append(b" ".join(w))
             words.append(len(w))
             at.append(i)
-    if len(kept) < span:
+    if not kept:
         return np.empty(0, "<i8"), np.empty(0, "<i4")
     ends = ends_of(words, span, least_words)
     rows = np.flatnonzero(ends <= len(kept))
@@ -92,8 +93,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_W
     The first place of a span is at the smallest doc_id (nulls last), then
     the smallest hash of the text, then the first sentence; it stays. Rows
     that repeat an id with its text share one fate, as they are one document.
-    A null text stays null with no sentences; texts of fewer than ``span``
-    sentences or ``least_words`` words never repeat. An empty table gives an
+    A null text stays null with no sentences; a text of fewer than
+    ``least_words`` words never repeats, one of fewer than ``span`` sentences
+    does as a whole. An empty table gives an
     empty result; a text of any length costs in proportion, in memory of its
     own size. Only doc_id and text are read, so columns of other names cannot
     clash.

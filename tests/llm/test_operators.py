@@ -81,6 +81,15 @@ def test_sentences_join_up(corpus):
         assert "".join(substring_dedup.sentences(t or "")) == (t or "")
 
 
+def test_short_texts_and_ends_of_texts_repeat(spark):
+    rng = random.Random(23)
+    two, tail = "We met nine old men near that red barn today. It was fun for us.", "Then they sold seven grey horses to a man. He paid them in old silver coins."
+    own = [prose(rng, 40), prose(rng, 44)]
+    rows = [(1, two), (2, two), (3, "Too few words. To count."), (4, "Too few words. To count."), (5, f"{own[0]}. {tail}"), (6, f"{own[1]}. {tail}")]
+    got = {r.doc_id: r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: two, 2: "", 3: rows[2][1], 4: rows[3][1], 5: rows[4][1], 6: f"{own[1]}. "}
+
+
 def test_substring_dedup(spark, docs, none, corpus):
     rng = random.Random(2)
     passage = prose(rng, 70)
@@ -99,6 +108,8 @@ def test_substring_dedup(spark, docs, none, corpus):
         want[r] = set()
         for k in range(len(kept)):
             size = next((n for n in range(3, len(kept) - k + 1) if sum(len(w) for _, w in kept[k : k + n]) >= 12), None)
+            if size is None and sum(len(w) for _, w in kept[k:]) >= 12:  # the text ends before three sentences
+                size = len(kept) - k
             if size:
                 part = kept[k : k + size]
                 runs.setdefault(" ".join(w for _, ws in part for w in ws), []).append(((r[0] is None, r[0] or 0, spark_hash(spark, r[1]), part[0][0]), r, {i for i, _ in part}))

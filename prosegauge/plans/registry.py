@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions import constants as C
 from prosegauge.functions.arrays import total
-from prosegauge.functions.text import controlled_words, once, rounded, strip, word_count, words_of
+from prosegauge.functions.text import controlled_words, once, rounded, strip, trim_edge, word_count, words_of
 from prosegauge.operators import dictionary, lines, report, rules, sketches
 from prosegauge.operators.asof import as_of
 from prosegauge.operators.blocks import split_sentences
@@ -525,6 +525,26 @@ def frequent_word_sketches(spark, sf_dir):
     return got.select("lang", "word", "exact", F.coalesce((F.col("estimate") >= F.col("exact") - F.col("top_bound")) & (F.col("estimate") <= F.col("exact") + F.col("top_bound")), F.lit(False)).alias("within"))
 
 
+#: Named before the steps of the check, one of which is called labels too.
+JUDGED = STATS.replace("WITH ", "WITH judged AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id), ", 1)
+
+
+@query(JUDGED + f"SELECT l.quality, count(*) AS documents, sum(sentences)::BIGINT AS sentences, sum(words)::BIGINT AS words, sum(violations)::BIGINT AS violations, {oracle.exact_round('sum(counted_words) / sum(sentences)', 1)} AS mean_sentence_words, max(max_sentence_words) AS max_sentence_words, sum(violations) / sum(words) AS violation_rate FROM stats JOIN judged l USING (doc_id) GROUP BY l.quality")
+def rates_by_quality(spark, sf_dir):
+    """How far good and bad documents, as labelled, are apart in what the rules count."""
+    judged = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return check.corpus_rate(checked(spark, sf_dir).stats.join(judged, "doc_id"), "quality")
+
+
+@query(WORDS + "SELECT r.key AS term, len(x.good) = 0 AS hard, array_to_string(list_sort(list_distinct(x.bad)), '/') AS disapproved_as, count(*) AS n, count(DISTINCT doc_id) AS docs FROM rungs r JOIN lex x ON x.key = r.key WHERE x.domain AND x.unapproved GROUP BY ALL")
+def term_audit_of_documents(spark, sf_dir):
+    """Listed terms that are disallowed words, with how often the documents hold them."""
+    words = plain_tokens(spark, sf_dir).select("doc_row", trim_edge(F.lower("word")).alias("term")).where("length(term) > 1")
+    held = words.groupBy("term", "doc_row").agg(F.count(F.lit(1)).alias("k")).groupBy("term").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs"))
+    audit = report.audit(fixtures.entries(spark, fixtures.FULL), listed_terms(spark)).select("term", "hard", "disapproved_as")
+    return audit.join(held, "term")
+
+
 # --- streams and changes ------------------------------------------------------------------------------
 
 

@@ -143,7 +143,7 @@ def token_count(spark, sf_dir):
 
 @query(BASE + "SELECT lower(word) AS word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM toks GROUP BY 1")
 def distinct_vocabulary(spark, sf_dir):
-    each = sents_of(spark, sf_dir).select(*lines.DOC, F.explode(words_of(F.col("text"))).alias("word"))
+    each = dealt_sents(spark, sf_dir).select(*lines.DOC, F.explode(words_of(F.col("text"))).alias("word"))
     each = each.groupBy(F.lower("word").alias("word"), *lines.DOC).agg(F.count(F.lit(1)).alias("k"))
     return each.groupBy("word").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs"))
 

@@ -5,7 +5,11 @@ n-grams. Both sides travel as packed arrays: documents are dealt to chunks by
 a hash, a chunk sends each of its distinct n-grams once with its count, a
 hash bucket adds the chunks' counts up and answers each chunk, and the chunk
 sums its documents' scores. A frequent n-gram is one entry for each chunk, so
-no key is hot; counts cover all documents. As rows, the n-grams of 0.5 GB of
+no key is hot; counts cover all documents. A chunk writes at most
+4,096 messages of each order: beyond as many chunks, what 4,096 chunks send to
+one range of hashes is added up first and cut into finer ranges, and the
+answers return the same way. So messages grow with the corpus, not with its
+square, and each level multiplies the chunks that can meet by 4,096. As rows, the n-grams of 0.5 GB of
 documents would be 385 million, which no exchange within four times the input
 holds; a packed n-gram takes about seven bytes.
 
@@ -32,6 +36,7 @@ ORDER = 3
 BACKOFF = 0.4
 CHUNK_WORDS = 1_500_000
 MEMO = 200_000
+FAN_BITS = 12  # a chunk writes to at most 4,096 ranges: two levels are 16 million chunks, 25 trillion words
 
 
 def bundle(texts: list[str | None]) -> tuple[list[int], bytes]:
@@ -87,6 +92,15 @@ def slices(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_hashes, edges, "left"), len(sorted_hashes))
 
 
+def added_up(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of several messages, sorted, with the sum of each one's counts."""
+    every, n = np.concatenate(hashes), np.concatenate(counts).astype(np.uint64)
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], n[order]
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    return every[first], np.add.reduceat(n, first)
+
+
 def own_counts(inverse: np.ndarray, doc: np.ndarray, kinds: int) -> np.ndarray:
     """For each n-gram, how often its own document has it; ``inverse`` numbers the ``kinds`` of n-grams."""
     pair = doc.astype(np.int64) * kinds + inverse
@@ -98,7 +112,7 @@ def own_counts(inverse: np.ndarray, doc: np.ndarray, kinds: int) -> np.ndarray:
     return out
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, leave_out: bool = True, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, leave_out: bool = True, chunk_words: int = CHUNK_WORDS, fan_bits: int = FAN_BITS) -> DataFrame:
     """doc_id, n_words, n_backed_off, log_score, mean_log_score for each row of ``docs``.
 
     The score of a word is the count of the longest run of up to ``order``
@@ -111,7 +125,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
 
     Null and wordless texts score 0 with a null mean. Repeated rows are
     documents of their own: each counts, and is seen by the others. An empty
-    table gives an empty result. A very long text is part of one chunk, whose
+    table gives an empty result. ``fan_bits`` bounds the messages of a chunk and
+    changes no result. A very long text is part of one chunk, whose
     memory follows its words. Only doc_id and text are read, so columns of
     other names cannot clash.
     """
@@ -125,6 +140,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
     chunks = max(12, math.ceil(total / chunk_words))
     bits = max(0, math.ceil(math.log2(chunks)))
     send_schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("k", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+    sent, back = "bucket int, chunk int, k int, hashes binary, counts binary", "bucket int, chunk int, k int, totals binary"
     back_schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("k", pa.int32()), ("totals", pa.binary())])
     memo: dict[bytes, int] = {}
 
@@ -147,23 +163,52 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
         out = []
         for k, (g, _) in enumerate(grams(h, n, order), 1):
             own, counts = np.unique(g, return_counts=True)
-            edges = slices(own, bits)
+            edges = slices(own, min(bits, fan_bits))
             for b in np.flatnonzero(np.diff(edges)):
                 s = slice(edges[b], edges[b + 1])
                 out.append((int(b), t.column("chunk")[0].as_py(), k, pack(own[s]), pack(counts[s].astype("<u4"))))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, send_schema)], schema=send_schema)
 
-    def answer(t: pa.Table) -> pa.Table:
-        hashes = [unpack(x, "<u8") for x in t.column("hashes").to_pylist()]
-        counts = np.concatenate([unpack(x, "<u4") for x in t.column("counts").to_pylist()]).astype(np.uint64)
-        every = np.concatenate(hashes)
-        order_ = np.argsort(every, kind="stable")
-        every, counts = every[order_], counts[order_]
-        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-        sums, own = np.add.reduceat(counts, first), every[first]
+    def received(t: pa.Table, width: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        return [unpack(x, "<u8") for x in t.column("hashes").to_pylist()], [unpack(x, width) for x in t.column("counts").to_pylist()]
+
+    def reply(t: pa.Table, hashes: list[np.ndarray], own: np.ndarray, sums: np.ndarray) -> pa.Table:
         back = [pack(sums[np.searchsorted(own, x)]) for x in hashes]
         return pa.Table.from_arrays([t.column("bucket"), t.column("chunk"), t.column("k"), pa.array(back, pa.binary())], schema=back_schema)
 
+    def answers_to(asked: DataFrame, used: int) -> DataFrame:
+        """(bucket, chunk, k, totals) for each message of ``asked``, whose buckets are the leading ``used`` bits."""
+        width = "<u4" if used <= fan_bits else "<u8"
+        if used == bits:
+
+            def answer(t: pa.Table) -> pa.Table:
+                hashes, counts = received(t, width)
+                return reply(t, hashes, *added_up(hashes, counts))
+
+            return asked.groupBy("bucket").applyInArrow(answer, back)
+        step = min(fan_bits, bits - used)
+
+        def merge(t: pa.Table) -> pa.Table:
+            bucket, part = t.column("bucket")[0].as_py(), t.column("part")[0].as_py()
+            own, sums = added_up(*received(t, width))
+            edges = slices(own << np.uint64(used), step)
+            out = []
+            for b in np.flatnonzero(np.diff(edges)):
+                s = slice(edges[b], edges[b + 1])
+                out.append(((bucket << step) + int(b), part, 0, pack(own[s]), pack(sums[s])))
+            return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), send_schema)], schema=send_schema)
+
+        def split(t: pa.Table, got: pa.Table) -> pa.Table:
+            hashes, _ = received(t, width)
+            sums = [unpack(x, "<u8") for _, x in sorted(zip(got.column("bucket").to_pylist(), got.column("totals").to_pylist()))]
+            return reply(t, hashes, np.unique(np.concatenate(hashes)), np.concatenate(sums))
+
+        # the messages of as many chunks as there are ranges to one range hold about as much as one chunk
+        parts = asked.withColumn("part", F.shiftright("chunk", fan_bits))
+        above = answers_to(parts.groupBy("bucket", "part").applyInArrow(merge, sent), used + step)
+        above = above.withColumn("range", F.shiftright("bucket", step))
+        return parts.groupBy("bucket", "part").cogroup(above.groupBy("range", "chunk")).applyInArrow(split, back)
+
     def score(t: pa.Table, got: pa.Table) -> pa.Table:
         h, n = word_hashes(blocks(t), memo)
         parts: dict[int, list[tuple[int, bytes]]] = {}
@@ -200,8 +245,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
         return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(backed[ends] - backed[ends - n]), pa.array(log), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "n_backed_off", "log_score", "mean_log_score"])
 
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).mapInArrow(deal, "chunk int, ids array<long>, lengths array<long>, block binary")
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, k int, hashes binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "bucket int, chunk int, k int, totals binary")
+    answers = answers_to(dealt.groupBy("chunk").applyInArrow(ask, sent), min(bits, fan_bits))
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, n_backed_off long, log_score double, mean_log_score double")
 
 

@@ -537,6 +537,31 @@ def test_lm_scores(spark, docs, none, corpus):
     assert lm_scoring.lm_scores(none).count() == 0
 
 
+def exchanged(df) -> list[int]:
+    """Records that each exchange of an executed frame wrote, in no order."""
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        own = [p.metrics().apply("shuffleRecordsWritten").value()] if name == "ShuffleExchangeExec" else []
+        under = [p.plan()] if name.endswith("QueryStageExec") else [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.children().apply(i) for i in range(p.children().size())]
+        return own + [n for q in under for n in walk(q)]
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_lm_messages_meet_over_levels(spark, docs):
+    # ranges of one, two or more bits a level: one to five levels for 12 and more chunks give the same scores
+    key = lambda r: (str(r), r.doc_id)
+    plain = sorted(lm_scoring.lm_scores(docs, chunk_words=40).collect(), key=key)
+    for bits in (1, 2, 5):
+        assert sorted(lm_scoring.lm_scores(docs, chunk_words=40, fan_bits=bits).collect(), key=key) == plain, bits
+    # twice the chunks of as many words each: at most twice the messages, where one level writes four times as many
+    texts = lambda n: spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.hex(F.xxhash64("id", i) % 5000)), " ").alias("text"))
+    small, large = (max(exchanged(lm_scoring.lm_scores(texts(n), chunk_words=800, fan_bits=3))) for n in (200, 400))
+    one_small, one_large = (max(exchanged(lm_scoring.lm_scores(texts(n), chunk_words=800))) for n in (200, 400))
+    assert large <= 2.1 * small and one_large > 3 * one_small, (small, large, one_small, one_large)
+
+
 # 7
 
 

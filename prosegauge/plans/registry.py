@@ -19,6 +19,7 @@ from prosegauge.functions.text import controlled_words, once, rounded, strip, tr
 from prosegauge.operators import dictionary, lines, report, rules, sketches
 from prosegauge.operators.asof import as_of
 from prosegauge.operators.blocks import split_sentences
+from prosegauge.operators.draft import APPROVED_ONE_IN, ENDING, ONE_IN, WORD, draft_entries
 from prosegauge.operators.ranks import ranked
 from prosegauge.operators.sentences import sentences, with_paragraphs, with_sentences
 from prosegauge.plans import check, fixtures, oracle, recheck, selftest
@@ -600,65 +601,101 @@ TERM_LINES = ["wire harness # a part", "# a line of notes", "", "PASS", "permit"
 TERM_VALUES = "SELECT * FROM (VALUES " + ", ".join(f"({oracle.text(x)})" for x in TERM_LINES) + ") AS l(value)"
 
 
+LINES_SQL = "SELECT unnest(string_split(text, chr(10))) FROM documents"
+
+
+def text_lines(spark, sf_dir, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "\n")).alias(name))
+
+
 def listed_terms(spark):
     return spark.createDataFrame([(t,) for t in fixtures.TERMS], "term string")
 
 
-@query(f"SELECT DISTINCT trim(string_split(value, '#')[1]) AS term FROM ({TERM_VALUES}) WHERE trim(string_split(value, '#')[1]) <> ''")
+def all_terms(spark, sf_dir) -> DataFrame:
+    """The listed terms and the words of the benchmark."""
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)))
+    return listed_terms(spark).unionByName(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(words.alias("w")).select(F.lower("w").alias("term"))).distinct()
+
+
+def all_entries(spark, sf_dir) -> DataFrame:
+    """The invented entries and, behind them, those drafted from the documents."""
+    drafted = draft_entries(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return fixtures.entries(spark, fixtures.FULL).unionByName(drafted.withColumn("seq", (F.col("seq") + len(fixtures.FULL) - 1).cast("int")))
+
+
+BENCHMARK_WORDS = "SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) FROM benchmark"
+ALL_TERMS = f"SELECT unnest({oracle.array(fixtures.TERMS)}) AS term UNION {BENCHMARK_WORDS}"
+DRAFT = f"""WITH w AS (SELECT word, count(*) AS docs FROM (SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '{WORD}'), lambda x: lower(x)))) AS word FROM documents) GROUP BY word HAVING count(*) >= 2 AND count(*) * {ONE_IN} >= (SELECT count(*) FROM documents)),
+g AS (SELECT list(word ORDER BY docs DESC, word) AS ws, max(docs) AS docs, CASE WHEN bool_or(regexp_matches(word, '^[a-z]{{3,}}(ing|ed)$')) THEN 'v' ELSE 'n' END AS pos FROM w GROUP BY regexp_replace(word, '{ENDING}', '\\1\\3')),
+h AS (SELECT ws[1] AS head, list_transform(list_sort(ws[2:]), lambda x: upper(x)) AS forms, pos, docs, (SELECT count(*) FROM documents) AS n, docs * {APPROVED_ONE_IN} >= (SELECT count(*) FROM documents) AS approved FROM g),
+a AS (SELECT head[1:3] AS start, pos, first(upper(head) ORDER BY docs DESC, head) AS word FROM h WHERE approved GROUP BY ALL)
+SELECT {len(fixtures.FULL) - 1} + row_number() OVER (ORDER BY head), CASE WHEN approved THEN upper(head) ELSE head END, h.pos, approved, forms, docs || ' of ' || n || ' documents', CASE WHEN approved OR a.word IS NULL THEN [] ELSE [a.word] END, CASE WHEN approved OR a.word IS NULL THEN [] ELSE [h.pos] END FROM h LEFT JOIN a ON a.start = h.head[1:3] AND a.pos = h.pos"""
+ALL_ENTRIES = "SELECT * FROM (VALUES " + ", ".join(f"({k}, {oracle.text(h)}, {oracle.text(p)}, {str(ok).lower()}, {oracle.array(f)}, {oracle.text(note)}, {oracle.array(w for w, *_ in alts)}, {oracle.array(q for _, q, *_ in alts)})" for k, (h, p, ok, f, note, _, alts, _, _) in enumerate(fixtures.FULL)) + f") AS e(seq, head, pos, approved, forms, note, words, parts) UNION ALL ({DRAFT})"
+
+
+@query(f"SELECT seq::INT AS seq, head, pos, approved, array_to_string(forms, ' ') AS forms, note, array_to_string(words, ' ') AS alternatives FROM ({ALL_ENTRIES})")
+def dictionary_draft(spark, sf_dir):
+    """Entries drafted from the documents, behind the invented ones."""
+    return all_entries(spark, sf_dir).select("seq", F.col("headword").alias("head"), "pos", "approved", F.array_join("forms", " ").alias("forms"), "note", F.array_join(F.transform("alternatives", lambda a: a["word"]), " ").alias("alternatives"))
+
+
+@query(f"SELECT DISTINCT trim(string_split(value, '#')[1]) AS term FROM ({TERM_VALUES} UNION ALL {LINES_SQL}) WHERE trim(string_split(value, '#')[1]) <> ''")
 def term_list(spark, sf_dir):
-    return parse_terms(spark.createDataFrame([(x,) for x in TERM_LINES], "value string"))
+    """A list of terms and, read as one more, the lines of the documents."""
+    return parse_terms(spark.createDataFrame([(x,) for x in TERM_LINES], "value string").unionByName(text_lines(spark, sf_dir, "value")))
 
 
-@query(f"SELECT unnest({oracle.array(dict.fromkeys([*DEFAULT_TERMS, 'permit', 'Spark', 'lid']))}) AS term")
+@query(f"SELECT unnest({oracle.array(dict.fromkeys([*DEFAULT_TERMS, 'permit', 'Spark', 'lid']))}) AS term UNION {BENCHMARK_WORDS} UNION SELECT unnest({oracle.array(fixtures.TERMS)})")
 def default_terms(spark, sf_dir):
-    return with_default_terms(spark.createDataFrame([("permit",), ("Spark",), ("lid",)], "term string"), spark)
+    return with_default_terms(spark.createDataFrame([("permit",), ("Spark",), ("lid",)], "term string").unionByName(all_terms(spark, sf_dir)), spark)
 
 
-AUDIT = LEX.replace(BASE, "WITH zero AS (SELECT 0)", 1) + ", roles AS (SELECT key AS term, len(good) = 0 AS hard, array_to_string(list_sort(list_distinct(bad)), '/') AS disapproved_as, array_to_string(good, '/') AS approved_as, array_to_string(alts, ', ') AS alternatives FROM lex WHERE domain AND unapproved) "
+AUDIT = f"""WITH e AS ({ALL_ENTRIES}), t AS ({ALL_TERMS}),
+good AS (SELECT lower(w) AS key, list_sort(list_distinct(list(pos))) AS pos FROM (SELECT pos, unnest(regexp_extract_all(f, '[A-Za-z][A-Za-z''-]*')) AS w FROM (SELECT pos, unnest(list_concat([head], forms)) AS f FROM e WHERE approved)) GROUP BY 1),
+bad AS (SELECT lower(head) AS key, list_sort(list_distinct(list(pos))) AS pos, list_sort(list_distinct(flatten(list(words)))) AS alts FROM e WHERE NOT approved GROUP BY 1),
+roles AS (SELECT b.key AS term, g.key IS NULL AS hard, array_to_string(b.pos, '/') AS disapproved_as, coalesce(array_to_string(g.pos, '/'), '') AS approved_as, array_to_string(alts, ', ') AS alternatives FROM bad b LEFT JOIN good g USING (key) WHERE b.key IN (SELECT term FROM t WHERE term = lower(term))),
+listed AS (SELECT count(DISTINCT lower(term)) AS n, count(*) FILTER (term <> lower(term)) AS cased FROM t) """
 
 
 @query(AUDIT + "SELECT * FROM roles")
 def audit_collisions(spark, sf_dir):
-    return report.audit(fixtures.entries(spark, fixtures.FULL), listed_terms(spark))
+    return report.audit(all_entries(spark, sf_dir), all_terms(spark, sf_dir))
 
 
-@query(AUDIT + f", n AS (SELECT count(*) AS c FROM roles) SELECT part, ord, said FROM (SELECT 0 AS part, 0 AS ord, '{len({t.lower() for t in fixtures.TERMS})} terms (1 matched as written); ' || c || ' of them are disallowed words' AS said FROM n UNION ALL SELECT CASE WHEN hard THEN 1 ELSE 2 END, (row_number() OVER (PARTITION BY hard ORDER BY term) - 1)::INT, term || ': ' || CASE WHEN hard THEN 'not approved as ' || disapproved_as || ' -> ' || alternatives ELSE 'approved as ' || approved_as || ', not as ' || disapproved_as END FROM roles)")
+@query(AUDIT + ", n AS (SELECT count(*) AS c FROM roles) SELECT part, ord, said FROM (SELECT 0 AS part, 0 AS ord, listed.n || ' terms (' || cased || ' matched as written); ' || c || ' of them are disallowed words' AS said FROM n, listed UNION ALL SELECT CASE WHEN hard THEN 1 ELSE 2 END, (row_number() OVER (PARTITION BY hard ORDER BY term) - 1)::INT, term || ': ' || CASE WHEN hard THEN 'not approved as ' || disapproved_as || ' -> ' || alternatives ELSE 'approved as ' || approved_as || ', not as ' || disapproved_as END FROM roles)")
 def audit_text(spark, sf_dir):
-    return report.audit_lines(fixtures.entries(spark, fixtures.FULL), listed_terms(spark))
+    return report.audit_lines(all_entries(spark, sf_dir), all_terms(spark, sf_dir))
 
 
-@query(AUDIT + f", both_ AS (SELECT list({{'term': term, 'disapproved_as': disapproved_as, 'approved_as': approved_as, 'alternatives': alternatives}} ORDER BY term) FILTER (hard) AS h, list({{'term': term, 'disapproved_as': disapproved_as, 'approved_as': approved_as, 'alternatives': alternatives}} ORDER BY term) FILTER (NOT hard) AS s FROM roles) SELECT to_json({{'hard': coalesce(h, []), 'soft': coalesce(s, []), 'terms': {len({t.lower() for t in fixtures.TERMS})}}})::VARCHAR AS json FROM both_")
+@query(AUDIT + ", both_ AS (SELECT list({'term': term, 'disapproved_as': disapproved_as, 'approved_as': approved_as, 'alternatives': alternatives} ORDER BY term) FILTER (hard) AS h, list({'term': term, 'disapproved_as': disapproved_as, 'approved_as': approved_as, 'alternatives': alternatives} ORDER BY term) FILTER (NOT hard) AS s FROM roles) SELECT to_json({'hard': coalesce(h, []), 'soft': coalesce(s, []), 'terms': (SELECT n FROM listed)})::VARCHAR AS json FROM both_")
 def audit_json(spark, sf_dir):
-    return report.audit_json(fixtures.entries(spark, fixtures.FULL), listed_terms(spark))
+    return report.audit_json(all_entries(spark, sf_dir), all_terms(spark, sf_dir))
 
 
-@query(AUDIT + f"SELECT {len({t.lower() for t in fixtures.TERMS})}::BIGINT AS all_terms, {sum(t != t.lower() for t in fixtures.TERMS)}::BIGINT AS cased_terms, count(*)::INT AS collisions FROM roles")
+@query(AUDIT + "SELECT n AS all_terms, cased AS cased_terms, (SELECT count(*) FROM roles)::INT AS collisions FROM listed")
 def term_counts(spark, sf_dir):
-    return report.term_counts(fixtures.entries(spark, fixtures.FULL), listed_terms(spark)).withColumn("collisions", F.col("collisions").cast("int"))
-
-
-SURFACES = "SELECT * FROM (VALUES " + ", ".join(f"({oracle.text(h)}, {oracle.text(p)}, {oracle.array(f)})" for h, p, ok, f, *_ in fixtures.FULL if ok) + ") AS e(head, pos, forms)"
-ALL_ENTRIES = "SELECT * FROM (VALUES " + ", ".join(f"({k}, {oracle.text(h)}, {oracle.text(p)}, {str(ok).lower()}, {oracle.array(f)}, {oracle.text(note)}, {oracle.array(w for w, *_ in alts)}, {oracle.array(q for _, q, *_ in alts)})" for k, (h, p, ok, f, note, _, alts, _, _) in enumerate(fixtures.FULL)) + ") AS e(seq, head, pos, approved, forms, note, words, parts)"
+    return report.term_counts(all_entries(spark, sf_dir), all_terms(spark, sf_dir)).withColumn("collisions", F.col("collisions").cast("int"))
 
 
-@query(f"WITH e AS ({SURFACES}), s AS (SELECT pos, unnest(list_concat([head], forms)) AS f FROM e), t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(f, '[A-Za-z][A-Za-z''-]*'))) AS surface, pos FROM s) SELECT surface, string_agg(pos, '/' ORDER BY pos) AS pos FROM t GROUP BY surface")
+@query(f"WITH e AS ({ALL_ENTRIES}), s AS (SELECT pos, unnest(list_concat([head], forms)) AS f FROM e WHERE approved), t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(f, '[A-Za-z][A-Za-z''-]*'))) AS surface, pos FROM s) SELECT surface, string_agg(pos, '/' ORDER BY pos) AS pos FROM t GROUP BY surface")
 def approved_form_index(spark, sf_dir):
-    return approved_forms(fixtures.entries(spark, fixtures.FULL)).select("surface", F.array_join("pos", "/").alias("pos"))
+    return approved_forms(all_entries(spark, sf_dir)).select("surface", F.array_join("pos", "/").alias("pos"))
 
 
 @query(f"SELECT seq::INT AS seq, '## ' || head || ' (' || pos || ') - ' || CASE WHEN approved THEN 'APPROVED' ELSE 'NOT APPROVED' END || CASE WHEN len(forms) > 0 THEN chr(10) || 'Forms: ' || array_to_string(forms, ', ') ELSE '' END || array_to_string(list_transform(range(1, len(words) + 1), lambda i: chr(10) || 'Use instead: ' || words[i] || ' (' || parts[i] || ')'), '') || chr(10) AS block FROM ({ALL_ENTRIES})")
 def dictionary_markdown(spark, sf_dir):
-    return dictionary.as_markdown(fixtures.entries(spark, fixtures.FULL))
+    return dictionary.as_markdown(all_entries(spark, sf_dir))
 
 
 @query(f"SELECT upper(head[1]) AS letter, count(*) AS n FROM ({ALL_ENTRIES}) GROUP BY 1")
 def dictionary_letters(spark, sf_dir):
-    return dictionary.letters(fixtures.entries(spark, fixtures.FULL))
+    return dictionary.letters(all_entries(spark, sf_dir))
 
 
 @query(f"WITH e AS ({ALL_ENTRIES}), f AS (SELECT pos, unnest(list_concat([head], forms)) AS f FROM e WHERE approved), s AS (SELECT DISTINCT lower(unnest(regexp_extract_all(f, '[A-Za-z][A-Za-z''-]*'))) AS surface, pos FROM f), g AS (SELECT surface, list(pos ORDER BY pos) AS p FROM s GROUP BY surface) SELECT 'mine' AS source, (SELECT count(*) FROM e)::INT AS entry_count, (SELECT string_agg(surface || '=' || array_to_string(p, '/'), ' ' ORDER BY surface) FROM g) AS forms, (SELECT string_agg(head, ' | ' ORDER BY seq) FROM e) AS headwords")
 def dictionary_file(spark, sf_dir):
-    out = dictionary.as_dictionary(fixtures.entries(spark, fixtures.FULL), "mine")
+    out = dictionary.as_dictionary(all_entries(spark, sf_dir), "mine")
     forms = F.transform(F.map_entries("approved_forms"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "/")))
     return out.select("source", "entry_count", F.array_join(forms, " ").alias("forms"), F.array_join(F.transform("entries", lambda e: e["headword"]), " | ").alias("headwords"))
 
@@ -667,7 +704,7 @@ def dictionary_file(spark, sf_dir):
 keys AS (SELECT seq, regexp_replace(lower(head), '[^a-z0-9]', '', 'g') AS word, regexp_replace(lower(head), '[^a-z0-9 ]', '', 'g') AS spaced FROM e)
 SELECT seq::INT AS seq, previous, word FROM (SELECT *, coalesce(lag(word) OVER (ORDER BY seq), '') AS previous, coalesce(lag(spaced) OVER (ORDER BY seq), '') AS before FROM keys) WHERE word < previous AND spaced < before""")
 def alphabetical_regressions(spark, sf_dir):
-    return dictionary.regressions(fixtures.entries(spark, fixtures.FULL))
+    return dictionary.regressions(all_entries(spark, sf_dir))
 
 
 # --- dictionary building from pages -------------------------------------------------------------------
@@ -688,9 +725,11 @@ def head_sql(x: str) -> str:
     return ", ".join(f"CASE WHEN {TAGGED.format(x)} THEN {a.format(x)} WHEN {PLAIN.format(x)} THEN {b.format(x)} END AS {n}" for n, (a, b) in each.items())
 
 
-@query(f"SELECT cell, {head_sql('cell')} FROM (SELECT unnest({oracle.array(CELLS)}) AS cell)")
+@query(f"SELECT cell, {head_sql('cell')} FROM (SELECT DISTINCT trim(cell) AS cell FROM (SELECT unnest({oracle.array(CELLS)}) AS cell UNION ALL {LINES_SQL}))")
 def headword_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(c,) for c in CELLS], "cell string").withColumn("h", dictionary.split_headword(F.col("cell")))
+    """Invented cells and, read as cells, the different lines of the documents."""
+    cells = spark.createDataFrame([(c,) for c in CELLS], "cell string").unionByName(text_lines(spark, sf_dir, "cell"))
+    rows = cells.select(F.trim("cell").alias("cell")).distinct().withColumn("h", dictionary.split_headword(F.col("cell")))
     return rows.select("cell", "h.word", "h.pos", F.when(F.col("h").isNotNull(), F.array_join("h.forms", " ")).alias("forms"), "h.note")
 
 

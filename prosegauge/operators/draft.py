@@ -35,7 +35,7 @@ def draft_entries(docs: DataFrame, one_in: int = ONE_IN, approved_one_in: int =
     letters that most documents hold, if there is one. Ties go by the word.
 
     Null texts have no words but count as documents; repeated rows count each
-    time; an empty table gives no entry. Only doc_id and text are read.
+    time; an empty table gives no entry. Only text is read.
     """
     words = shared_words(docs, one_in).withColumn("stem", F.regexp_replace("word", ENDING, "$1$3"))
     verb = F.max(F.col("word").rlike("^[a-z]{3,}(ing|ed)$"))

@@ -620,7 +620,7 @@ def all_terms(spark, sf_dir) -> DataFrame:
 
 def all_entries(spark, sf_dir) -> DataFrame:
     """The invented entries and, behind them, those drafted from the documents."""
-    drafted = draft_entries(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    drafted = draft_entries(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", F.xxhash64("doc_id", "text").alias("doc_row"))))
     return fixtures.entries(spark, fixtures.FULL).unionByName(drafted.withColumn("seq", (F.col("seq") + len(fixtures.FULL) - 1).cast("int")))
 
 

@@ -229,7 +229,7 @@ def rule_safety(spark, sf_dir):
 
 @query(of_rule("seq = 13", "message"))
 def rule_noun_cluster(spark, sf_dir):
-    return found(rules.cluster_findings(plain_tokens(spark, sf_dir), lexicon(spark)), None, "message")
+    return found(rules.cluster_findings(dealt_sents(spark, sf_dir), lexicon(spark)), None, "message")
 
 
 @query(of_rule("seq = 8", "message", "term"))

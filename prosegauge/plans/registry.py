@@ -300,8 +300,8 @@ def rule_phrase_collision(spark, sf_dir):
 # --- findings, statistics and reports ---------------------------------------------------------------
 
 
-def checked(spark, sf_dir, both: bool = False):
-    return check.check_text(lines.numbered(documents(spark, sf_dir)), lexicon(spark), keep_findings=both)
+def checked(spark, sf_dir, both: bool = False, **options):
+    return check.check_text(lines.numbered(documents(spark, sf_dir)), lexicon(spark), keep_findings=both, **options)
 
 
 def said_by_rule(name: str):
@@ -534,7 +534,7 @@ JUDGED = STATS.replace("WITH ", "WITH judged AS (SELECT doc_id, min(quality) AS
 def rates_by_quality(spark, sf_dir):
     """How far good and bad documents, as labelled, are apart in what the rules count."""
     judged = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return check.corpus_rate(checked(spark, sf_dir).stats.join(judged, "doc_id"), "quality")
+    return check.corpus_rate(checked(spark, sf_dir, of=judged, violations_only=True).stats.join(judged, "doc_id"), "quality")
 
 
 @query(WORDS + "SELECT r.key AS term, len(x.good) = 0 AS hard, array_to_string(list_sort(list_distinct(x.bad)), '/') AS disapproved_as, count(*) AS n, count(DISTINCT doc_id) AS docs FROM rungs r JOIN lex x ON x.key = r.key WHERE x.domain AND x.unapproved GROUP BY ALL")

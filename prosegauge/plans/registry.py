@@ -363,7 +363,7 @@ CASE_ROWS = ", ".join(f"({i}::BIGINT, {oracle.array(m)}, {oracle.array(n)})" for
 @query(FOUND + f", cases(doc_id, must, must_not) AS (VALUES {CASE_ROWS}), seen AS (SELECT doc_id, list(DISTINCT rule) AS seen FROM found GROUP BY doc_id) SELECT doc_id, array_to_string(list_sort(list_filter(must, lambda r: NOT coalesce(list_contains(seen, r), false))), ' ') AS missing, array_to_string(list_sort(list_filter(must_not, lambda r: coalesce(list_contains(seen, r), false))), ' ') AS forbidden FROM cases LEFT JOIN seen USING (doc_id)")
 def rule_cases(spark, sf_dir):
     cases = spark.createDataFrame(CASES, "doc_id long, must array<string>, must_not array<string>")
-    got = check.rule_cases(checked(spark, sf_dir).findings, cases)
+    got = check.rule_cases(checked(spark, sf_dir, of=cases).findings, cases)
     return got.select("doc_id", F.array_join("missing", " ").alias("missing"), F.array_join("forbidden", " ").alias("forbidden"))
 
 

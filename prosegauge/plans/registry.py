@@ -341,8 +341,8 @@ def findings_json(spark, sf_dir):
 
 @query(STATS + oracle.report() + "SELECT doc_id, part::INT AS part, ord::INT AS ord, said FROM said")
 def report_text(spark, sf_dir):
-    got = checked(spark, sf_dir, both=True)
-    return report.report_lines(got.findings, got.stats).drop("doc_row")
+    got = checked(spark, sf_dir, both=True, count_unknown=True)
+    return report.report_lines(got.findings, got.stats, unknown=got.unknown).drop("doc_row")
 
 
 @query(STATS + f"SELECT count(*) AS documents, sum(sentences)::BIGINT AS sentences, sum(words)::BIGINT AS words, sum(violations)::BIGINT AS violations, {oracle.exact_round('sum(counted_words) / sum(sentences)', 1)} AS mean_sentence_words, max(max_sentence_words) AS max_sentence_words, sum(violations) / sum(words) AS violation_rate FROM stats")

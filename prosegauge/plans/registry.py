@@ -591,8 +591,7 @@ def recheck_findings(spark, sf_dir):
 
 @query(f"SELECT coalesce(a.rule, b.rule) AS rule, sum(greatest(coalesce(a.k, 0) - coalesce(b.k, 0), 0))::BIGINT AS removed, sum(greatest(coalesce(b.k, 0) - coalesce(a.k, 0), 0))::BIGINT AS added, sum(least(coalesce(a.k, 0), coalesce(b.k, 0)))::BIGINT AS kept FROM ({OLD_FOUND + COUNTED}) a FULL JOIN ({FOUND + COUNTED}) b ON {SAME} GROUP BY 1")
 def recheck_changes(spark, sf_dir):
-    got = recheck.changes(*rechecked(spark, sf_dir))
-    return got.groupBy("rule").agg(*(F.sum(F.when(F.col("change") == c, F.col("n")).otherwise(0)).alias(c) for c in ("removed", "added", "kept")))
+    return recheck.changes_by_rule(documents(spark, sf_dir), lexicon_before(spark), lexicon(spark))
 
 
 # --- terms and dictionaries --------------------------------------------------------------------------
